@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from driftwell.llm import decontaminate, mixing
 from driftwell.llm.near_dedup import NearDedup, near_duplicates
+from driftwell.llm.quality import quality_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,7 +22,26 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"), NearDedup(width=4))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_minhash_near_dedup,)}
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated quality of every document, learnt from the labels that are not held out."""
+    return quality_scores(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, good labels drawing first."""
+    docs = mixing.label_weights(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return mixing.mix_sources(docs).drop("source")
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item."""
+    return decontaminate.contained_items(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_minhash_near_dedup, op3_quality_classifier, op4_source_mixing, op6_benchmark_decontamination)}
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_source_mixing": mixing.ORACLE,
+    "op6_benchmark_decontamination": decontaminate.ORACLE,
+}

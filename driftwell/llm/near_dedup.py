@@ -6,8 +6,9 @@ tokens, rarest first, and only under its first ``coordinates - matches + 1`` of
 meet are compared on whole signatures, the survivors on whole shingle sets, and what is linked is joined to components.
 
 Documents with equal sets are one class from the start.  Inside a posting list every class is first compared with a few
-leaders of the list; only classes that are then still in different components are compared with each other, so a group
-of near copies costs links in proportion to its size.
+leaders of the list.  Classes that are then in different components though they share a list meet again under the rarest
+of their own shingles, by the same prefix rule on whole sets and with the most that can follow a meeting place as a
+further condition: no link is lost, and a group of near copies costs pairs in proportion to its size.
 """
 
 from __future__ import annotations
@@ -75,21 +76,23 @@ def _sets(width: int):
         for batch in batches:
             out = []
             for _, hashes, bounds in tk.shingles(batch.column(1), width):
-                out += [np.unique(hashes[bounds[i] : bounds[i + 1]]).tobytes() for i in range(len(bounds) - 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["rep", "members"])
+                out += [np.unique(hashes[bounds[i] : bounds[i + 1]]).view(np.int64) for i in range(len(bounds) - 1)]
+            ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["rep", "members"])
 
     return run
 
 
 def _confirm(percent: int):
-    """Keeps the pairs whose whole sets pass; a set is its sorted hashes as bytes."""
+    """Keeps the pairs whose whole sets pass; a set is its hashes, sorted as unsigned numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(0), batch.column(1)
             keep = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = (v.values.to_numpy().view(np.uint64) for v in (x, y))
                 x, y = (x, y) if len(x) <= len(y) else (y, x)
                 at = np.searchsorted(y, x)
                 at[at == len(y)] = 0
@@ -129,31 +132,35 @@ def _run(scratch: Scratch, docs: DataFrame, cfg: NearDedup) -> DataFrame:
     posted = scratch.keep(shared.where(F.col("place") + F.col("alone") <= prefix).select("token", "rep", "n"), "postings")
 
     open_docs = posted.select(F.col("rep").alias("doc_id")).distinct()
-    members = scratch.keep(docs.join(open_docs, "doc_id", "left_semi").mapInArrow(_sets(cfg.width), "rep long, members binary").where("length(members) > 0"), "members")
-
-    def links(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (a, b) that agree on enough coordinates and pass on whole sets."""
-        x, y = (reps.select(F.col("rep").alias(c), F.col("signature").alias(f"sig_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
-        agree = F.aggregate(F.zip_with("sig_a", "sig_b", lambda p, q: F.when(p == q, 1).otherwise(0)), F.lit(0), lambda s, v: s + v)
-        near = pairs.distinct().join(x, "a").join(y, "b").where(100 * F.least("n_a", "n_b") >= cfg.percent * F.greatest("n_a", "n_b")).where(agree >= cfg.matches).select("a", "b")
-        near = near.distinct()
+    members = scratch.keep(docs.join(open_docs, "doc_id", "left_semi").mapInArrow(_sets(cfg.width), "rep long, members array<long>").where("size(members) > 0"), "members")
+
+    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b) that pass on whole sets."""
         x, y = (members.select(F.col("rep").alias(c), F.col("members").alias(f"set_{c}")) for c in "ab")
-        return scratch.keep(near.join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(cfg.percent), "a long, b long").distinct(), name)
+        return scratch.keep(pairs.join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(cfg.percent), "a long, b long").distinct(), name)
 
     leaders = posted.groupBy("token").agg(*[F.min(F.col("rep").bitwiseXOR(F.lit(s))).alias(f"l{i}") for i, s in enumerate(cfg.leaders)])
     led = posted.select("token", "rep").join(leaders, "token").select("rep", F.explode(F.array_distinct(F.array(*[F.col(f"l{i}").bitwiseXOR(F.lit(s)) for i, s in enumerate(cfg.leaders)]))).alias("leader"))
     pairs = led.where("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b"))
-    first = links(pairs, "links-1")
+    x, y = (reps.select(F.col("rep").alias(c), F.col("signature").alias(f"sig_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
+    agree = F.aggregate(F.zip_with("sig_a", "sig_b", lambda p, q: F.when(p == q, 1).otherwise(0)), F.lit(0), lambda s, v: s + v)
+    alike = pairs.distinct().join(x, "a").join(y, "b").where(100 * F.least("n_a", "n_b") >= cfg.percent * F.greatest("n_a", "n_b")).where(agree >= cfg.matches)
+    first = confirmed(alike.select("a", "b").distinct(), "links-1")
     stars = scratch.keep(components(first, scratch, "stars"), "star-components")
 
-    # What is still apart inside a posting list is compared pair by pair.
-    known = posted.join(stars.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    known = scratch.keep(known, "known")
+    # Classes that share a list and are still apart meet under the rarest of their shingles.
+    known = scratch.keep(posted.join(stars.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", F.coalesce("component", "rep").alias("component")), "known")
     mixed = known.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    left = known.join(mixed, "token", "left_semi")
-    other = left.select("token", F.col("rep").alias("rep_b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"))
-    apart = left.join(other, "token").where((F.col("rep") < F.col("rep_b")) & (F.col("component") != F.col("component_b")) & (100 * F.least("n", "n_b") >= cfg.percent * F.greatest("n", "n_b")))
-    rest = links(apart.select(F.col("rep").alias("a"), F.col("rep_b").alias("b")), "links-2")
+    apart = known.join(mixed, "token", "left_semi").select("rep", "component").distinct()
+    own = members.join(apart, "rep").select("rep", "component", F.size("members").alias("n"), F.explode("members").alias("shingle"))
+    common = own.groupBy("shingle").agg(F.count("*").alias("freq"))
+    ranked = own.join(common, "shingle").withColumn("place", F.row_number().over(W.partitionBy("rep", "n").orderBy("freq", "shingle")))
+    left = scratch.keep(ranked.where((F.col("freq") > 1) & (100 * (F.col("n") - F.col("place") + 1) >= cfg.percent * F.col("n"))).drop("freq"), "prefixes")
+    other = left.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("rep", "component", "n", "place")])
+    shared = F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b")) + 1
+    enough = (100 + cfg.percent) * shared >= cfg.percent * (F.col("n") + F.col("n_b"))
+    meet = left.join(other, "shingle").where((F.col("rep") < F.col("rep_b")) & (F.col("component") != F.col("component_b")) & enough)
+    rest = confirmed(meet.select(F.col("rep").alias("a"), F.col("rep_b").alias("b")).distinct(), "links-2")
     parts = components(first.unionByName(rest), scratch, "parts")
     parts = scratch.keep(parts, "components")
 

@@ -8,6 +8,7 @@ The tables come from Python's ``unicodedata`` by rule when the expression is bui
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -46,6 +47,11 @@ def _tables() -> dict:
     return {"split": split, "joined": joined, "marks": marks, "seconds": seconds, "unstable": unstable, "hangul": hangul}
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once and stands in the plan once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _part(c: Column, k: int) -> Column:
     """The k-th character of a decomposable character's decomposition, or nothing."""
     split = _tables()["split"]
@@ -70,7 +76,7 @@ def _replaced(text: Column, found: Column, by) -> Column:
 def _composed_run(run: Column) -> Column:
     """A starter and what follows it, composed: a mark joins the starter unless one of its class or above stands between."""
     joined = _tables()["joined"]
-    pairs = F.create_map(*[F.lit(x) for kv in joined.items() for x in kv])
+    keys, values = "".join("\u0001" + pair for pair in joined), "".join(joined.values())
     leads, vowels = [chr(0x1100 + i) for i in range(19)], [chr(0x1161 + i) for i in range(21)]
     hangul = _tables()["hangul"]
     spelled = {unicodedata.normalize("NFD", h): h for h in hangul}
@@ -87,10 +93,15 @@ def _composed_run(run: Column) -> Column:
     zero = F.lit("Ā")
     start = F.struct(F.lit("").alias("done"), F.substring(run, 1, 1).alias("starter"), F.lit("").alias("loose"), zero.alias("last"))
 
+    def listed(pair: Column) -> Column:
+        """The composite of a pair: its place in the list of pairs is its place in the list of composites."""
+        place = F.instr(F.lit(keys), F.concat(F.lit("\u0001"), pair))
+        return F.when(place > 0, F.substring(F.lit(values), ((place - 1) / 3).cast("int") + 1, F.lit(1)))
+
     def step(acc: Column, c: Column) -> Column:
         own = _class(c)
         free = (acc["loose"] == "") | ((acc["last"] < own) & (acc["last"] != zero))
-        both = F.when(free, F.coalesce(F.try_element_at(pairs, F.concat(acc["starter"], c)), jamo(acc["starter"], c)))
+        both = F.when(free, F.coalesce(listed(F.concat(acc["starter"], c)), jamo(acc["starter"], c)))
         restart = both.isNull() & (own == zero)
         return F.struct(
             F.when(restart, F.concat(acc["done"], acc["starter"], acc["loose"])).otherwise(acc["done"]).alias("done"),
@@ -107,17 +118,26 @@ def composed(text: Column) -> Column:
     """Unicode normalisation form C of ``text``."""
     t = _tables()
     marks, follow = _escaped(t["marks"]), _escaped(sorted({*t["marks"], *t["seconds"]}))
-    busy = text.rlike(f"[{_escaped(t['unstable'])}]|[{marks}]{{2}}")
+    # From the cheapest test to the dearest: any character from U+0300 on, then a lone one that is never stable, or a mark
+    # that joins something or stands beside another.
+    single = _escaped([c for c in t["unstable"] if unicodedata.category(c)[0] != "M"])
+    mark = text.rlike(r"\p{M}") & text.rlike(f"[{_escaped([c for c in t['unstable'] if unicodedata.category(c)[0] == 'M'])}]|[{marks}]{{2}}")
+    busy = text.rlike(r"[^\x{0}-\x{2FF}]") & (text.rlike(f"[{single}]") | mark)
     table = "".join(t["split"])
     chars = F.filter(F.array_distinct(F.split(text, "")), lambda c: (c > "\u007f") & (F.instr(F.lit(table), c) > 0))
     apart = _replaced(text, chars, lambda c: F.concat(*[_part(c, k) for k in range(max(map(len, t["split"].values())))]))
-    runs = F.regexp_extract_all(apart, F.lit(f"[{marks}]{{2,}}"), F.lit(0))
-    in_order = _replaced(apart, runs, lambda run: F.array_join(F.transform(F.array_sort(F.transform(F.split(run, ""), lambda c, i: F.struct(_class(c).alias("k"), i.alias("i"), c.alias("c")))), lambda x: x["c"]), ""))
-    groups = F.regexp_extract_all(in_order, F.lit(f"(?s)[^{follow}][{follow}]+|[{follow}]{{2,}}"), F.lit(0))
-    return F.when(busy, _replaced(in_order, groups, _composed_run)).otherwise(text)
+
+    def ordered(apart: Column) -> Column:
+        runs = F.regexp_extract_all(apart, F.lit(f"[{marks}]{{2,}}"), F.lit(0))
+        return _replaced(apart, runs, lambda run: F.array_join(F.transform(F.array_sort(F.transform(F.split(run, ""), lambda c, i: F.struct(_class(c).alias("k"), i.alias("i"), c.alias("c")))), lambda x: x["c"]), ""))
+
+    def joined(in_order: Column) -> Column:
+        groups = F.regexp_extract_all(in_order, F.lit(f"(?s)[^{follow}][{follow}]+|[{follow}]{{2,}}"), F.lit(0))
+        return _replaced(in_order, groups, _composed_run)
+
+    return F.when(busy, _let(apart, lambda a: _let(ordered(a), joined))).otherwise(text)
 
 
 def canonical(text: Column) -> Column:
     """Composed, case-folded (through upper case, so that sharp s meets ss) and with white space folded to one blank."""
-    folded = F.lower(F.upper(composed(F.coalesce(text, F.lit("")))))
-    return F.trim(F.regexp_replace(composed(folded), r"[\s\p{Z}]+", " "))
+    return _let(F.coalesce(text, F.lit("")), lambda raw: _let(composed(raw), lambda c: _let(F.lower(F.upper(c)), lambda low: F.trim(F.regexp_replace(composed(low), r"[\s\p{Z}]+", " ")))))

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftwell.llm import decontaminate, mixing
+from driftwell.llm import decontaminate, mixing, secrets
+from driftwell.llm.fingerprint import edit_report
 from driftwell.llm.near_dedup import NearDedup, near_duplicates
 from driftwell.llm.quality import quality_scores
 
@@ -38,10 +39,21 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contained_items(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_minhash_near_dedup, op3_quality_classifier, op4_source_mixing, op6_benchmark_decontamination)}
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical digests of every document and of its edited text."""
+    return edit_report(spark, table(spark, sf_dir, "documents"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document, and which values only few owners have."""
+    return secrets.secret_report(spark, table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_minhash_near_dedup, op3_quality_classifier, op4_source_mixing, op6_benchmark_decontamination, op9_document_fingerprints, op10_secret_scan)}
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
 ORACLES: dict[str, str] = {
     "op4_source_mixing": mixing.ORACLE,
     "op6_benchmark_decontamination": decontaminate.ORACLE,
+    "op10_secret_scan": secrets.ORACLE,
 }

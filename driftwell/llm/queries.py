@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from driftwell.llm import decontaminate, mixing, secrets
+from driftwell.llm import decontaminate, line_dedup, mixing, secrets
 from driftwell.llm.fingerprint import edit_report
 from driftwell.llm.near_dedup import NearDedup, near_duplicates
 from driftwell.llm.quality import quality_scores
+from driftwell.llm.token_rollup import corpus_rollup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, how many of them recurring templates take, and the digest of what is left."""
+    out = line_dedup.drop_recurring_lines(spark, table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components over four-word shingles at a similarity of 0.8."""
     return near_duplicates(spark, table(spark, sf_dir, "documents"), NearDedup(width=4))
@@ -39,6 +47,11 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contained_items(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and tokens by source, language and tokenizer version, after inserts, deletes and revisions."""
+    return corpus_rollup(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical digests of every document and of its edited text."""
     return edit_report(spark, table(spark, sf_dir, "documents"))
@@ -49,10 +62,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_minhash_near_dedup, op3_quality_classifier, op4_source_mixing, op6_benchmark_decontamination, op9_document_fingerprints, op10_secret_scan)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op3_quality_classifier, op4_source_mixing, op6_benchmark_decontamination, op7_token_rollup, op9_document_fingerprints, op10_secret_scan)}
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
 ORACLES: dict[str, str] = {
+    "op1_line_dedup": line_dedup.ORACLE,
     "op4_source_mixing": mixing.ORACLE,
     "op6_benchmark_decontamination": decontaminate.ORACLE,
     "op10_secret_scan": secrets.ORACLE,

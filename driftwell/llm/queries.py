@@ -11,6 +11,7 @@ from driftwell.llm import decontaminate, line_dedup, mixing, secrets
 from driftwell.llm.fingerprint import edit_report
 from driftwell.llm.near_dedup import NearDedup, near_duplicates
 from driftwell.llm.quality import quality_scores
+from driftwell.llm.substring_dedup import repeated_strings
 from driftwell.llm.token_rollup import corpus_rollup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +53,11 @@ def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_rollup(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that lie in 50-byte strings of earlier documents, and the digest of the rest."""
+    return repeated_strings(spark, table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical digests of every document and of its edited text."""
     return edit_report(spark, table(spark, sf_dir, "documents"))
@@ -62,7 +68,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op3_quality_classifier, op4_source_mixing, op6_benchmark_decontamination, op7_token_rollup, op9_document_fingerprints, op10_secret_scan)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op3_quality_classifier, op4_source_mixing, op6_benchmark_decontamination, op7_token_rollup, op8_suffix_dedup, op9_document_fingerprints, op10_secret_scan)}
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
 ORACLES: dict[str, str] = {

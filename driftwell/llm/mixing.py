@@ -10,25 +10,26 @@ range by range, and only inside a range are documents sorted.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from driftwell.llm.scratch import Scratch
+
 #: Source weights in code-point order of the names, null last; repeated as needed.
 CYCLE = (5, 2, 1)
 #: Words the mix should have, as a share of all words there are; and the most that one source may be repeated.
 SHARE, REPEATS = 1.5, 2
 #: Documents a key range should have, about, over all sources; and the fewest ranges.
-RANGE_ROWS, LEAST_RANGES = 10_000, 64
+RANGE_ROWS, LEAST_RANGES = 10_000, 256
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, quality_weight (1 where absent) and size, the number of words; null texts have none."""
-    weight = F.coalesce(F.col("quality_weight").cast("double"), F.lit(1.0)) if "quality_weight" in docs.columns else F.lit(1.0)
+    """doc_id, source and size, the number of words; null texts have none."""
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), weight.alias("quality_weight"), size.alias("size"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
 
 
 def targets(by_source: DataFrame, share: float = SHARE, repeats: int = REPEATS, cycle: tuple[int, ...] = CYCLE) -> DataFrame:
@@ -48,19 +49,27 @@ def targets(by_source: DataFrame, share: float = SHARE, repeats: int = REPEATS,
     return w.withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(final * F.col("weight"))).select("source", "source_size", "target")
 
 
-def mix_sources(docs: DataFrame, share: float = SHARE, repeats: int = REPEATS, cycle: tuple[int, ...] = CYCLE) -> DataFrame:
+def mix_sources(spark: SparkSession, docs: DataFrame, weights: DataFrame | None = None, share: float = SHARE, repeats: int = REPEATS, cycle: tuple[int, ...] = CYCLE) -> DataFrame:
     """doc_id, source, size, source_size, target and taken, the words the mix takes, for every row of ``docs``.
 
-    Reads doc_id, text, source and, where there, quality_weight (null or not above 0: never before any weighted
-    document).  Null sources are one source, the last.  Empty texts have size 0 and take 0.  Rows that repeat a doc_id
-    draw the same key and are ordered by their size.  An empty table gives an empty result.
+    Reads doc_id, text and source; ``weights`` has doc_id and quality_weight, one row a document, 1 where there is none
+    (null or not above 0: never before any weighted document).  Null sources are one source, the last.  Empty texts
+    have size 0 and take 0.  Rows that repeat a doc_id draw the same key and are ordered by their size.  An empty table
+    gives an empty result.
     """
+    scratch = Scratch(spark, "mixing")
     uniform = (F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 13), 16, 10).cast("double") + 1.0) / float(1 << 52)
-    weight = F.when(F.col("quality_weight") > 0, F.col("quality_weight")).otherwise(F.lit(1e-9))
-    keyed = sizes(docs).withColumn("group", F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), "source"))).withColumn("key", -F.log(uniform) / weight)
-    count = keyed.select(F.count("*")).first()[0]
+    measured = scratch.keep(sizes(docs), "sizes")
+    if weights is None:
+        weighted = measured.withColumn("weight", F.lit(1.0))
+    else:
+        named = weights.select("doc_id", F.coalesce(F.col("quality_weight").cast("double"), F.lit(0.0)).alias("weight"))
+        weighted = measured.join(named, "doc_id", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+    weight = F.when(F.col("weight") > 0, F.col("weight")).otherwise(F.lit(1e-9))
+    keyed = weighted.withColumn("group", F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), "source"))).withColumn("key", -F.log(uniform) / weight).drop("weight")
+    count = measured.count()
     ranges = max(LEAST_RANGES, -(-count // RANGE_ROWS))
-    keyed = keyed.withColumn("range", F.floor((1.0 - F.exp(-F.col("key"))) * ranges))
+    keyed = keyed.withColumn("range", F.floor((1.0 - F.exp(-0.5 * F.col("key"))) * ranges))
 
     sums = keyed.groupBy("group", "source", "range").agg(F.sum("size").alias("range_size"))
     plan = targets(sums.groupBy("source").agg(F.sum("range_size").alias("source_size")), share, repeats, cycle)
@@ -108,7 +117,7 @@ FROM placed
 
 
 def label_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with quality_weight from labels: 1 where good, 0.25 where bad, 0.5 where unlabelled."""
+    """(doc_id, quality_weight) of all documents: 1 where labelled good, 0.25 where bad, 0.5 where unlabelled."""
     own = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("_quality"))
     weight = F.when(F.col("_quality") == 1, 1.0).when(F.col("_quality") == 0, 0.25).otherwise(0.5)
-    return docs.join(own, "doc_id", "left").withColumn("quality_weight", weight).drop("_quality")
+    return docs.select("doc_id").distinct().join(own, "doc_id", "left").select("doc_id", weight.alias("quality_weight"))

@@ -39,8 +39,8 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document, good labels drawing first."""
-    docs = mixing.label_weights(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return mixing.mix_sources(docs).drop("source")
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix_sources(spark, docs, mixing.label_weights(docs, table(spark, sf_dir, "labels"))).drop("source")
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,8 +43,8 @@ def _tables() -> dict:
     marks = [c for c in chars if unicodedata.combining(c)]
     seconds = sorted({p[1] for p in joined} | set(jamo))
     unstable = sorted({c for c in split if unicodedata.normalize("NFC", c) != c} | set(seconds))
-    hangul = [chr(c) for c in range(0xAC00, 0xD7A4)]
-    return {"split": split, "joined": joined, "marks": marks, "seconds": seconds, "unstable": unstable, "hangul": hangul}
+    split = {c: d for c, d in split.items() if not 0xAC00 <= ord(c) < 0xD7A4}
+    return {"split": split, "joined": joined, "marks": marks, "seconds": seconds, "unstable": unstable}
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -60,6 +60,25 @@ def _part(c: Column, k: int) -> Column:
     return F.translate(c, "".join(has + none), "".join(split[x][k] for x in has))
 
 
+#: Hangul syllables stand in order of lead, vowel and tail (0: none).
+_FIRST, _VOWELS, _TAILS = 0xAC00, 21, 28
+_LEAD = "".join(chr(0x1100 + i) for i in range(19))
+_VOWEL = "".join(chr(0x1161 + i) for i in range(_VOWELS))
+_TAIL = "".join(chr(0x11A8 + i) for i in range(_TAILS - 1))
+
+
+def _spelled(c: Column) -> Column:
+    """A Hangul syllable as jamo."""
+    n = F.ascii(c) - _FIRST
+    at = lambda letters, i: F.substring(F.lit(letters), i.cast("int") + 1, F.lit(1))
+    tail = F.when(n % _TAILS > 0, at(_TAIL, n % _TAILS - 1)).otherwise("")
+    return F.concat(at(_LEAD, F.floor(n / (_VOWELS * _TAILS))), at(_VOWEL, F.floor(n / _TAILS) % _VOWELS), tail)
+
+
+def _syllable(number: Column) -> Column:
+    return F.decode(F.unhex(F.lpad(F.hex((number + _FIRST).cast("long")), 8, "0")), "UTF-32")
+
+
 def _class(c: Column) -> Column:
     """A character that sorts as the combining class does; ``Ā`` (class 0) for all that is no mark."""
     marks = _tables()["marks"]
@@ -77,19 +96,14 @@ def _composed_run(run: Column) -> Column:
     """A starter and what follows it, composed: a mark joins the starter unless one of its class or above stands between."""
     joined = _tables()["joined"]
     keys, values = "".join("\u0001" + pair for pair in joined), "".join(joined.values())
-    leads, vowels = [chr(0x1100 + i) for i in range(19)], [chr(0x1161 + i) for i in range(21)]
-    hangul = _tables()["hangul"]
-    spelled = {unicodedata.normalize("NFD", h): h for h in hangul}
 
     def jamo(a: Column, b: Column) -> Column:
-        """Hangul by position: a lead and a vowel, or a syllable without tail and a tail."""
-        lead, vowel = F.instr(F.lit("".join(leads)), a), F.instr(F.lit("".join(vowels)), b)
-        open_ = F.instr(F.lit("".join(hangul[::28])), a)
-        tail = F.instr(F.lit("".join(chr(0x11A8 + i) for i in range(27))), b)
-        syllables = F.lit("".join(hangul))
-        return F.when((lead > 0) & (vowel > 0), F.substring(syllables, ((lead - 1) * 21 + vowel - 1) * 28 + F.lit(1), F.lit(1))).when((open_ > 0) & (tail > 0), F.substring(syllables, (open_ - 1) * 28 + tail + F.lit(1), F.lit(1)))
-
-    assert len(spelled) == len(hangul)
+        """A lead and a vowel, or a syllable without tail and a tail."""
+        lead, vowel, tail = F.instr(F.lit(_LEAD), a), F.instr(F.lit(_VOWEL), b), F.instr(F.lit(_TAIL), b)
+        n = F.ascii(a) - _FIRST
+        bare = (a >= chr(_FIRST)) & (a <= "\ud7a3") & (n % _TAILS == 0)
+        return F.when((lead > 0) & (vowel > 0), _syllable(((lead - 1) * _VOWELS + vowel - 1) * _TAILS)).when(bare & (tail > 0), _syllable(n + tail))
+
     zero = F.lit("Ā")
     start = F.struct(F.lit("").alias("done"), F.substring(run, 1, 1).alias("starter"), F.lit("").alias("loose"), zero.alias("last"))
 
@@ -124,8 +138,9 @@ def composed(text: Column) -> Column:
     mark = text.rlike(r"\p{M}") & text.rlike(f"[{_escaped([c for c in t['unstable'] if unicodedata.category(c)[0] == 'M'])}]|[{marks}]{{2}}")
     busy = text.rlike(r"[^\x{0}-\x{2FF}]") & (text.rlike(f"[{single}]") | mark)
     table = "".join(t["split"])
-    chars = F.filter(F.array_distinct(F.split(text, "")), lambda c: (c > "\u007f") & (F.instr(F.lit(table), c) > 0))
-    apart = _replaced(text, chars, lambda c: F.concat(*[_part(c, k) for k in range(max(map(len, t["split"].values())))]))
+    syllable = lambda c: (c >= chr(_FIRST)) & (c <= "\ud7a3")
+    chars = F.filter(F.array_distinct(F.split(text, "")), lambda c: (c > "\u007f") & (syllable(c) | (F.instr(F.lit(table), c) > 0)))
+    apart = _replaced(text, chars, lambda c: F.when(syllable(c), _spelled(c)).otherwise(F.concat(*[_part(c, k) for k in range(max(map(len, t["split"].values())))])))
 
     def ordered(apart: Column) -> Column:
         runs = F.regexp_extract_all(apart, F.lit(f"[{marks}]{{2,}}"), F.lit(0))

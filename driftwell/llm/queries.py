@@ -11,6 +11,7 @@ from driftwell.llm import decontaminate, line_dedup, mixing, secrets
 from driftwell.llm.fingerprint import edit_report
 from driftwell.llm.near_dedup import NearDedup, near_duplicates
 from driftwell.llm.quality import quality_scores
+from driftwell.llm.quote_linking import linked_conversations
 from driftwell.llm.substring_dedup import repeated_strings
 from driftwell.llm.token_rollup import corpus_rollup
 
@@ -43,6 +44,11 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(spark, docs, mixing.label_weights(docs, table(spark, sf_dir, "labels"))).drop("source")
 
 
+def op5_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages without quotations, with what they answer and their thread."""
+    return linked_conversations(spark, table(spark, sf_dir, "conversations"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item."""
     return decontaminate.contained_items(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -68,7 +74,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op3_quality_classifier, op4_source_mixing, op6_benchmark_decontamination, op7_token_rollup, op8_suffix_dedup, op9_document_fingerprints, op10_secret_scan)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op3_quality_classifier, op4_source_mixing, op5_quote_linking, op6_benchmark_decontamination, op7_token_rollup, op8_suffix_dedup, op9_document_fingerprints, op10_secret_scan)}
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
 ORACLES: dict[str, str] = {

@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""Column helpers shared by the operators."""

@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""Structured Streaming counterparts."""

@@ -40,8 +40,10 @@ class SubstringDedup:
     seed: int = 25
 
 
-#: One cover position on its way: seed hash, run hash in two parts, document in the row's list, start << 8 | windows.
-_POINT = np.dtype([("h", "<u8"), ("c", "<u4"), ("c2", "<u2"), ("doc", "<u4"), ("at", "<i8")])
+#: One cover position on its way: seed hash, run hash in two parts, row of the batch, first window and number of windows.
+_POINT = np.dtype([("h", "<u8"), ("c", "<u4"), ("c2", "<u2"), ("doc", "<u2"), ("start", "<u4"), ("n", "u1")])
+#: Rows of an Arrow batch (``doc`` has 16 bits), bytes of one, and buckets for each shuffle partition.
+_ROWS, _BYTES, _BUCKETS = 1500, 4 << 20, 2
 _SLICE = 1 << 18
 _LAST = np.iinfo(np.int64).max
 _rng = np.random.default_rng(99)
@@ -59,7 +61,7 @@ def _prefix(values: np.ndarray, up: np.ndarray) -> np.ndarray:
 
 
 def cover_points(data: np.ndarray, offsets: np.ndarray, cfg: SubstringDedup) -> np.ndarray:
-    """The cover positions of some documents as points; ``doc`` is the row, ``at`` the first window and their number."""
+    """The cover positions of some documents as points; ``doc`` is the row."""
     n, width = len(data), cfg.length - cfg.seed + 1
     if n < cfg.length:
         return np.zeros(0, _POINT)
@@ -87,12 +89,12 @@ def cover_points(data: np.ndarray, offsets: np.ndarray, cfg: SubstringDedup) ->
     run = tk.mix((sums[end] - sums[begin]) * down[begin] + (spot - begin).astype(np.uint64) * tk._PLACE[0] + count.astype(np.uint64) * tk._PLACE[1])
     out = np.zeros(len(first), _POINT)
     out["h"], out["c"], out["c2"], out["doc"] = seeds[spot], run >> np.uint64(32), run & np.uint64(0xFFFF), row
-    out["at"] = (begin - offsets[row]) << 8 | count
+    out["start"], out["n"] = begin - offsets[row], count
     return out
 
 
 def window_points(data: np.ndarray, row: int, spans: np.ndarray, cfg: SubstringDedup) -> np.ndarray:
-    """The single windows of the runs in ``spans`` (packed as ``at``) of one document, as points."""
+    """The single windows of the runs in ``spans`` (start << 8 | number) of one document, as points."""
     up, down = tk._Powers.upto(len(data) + 1)
     begin, count = spans >> 8, spans & 255
     at = np.unique(np.repeat(begin - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum()))
@@ -103,7 +105,7 @@ def window_points(data: np.ndarray, row: int, spans: np.ndarray, cfg: SubstringD
         out[field] = h if field == "h" else h >> np.uint64(32)
         if field == "c":
             out["c2"] = h & np.uint64(0xFFFF)
-    out["doc"], out["at"] = row, at << 8 | 1
+    out["doc"], out["start"], out["n"] = row, at, 1
     return out
 
 
@@ -126,7 +128,7 @@ def _send(points: np.ndarray, ids: np.ndarray, keys: np.ndarray, buckets: int, l
         done = done[np.argsort(done["doc"], kind="stable")]
         for part in np.split(done, np.flatnonzero(np.diff(done["doc"])) + 1):
             key = keys[part["doc"][0]]
-            rows.append((int(np.uint64(key) % np.uint64(buckets)), _merged(part["at"], length).tobytes(), key.tobytes(), b""))
+            rows.append((int(np.uint64(key) % np.uint64(buckets)), _merged(part, length).tobytes(), key.tobytes(), b""))
     p = p[~later]
     to = ((p["h"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     for part, b in ((p[i:j], int(to[i])) for i, j in _runs(to)):
@@ -145,64 +147,75 @@ def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
     return ((a, b) for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b > a)
 
 
-def _merged(at: np.ndarray, length: int) -> np.ndarray:
-    """Byte intervals (start, stop), overlapping ones joined, of packed runs of windows."""
-    begin = np.sort(at) >> 8
-    stop = (begin + (np.sort(at) & 255) + length - 1)
-    stop = np.maximum.accumulate(stop)
+def _merged(points: np.ndarray, length: int) -> np.ndarray:
+    """Byte intervals (start, stop) of some runs of windows, overlapping ones joined."""
+    points = points[np.argsort(points["start"], kind="stable")]
+    begin = points["start"].astype(np.int64)
+    stop = np.maximum.accumulate(begin + points["n"] + length - 1)
     fresh = np.ones(len(begin), bool)
     fresh[1:] = begin[1:] > stop[:-1]
     head = np.flatnonzero(fresh)
-    return np.column_stack([begin[head], stop[np.append(head[1:], len(begin)) - 1]]).astype(np.int64)
+    return np.column_stack([begin[head], stop[np.append(head[1:], len(begin)) - 1]])
 
 
 def _settle(length: int, open_runs: bool):
-    """One bucket: intervals that smaller documents have, and with ``open_runs`` the runs whose seed other runs share."""
-
-    def run(part: pa.Table) -> pa.Table:
-        rid, kind, spans, points, ids, keys, base = [], [], [], [], [], [], 0
-        for i, k, p in zip(part["ids"], part["keys"], part["points"], strict=True):
-            i, k, p = (np.frombuffer(x.as_buffer(), t) for x, t in ((i, np.int64), (k, np.int64), (p, _POINT)))
-            if not len(p):
-                rid.append(int(k[0]))
-                kind.append(COVER)
-                spans.append(i.tobytes())
-                continue
-            p = p.copy()
-            p["doc"] += base
-            base += len(i)
-            points.append(p)
-            ids.append(i)
-            keys.append(k)
-        if points:
-            p, ids, keys = np.concatenate(points), np.concatenate(ids), np.concatenate(keys)
-            p = p[np.argsort(p["h"], kind="stable")]
-            twin = np.zeros(len(p), bool)
-            twin[1:] = p["h"][1:] == p["h"][:-1]
-            twin[:-1] |= twin[1:]
-            p = p[twin]
-            p = p[np.lexsort((ids[p["doc"]], p["c2"], p["c"], p["h"]))]
-            doc = ids[p["doc"]]
+    """One bucket: intervals that smaller documents have, and with ``open_runs`` the runs whose seed other runs share.
+
+    Most seeds occur once and go first, before anything else is put together.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rid: list[int] = []
+        kind: list[int] = []
+        spans: list[bytes] = []
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            ids, keys, points = (batch.column(batch.schema.get_field_index(c)) for c in ("ids", "keys", "points"))
+            for i, k, p in zip(ids, keys, points, strict=True):
+                i, k, p = (np.frombuffer(x.as_py(), t) for x, t in ((i, np.int64), (k, np.int64), (p, _POINT)))
+                if len(p):
+                    parts.append((i, k, p))
+                else:
+                    rid.append(int(k[0]))
+                    kind.append(COVER)
+                    spans.append(i.tobytes())
+        if parts:
+            seeds = np.sort(np.concatenate([p["h"] for _, _, p in parts]))
+            repeated = np.unique(seeds[1:][seeds[1:] == seeds[:-1]])
+            del seeds
+            for n, (i, k, p) in enumerate(parts):
+                at = np.searchsorted(repeated, p["h"])
+                at[at == len(repeated)] = 0
+                p = p[repeated[at] == p["h"]] if len(repeated) else p[:0]
+                parts[n] = (i[p["doc"]], k[p["doc"]], p)
+            doc, key, p = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts.clear()
+            order = np.lexsort((doc, p["c2"], p["c"], p["h"]))
+            doc, key, p = doc[order], key[order], p[order]
             seed = np.ones(len(p), bool)
             seed[1:] = p["h"][1:] != p["h"][:-1]
             new = seed.copy()
             new[1:] |= (p["c"][1:] != p["c"][:-1]) | (p["c2"][1:] != p["c2"][:-1])
             head = np.flatnonzero(new)
             smallest = np.repeat(doc[head], np.diff(np.append(head, len(p))))
-            found = [(COVER, p[doc > smallest])]
+            found = [(COVER, doc > smallest)]
             if open_runs and len(p):
                 group = np.cumsum(seed) - 1
                 lo, hi = np.full(group[-1] + 1, _LAST), np.full(group[-1] + 1, np.iinfo(np.int64).min)
                 np.minimum.at(lo, group[head], doc[head])
                 np.maximum.at(hi, group[head], doc[head])
-                found.append((OPEN, p[(doc == smallest) & (lo < hi)[group]]))
-            for what, q in found:
-                q = q[np.argsort(q["doc"], kind="stable")]
-                for a, b in _runs(q["doc"]):
-                    rid.append(int(keys[q["doc"][a]]))
+                found.append((OPEN, (doc == smallest) & (lo < hi)[group]))
+            for what, mask in found:
+                k, q = key[mask], p[mask]
+                order = np.argsort(k, kind="stable")
+                k, q = k[order], q[order]
+                for a, b in _runs(k):
+                    rid.append(int(k[a]))
                     kind.append(what)
-                    spans.append((_merged(q["at"][a:b], length) if what == COVER else q["at"][a:b]).tobytes())
-        return pa.table({"rid": pa.array(rid, pa.int64()), "kind": pa.array(kind, pa.int32()), "spans": pa.array(spans, pa.binary())})
+                    spans.append((_merged(q[a:b], length) if what == COVER else q["start"][a:b].astype(np.int64) << 8 | q["n"][a:b]).tobytes())
+        for a in range(0, len(rid), 20_000):
+            b = a + 20_000
+            yield pa.RecordBatch.from_arrays([pa.array(rid[a:b], pa.int64()), pa.array(kind[a:b], pa.int32()), pa.array(spans[a:b], pa.binary())], ["rid", "kind", "spans"])
 
     return run
 
@@ -223,7 +236,7 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, cfg: SubstringDedup =
     scratch = Scratch(spark, "substrings")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed = keyed.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), F.lit("/"), "text").alias("rid"), "text")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = _BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,7 +277,7 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, cfg: SubstringDedup =
             arrays = [batch.column(0), pa.array(size), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="4000"):
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(_ROWS), spark__sql__execution__arrow__maxBytesPerBatch=str(_BYTES)):
         runs = scratch.keep(keyed.mapInArrow(cover, _SENT).groupBy("bucket").applyInArrow(_settle(cfg.length, True), _HITS), "runs")
         open_rows = runs.where(F.col("kind") == OPEN).groupBy("rid").agg(F.collect_list("spans").alias("spans"))
         edges = keyed.join(open_rows, "rid").select("doc_id", "rid", "text", "spans").mapInArrow(windows, _SENT)

@@ -60,12 +60,12 @@ def ranking_metrics(df: DataFrame, score: str, label: str = "isFraud") -> DataFr
     """One row: average_precision and roc_auc, equal scores taken together; null without both kinds of labels."""
     by = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(_n(F.col(label) == 1).alias("p"), _n(F.col(label) != 1).alias("q"))
     placed = sums_before(by, "s", ["p", "q"], cuts=cuts_of(df, score))
-    total = by.agg(F.sum("p").alias("P"), F.sum("q").alias("Q"))
+    total = by.agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_q"))
     # Above a score lie all but those below it: seen counts from the top down to it.
-    j = placed.crossJoin(F.broadcast(total)).withColumn("tp", F.col("P") - F.col("p_before")).withColumn("fp", F.col("Q") - F.col("q_before"))
-    ap = F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.max("P")
-    auc = F.sum(F.col("p") * (F.col("q_before") + F.col("q") / 2)) / (F.max("P") * F.max("Q"))
-    both = (F.max("P") > 0) & (F.max("Q") > 0)
+    j = placed.crossJoin(F.broadcast(total)).withColumn("tp", F.col("all_p") - F.col("p_before")).withColumn("fp", F.col("all_q") - F.col("q_before"))
+    ap = F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.max("all_p")
+    auc = F.sum(F.col("p") * (F.col("q_before") + F.col("q") / 2)) / (F.max("all_p") * F.max("all_q"))
+    both = (F.max("all_p") > 0) & (F.max("all_q") > 0)
     return j.agg(F.when(both, ap).alias("average_precision"), F.when(both, auc).alias("roc_auc"))
 
 
@@ -183,17 +183,7 @@ def block_bootstrap(df: DataFrame, base: str, challenger: str, rate: float, resa
             edges.append((rep, size - 1 - at, inside, int((hits @ w)[::-1][:at].sum()), int(per.sum())))
         cut = df.sparkSession.createDataFrame(edges, "replicate int, r int, inside long, sure long, drawn long").join(plan, "replicate")
 
-        def finish(part: pd.DataFrame, c: str = c) -> pd.DataFrame:
-            part = part.sort_values([c, "k"], ascending=[False, True])
-            out = []
-            for rep, e in part.groupby("replicate"):
-                times = np.array(e["times"].iloc[0])[e["b"].to_numpy()]
-                before = np.cumsum(times) - times
-                take = np.clip(int(e["inside"].iloc[0]) - before, 0, times)
-                out.append((rep, int(e["sure"].iloc[0] + (take * e["y"].to_numpy()).sum()), int(e["drawn"].iloc[0])))
-            return pd.DataFrame(out, columns=["replicate", "hits", "drawn"])
-
-        found = spread.join(cut, "r").groupBy("r").applyInPandas(finish, "replicate int, hits long, drawn long").collect()
+        found = spread.join(cut, "r").groupBy("r").applyInPandas(_finish(c), "replicate int, hits long, drawn long").collect()
         for f in found:
             gaps.setdefault(f["replicate"], {})[i] = f["hits"]
             gaps[f["replicate"]]["n"] = f["drawn"]
@@ -202,6 +192,21 @@ def block_bootstrap(df: DataFrame, base: str, challenger: str, rate: float, resa
     return df.sparkSession.createDataFrame([("ok", len(blocks), int(observed[1] - observed[0]), float(low), float(high))], "status string, blocks long, observed long, ci_low double, ci_high double")
 
 
+def _finish(score: str):
+    """Hits of each replicate whose budget ends in a range: its rows in order, as often as their blocks are drawn."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values([score, "k"], ascending=[False, True])
+        out = []
+        for replicate, rows in part.groupby("replicate"):
+            times = np.array(rows["times"].iloc[0])[rows["b"].to_numpy()]
+            taken = np.clip(int(rows["inside"].iloc[0]) - (np.cumsum(times) - times), 0, times)
+            out.append((replicate, int(rows["sure"].iloc[0] + (taken * rows["y"].to_numpy()).sum()), int(rows["drawn"].iloc[0])))
+        return pd.DataFrame(out, columns=["replicate", "hits", "drawn"])
+
+    return run
+
+
 def _not_above(column: str):
     return lambda x: x <= F.col(column)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from driftwell.plans.oracles import ORACLES
+from driftwell.plans.queries import QUERIES
+
 FLAGSHIP = "rule_decisions"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

@@ -112,28 +112,32 @@ def global_counts(rows: DataFrame, cuts: list) -> DataFrame:
     return sums_before(by_time, "TransactionDT", ["rows"], cuts=cuts).select("TransactionDT", F.col("rows_before").cast("long").alias("prior_global_count"))
 
 
-def category_counts(rows: DataFrame, parts: list[str], cuts: list) -> DataFrame:
-    """(parts, TransactionDT, own, everyone): earlier rows with the value, and earlier rows with any value of the parts."""
-    have = F.lit(True)
-    for p in parts:
-        have = have & F.col(p).isNotNull()
-    counts = rows.where(have).groupBy(*parts, "TransactionDT").agg(F.count("*").alias("rows"))
-    own = sums_before(counts, "TransactionDT", ["rows"], tuple(parts), cuts).select(*parts, "TransactionDT", F.col("rows_before").cast("long").alias("own"))
-    every = sums_before(counts.groupBy("TransactionDT").agg(F.sum("rows").alias("rows")), "TransactionDT", ["rows"], cuts=cuts)
-    return own.join(every.select("TransactionDT", F.col("rows_before").cast("long").alias("everyone")), "TransactionDT")
-
-
 #: Frequencies: the columns of the value, and whether the count itself is a feature too.
 FREQUENCIES = {"product": (["_product"], False), "email": (["_email"], False), "device": (["_device"], False), "product_card": (["_product", "_card"], True), "email_pair": (["_email", "_recipient"], True)}
 
 
-def with_frequency(df: DataFrame, rows: DataFrame, name: str, cuts: list) -> DataFrame:
-    """<name>_prior_frequency: null without a value or before the first one.  ``rows`` are the keyed rows to count."""
-    parts, support = FREQUENCIES[name]
-    out = df.join(category_counts(rows, parts, cuts), [*parts, "TransactionDT"], "left").withColumn(f"{name}_prior_frequency", ratio(F.col("own"), F.col("everyone")))
-    if support:
-        out = out.withColumn(f"{name}_prior_support", F.col("own"))
-    return out.drop("own", "everyone")
+def frequencies(rows: DataFrame, cuts: list, names: tuple[str, ...] = tuple(FREQUENCIES)) -> DataFrame:
+    """(TransactionID, <name>_prior_frequency, <name>_prior_support): earlier rows with the value, over those with any value.
+
+    Null without a value; the frequency is null before the first one.  All names are counted together, as (name, value)
+    pairs by distinct time.  ``rows`` are keyed rows with unique ids.
+    """
+
+    def value(parts: list[str]) -> Column:
+        # The first part's length keeps ("ab", "c") and ("a", "bc") apart.
+        both = F.concat(F.length(parts[0]).cast("string"), F.lit(":"), *parts)
+        return both if len(parts) > 1 else F.col(parts[0])
+
+    pairs = F.array(*[F.struct(F.lit(n).alias("name"), value(FREQUENCIES[n][0]).alias("value")) for n in names])
+    cells = rows.select("TransactionID", "TransactionDT", F.explode(F.filter(pairs, lambda x: x["value"].isNotNull())).alias("x")).select("TransactionID", "TransactionDT", "x.name", "x.value")
+    counts = cells.groupBy("name", "value", "TransactionDT").agg(F.count("*").alias("rows"))
+    own = sums_before(counts, "TransactionDT", ["rows"], ("name", "value"), cuts).select("name", "value", "TransactionDT", F.col("rows_before").cast("long").alias("own"))
+    every = sums_before(counts.groupBy("name", "TransactionDT").agg(F.sum("rows").alias("rows")), "TransactionDT", ["rows"], ("name",), cuts)
+    found = cells.join(own, ["name", "value", "TransactionDT"]).join(every.select("name", "TransactionDT", F.col("rows_before").cast("long").alias("everyone")), ["name", "TransactionDT"])
+    mine = lambda n, c: F.max(F.when(F.col("name") == n, c))
+    out = [mine(n, ratio(F.col("own"), F.col("everyone"))).alias(f"{n}_prior_frequency") for n in names]
+    out += [mine(n, F.col("own")).alias(f"{n}_prior_support") for n in names if FREQUENCIES[n][1]]
+    return found.groupBy("TransactionID").agg(*out)
 
 
 def features(df: DataFrame, reference: str | None = None, keep: tuple[str, ...] = ("TransactionID", "TransactionDT", "ProductCD")) -> DataFrame:
@@ -141,6 +145,4 @@ def features(df: DataFrame, reference: str | None = None, keep: tuple[str, ...]
     rows = with_keys(df)
     cuts = cuts_of(df, "TransactionDT")
     out = entity_features(row_features(rows, reference)).join(global_counts(rows, cuts), "TransactionDT")
-    for name in FREQUENCIES:
-        out = with_frequency(out, rows, name, cuts)
-    return out.select(*keep, *FEATURES)
+    return out.join(frequencies(rows, cuts), "TransactionID", "left").select(*keep, *FEATURES)

@@ -44,7 +44,7 @@ def entity(spark: SparkSession, sf_dir: str, tick: int = 3600) -> DataFrame:
 def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All features with label and split."""
     rows = joined(spark, sf_dir)
-    first, second = ingest.boundaries(rows, [0.6, 0.8])
+    first, second = ingest.boundaries(src.transactions(spark, sf_dir), [0.6, 0.8])
     t = F.col("TransactionDT")
     out = history.features(rows, REFERENCE, ("TransactionID", "TransactionDT", "ProductCD", "isFraud"))
     return out.withColumn("split", F.when(t < first, "train").when(t < second, "validation").otherwise("test"))
@@ -206,19 +206,16 @@ def global_prefix_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def category_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = keyed(spark, sf_dir, 3600)
-    cuts, out = cuts_of(rows, "TransactionDT"), rows
-    for name in ("product", "email", "device"):
-        out = history.with_frequency(out, rows, name, cuts)
-    return out.select("TransactionID", *[p(f"{n}_prior_frequency") for n in ("product", "email", "device")])
+    names = ("product", "email", "device")
+    found = history.frequencies(rows, cuts_of(rows, "TransactionDT"), names)
+    return rows.select("TransactionID").join(found, "TransactionID", "left").select("TransactionID", *[p(f"{n}_prior_frequency") for n in names])
 
 
 @query
 def pair_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = keyed(spark, sf_dir, 3600)
-    cuts, out = cuts_of(rows, "TransactionDT"), rows
-    for name in ("product_card", "email_pair"):
-        out = history.with_frequency(out, rows, name, cuts)
-    return out.select("TransactionID", "product_card_prior_support", "email_pair_prior_support", p("product_card_prior_frequency"), p("email_pair_prior_frequency"))
+    found = history.frequencies(rows, cuts_of(rows, "TransactionDT"), ("product_card", "email_pair"))
+    return rows.select("TransactionID").join(found, "TransactionID", "left").select("TransactionID", "product_card_prior_support", "email_pair_prior_support", p("product_card_prior_frequency"), p("email_pair_prior_frequency"))
 
 
 @query

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from driftwell.sources.tables import digest
 
@@ -41,6 +44,45 @@ def top_similar(df: DataFrame, query: list[float], k: int, floor: float | None =
     return best if floor is None else best.where(F.col("similarity") >= floor)
 
 
+#: Query vectors that are searched for in one pass over the rows.
+BLOCK = 512
+
+
+def top_similar_each(df: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
+    """(query_id, key, similarity, place): the k nearest rows of every query vector, by cosine to nine places and then key.
+
+    Queries go in blocks of bounded size, each one pass over all rows.  A batch of rows keeps its own k best of each query,
+    so a query's window sees k rows a batch, not the table.  Null and zero vectors match nothing.
+    """
+    named = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("query_id"), vector)
+    blocks = max(1, -(-named.count() // BLOCK))
+    out = None
+    for i in range(blocks):
+        rows = named.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).collect()
+        ids = np.array([r["query_id"] for r in rows], np.int64)
+        q = np.array([r[vector] for r in rows], float).reshape(len(rows), -1)
+        length = np.linalg.norm(q, axis=1)
+        ids, q = ids[length > 0], q[length > 0] / length[length > 0, None]
+
+        def best(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, q: np.ndarray = q) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                there = batch.filter(batch.column(1).is_valid())
+                if not there.num_rows or not len(ids):
+                    continue
+                own = there.column(0).to_numpy(zero_copy_only=False)
+                x = there.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(own), -1)
+                size = np.linalg.norm(x, axis=1)
+                own, x = own[size > 0], x[size > 0] / size[size > 0, None]
+                similar = np.round(q @ x.T, 9)
+                order = np.lexsort((np.broadcast_to(own, similar.shape), -similar))[:, :k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])), pa.array(own[order].ravel()), pa.array(np.take_along_axis(similar, order, 1).ravel())], ["query_id", key, "similarity"])
+
+        found = df.select(F.col(key).cast("long").alias(key), vector).mapInArrow(best, f"query_id long, {key} long, similarity double")
+        out = found if out is None else out.unionByName(found)
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("similarity").desc(), key))
+    return out.withColumn("place", place.cast("long")).where(F.col("place") <= k)
+
+
 def documents_of(policies: list[dict], rules) -> list[dict]:
     """One document a policy and one a rule; ids unique, texts of 1 to 6000 characters."""
     docs = [dict(d) for d in policies] + [{"id": f"rule:{r.id}", "title": r.id, "text": r.description, "source": "rules", "kind": "rule"} for r in rules.rules]

@@ -321,5 +321,7 @@ says("overlap_sets", f"SELECT max(k) AS reviews_each, count(*) FILTER (i <= k AN
 _DOT = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
 _NORM = "sqrt(list_sum(list_transform({}.embedding, lambda z: z::DOUBLE * z::DOUBLE)))"
 says("cosine_topk", f"SELECT vec_id, label, {r('s')} AS similarity FROM (SELECT a.vec_id, a.label, {_DOT} / ({_NORM.format('a')} * {_NORM.format('b')}) AS s FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b ORDER BY s DESC, a.vec_id LIMIT 5) WHERE s >= 0.05")
+_ALL = f"(SELECT b.vec_id AS query_id, a.vec_id, round({_DOT} / ({_NORM.format('a')} * {_NORM.format('b')}), 9) AS s FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0)"
+says("cosine_topk_each", f"SELECT query_id, vec_id, place, {r('s')} AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS place FROM {_ALL}) WHERE place <= 5")
 says("vector_norms", f"SELECT label, count(*) AS rows, {r('avg(' + _NORM.format('embeddings') + ')', 4)} AS mean_norm FROM embeddings GROUP BY label")
 says("stream_history", f"SELECT {_ID}, false AS late, n AS prior_transaction_count, {r('prior_mean')} AS prior_mean_amount, {r('prior_std')} AS prior_std_amount, c1h AS prior_count_1h, c24h AS prior_count_24h, since AS seconds_since_previous, d_product AS prior_distinct_products, new_product AS entity_product_is_new, {r('hour_p')} AS entity_hour_probability FROM histh WHERE known")

@@ -577,6 +577,14 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.top_similar(e, q, 5, 0.05).select("vec_id", "label", p("similarity"))
 
 
+@query
+def cosine_topk_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every vector whose id is divisible by 50, among all."""
+    e = table(spark, sf_dir, "embeddings")
+    found = retrieval.top_similar_each(e, e.where("vec_id % 50 = 0"), 5)
+    return found.select("query_id", "vec_id", "place", p("similarity"))
+
+
 @query
 def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")

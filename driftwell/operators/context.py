@@ -192,6 +192,13 @@ def risk_profiles(train: DataFrame, policy: ProductRisk) -> DataFrame:
     return by.withColumn("log_relative_risk", F.when(F.col("support") >= policy.support, clipped).otherwise(0.0))
 
 
+def check_profiles(profiles: DataFrame, policy: ProductRisk) -> None:
+    """Stored rates and risks are those that follow from the stored counts."""
+    for r in profiles.select("ProductCD", "support", "positive", "log_relative_risk").collect():  # one row a product
+        if abs(policy.relative(r["support"], r["positive"]) - r["log_relative_risk"]) > 1e-9:
+            raise ValueError(f"the profile of {r['ProductCD']} does not follow from its counts")
+
+
 def apply_product_risk(scored: DataFrame, profiles: DataFrame, policy: ProductRisk, cfg: Context = Context(), external: DataFrame | None = None) -> DataFrame:
     """Behaviour context without the product discount, and a signed product term after the end of training."""
     base = apply_context(scored, cfg, None, external, frozenset(RULES) - {"product_typical_amount"})

@@ -110,6 +110,15 @@ def select_strength(candidates: DataFrame, threshold: float, max_recall_drop: fl
     return by.withColumn("chosen", (F.row_number().over(order) == 1) & F.col("eligible")).select("strength", "tp", "fp", "recall_drop", "false_positives_removed", "eligible", "chosen")
 
 
+def select_by_capacity(candidates: dict[float, DataFrame], k: int, score: str = "score", label: str = "isFraud", key: str = "TransactionID") -> tuple[float, list[dict]]:
+    """The strength whose k highest rows hold most positives, then of the better average precision, then the smaller."""
+    rows = []
+    for strength, df in candidates.items():
+        hits = top_k(df, score, k, key).agg(_n(F.col(label) == 1)).first()[0]
+        rows.append({"strength": strength, "tp": hits, "average_precision": ranking_metrics(df, score, label).first()[0]})
+    return max(rows, key=lambda r: (r["tp"], r["average_precision"] or 0.0, -r["strength"]))["strength"], rows
+
+
 def overlap(df: DataFrame, first: str, second: str, rate: float, label: str = "isFraud", key: str = "TransactionID") -> DataFrame:
     """Two review lists of one budget: shared, either one's own hits, and both together."""
     k = budget(df.count(), rate)

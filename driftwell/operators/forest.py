@@ -71,6 +71,17 @@ class Forest:
                     values.append(start)
         return np.array(feature), np.array(cut), np.array(left), np.array(length)
 
+    def state(self) -> dict:
+        """Everything as plain lists, for JSON."""
+        return {"medians": self.medians.tolist(), "flagged": self.flagged.tolist(), "size": self.size, "trees": [[part.tolist() for part in t] for t in self.trees]}
+
+    @classmethod
+    def restored(cls, state: dict) -> Forest:
+        out = object.__new__(cls)
+        out.medians, out.flagged, out.size = np.array(state["medians"], float), np.array(state["flagged"], int), state["size"]
+        out.trees = [(np.array(f, int), np.array(c, float), np.array(l, int), np.array(d, float)) for f, c, l, d in state["trees"]]
+        return out
+
     def score(self, x: np.ndarray) -> np.ndarray:
         """Between 0 and 1, higher the sooner a row is isolated."""
         x = self._filled(x)

@@ -11,6 +11,7 @@ from driftwell.functions.columns import printed, ratio
 from driftwell.operators import context, evaluate, forest, history, ingest, layers, profile, retrieval
 from driftwell.operators.prefix import cuts_of, higher_quantile, strict_rank
 from driftwell.operators.rules import DEFAULT, RuleSet
+from driftwell.plans import experiment
 from driftwell.sources import tables as src
 from driftwell.sources.shared import folder, keep
 from driftwell.sources.tables import table
@@ -566,6 +567,13 @@ def supervised_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.supervised_scores(f.where("split = 'train'"), f.where("split = 'validation'"), names).select("TransactionID", "isFraud", "supervised")
 
 
+@query
+def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three folds, labels a day late."""
+    f = keep(feature_table(spark, sf_dir), "features")
+    return experiment.walk_forward(f, ["amount", "hour_sin", "hour_cos", "prior_transaction_count", "amount_to_prior_mean", "product_prior_frequency"], 3, 1.0)
+
+
 # Retrieval, streaming, scenarios
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from enum import StrEnum
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +56,24 @@ def fit(train: DataFrame, cfg: context.Context | None = None, trees: forest.Fore
     return Fitted(references, grown, scored.select(*(f"{x}_raw" for x in layers.LAYERS)), context.product_reference(train, cfg), None, cfg)
 
 
+def save(fitted: Fitted, path: str) -> None:
+    """A folder with the references and the forest as one JSON row, and the training scores and usual amounts as tables."""
+    spark = fitted.train.sparkSession
+    facts = {"references": {k: [v.centre, v.scale] for k, v in fitted.references.items()}, "forest": fitted.forest.state() if fitted.forest else None, "context": asdict(fitted.context), "products": fitted.products is not None}
+    spark.createDataFrame([(json.dumps(facts),)], "facts string").write.mode("overwrite").parquet(f"{path}/facts")
+    fitted.train.write.mode("overwrite").parquet(f"{path}/train")
+    if fitted.products is not None:
+        fitted.products.write.mode("overwrite").parquet(f"{path}/products")
+
+
+def load(spark: SparkSession, path: str) -> Fitted:
+    facts = json.loads(spark.read.parquet(f"{path}/facts").first()["facts"])
+    references = {k: layers.Robust(*v) for k, v in facts["references"].items()}
+    grown = forest.Forest.restored(facts["forest"]) if facts["forest"] else None
+    products = spark.read.parquet(f"{path}/products") if facts["products"] else None
+    return Fitted(references, grown, spark.read.parquet(f"{path}/train"), products, None, context.Context(**facts["context"]))
+
+
 def score(features: DataFrame, fitted: Fitted, profile: Profile = Profile.BEHAVIOR_CONTEXT, external: DataFrame | None = None) -> DataFrame:
     """Features to layer scores, their ranks, the raw score and the adjusted score of a profile."""
     raw = layers.raw_layers(features, fitted.references, forest.scores(fitted.forest) if fitted.forest else None)

@@ -108,7 +108,7 @@ def test_retrieval(spark):
     assert retrieval.answer([]).startswith("No")
 
 
-def test_saved_and_raw_requests_agree(spark):
+def test_saved_and_raw_requests_agree(spark, tmp_path):
     from tests.test_history import NAMES, rows
 
     data = rows([180 * i for i in range(40)], [100 + 10 * (i % 4) for i in range(40)])
@@ -118,6 +118,9 @@ def test_saved_and_raw_requests_agree(spark):
     as_dict = [dict(zip(NAMES, r, strict=True)) for r in data]
     saved, raw = api.score({"transaction_id": 40}), api.score({"transaction": as_dict[-1], "history": as_dict[:-1]})
     assert saved["raw_anomaly_score"] == pytest.approx(raw["raw_anomaly_score"])
+    service.save(fitted, f"{tmp_path}/model")
+    again = service.Service(spark, service.load(spark, f"{tmp_path}/model"), RuleSet(DEFAULT), features)
+    assert again.score({"transaction_id": 40}) == saved
     assert [t["status"] for t in api.explain({"transaction_id": 40})["trace"]] == ["completed", "completed"]
     with pytest.raises(service.NotFound):
         api.score({"transaction_id": 999})
@@ -134,3 +137,14 @@ def test_csv(spark, tmp_path):
         tables.read_csv(spark, str(tmp_path / "a.csv"), "TransactionID long, other int")
     with pytest.raises(ValueError):
         tables.read_json('{"a": 1, "a": 2}')
+
+
+def test_capacity_and_final(spark, tmp_path):
+    from driftwell.plans.experiment import final_evaluation
+
+    a, b = scored(spark, [1, 0, 0], score=[0.1, 0.9, 0.2]), scored(spark, [1, 0, 0], score=[0.9, 0.1, 0.2])
+    assert evaluate.select_by_capacity({0.0: a, 0.5: b, 1.0: b}, 1)[0] == 0.5
+    labels = b.select("TransactionID", "isFraud")
+    assert final_evaluation(spark, str(tmp_path), b.drop("isFraud"), labels, 0.5, {"strength": 0.5}, "score").first().tp == 1
+    with pytest.raises(ValueError):
+        final_evaluation(spark, str(tmp_path), b.drop("isFraud"), labels, 0.5, {"strength": 0.5}, "score")

@@ -1,30 +1,19 @@
 """Shared-folder tables that cut lineage between the steps of one operator.
 
-Every table goes to the folder named by ``spark.checkpoint.dir``, which all executors see, so a lost executor costs
-only the tasks it ran.  Where that setting is unset (tests, a laptop) a folder of this process is used instead.
+Every table goes to a folder below ``spark.checkpoint.dir``, which all executors see, so a lost executor costs only the
+tasks it ran.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from driftwell.sources.shared import folder
+
 #: Drops the shuffle files of a job when the job has written its table; peak disk is then one step, not their sum.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_FALLBACK: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder, or this process's own where none is set."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _FALLBACK:
-        _FALLBACK.append("file://" + tempfile.mkdtemp(prefix="driftwell-"))
-    return _FALLBACK[0]
 
 
 @contextmanager
@@ -46,7 +35,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+        self.root = folder(spark, label)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

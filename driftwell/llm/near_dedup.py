@@ -125,7 +125,8 @@ def _run(scratch: Scratch, docs: DataFrame, cfg: NearDedup) -> DataFrame:
 
     # Postings: tokens of one class only can't make a pair, and being the rarest they fill the prefix first.
     tokens = reps.select("rep", "class_key", "n", F.posexplode("signature").alias("coordinate", "value")).select("rep", "class_key", "n", F.xxhash64("value", "coordinate").alias("token"))
-    often = tokens.groupBy("token").agg(F.count("*").alias("freq")).where("freq > 1")
+    # A table of its own, as below, so that a join that meets a hot token can be split at run time.
+    often = scratch.keep(tokens.groupBy("token").agg(F.count("*").alias("freq")).where("freq > 1"), "often")
     rarest = W.partitionBy("rep", "class_key").orderBy("freq", "token")
     prefix = cfg.coordinates - cfg.matches + 1
     shared = tokens.join(often, "token").withColumn("place", F.row_number().over(rarest)).withColumn("alone", cfg.coordinates - F.count("*").over(W.partitionBy("rep", "class_key")))
@@ -139,7 +140,7 @@ def _run(scratch: Scratch, docs: DataFrame, cfg: NearDedup) -> DataFrame:
         x, y = (members.select(F.col("rep").alias(c), F.col("members").alias(f"set_{c}")) for c in "ab")
         return scratch.keep(pairs.join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(cfg.percent), "a long, b long").distinct(), name)
 
-    leaders = posted.groupBy("token").agg(*[F.min(F.col("rep").bitwiseXOR(F.lit(s))).alias(f"l{i}") for i, s in enumerate(cfg.leaders)])
+    leaders = scratch.keep(posted.groupBy("token").agg(*[F.min(F.col("rep").bitwiseXOR(F.lit(s))).alias(f"l{i}") for i, s in enumerate(cfg.leaders)]), "leaders")
     led = posted.select("token", "rep").join(leaders, "token").select("rep", F.explode(F.array_distinct(F.array(*[F.col(f"l{i}").bitwiseXOR(F.lit(s)) for i, s in enumerate(cfg.leaders)]))).alias("leader"))
     pairs = led.where("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b"))
     x, y = (reps.select(F.col("rep").alias(c), F.col("signature").alias(f"sig_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
@@ -153,7 +154,7 @@ def _run(scratch: Scratch, docs: DataFrame, cfg: NearDedup) -> DataFrame:
     mixed = known.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     apart = known.join(mixed, "token", "left_semi").select("rep", "component").distinct()
     own = members.join(apart, "rep").select("rep", "component", F.size("members").alias("n"), F.explode("members").alias("shingle"))
-    common = own.groupBy("shingle").agg(F.count("*").alias("freq"))
+    common = scratch.keep(own.groupBy("shingle").agg(F.count("*").alias("freq")), "common")
     ranked = own.join(common, "shingle").withColumn("place", F.row_number().over(W.partitionBy("rep", "n").orderBy("freq", "shingle")))
     left = scratch.keep(ranked.where((F.col("freq") > 1) & (100 * (F.col("n") - F.col("place") + 1) >= cfg.percent * F.col("n"))).drop("freq"), "prefixes")
     other = left.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("rep", "component", "n", "place")])

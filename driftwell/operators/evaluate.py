@@ -260,3 +260,35 @@ def supervised_scores(train: DataFrame, df: DataFrame, columns: list[str], label
     model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="_a"), StandardScaler(inputCol="_a", outputCol="_v", withMean=True), ranker]).fit(fill(train).withColumn("_w", weight))
     out = model.transform(fill(df)).withColumn("supervised", vector_to_array("_p")[1])
     return out.select(*df.columns, "supervised")
+
+
+def _sign(x: float) -> int:
+    return (x > 0) - (x < 0)
+
+
+def interval_sign(low: float, high: float) -> int:
+    """1 or -1 where an interval lies on one side of zero, 0 where it has zero in it or at its end."""
+    return _sign(low) if _sign(low) == _sign(high) else 0
+
+
+def reading(gap: float, intervals: list[tuple[float, float] | None], halves: tuple[float, float]) -> str:
+    """What a gap, its intervals at several block lengths and its values in two halves say together.
+
+    uncomputed or partial where intervals are missing; conflict where they contradict each other or the gap; flat without
+    a gap; none where the halves disagree; weak where an interval has zero in it; else gain or loss.
+    """
+    known = [i for i in intervals if i is not None]
+    if len(known) < len(intervals) or not known:
+        return "partial" if known else "uncomputed"
+    signs = {interval_sign(*i) for i in known}
+    sure = signs.pop() if len(signs) == 1 else None if signs >= {1, -1} else 0
+    way, period = _sign(gap), _sign(halves[0]) if _sign(halves[0]) == _sign(halves[1]) else 0
+    if sure is None or (sure and sure != way):
+        return "conflict"
+    if not way:
+        return "flat"
+    if not period:
+        return "none"
+    if not sure:
+        return "weak"
+    return "none" if period != way else "gain" if way > 0 else "loss"

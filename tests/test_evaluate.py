@@ -148,3 +148,22 @@ def test_capacity_and_final(spark, tmp_path):
     assert final_evaluation(spark, str(tmp_path), b.drop("isFraud"), labels, 0.5, {"strength": 0.5}, "score").first().tp == 1
     with pytest.raises(ValueError):
         final_evaluation(spark, str(tmp_path), b.drop("isFraud"), labels, 0.5, {"strength": 0.5}, "score")
+
+
+UP, DOWN, WIDE = (28.0, 169.0), (-169.0, -28.0), (-10.0, 45.0)
+
+
+@pytest.mark.parametrize(
+    ("gap", "intervals", "halves", "expected"),
+    [
+        (94, [UP, UP], (55, 33), "gain"), (-94, [DOWN, DOWN], (-55, -33), "loss"), (0, [WIDE, WIDE], (0, 0), "flat"), (12, [WIDE, WIDE], (4, 19), "weak"), (-12, [WIDE, WIDE], (-4, -19), "weak"),
+        (12, [DOWN, DOWN], (4, 19), "conflict"), (94, [UP, DOWN], (55, 33), "conflict"), (0, [UP, UP], (0, 0), "conflict"), (12, [UP, UP], (-4, 19), "none"), (12, [UP, UP], (0, 19), "none"),
+        (94, [UP, None], (55, 33), "partial"), (94, [None, None], (55, 33), "uncomputed"), (5, [UP, WIDE], (1, 2), "weak"),
+    ],
+)
+def test_reading(gap, intervals, halves, expected):
+    assert evaluate.reading(gap, intervals, halves) == expected
+
+
+def test_interval_sign():
+    assert [evaluate.interval_sign(*i) for i in (UP, DOWN, WIDE, (0.0, 45.0), (-45.0, 0.0))] == [1, -1, 0, 0, 0]

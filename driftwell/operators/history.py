@@ -116,12 +116,8 @@ def global_counts(rows: DataFrame, cuts: list) -> DataFrame:
 FREQUENCIES = {"product": (["_product"], False), "email": (["_email"], False), "device": (["_device"], False), "product_card": (["_product", "_card"], True), "email_pair": (["_email", "_recipient"], True)}
 
 
-def frequencies(rows: DataFrame, cuts: list, names: tuple[str, ...] = tuple(FREQUENCIES)) -> DataFrame:
-    """(TransactionID, <name>_prior_frequency, <name>_prior_support): earlier rows with the value, over those with any value.
-
-    Null without a value; the frequency is null before the first one.  All names are counted together, as (name, value)
-    pairs by distinct time.  ``rows`` are keyed rows with unique ids.
-    """
+def category_cells(rows: DataFrame, names: tuple[str, ...] = tuple(FREQUENCIES)) -> DataFrame:
+    """(TransactionID, TransactionDT, name, value): the values that each keyed row has, pairs as one text."""
 
     def value(parts: list[str]) -> Column:
         # The first part's length keeps ("ab", "c") and ("a", "bc") apart.
@@ -129,15 +125,34 @@ def frequencies(rows: DataFrame, cuts: list, names: tuple[str, ...] = tuple(FREQ
         return both if len(parts) > 1 else F.col(parts[0])
 
     pairs = F.array(*[F.struct(F.lit(n).alias("name"), value(FREQUENCIES[n][0]).alias("value")) for n in names])
-    cells = rows.select("TransactionID", "TransactionDT", F.explode(F.filter(pairs, lambda x: x["value"].isNotNull())).alias("x")).select("TransactionID", "TransactionDT", "x.name", "x.value")
+    return rows.select("TransactionID", "TransactionDT", F.explode(F.filter(pairs, lambda x: x["value"].isNotNull())).alias("x")).select("TransactionID", "TransactionDT", "x.name", "x.value")
+
+
+def prior_counts(cells: DataFrame, cuts: list) -> DataFrame:
+    """``cells`` with own and everyone: earlier cells of the name with the value, and with any value.
+
+    Counted by distinct (name, value, time), so that a value of many rows is few rows.
+    """
     counts = cells.groupBy("name", "value", "TransactionDT").agg(F.count("*").alias("rows"))
     own = sums_before(counts, "TransactionDT", ["rows"], ("name", "value"), cuts).select("name", "value", "TransactionDT", F.col("rows_before").cast("long").alias("own"))
     every = sums_before(counts.groupBy("name", "TransactionDT").agg(F.sum("rows").alias("rows")), "TransactionDT", ["rows"], ("name",), cuts)
-    found = cells.join(own, ["name", "value", "TransactionDT"]).join(every.select("name", "TransactionDT", F.col("rows_before").cast("long").alias("everyone")), ["name", "TransactionDT"])
+    return cells.join(own, ["name", "value", "TransactionDT"]).join(every.select("name", "TransactionDT", F.col("rows_before").cast("long").alias("everyone")), ["name", "TransactionDT"])
+
+
+def by_row(counted: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """(TransactionID, <name>_prior_frequency, <name>_prior_support) of counted cells."""
     mine = lambda n, c: F.max(F.when(F.col("name") == n, c))
     out = [mine(n, ratio(F.col("own"), F.col("everyone"))).alias(f"{n}_prior_frequency") for n in names]
     out += [mine(n, F.col("own")).alias(f"{n}_prior_support") for n in names if FREQUENCIES[n][1]]
-    return found.groupBy("TransactionID").agg(*out)
+    return counted.groupBy("TransactionID").agg(*out)
+
+
+def frequencies(rows: DataFrame, cuts: list, names: tuple[str, ...] = tuple(FREQUENCIES)) -> DataFrame:
+    """(TransactionID, <name>_prior_frequency, <name>_prior_support): earlier rows with the value, over those with any value.
+
+    Null without a value; the frequency is null before the first one.  ``rows`` are keyed rows with unique ids.
+    """
+    return by_row(prior_counts(category_cells(rows, names), cuts), names)
 
 
 def features(df: DataFrame, reference: str | None = None, keep: tuple[str, ...] = ("TransactionID", "TransactionDT", "ProductCD")) -> DataFrame:

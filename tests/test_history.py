@@ -125,3 +125,19 @@ def test_stream_equals_batch(spark, tmp_path):
             assert g[c] == r[c], c
         for c in ("prior_mean_amount", "prior_std_amount", "entity_hour_probability"):
             assert (g[c] is None) == (r[c] is None) and (g[c] is None or abs(g[c] - r[c]) < 1e-9), c
+
+
+def test_global_stream_equals_batch(spark, tmp_path):
+    from driftwell.streaming.global_counts import counting
+
+    data = rows([0, 0, 5, 9, 9, 12, 20], [1] * 7, ProductCD=["W", "C", "W", "C", None, "W", "C"], P_emaildomain=["a", None, "a", "b", "b", "a", "a"])
+    df = spark.createDataFrame(data, TRANSACTION)
+    handle = counting(f"file://{tmp_path}/g")
+    parts = [df.where("TransactionDT < 5"), df.where("TransactionDT between 5 and 9"), df.where("TransactionDT > 9")]
+    for n in (0, 1, 1, 2):  # one batch is sent twice
+        handle(parts[n], n)
+    names = ["prior_global_count", *(f"{n}_prior_frequency" for n in history.FREQUENCIES), "product_card_prior_support", "email_pair_prior_support"]
+    got = {r.TransactionID: [r[c] for c in names] for r in spark.read.parquet(*[f"file://{tmp_path}/g/features/batch-{n}" for n in range(3)]).collect()}
+    assert got == {r.TransactionID: [r[c] for c in names] for r in history.features(df).collect()}
+    with pytest.raises(ValueError):
+        handle(parts[0], 3)

@@ -110,13 +110,16 @@ class TokenRollup:
 
 def corpus_rollup(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Totals after three batches: all documents in, the toxic ones out, the bad ones cleaned; the last sent twice."""
-    rollup = TokenRollup(spark, Scratch(spark, "rollup").path("store"))
+    scratch = Scratch(spark, "rollup")
+    rollup = TokenRollup(spark, scratch.path("store"))
     known = labels.groupBy("doc_id").agg(F.max("toxic").alias("_toxic"), F.max("quality").alias("_quality"))
     plain = docs.select("doc_id", "source", "lang", "text")
     rollup.commit(1, plain.withColumn("action", F.lit("insert")))
-    rollup.commit(2, plain.join(known.where("_toxic = 1"), "doc_id", "left_semi").withColumn("action", F.lit("delete")))
-    bad = plain.join(known.where("_quality = 0 and coalesce(_toxic, 0) <> 1"), "doc_id", "left_semi")
-    cleaned = bad.withColumn("text", F.regexp_replace("text", r"[#$%&*!|]+", "")).withColumn("action", F.lit("revise"))
+    gone = docs.select("doc_id").join(known.where("_toxic = 1"), "doc_id", "left_semi")
+    rollup.commit(2, gone.select("doc_id", *[F.lit(None).cast("string").alias(c) for c in ("source", "lang", "text")], F.lit("delete").alias("action")))
+    # A merge join at any size: the labels grow with the corpus.
+    bad = plain.join(known.where("_quality = 0 and coalesce(_toxic, 0) <> 1").hint("merge"), "doc_id", "left_semi")
+    cleaned = scratch.keep(bad, "bad").withColumn("text", F.regexp_replace("text", r"[#$%&*!|]+", "")).withColumn("action", F.lit("revise"))
     for _ in range(2):
         rollup.commit(3, cleaned)
     return rollup.totals()

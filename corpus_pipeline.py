@@ -19,8 +19,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that recur in all kinds of surroundings; n_chars follows the text."""
-    out = line_dedup.drop_recurring_lines(spark, docs)
+    """Documents without the lines that recur in different documents; n_chars follows the text."""
+    out = line_dedup.drop_recurring_lines(spark, docs, line_dedup.BY_DOCUMENT)
     n_chars = F.when(F.col("n_dropped") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", n_chars).select(*docs.columns)
 

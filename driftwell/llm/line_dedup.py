@@ -5,9 +5,10 @@ start.  Inside a leaf a token that recurs at its place stays and every other one
 of a leaf fall into templates.  A template of which enough tokens stay, and which recurs in enough different
 surroundings, is boilerplate: its lines are dropped everywhere.
 
-Surroundings are the lines before and after.  Copies of one document repeat a line in the same surroundings, so they
-don't count: whole copies are for the near-duplicate operator.  All counting is of distinct (key, surroundings) first,
-then of keys, so that a line that a third of all documents have is no large group anywhere.
+Surroundings are different documents (``BY_DOCUMENT``), so that every line of a block that many documents hold goes, or
+the lines before and after.  Copies of one document repeat a line in the same surroundings, so they don't count: whole
+copies are for the near-duplicate operator.  All counting is of distinct (key, surroundings) first, then of keys, so
+that a line that a third of all documents have is no large group anywhere.
 """
 
 from __future__ import annotations
@@ -24,15 +25,20 @@ from driftwell.llm.scratch import Scratch
 class TemplateTree:
     """``depth`` leading tokens; a template recurs in ``surroundings`` places and keeps ``kept_share`` of its tokens.
 
-    Lines of fewer than ``least_tokens`` tokens are no templates.
+    Lines of fewer than ``least_tokens`` tokens are no templates.  With ``by_document`` a place is a text, whatever its
+    id, else a pair of neighbour lines.
     """
 
     depth: int = 3
     surroundings: int = 10
     kept_share: float = 0.5
     least_tokens: int = 3
+    by_document: bool = False
 
 
+#: Recurrence by different texts.
+BY_DOCUMENT = TemplateTree(surroundings=5, by_document=True)
+
 BLANK = r"[\x20\x09\x0B-\x0D]+"
 VARIABLE = r"[^\x20\x09-\x0D0-9]*[0-9][^\x20\x09-\x0D]*"
 
@@ -55,8 +61,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def recurring_lines(scratch: Scratch, docs: DataFrame, cfg: TemplateTree) -> DataFrame:
     """(_key, dropped): positions of the lines of each document that are instances of recurring templates."""
     lines = F.transform(F.split(F.col("text").cast("string"), "\n"), _masked)
-    around = F.transform("lines", lambda x, i: F.struct(x.alias("line"), F.xxhash64(F.get(F.col("lines"), i - 1), F.lit("/"), F.get(F.col("lines"), i + 1)).alias("around")))
-    each = _keyed(docs.select("doc_id", "text")).select("_key", lines.alias("lines")).select("_key", F.posexplode(around).alias("at", "own")).select("_key", "at", "own.around", F.split("own.line", " ").alias("tokens"))
+    place = lambda i: F.col("class") if cfg.by_document else F.xxhash64(F.get(F.col("lines"), i - 1), F.lit("/"), F.get(F.col("lines"), i + 1))
+    around = F.transform("lines", lambda x, i: F.struct(x.alias("line"), place(i).alias("around")))
+    each = _keyed(docs.select("doc_id", "text")).select("_key", F.xxhash64("text").alias("class"), lines.alias("lines")).select("_key", F.posexplode(around).alias("at", "own")).select("_key", "at", "own.around", F.split("own.line", " ").alias("tokens"))
     each = each.where(F.size("tokens") >= cfg.least_tokens).withColumn("node", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, cfg.depth)))
 
     busy = scratch.keep(_often(each.select("node", "around"), ["node"], cfg.surroundings), "nodes")
@@ -95,7 +102,7 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, cfg: TemplateTree
     return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in rest], size("_lines").alias("n_lines"), (size("_lines") - size("_left")).alias("n_dropped"))
 
 
-#: DuckDB twin of the query: templates as strings instead of hashes.
+#: DuckDB twin of op1_line_dedup: templates as strings instead of hashes.
 ORACLE = r"""
 WITH lines AS (
   SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line

@@ -370,6 +370,32 @@ def test_lines_that_would_all_go_stay(spark):
     assert got[0].n_dropped == 1 and got[50].text == line and got[51].n_dropped == 0
 
 
+def test_block_of_lines_over_documents(spark):
+    """Lines inside a block always have the same neighbours; copies of a text are one document."""
+    rnd = random.Random(12)
+    block = [sentence(rnd, 7) for _ in range(3)]
+    often, copied = sentence(rnd, 6), "\n".join(sentence(rnd, 9) for _ in range(4))
+    rows = [(i, "\n".join([sentence(rnd, 9), *block, sentence(rnd, 9)])) for i in range(6)] + [(20 + i, copied) for i in range(30)]
+    rows += [(60, "\n".join(x for _ in range(12) for x in (sentence(rnd, 8), often)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.drop_recurring_lines(spark, df, line_dedup.BY_DOCUMENT).collect()}
+    texts = dict(rows)
+    for i in range(6):
+        lines = texts[i].split("\n")
+        assert (got[i].n_dropped, got[i].text) == (3, f"{lines[0]}\n{lines[4]}")
+    assert all(got[20 + i].text == copied for i in range(30)) and got[60].text == texts[60]
+
+
+def test_pipeline_drops_blocks(spark, sf):
+    import corpus_pipeline
+
+    rnd = random.Random(13)
+    block = [sentence(rnd, 7) for _ in range(3)]
+    rows = [(i, "\n".join([sentence(rnd, 9), *block, sentence(rnd, 9)]), 0) for i in range(12)]
+    out = corpus_pipeline.without_boilerplate(spark, spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), sf).collect()
+    assert len(out) == 12 and all(not set(block) & set(r.text.split("\n")) and r.n_chars == len(r.text) for r in out)
+
+
 # Token counts
 
 

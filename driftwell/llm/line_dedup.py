@@ -25,7 +25,8 @@ from driftwell.llm.scratch import Scratch
 class TemplateTree:
     """``depth`` leading tokens; a template recurs in ``surroundings`` places and keeps ``kept_share`` of its tokens.
 
-    Lines of fewer than ``least_tokens`` tokens are no templates.  With ``by_document`` a place is a text, whatever its
+    Lines of fewer than ``least_tokens`` tokens are no templates; blank lines never are.  Where lines of 1 or 2 tokens are,
+    they have no fields: such a line recurs as it is.  With ``by_document`` a place is a text, whatever its
     id, else a pair of neighbour lines.
     """
 
@@ -36,16 +37,22 @@ class TemplateTree:
     by_document: bool = False
 
 
-#: Recurrence by different texts.
-BY_DOCUMENT = TemplateTree(surroundings=5, by_document=True)
+#: Recurrence by different texts, for lines of any length.
+BY_DOCUMENT = TemplateTree(surroundings=5, least_tokens=1, by_document=True)
 
 BLANK = r"[\x20\x09\x0B-\x0D]+"
 VARIABLE = r"[^\x20\x09-\x0D0-9]*[0-9][^\x20\x09-\x0D]*"
+#: Three tokens or more.
+LONG = r"(?:[^\x20\x09-\x0D]++[\x20\x09\x0B-\x0D]++){2}[^\x20\x09-\x0D]"
 
 
-def _masked(line: Column) -> Column:
-    """Tokens with a digit as fields, blanks folded; the dear replacements run on the lines that need them only."""
-    fields = F.when(line.rlike("[0-9]"), F.regexp_replace(line, VARIABLE, "<*>")).otherwise(line)
+def _masked(line: Column, short: bool = False) -> Column:
+    """Tokens with a digit as fields, blanks folded; the dear replacements run on the lines that need them only.
+
+    With ``short``, lines of 1 or 2 tokens keep their digits.
+    """
+    some = line.rlike("[0-9]") & line.rlike(LONG) if short else line.rlike("[0-9]")
+    fields = F.when(some, F.regexp_replace(line, VARIABLE, "<*>")).otherwise(line)
     return F.transform(F.array(fields), lambda x: F.trim(F.when(x.rlike(r"[\x09\x0B-\x0D]|\x20\x20"), F.regexp_replace(x, BLANK, " ")).otherwise(x)))[0]
 
 
@@ -60,11 +67,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def recurring_lines(scratch: Scratch, docs: DataFrame, cfg: TemplateTree) -> DataFrame:
     """(_key, dropped): positions of the lines of each document that are instances of recurring templates."""
-    lines = F.transform(F.split(F.col("text").cast("string"), "\n"), _masked)
+    lines = F.transform(F.split(F.col("text").cast("string"), "\n"), lambda x: _masked(x, cfg.least_tokens < 3))
     place = lambda i: F.col("class") if cfg.by_document else F.xxhash64(F.get(F.col("lines"), i - 1), F.lit("/"), F.get(F.col("lines"), i + 1))
     around = F.transform("lines", lambda x, i: F.struct(x.alias("line"), place(i).alias("around")))
     each = _keyed(docs.select("doc_id", "text")).select("_key", F.xxhash64("text").alias("class"), lines.alias("lines")).select("_key", F.posexplode(around).alias("at", "own")).select("_key", "at", "own.around", F.split("own.line", " ").alias("tokens"))
-    each = each.where(F.size("tokens") >= cfg.least_tokens).withColumn("node", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, cfg.depth)))
+    each = each.where((F.size("tokens") >= cfg.least_tokens) & (F.col("tokens")[0] != "")).withColumn("node", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, cfg.depth)))
 
     busy = scratch.keep(_often(each.select("node", "around"), ["node"], cfg.surroundings), "nodes")
     inside = scratch.keep(each.join(busy, "node", "left_semi"), "lines")
@@ -122,3 +129,24 @@ cut AS (SELECT *, list_filter(l, lambda x, i: NOT list_contains(dropped, i - 1))
 final AS (SELECT *, CASE WHEN len(list_filter(rest, lambda x: trim(x) <> '')) > 0 THEN rest ELSE l END AS kept_lines FROM cut)
 SELECT doc_id, coalesce(len(l), 0)::BIGINT AS n_lines, coalesce(len(l) - len(kept_lines), 0)::BIGINT AS n_dropped, sha256(array_to_string(kept_lines, chr(10))) AS kept_sha256 FROM final
 """
+
+#: DuckDB twin of op1_line_dedup_documents.
+ORACLE_DOCUMENTS = r"""
+WITH lines AS (
+  SELECT doc_id, class, unnest(range(len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, md5(text) AS class, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
+folded AS (
+  SELECT doc_id, class, pos, trim(regexp_replace(CASE WHEN regexp_matches(line, '([^\x20\x09-\x0D]+[\x20\x09\x0B-\x0D]+){2}[^\x20\x09-\x0D]') THEN regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g') ELSE line END, '[\x20\x09\x0B-\x0D]+', ' ', 'g')) AS line FROM lines),
+leaves AS (SELECT *, concat(len(w), ' ', array_to_string(w[1:3], ' ')) AS node FROM (SELECT doc_id, class, pos, string_split(line, ' ') AS w FROM folded WHERE line <> '')),
+busy AS (SELECT node FROM leaves GROUP BY node HAVING count(DISTINCT class) >= 5),
+tokens AS (SELECT doc_id, pos, class, node, len(w) AS n, unnest(range(len(w))) AS place, unnest(w) AS token FROM leaves SEMI JOIN busy USING (node)),
+stays AS (SELECT node, place, token FROM tokens GROUP BY ALL HAVING count(DISTINCT class) >= 5),
+kept AS (
+  SELECT doc_id, pos, class, node, n, string_agg(place || '=' || token, ' ' ORDER BY place) AS template FROM tokens JOIN stays USING (node, place, token)
+  GROUP BY doc_id, pos, class, node, n HAVING count(*) >= 0.5 * n),
+recurring AS (SELECT node, template FROM kept GROUP BY ALL HAVING count(DISTINCT class) >= 5),
+hits AS (SELECT doc_id, list(pos) AS dropped FROM kept SEMI JOIN recurring USING (node, template) GROUP BY doc_id),
+split AS (SELECT doc_id, text, string_split(text, chr(10)) AS l, coalesce(dropped, []) AS dropped FROM documents LEFT JOIN hits USING (doc_id)),
+cut AS (SELECT *, list_filter(l, lambda x, i: NOT list_contains(dropped, i - 1)) AS rest FROM split),
+final AS (SELECT *, CASE WHEN len(list_filter(rest, lambda x: trim(x) <> '')) > 0 THEN rest ELSE l END AS kept_lines FROM cut)
+SELECT doc_id, coalesce(len(l), 0)::BIGINT AS n_lines, coalesce(len(l) - len(kept_lines), 0)::BIGINT AS n_dropped, sha256(array_to_string(kept_lines, chr(10))) AS kept_sha256 FROM final
+"""

@@ -85,6 +85,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op1_line_de
 #: DuckDB SQL for the queries that SQL can express on whole tables.
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE,
+    "op1_line_dedup_documents": line_dedup.ORACLE_DOCUMENTS,
     "op4_source_mixing": mixing.ORACLE,
     "op6_benchmark_decontamination": decontaminate.ORACLE,
     "op10_secret_scan": secrets.ORACLE,

@@ -386,6 +386,30 @@ def test_block_of_lines_over_documents(spark):
     assert all(got[20 + i].text == copied for i in range(30)) and got[60].text == texts[60]
 
 
+def test_short_lines_over_documents(spark):
+    """Lines of 1 and 2 tokens go as they are, without fields; blank lines stay."""
+    rnd = random.Random(14)
+    rows = [(i, "\n".join(["Advertisement", sentence(rnd, 9), " \t", "Read  more", f"Page {i}", sentence(rnd, 9), "", "Page 99"])) for i in range(6)]
+    rows += [(10 + i, f"{sentence(rnd, 9)}\nOnly here") for i in range(4)]
+    got = {r.doc_id: r for r in line_dedup.drop_recurring_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"), line_dedup.BY_DOCUMENT).collect()}
+    for i, text in rows:
+        lines = text.split("\n")
+        want = lines if i >= 10 else [lines[1], lines[2], lines[4], lines[5], lines[6]]
+        assert got[i].text.split("\n") == want and got[i].n_dropped == len(lines) - len(want)
+
+
+@pytest.mark.parametrize("name", ["op1_line_dedup", "op1_line_dedup_documents"])
+def test_lines_equal_sql(spark, sf, name):
+    import duckdb
+
+    from driftwell.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    got = queries.QUERIES[name](spark, sf).collect()
+    assert Counter(map(tuple, got)) == Counter(con.execute(queries.ORACLES[name]).fetchall()) and sum(r.n_dropped for r in got)
+
+
 def test_pipeline_drops_blocks(spark, sf):
     import corpus_pipeline
 

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,17 +60,43 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(table(spark, sf_dir, "labels"), "doc_id").select(F.col("doc_id").alias("TransactionID"), F.col("n_chars").cast("double").alias("score"), (F.col("doc_id") * 7919 % 1000 / 1000.0).alias("other"), F.col("toxic").cast("int").alias("isFraud"), "quality", "lang", "source")
 
 
-_SCORED: dict[tuple, DataFrame] = {}  # one entry
+#: Whether the queries on scored rows have the multivariate layer; those that SQL states have three layers.
+_FOREST: ContextVar[bool] = ContextVar("forest", default=False)
+
+
+def full(f: Query) -> Query:
+    """The query on all four layers, by the name of full_..."""
+
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        before = _FOREST.set(True)
+        try:
+            return f(spark, sf_dir)
+        finally:
+            _FOREST.reset(before)
+
+    run.__name__ = f"full_{f.__name__}"
+    return run
+
+
+def told() -> list[str]:
+    """The layers that scored rows have."""
+    return [x for x in layers.LAYERS if x != "multivariate" or _FOREST.get()]
+
+
+_SCORED: dict[tuple, DataFrame] = {}  # one session and folder
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Layers without the forest, ranked against training rows and combined: a table, kept for one session and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """Layers, ranked against training rows and combined: a table, kept for one session and folder, with the forest and without."""
+    key = (spark.sparkContext.applicationId, sf_dir, _FOREST.get())
     if key not in _SCORED:
         features = keep(feature_table(spark, sf_dir), "features")
-        raw = layers.raw_layers(features, layers.fit_references(features.where("split = 'train'"), check=False))
+        train = features.where("split = 'train'")
+        raw = layers.raw_layers(features, layers.fit_references(train, check=False), forest.scores(forest.fit(train)) if _FOREST.get() else None)
         raw = keep(raw.withColumns({f"{x}_raw": F.round(f"{x}_raw", 9) for x in layers.LAYERS}), "raw")
-        _SCORED.clear()
+        for other in [k for k in _SCORED if k[:2] != key[:2]]:
+            del _SCORED[other]
         _SCORED[key] = keep(layers.combined(layers.normalised(raw.where("split = 'train'"), raw)), "scored")
     return _SCORED[key]
 
@@ -334,7 +363,7 @@ def strict_rank_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def aggregate_available(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir).select("TransactionID", *map(p, ("available_weight", "column_normalized", "entity_normalized", "temporal_normalized", "column_effective_weight", "entity_contribution", "raw_anomaly_score")))
+    return scored(spark, sf_dir).select("TransactionID", *map(p, ("available_weight", *(f"{x}_normalized" for x in told()), "column_effective_weight", "entity_contribution", "raw_anomaly_score")))
 
 
 @query
@@ -376,7 +405,7 @@ def context_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def context_discounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = discounted(spark, sf_dir)
-    return d.select("TransactionID", *[p(f"context_{x}_reduction") for x in ("column", "entity", "temporal")], "context_column_reason", "context_temporal_reason")
+    return d.select("TransactionID", *[p(f"context_{x}_reduction") for x in told()], "context_column_reason", "context_temporal_reason")
 
 
 @query
@@ -508,12 +537,12 @@ def strength_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def weight_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean score of positives less that of negatives for candidate weights and halves, in one pass."""
-    grid = [(c, e, t) for c in (1.0, 2.0) for e in (1.0, 2.0) for t in (1.0, 2.0)]
-    cand = F.array(*[F.struct(F.lit(i).alias("candidate"), F.lit(c).alias("c"), F.lit(e).alias("e"), F.lit(t).alias("t")) for i, (c, e, t) in enumerate(grid)])
-    s = scored(spark, sf_dir).where("split = 'validation'").select("isFraud", (F.col("TransactionID") % 2).alias("half"), *[f"{x}_normalized" for x in ("column", "entity", "temporal")], F.explode(cand).alias("w"))
-    part = lambda layer, w: F.when(F.col(f"{layer}_normalized").isNotNull(), F.col(f"w.{w}")).otherwise(0.0)
-    top = sum((part(x, w) * F.coalesce(f"{x}_normalized", F.lit(0.0)) for x, w in (("entity", "e"), ("temporal", "t"))), part("column", "c") * F.coalesce("column_normalized", F.lit(0.0)))
-    score = ratio(top, part("column", "c") + part("entity", "e") + part("temporal", "t"))
+    names = told()
+    cand = F.array(*[F.struct(F.lit(i).alias("candidate"), *[F.lit(w).alias(x) for x, w in zip(names, ws)]) for i, ws in enumerate(product((1.0, 2.0), repeat=len(names)))])
+    s = scored(spark, sf_dir).where("split = 'validation'").select("isFraud", (F.col("TransactionID") % 2).alias("half"), *[f"{x}_normalized" for x in names], F.explode(cand).alias("w"))
+    part = lambda x: F.when(F.col(f"{x}_normalized").isNotNull(), F.col(f"w.{x}")).otherwise(0.0)
+    top, share = (sum((f(x) for x in names[1:]), f(names[0])) for f in (lambda x: part(x) * F.coalesce(f"{x}_normalized", F.lit(0.0)), part))
+    score = ratio(top, share)
     gain = F.avg(F.when(F.col("isFraud") == 1, score)) - F.avg(F.when(F.col("isFraud") == 0, score))
     return s.groupBy(F.col("w.candidate").cast("long").alias("candidate"), "half").agg(printed(gain).alias("gain"))
 
@@ -521,9 +550,9 @@ def weight_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def layer_contribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positives among the 100 highest rows of each layer alone, unscored rows last."""
-    s = scored(spark, sf_dir).where("split = 'validation'").select("TransactionID", "isFraud", *[F.coalesce(F.round(f"{x}_normalized", 9), F.lit(-1.0)).alias(x) for x in ("column", "entity", "temporal")])
+    s = scored(spark, sf_dir).where("split = 'validation'").select("TransactionID", "isFraud", *[F.coalesce(F.round(f"{x}_normalized", 9), F.lit(-1.0)).alias(x) for x in told()])
     out = None
-    for x in ("column", "entity", "temporal"):
+    for x in told():
         one = evaluate.top_k(s, x, 100).agg(F.lit(x).alias("layer"), profile.counted(F.col("isFraud") == 1).alias("hits"), printed(F.sum(x)).alias("total"))
         out = one if out is None else out.unionByName(one)
     return out
@@ -623,3 +652,12 @@ def scenario_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = context.apply_context(each, cfg, context.product_reference(scored(spark, sf_dir).where("split = 'train'"), cfg, check=False))
     trusted = F.when(F.col("g_trusted") & ~F.col("context_guard_active"), F.col("adjusted_anomaly_score") * 0.99).otherwise(F.col("adjusted_anomaly_score"))
     return out.groupBy("g_amount", "g_pace", "g_trusted", "g_calendar").agg(F.count("*").alias("rows"), printed(F.avg(trusted)).alias("mean_adjusted"), profile.counted(F.col("context_guard_active")).alias("guarded"))
+
+
+# The same on all four layers; SQL can't grow the forest
+
+for _f in (
+    aggregate_available, score_quantiles, contribution_audit, context_guard, context_discounts, context_capped, context_ablation, product_risk, rule_matches, rule_decisions,
+    rule_activity, action_transitions, decision_metrics, paired_effect, strength_selection, weight_search, layer_contribution, block_bootstrap, scenario_grid,
+):
+    query(full(_f))

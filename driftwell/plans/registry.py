@@ -5,6 +5,6 @@ from __future__ import annotations
 from driftwell.plans.oracles import ORACLES
 from driftwell.plans.queries import QUERIES
 
-FLAGSHIP = "rule_decisions"
+FLAGSHIP = "full_rule_decisions"
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

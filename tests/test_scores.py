@@ -128,3 +128,45 @@ def test_product_risk(spark, product, time, sign):
     df = spark.createDataFrame([tuple(row(ProductCD=product, TransactionDT=time).values())], _KINDS)
     got = context.apply_product_risk(df, profiles, policy).first().product_context_adjustment
     assert (got > 0) - (got < 0) == sign
+
+
+def test_registered_chain_has_the_forest(spark, sf):
+    """The full queries against plain Python: trees walked row by row, ranks, the mean of what is there, guard and rules."""
+    from bisect import bisect_left
+    from math import log1p
+
+    from driftwell.plans import registry
+    from driftwell.plans import queries
+
+    features = queries.feature_table(spark, sf).localCheckpoint()
+    grown = forest.fit(features.where("split = 'train'"))
+
+    def isolated(r) -> float:
+        x = [None if r[c] is None else log1p(r[c]) if c in forest.LOGGED else float(r[c]) for c in forest.MULTIVARIATE]
+        x = [m if v is None else v for v, m in zip(x, grown.medians)] + [float(x[i] is None) for i in grown.flagged]
+        total = 0.0
+        for feature, cut, left, length in grown.trees:
+            at = 0
+            while feature[at] >= 0:
+                at = left[at] + int(x[feature[at]] > cut[at])
+            total += length[at]
+        return round(2.0 ** (-total / len(grown.trees) / float(forest._path(grown.size))), 9)
+
+    raw = {r.TransactionID: (r.split, isolated(r)) for r in features.collect()}
+    train = sorted(v for split, v in raw.values() if split == "train")
+    rows = {r.TransactionID: r for r in queries.full(queries.scored)(spark, sf).collect()}
+    matches = {r.TransactionID: r for r in registry.QUERIES["full_rule_matches"](spark, sf).collect()}
+    guards = {r.TransactionID: r.context_guard_active for r in registry.QUERIES["full_context_guard"](spark, sf).collect()}
+    assert registry.FLAGSHIP == "full_rule_decisions" and set(rows) == set(raw) == set(matches)
+    for i, r in rows.items():
+        assert abs(r.multivariate_raw - raw[i][1]) < 2e-9
+        high = bisect_left(train, r.multivariate_raw) / len(train)
+        assert abs(r.multivariate_normalized - high) <= 1.5 / len(train)
+        have = [r[f"{x}_normalized"] for x in layers.LAYERS if r[f"{x}_normalized"] is not None]
+        assert abs(r.raw_anomaly_score - sum(have) / len(have)) < 1e-9
+        m, old = r.multivariate_normalized, r.prior_transaction_count is not None and r.prior_transaction_count >= 5
+        assert guards[i] or m < 0.98
+        assert matches[i].rule_match_R01_multi_entity_deviation == (m >= 0.98 and r.entity_raw is not None and r.entity_raw >= 3 and old)
+        assert matches[i].rule_match_R05_new_device_anomaly == (m >= 0.95 and r.entity_device_is_new == 1 and old)
+    assert any(r.multivariate_normalized >= 0.98 for r in rows.values())
+    assert {r.multivariate_raw for r in queries.scored(spark, sf).collect()} == {None}

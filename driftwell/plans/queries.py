@@ -628,8 +628,7 @@ def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("label").agg(F.count("*").alias("rows"), printed(F.avg(retrieval.norm(F.col("embedding"))), 4).alias("mean_norm"))
 
 
-@query
-def stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """History features of the events as a stateful stream, replayed in files of whole times."""
     from driftwell.streaming.history import history_stream, replay
 
@@ -637,8 +636,23 @@ def stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = history_stream(replay(src.transactions(spark, sf_dir, 3600), f"{root}/in", 4), ENTITY)
     run = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    out = spark.read.parquet(f"{root}/out")
-    return out.select("TransactionID", "late", "prior_transaction_count", *map(p, ("prior_mean_amount", "prior_std_amount")), "prior_count_1h", "prior_count_24h", "seconds_since_previous", "prior_distinct_products", "entity_product_is_new", p("entity_hour_probability"))
+    return spark.read.parquet(f"{root}/out")
+
+
+def _streamed_columns() -> list[Column | str]:
+    return ["TransactionID", "late", "prior_transaction_count", *map(p, ("prior_mean_amount", "prior_std_amount")), "prior_count_1h", "prior_count_24h", "seconds_since_previous", "prior_distinct_products", "entity_product_is_new", p("entity_hour_probability")]
+
+
+@query
+def stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streamed features of known entities, as the SQL has them; full_stream_history has all rows and relations."""
+    return streamed(spark, sf_dir).where(F.col("prior_transaction_count").isNotNull() | F.col("late")).select(*_streamed_columns())
+
+
+@query
+def full_stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streamed features of every event, with null ones where the entity is unknown."""
+    return streamed(spark, sf_dir).select(*_streamed_columns(), p("history_span_days"), "prior_distinct_email_domains", "entity_email_is_new", "prior_distinct_devices", "entity_device_is_new")
 
 
 @query

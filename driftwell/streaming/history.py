@@ -3,7 +3,8 @@
 Each entity's state is sums, the last times and what it has been seen with.  Rows of one time are answered from the
 state before any of them is added, so they don't see each other; a time is closed when a later one arrives in the same
 batch or the caller marks the batch as whole times.  Rows at or before an entity's last closed time are late: they are
-given out with late = true and change nothing, or stop the query in strict mode.
+given out with late = true and change nothing, or stop the query in strict mode.  Rows of unknown entities are given out
+without state, their features null.
 """
 
 from __future__ import annotations
@@ -18,25 +19,31 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUTPUT = (
     "TransactionID long, TransactionDT double, late boolean, prior_transaction_count long, prior_mean_amount double, prior_std_amount double, prior_count_1h long, prior_count_24h long, "
-    "seconds_since_previous double, history_span_days double, prior_distinct_products long, entity_product_is_new double, entity_hour_probability double"
+    "seconds_since_previous double, history_span_days double, prior_distinct_products long, entity_product_is_new double, entity_hour_probability double, "
+    "prior_distinct_email_domains long, entity_email_is_new double, prior_distinct_devices long, entity_device_is_new double"
 )
 _STATE = "state string"
+#: What an entity has been seen with: the set in the state, and the column.
+RELATIONS = {"products": "ProductCD", "emails": "P_emaildomain", "devices": "DeviceInfo"}
 
 
 def _empty() -> dict:
-    return {"n": 0, "mean": 0.0, "m2": 0.0, "first": None, "last": None, "recent": [], "products": [], "hours": [0] * 24}
+    return {"n": 0, "mean": 0.0, "m2": 0.0, "first": None, "last": None, "recent": [], **{k: [] for k in RELATIONS}, "hours": [0] * 24}
 
 
 def _answer(s: dict, row, late: bool) -> tuple:
     if late:
-        return (row.TransactionID, row.TransactionDT, True, *([None] * 10))
+        return (row.TransactionID, row.TransactionDT, True, *([None] * 14))
     t, n = row.TransactionDT, s["n"]
     recent = [x for x in s["recent"] if x >= t - 86_400]
-    product = row.ProductCD
-    new = None if product is None or not s["products"] else float(product not in s["products"])
+    new = {}
+    for k, c in RELATIONS.items():
+        value = getattr(row, c)
+        new[k] = None if value is None or not s[k] else float(value not in s[k])
     return (
         row.TransactionID, t, False, n, s["mean"] if n else None, (max(s["m2"], 0.0) / n) ** 0.5 if n >= 2 else None, sum(x >= t - 3600 for x in recent), len(recent),
-        t - s["last"] if n else None, (t - s["first"]) / 86_400 if n else None, len(s["products"]), new, (s["hours"][int(t // 3600) % 24] + 1) / (n + 24) if n else None,
+        t - s["last"] if n else None, (t - s["first"]) / 86_400 if n else None, len(s["products"]), new["products"], (s["hours"][int(t // 3600) % 24] + 1) / (n + 24) if n else None,
+        len(s["emails"]), new["emails"], len(s["devices"]), new["devices"],
     )
 
 
@@ -49,16 +56,20 @@ def _add(s: dict, row) -> None:
     s["first"] = t if s["first"] is None else s["first"]
     s["last"] = t
     s["recent"] = [y for y in s["recent"] if y >= t - 86_400] + [t]
-    if row.ProductCD is not None and row.ProductCD not in s["products"]:
-        s["products"].append(row.ProductCD)
+    for k, c in RELATIONS.items():
+        value = getattr(row, c)
+        if value is not None and value not in s[k]:
+            s[k].append(value)
     s["hours"][int(t // 3600) % 24] += 1
 
 
 def _step(strict: bool) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = json.loads(state.get[0]) if state.exists else _empty()
+        # A state of before a relation was kept has no set of it.
+        s = _empty() | json.loads(state.get[0]) if state.exists else _empty()
         rows = pd.concat(list(batches)).sort_values(["TransactionDT", "TransactionID"])
-        rows["ProductCD"] = rows["ProductCD"].astype(object).where(rows["ProductCD"].notna(), None)
+        for c in RELATIONS.values():
+            rows[c] = rows[c].astype(object).where(rows[c].notna(), None)
         closed = s["last"]
         out = []
         for t, group in rows.groupby("TransactionDT", sort=True):
@@ -77,16 +88,21 @@ def _step(strict: bool) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState],
 
 
 def history_stream(stream: DataFrame, key: list[str], strict: bool = False) -> DataFrame:
-    """Features of a stream of transactions (TransactionID, TransactionDT, TransactionAmt, ProductCD and the key columns).
+    """Features of a stream of transactions (TransactionID, TransactionDT, TransactionAmt, ProductCD, P_emaildomain,
+    DeviceInfo and the key columns).
 
-    Rows without a complete key are left out: they have no history and are no one's.  A micro-batch must hold whole
-    times of an entity; the same restriction holds between batches of a replay.
+    Rows without a complete key have no history and are no one's: they come out with null features, never late.  A
+    micro-batch must hold whole times of an entity; the same restriction holds between batches of a replay.
     """
     have = F.lit(True)
     for k in key:
         have = have & F.col(k).isNotNull()
-    rows = stream.where(have).select(*key, F.col("TransactionID").cast("long").alias("TransactionID"), F.col("TransactionDT").cast("double").alias("TransactionDT"), F.col("TransactionAmt").cast("double").alias("TransactionAmt"), F.col("ProductCD").cast("string").alias("ProductCD"))
-    return rows.groupBy(*key).applyInPandasWithState(_step(strict), OUTPUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    kinds = {"TransactionID": "long", "TransactionDT": "double", "TransactionAmt": "double"} | dict.fromkeys(RELATIONS.values(), "string")
+    rows = stream.select(*key, *[F.col(c).cast(k).alias(c) for c, k in kinds.items()])
+    known = rows.where(have).groupBy(*key).applyInPandasWithState(_step(strict), OUTPUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    given = {"TransactionID": F.col("TransactionID"), "TransactionDT": F.col("TransactionDT"), "late": F.lit(False)}
+    columns = [c.split() for c in OUTPUT.split(", ")]
+    return known.unionByName(rows.where(~have).select(*[given.get(c, F.lit(None)).cast(k).alias(c) for c, k in columns]))
 
 
 def replay(df: DataFrame, folder: str, parts: int, time: str = "TransactionDT") -> DataFrame:

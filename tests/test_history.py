@@ -127,6 +127,20 @@ def test_stream_equals_batch(spark, tmp_path):
             assert (g[c] is None) == (r[c] is None) and (g[c] is None or abs(g[c] - r[c]) < 1e-9), c
 
 
+def test_full_stream_equals_batch(spark, sf):
+    """Every event comes out once, unknown entities with null features, e-mail domains and devices too."""
+    from driftwell.plans import queries
+
+    got = {r.TransactionID: r for r in queries.full_stream_history(spark, sf).collect()}
+    want = queries.entity(spark, sf).collect()
+    assert len(got) == len(want) and set(got) == {r.TransactionID for r in want}
+    unknown = [got[r.TransactionID] for r in want if not r._known]
+    assert unknown and all(v is None for g in unknown for k, v in g.asDict().items() if k not in ("TransactionID", "late")) and not any(g.late for g in unknown)
+    for r in want:
+        for c in ("prior_transaction_count", "prior_count_24h", *(f"prior_distinct_{x}" for x in ("products", "email_domains", "devices")), *(f"entity_{x}_is_new" for x in ("product", "email", "device"))):
+            assert got[r.TransactionID][c] == r[c], c
+
+
 def test_global_stream_equals_batch(spark, tmp_path):
     from driftwell.streaming.global_counts import counting
 

@@ -2,13 +2,13 @@
 
 A line goes down the tree by its number of tokens and its leading tokens; tokens with a digit count as variable from the
 start.  Inside a leaf a token that recurs at its place stays and every other one is generalised to a field, so the lines
-of a leaf fall into templates.  A template of which enough tokens stay, and which recurs in enough different
-surroundings, is boilerplate: its lines are dropped everywhere.
+of a leaf fall into templates.  A template of which enough tokens stay, and which recurs in enough different documents,
+is boilerplate: its lines are dropped everywhere.
 
-Surroundings are different documents (``BY_DOCUMENT``), so that every line of a block that many documents hold goes, or
-the lines before and after.  Copies of one document repeat a line in the same surroundings, so they don't count: whole
-copies are for the near-duplicate operator.  All counting is of distinct (key, surroundings) first, then of keys, so
-that a line that a third of all documents have is no large group anywhere.
+Documents are different when their texts are: copies of a text are one document, and so are the lines that one document
+repeats.  Whole copies are for the near-duplicate operator, and so are documents that are little else than recurring
+lines: they keep all of them.  All counting is of distinct (key, text) first, then of keys, so that a line that a third of
+all documents have is no large group anywhere.
 """
 
 from __future__ import annotations
@@ -23,115 +23,88 @@ from driftwell.llm.scratch import Scratch
 
 @dataclass(frozen=True)
 class TemplateTree:
-    """``depth`` leading tokens; a template recurs in ``surroundings`` places and keeps ``kept_share`` of its tokens.
+    """``depth`` leading tokens; a template recurs in ``documents`` different texts and keeps ``kept_share`` of its tokens.
 
-    Lines of fewer than ``least_tokens`` tokens are no templates; blank lines never are.  Where lines of 1 or 2 tokens are,
-    they have no fields: such a line recurs as it is.  With ``by_document`` a place is a text, whatever its
-    id, else a pair of neighbour lines.
+    Lines of 1 and 2 tokens have no fields: such a line recurs as it is.  Blank lines are no templates.  A document of
+    whose characters less than ``least_left`` would be left keeps all its lines.
     """
 
     depth: int = 3
-    surroundings: int = 10
+    documents: int = 5
     kept_share: float = 0.5
-    least_tokens: int = 3
-    by_document: bool = False
+    least_left: float = 0.2
 
 
-#: Recurrence by different texts, for lines of any length.
-BY_DOCUMENT = TemplateTree(surroundings=5, least_tokens=1, by_document=True)
-
 BLANK = r"[\x20\x09\x0B-\x0D]+"
 VARIABLE = r"[^\x20\x09-\x0D0-9]*[0-9][^\x20\x09-\x0D]*"
 #: Three tokens or more.
 LONG = r"(?:[^\x20\x09-\x0D]++[\x20\x09\x0B-\x0D]++){2}[^\x20\x09-\x0D]"
 
 
-def _masked(line: Column, short: bool = False) -> Column:
-    """Tokens with a digit as fields, blanks folded; the dear replacements run on the lines that need them only.
-
-    With ``short``, lines of 1 or 2 tokens keep their digits.
-    """
-    some = line.rlike("[0-9]") & line.rlike(LONG) if short else line.rlike("[0-9]")
-    fields = F.when(some, F.regexp_replace(line, VARIABLE, "<*>")).otherwise(line)
+def _masked(line: Column) -> Column:
+    """Tokens with a digit as fields, blanks folded; the dear replacements run on the lines that need them only."""
+    fields = F.when(line.rlike("[0-9]") & line.rlike(LONG), F.regexp_replace(line, VARIABLE, "<*>")).otherwise(line)
     return F.transform(F.array(fields), lambda x: F.trim(F.when(x.rlike(r"[\x09\x0B-\x0D]|\x20\x20"), F.regexp_replace(x, BLANK, " ")).otherwise(x)))[0]
 
 
 def _often(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """The keys that occur in at least ``least`` different surroundings."""
-    return rows.groupBy(*keys, "around").agg(F.count("*").alias("_n")).groupBy(*keys).agg(F.count("*").alias("places")).where(F.col("places") >= least).select(*keys)
+    """The keys that occur in at least ``least`` different texts."""
+    return rows.groupBy(*keys, "class").agg(F.count("*").alias("_n")).groupBy(*keys).agg(F.count("*").alias("texts")).where(F.col("texts") >= least).select(*keys)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("string"), F.lit("/"), F.col("text").cast("string")))
+    """(id, class, row): every row packed, so that its columns meet none of the operator's, under its id and text hash."""
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return row.select(F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")).alias("id"), F.xxhash64(F.col("row.text").cast("string")).alias("class"), "row")
 
 
 def recurring_lines(scratch: Scratch, docs: DataFrame, cfg: TemplateTree) -> DataFrame:
-    """(_key, dropped): positions of the lines of each document that are instances of recurring templates."""
-    lines = F.transform(F.split(F.col("text").cast("string"), "\n"), lambda x: _masked(x, cfg.least_tokens < 3))
-    place = lambda i: F.col("class") if cfg.by_document else F.xxhash64(F.get(F.col("lines"), i - 1), F.lit("/"), F.get(F.col("lines"), i + 1))
-    around = F.transform("lines", lambda x, i: F.struct(x.alias("line"), place(i).alias("around")))
-    each = _keyed(docs.select("doc_id", "text")).select("_key", F.xxhash64("text").alias("class"), lines.alias("lines")).select("_key", F.posexplode(around).alias("at", "own")).select("_key", "at", "own.around", F.split("own.line", " ").alias("tokens"))
-    each = each.where((F.size("tokens") >= cfg.least_tokens) & (F.col("tokens")[0] != "")).withColumn("node", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, cfg.depth)))
-
-    busy = scratch.keep(_often(each.select("node", "around"), ["node"], cfg.surroundings), "nodes")
-    inside = scratch.keep(each.join(busy, "node", "left_semi"), "lines")
-    tokens = inside.select("_key", "at", "around", "node", F.size("tokens").alias("n"), F.posexplode("tokens").alias("place", "token"))
-    tokens = tokens.select("_key", "at", "around", "node", "n", F.xxhash64("place", "token").alias("token"))
+    """(id, class, dropped): positions of the lines of each document that are instances of recurring templates."""
+    lines = F.transform(F.split(F.col("row.text").cast("string"), "\n"), lambda x: _masked(x))
+    each = _keyed(docs.select("doc_id", "text")).select("id", "class", F.posexplode(lines).alias("at", "line")).where("line <> ''")
+    tokens = F.split("line", " ")
+    # Masking is the dear part, so the lines are a table and read from there again.
+    each = scratch.keep(each.withColumn("node", F.xxhash64(F.size(tokens), F.slice(tokens, 1, cfg.depth))), "lines")
+
+    busy = scratch.keep(_often(each.select("node", "class"), ["node"], cfg.documents), "nodes")
+    inside = each.join(busy, "node", "left_semi")
+    tokens = inside.select("id", "class", "at", "node", F.size(tokens).alias("n"), F.posexplode(tokens).alias("place", "token"))
+    tokens = tokens.select("id", "class", "at", "node", "n", F.xxhash64("place", "token").alias("token"))
     # Tables of their own, so that a join that meets a hot key can be split at run time.
-    stays = scratch.keep(_often(tokens, ["node", "token"], cfg.surroundings), "stays")
-    kept = tokens.join(stays.hint("merge"), ["node", "token"]).groupBy("_key", "at", "around", "node", "n").agg(F.count("*").alias("kept"), F.bit_xor("token").alias("template"))
+    stays = scratch.keep(_often(tokens, ["node", "token"], cfg.documents), "stays")
+    kept = tokens.join(stays.hint("merge"), ["node", "token"]).groupBy("id", "class", "at", "node", "n").agg(F.count("*").alias("kept"), F.bit_xor("token").alias("template"))
     # A line without any token that stays has no row here, and no template.
     kept = scratch.keep(kept.where(F.col("kept") >= cfg.kept_share * F.col("n")), "templates")
-    recurring = scratch.keep(_often(kept, ["node", "kept", "template"], cfg.surroundings), "recurring")
+    recurring = scratch.keep(_often(kept, ["node", "kept", "template"], cfg.documents), "recurring")
     hits = kept.join(recurring.hint("merge"), ["node", "kept", "template"], "left_semi")
-    return scratch.keep(hits.groupBy("_key").agg(F.collect_set("at").alias("dropped")), "dropped")
+    return scratch.keep(hits.groupBy("id", "class").agg(F.collect_set("at").alias("dropped")), "dropped")
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, cfg: TemplateTree = TemplateTree()) -> DataFrame:
     """``docs`` with recurring lines dropped from ``text``, and n_lines and n_dropped added.
 
-    A document that would lose every line that isn't blank keeps them all.  A null text stays null and has no lines; an
-    empty one is one blank line.  Rows that repeat a document are decided alike.  Columns of ``docs`` named n_lines,
-    n_dropped or with a leading underscore as used here (_key) are replaced.
+    A document that would keep less than ``least_left`` of its characters (line ends and blanks at line ends not counted),
+    or nothing at all, keeps every line.  A null text stays null and has no lines; an empty one is one blank line, and
+    blank lines are never dropped.  Rows that repeat a document are decided alike.  Columns of ``docs`` may have any
+    names; n_lines and n_dropped are replaced.  An empty table gives an empty result.
     """
     scratch = Scratch(spark, "line-dedup")
-    rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "_key")]
-    docs = docs.select(*rest)
+    rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     drops = recurring_lines(scratch, docs, cfg)
     # A merge join at any size: what is dropped grows with the corpus.
-    joined = _keyed(docs).join(drops.hint("merge"), "_key", "left")
-    lines = F.split(F.col("text").cast("string"), "\n")
-    left = F.filter(lines, lambda x, i: ~F.array_contains("dropped", i))
-    some = F.col("dropped").isNotNull() & F.exists(left, lambda x: F.trim(x) != "")
-    out = joined.select(*rest, lines.alias("_lines"), F.when(some, left).otherwise(lines).alias("_left"))
-    size = lambda c: F.when(F.col(c).isNull(), F.lit(0)).otherwise(F.size(c)).cast("long")
-    text = F.array_join("_left", "\n")
-    return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in rest], size("_lines").alias("n_lines"), (size("_lines") - size("_left")).alias("n_dropped"))
+    joined = _keyed(docs).join(drops.hint("merge"), ["id", "class"], "left")
+    lines = F.split(F.col("row.text").cast("string"), "\n")
+    out = joined.select("row", "dropped", lines.alias("lines"), F.filter(lines, lambda x, i: ~F.array_contains("dropped", i)).alias("rest"))
+    size = lambda c: F.aggregate(F.transform(c, lambda x: F.char_length(F.trim(x))), F.lit(0).cast("long"), lambda s, v: s + v)
+    fits = F.col("dropped").isNotNull() & (size("rest") > 0) & (size("rest") >= cfg.least_left * size("lines"))
+    out = out.select("row", "lines", F.when(fits, F.col("rest")).otherwise(F.col("lines")).alias("left"))
+    count = lambda c: F.when(F.col(c).isNull(), F.lit(0)).otherwise(F.size(c)).cast("long")
+    columns = [(F.array_join("left", "\n") if c == "text" else F.col("row").getField(c)).alias(c) for c in rest]
+    return out.select(*columns, count("lines").alias("n_lines"), (count("lines") - count("left")).alias("n_dropped"))
 
 
 #: DuckDB twin of op1_line_dedup: templates as strings instead of hashes.
 ORACLE = r"""
-WITH lines AS (
-  SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line
-  FROM (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(regexp_replace(x, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09\x0B-\x0D]+', ' ', 'g'))) AS l FROM documents WHERE text IS NOT NULL)),
-placed AS (SELECT doc_id, pos, string_split(line, ' ') AS w, concat(lag(line) OVER d, chr(1), coalesce(lead(line) OVER d, chr(2)), chr(1), pos = 0) AS around FROM lines WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
-leaves AS (SELECT *, concat(len(w), ' ', array_to_string(w[1:3], ' ')) AS node FROM placed WHERE len(w) >= 3),
-busy AS (SELECT node FROM leaves GROUP BY node HAVING count(DISTINCT around) >= 10),
-tokens AS (SELECT doc_id, pos, around, node, len(w) AS n, unnest(range(len(w))) AS place, unnest(w) AS token FROM leaves SEMI JOIN busy USING (node)),
-stays AS (SELECT node, place, token FROM tokens GROUP BY ALL HAVING count(DISTINCT around) >= 10),
-kept AS (
-  SELECT doc_id, pos, around, node, n, string_agg(place || '=' || token, ' ' ORDER BY place) AS template FROM tokens JOIN stays USING (node, place, token)
-  GROUP BY doc_id, pos, around, node, n HAVING count(*) >= 0.5 * n),
-recurring AS (SELECT node, template FROM kept GROUP BY ALL HAVING count(DISTINCT around) >= 10),
-hits AS (SELECT doc_id, list(pos) AS dropped FROM kept SEMI JOIN recurring USING (node, template) GROUP BY doc_id),
-split AS (SELECT doc_id, text, string_split(text, chr(10)) AS l, coalesce(dropped, []) AS dropped FROM documents LEFT JOIN hits USING (doc_id)),
-cut AS (SELECT *, list_filter(l, lambda x, i: NOT list_contains(dropped, i - 1)) AS rest FROM split),
-final AS (SELECT *, CASE WHEN len(list_filter(rest, lambda x: trim(x) <> '')) > 0 THEN rest ELSE l END AS kept_lines FROM cut)
-SELECT doc_id, coalesce(len(l), 0)::BIGINT AS n_lines, coalesce(len(l) - len(kept_lines), 0)::BIGINT AS n_dropped, sha256(array_to_string(kept_lines, chr(10))) AS kept_sha256 FROM final
-"""
-
-#: DuckDB twin of op1_line_dedup_documents.
-ORACLE_DOCUMENTS = r"""
 WITH lines AS (
   SELECT doc_id, class, unnest(range(len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, md5(text) AS class, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
 folded AS (
@@ -144,9 +117,10 @@ kept AS (
   SELECT doc_id, pos, class, node, n, string_agg(place || '=' || token, ' ' ORDER BY place) AS template FROM tokens JOIN stays USING (node, place, token)
   GROUP BY doc_id, pos, class, node, n HAVING count(*) >= 0.5 * n),
 recurring AS (SELECT node, template FROM kept GROUP BY ALL HAVING count(DISTINCT class) >= 5),
-hits AS (SELECT doc_id, list(pos) AS dropped FROM kept SEMI JOIN recurring USING (node, template) GROUP BY doc_id),
-split AS (SELECT doc_id, text, string_split(text, chr(10)) AS l, coalesce(dropped, []) AS dropped FROM documents LEFT JOIN hits USING (doc_id)),
+hits AS (SELECT doc_id, class, list(pos) AS dropped FROM kept SEMI JOIN recurring USING (node, template) GROUP BY doc_id, class),
+split AS (SELECT d.doc_id, text, string_split(text, chr(10)) AS l, coalesce(dropped, []) AS dropped FROM documents d LEFT JOIN hits h ON d.doc_id = h.doc_id AND md5(d.text) = h.class),
 cut AS (SELECT *, list_filter(l, lambda x, i: NOT list_contains(dropped, i - 1)) AS rest FROM split),
-final AS (SELECT *, CASE WHEN len(list_filter(rest, lambda x: trim(x) <> '')) > 0 THEN rest ELSE l END AS kept_lines FROM cut)
+sized AS (SELECT *, coalesce(list_sum(list_transform(rest, lambda x: length(trim(x)))), 0) AS n_rest, coalesce(list_sum(list_transform(l, lambda x: length(trim(x)))), 0) AS n_all FROM cut),
+final AS (SELECT *, CASE WHEN n_rest > 0 AND n_rest >= 0.2 * n_all THEN rest ELSE l END AS kept_lines FROM sized)
 SELECT doc_id, coalesce(len(l), 0)::BIGINT AS n_lines, coalesce(len(l) - len(kept_lines), 0)::BIGINT AS n_dropped, sha256(array_to_string(kept_lines, chr(10))) AS kept_sha256 FROM final
 """

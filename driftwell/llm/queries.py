@@ -23,17 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of every document, how many of them recurring templates take, and the digest of what is left."""
+    """Lines of every document, how many of them go with templates that recur across documents, and the digest of the rest."""
     out = line_dedup.drop_recurring_lines(spark, table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-def op1_line_dedup_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same where a template recurs in different documents, not between different lines."""
-    out = line_dedup.drop_recurring_lines(spark, table(spark, sf_dir, "documents"), line_dedup.BY_DOCUMENT)
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
-
-
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components over four-word shingles at a similarity of 0.8."""
     return near_duplicates(spark, table(spark, sf_dir, "documents"), NearDedup(width=4))
@@ -80,12 +74,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op1_line_dedup_documents, op2_minhash_near_dedup, op3_quality_classifier, op4_source_mixing, op5_quote_linking, op6_benchmark_decontamination, op7_token_rollup, op8_suffix_dedup, op9_document_fingerprints, op10_secret_scan)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op3_quality_classifier, op4_source_mixing, op5_quote_linking, op6_benchmark_decontamination, op7_token_rollup, op8_suffix_dedup, op9_document_fingerprints, op10_secret_scan)}
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE,
-    "op1_line_dedup_documents": line_dedup.ORACLE_DOCUMENTS,
     "op4_source_mixing": mixing.ORACLE,
     "op6_benchmark_decontamination": decontaminate.ORACLE,
     "op10_secret_scan": secrets.ORACLE,

@@ -7,8 +7,10 @@ meet are compared on whole signatures, the survivors on whole shingle sets, and
 
 Documents with equal sets are one class from the start.  Inside a posting list every class is first compared with a few
 leaders of the list.  Classes that are then in different components though they share a list meet again under the rarest
-of their own shingles, by the same prefix rule on whole sets and with the most that can follow a meeting place as a
-further condition: no link is lost, and a group of near copies costs pairs in proportion to its size.
+of their own shingles, by the same prefix rule on whole sets: the smaller of two linked sets has more than 8/9 of its
+shingles in common with the other, the larger at least 4/5, so the smaller is posted under few of them and the larger looks
+under a few more.  No link is lost.  A family of texts that differ more than that, each in its own words, posts nothing and
+makes no pairs, however many they are; a group of near copies costs pairs in proportion to its size.
 """
 
 from __future__ import annotations
@@ -119,9 +121,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, cfg: NearDedup = NearD
 def _run(scratch: Scratch, docs: DataFrame, cfg: NearDedup) -> DataFrame:
     found = scratch.keep(docs.mapInArrow(_signatures(cfg), _SETS), "signatures")
     named = found.where("n_shingles > 0 and doc_id is not null")
-    classes = named.groupBy("class_key").agg(F.min("doc_id").alias("rep"))
-    reps = named.join(classes.withColumnRenamed("rep", "doc_id"), ["class_key", "doc_id"]).dropDuplicates(["class_key"]).select(F.col("doc_id").alias("rep"), "class_key", F.col("n_shingles").alias("n"), "signature")
-    reps = scratch.keep(reps, "classes")
+    # Members of a class have one size and signature; copies are summed up before the shuffle, however many they are.
+    reps = scratch.keep(named.groupBy("class_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("signature").alias("signature")), "classes")
 
     # Postings: tokens of one class only can't make a pair, and being the rarest they fill the prefix first.
     tokens = reps.select("rep", "class_key", "n", F.posexplode("signature").alias("coordinate", "value")).select("rep", "class_key", "n", F.xxhash64("value", "coordinate").alias("token"))
@@ -156,16 +157,20 @@ def _run(scratch: Scratch, docs: DataFrame, cfg: NearDedup) -> DataFrame:
     own = members.join(apart, "rep").select("rep", "component", F.size("members").alias("n"), F.explode("members").alias("shingle"))
     common = scratch.keep(own.groupBy("shingle").agg(F.count("*").alias("freq")), "common")
     ranked = own.join(common, "shingle").withColumn("place", F.row_number().over(W.partitionBy("rep", "n").orderBy("freq", "shingle")))
-    left = scratch.keep(ranked.where((F.col("freq") > 1) & (100 * (F.col("n") - F.col("place") + 1) >= cfg.percent * F.col("n"))).drop("freq"), "prefixes")
+    # At most that many shingles of a set may be missing from a set that it is linked with, of its size or larger; of any.
+    n, allowed = F.col("n"), lambda share: F.col("n") - F.ceil(F.col("n") * share) + 1
+    left = scratch.keep(ranked.where((F.col("freq") > 1) & (F.col("place") <= allowed(cfg.percent / 100 - 1e-9))).drop("freq"), "prefixes")
+    few = scratch.keep(left.where(F.col("place") <= allowed(2 * cfg.percent / (100 + cfg.percent) - 1e-9)), "short-prefixes")
     other = left.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("rep", "component", "n", "place")])
-    shared = F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b")) + 1
-    enough = (100 + cfg.percent) * shared >= cfg.percent * (F.col("n") + F.col("n_b"))
-    meet = left.join(other, "shingle").where((F.col("rep") < F.col("rep_b")) & (F.col("component") != F.col("component_b")) & enough)
-    rest = confirmed(meet.select(F.col("rep").alias("a"), F.col("rep_b").alias("b")).distinct(), "links-2")
+    shared = F.least(n - F.col("place"), F.col("n_b") - F.col("place_b")) + 1
+    enough = (100 + cfg.percent) * shared >= cfg.percent * (n + F.col("n_b"))
+    ordered = (n < F.col("n_b")) | ((n == F.col("n_b")) & (F.col("rep") < F.col("rep_b")))
+    meet = few.join(other, "shingle").where(ordered & (100 * n >= cfg.percent * F.col("n_b")) & (F.col("component") != F.col("component_b")) & enough)
+    rest = confirmed(meet.select(F.least("rep", "rep_b").alias("a"), F.greatest("rep", "rep_b").alias("b")).distinct(), "links-2")
     parts = components(first.unionByName(rest), scratch, "parts")
     parts = scratch.keep(parts, "components")
 
-    by_class = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("class_key", F.coalesce("component", "rep").alias("component"))
-    joined = found.join(by_class, "class_key", "left")
+    by_class = scratch.keep(reps.select("class_key", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("class_key", F.coalesce("component", "rep").alias("component")), "by-class")
+    joined = found.select("doc_id", "n_shingles", "class_key").join(by_class, "class_key", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

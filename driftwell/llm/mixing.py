@@ -4,8 +4,9 @@ Every document draws an exponential key, divided by its quality weight, from a h
 source's target is split into complete epochs, which take every document, and a rest, which goes to the documents with
 the smallest keys: a prefix sum of sizes in key order is cut at the rest, the document at the cut giving its first words.
 
-A source may hold a third of all rows, so the prefix sum is taken in key ranges: ranges are summed, the sums added up
-range by range, and only inside a range are documents sorted.
+A source may hold a third of all rows, so the prefix sum is taken in ranges of (source, key): documents are dealt to ranges
+of about equal size at quantiles of what occurs, whatever the weights, the ranges are summed, the sums added up range by
+range, and only inside a range are documents sorted.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from driftwell.llm.scratch import Scratch
 CYCLE = (5, 2, 1)
 #: Words the mix should have, as a share of all words there are; and the most that one source may be repeated.
 SHARE, REPEATS = 1.5, 2
-#: Documents a key range should have, about, over all sources; and the fewest ranges.
-RANGE_ROWS, LEAST_RANGES = 10_000, 256
+#: Documents that a range should have, about.
+RANGE_ROWS = 100_000
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -35,7 +36,8 @@ def sizes(docs: DataFrame) -> DataFrame:
 def targets(by_source: DataFrame, share: float = SHARE, repeats: int = REPEATS, cycle: tuple[int, ...] = CYCLE) -> DataFrame:
     """Adds ``target`` to (source, source_size), one row a source.
 
-    Shares follow the weights; what lies above ``repeats`` times a source's size is shared again among the others.  In
+    One sort of one short row a source, in one task: sources are names, some millions of them at most.  Shares follow the
+    weights; what lies above ``repeats`` times a source's size is shared again among the others.  In
     the order of size / weight the full sources come first: the level that the rest would get after the sources before
     one says whether that one is full, and the first level with a source that is not is the final one.
     """
@@ -67,9 +69,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, weights: DataFrame | None
         weighted = measured.join(named, "doc_id", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
     weight = F.when(F.col("weight") > 0, F.col("weight")).otherwise(F.lit(1e-9))
     keyed = weighted.withColumn("group", F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), "source"))).withColumn("key", -F.log(uniform) / weight).drop("weight")
-    count = measured.count()
-    ranges = max(LEAST_RANGES, -(-count // RANGE_ROWS))
-    keyed = keyed.withColumn("range", F.floor((1.0 - F.exp(-0.5 * F.col("key"))) * ranges))
+    # Rows that are equal in these columns are equal in all that matters, and go to one range.
+    ranges = max(1, -(-measured.count() // RANGE_ROWS))
+    order = ["group", "key", F.col("doc_id").asc_nulls_first(), "size"]
+    keyed = scratch.keep(keyed.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()), "ranges")
 
     sums = keyed.groupBy("group", "source", "range").agg(F.sum("size").alias("range_size"))
     plan = targets(sums.groupBy("source").agg(F.sum("range_size").alias("source_size")), share, repeats, cycle)
@@ -77,7 +80,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, weights: DataFrame | None
     before = F.sum("range_size").over(W.partitionBy("group").orderBy("range")) - F.col("range_size")
     offsets = sums.select("group", "range", before.alias("before")).join(plan, "group")
 
-    inside = F.sum("size").over(W.partitionBy("group", "range").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
+    inside = F.sum("size").over(W.partitionBy("group", "range").orderBy("key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
     placed = keyed.withColumn("inside", inside).join(offsets, ["group", "range"])
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.round(F.col("target") - epochs * F.col("source_size")).cast("long")

@@ -7,6 +7,8 @@ live-looking.  Nothing but hashes leaves a row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,16 +28,22 @@ BASE = 3
 COPIED_OWNERS = 3
 
 
-def _spans(text: Column, number: int) -> Column:
-    """array<struct<start, kind, end, value>> of one kind, in order, positions in code points.
+#: Matches that are placed together: their list is copied for each of them, and no longer list is.
+CHUNK = 500
 
-    What lies between the matches is split off; a match starts where the pieces and matches before it end.
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _placed(zipped: Column, number: int, least: int) -> Column:
+    """array<struct<start, kind, end, value>> of the matches, each after the piece and the matches before it.
+
+    Chunks of matches are placed from 0, their lengths added up, and the chunks moved there, so that the work follows the
+    number of matches.
     """
-    _, pattern, group, least = KINDS[number]
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     empty = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.char_length(x["piece"])
@@ -43,9 +51,27 @@ def _spans(text: Column, number: int) -> Column:
         one = F.array(F.struct(begin.alias("start"), F.lit(number).alias("kind"), end.alias("end"), x["value"].alias("value")))
         return F.struct(end.alias("at"), F.when(F.char_length(x["value"]) >= least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    pieces = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole))
-    found = F.aggregate(F.arrays_zip(pieces.alias("piece"), whole.alias("whole"), value.alias("value")), start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(empty)
+    def add(acc: Column, chunk: Column) -> Column:
+        return F.struct((acc["at"] + chunk["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    local = lambda z: F.aggregate(z, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)
+    chunks = lambda z: F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / CHUNK).cast("int")), lambda c: local(F.slice(z, c * CHUNK + 1, CHUNK)))
+    starts = lambda k: F.aggregate(k, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), add)["out"]
+    moved = lambda chunk, at: F.transform(chunk["out"], lambda s: F.struct((s["start"] + at).alias("start"), s["kind"].alias("kind"), (s["end"] + at).alias("end"), s["value"].alias("value")))
+    return _bound(zipped, lambda z: _bound(chunks(z), lambda k: F.flatten(F.zip_with(k, starts(k), moved))))
+
+
+def _spans(text: Column, number: int) -> Column:
+    """array<struct<start, kind, end, value>> of one kind, in order, positions in code points.
+
+    What lies between the matches is split off; a match starts where the pieces and matches before it end.
+    """
+    _, pattern, group, least = KINDS[number]
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
+    empty = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
+    zipped = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole)).alias("piece"), whole.alias("whole"), value.alias("value"))
+    return F.when(text.rlike(pattern), _placed(zipped, number, least)).otherwise(empty)
 
 
 def _listed(spans: Column) -> Column:
@@ -77,14 +103,18 @@ def secret_report(spark: SparkSession, docs: DataFrame, owner: str = "source", c
     """One row for every row of ``docs`` (doc_id, text and the owner column; others ignored).
 
     doc_id, n_assign, n_access, n_hex, base_sha256, spans, and n_live and n_copied: the document's distinct values that
-    one or two owners have, and those that ``copied`` owners or more have.  Null texts count as empty; rows that repeat a
-    doc_id share n_live and n_copied; rows without doc_id are one document there.  An empty table gives an empty result.
+    one or two owners have, and those that ``copied`` owners or more have.  Null texts count as empty; a text of any length
+    is scanned whole, in time that follows its length and matches.  Rows that repeat a doc_id share n_live and n_copied and
+    are one repository; rows without doc_id are one document there, rows without owner one owner.  An empty table gives
+    an empty result.
     """
     scratch = Scratch(spark, "secrets")
     found = scratch.keep(scan(docs, owner), "spans")
     candidates = found.select("doc_id", "owner", F.explode("found").alias("s")).where(F.col("s.kind") != len(KINDS) - 1).select("doc_id", "owner", F.col("s.value").alias("value"))
-    counts = ownership(candidates)
-    own = candidates.select("doc_id", "value").distinct().join(counts, "value")
+    # Both sides are tables, so that a value that a third of all documents have can be split at run time.
+    uses = scratch.keep(candidates.select("doc_id", "value").distinct(), "uses")
+    counts = scratch.keep(ownership(candidates), "ownership")
+    own = uses.join(counts, "value")
     by_doc = own.groupBy("doc_id").agg(F.count(F.when(F.col("owners") < copied, 1)).alias("live"), F.count(F.when(F.col("owners") >= copied, 1)).alias("copied")).withColumnRenamed("doc_id", "_id")
     base = F.filter("found", lambda s: s["kind"] < BASE)
 

@@ -1,28 +1,35 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
-A test item with n distinct shingles is contained in a document when the document has at least 80 % of them, so it may
-miss n - ceil(0.8 n); any one more of its shingles must then hit.  The search therefore posts, for each item, that many
-of its smallest hashes: the length of the bottom sketch follows the item's size (the partition), and no contained item
-can be overlooked, however long the document.  A document that hits a sketch is verified on the item's whole set.
-
-Items are searched in blocks of bounded size against all documents; each block is one pass without a shuffle.
+Items are partitioned by size, a doubling of distinct shingles a partition, and each has a bottom-k MinHash sketch: its k
+smallest hashes, with k following the size.  An item with n shingles is contained in a document that has at least 80 % of
+them, so a document may miss n - ceil(0.8 n); of one sketch value more than that it must have one.  What is compared with
+a sketch are the hashes of the whole document: a sketch of a document of 20,000 words would nearly never share a value with
+that of 40 words inside it.  So no contained item can be overlooked, however long the document; a document that hits a
+sketch is verified on the item's whole set.
+
+A partition is searched in blocks of bounded size, each one pass over all documents without a shuffle: items of a
+partition are at most so large, so a fixed number of them makes a block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from driftwell.llm import textkernel as tk
 from driftwell.llm.scratch import Scratch, settings
 
 WIDTH, PERCENT = 5, 80
-#: Distinct shingles that one block of items holds at most, 8 bytes each; a larger item is a block of its own.
-BLOCK_SHINGLES = 1_000_000
+#: Distinct shingles that one block of items holds at most, 8 bytes each; an item that has more is a block of its own.
+BLOCK_SHINGLES = 4_000_000
+#: Parts in which the items of a size are numbered.
+_PARTS = 64
 
 
 def _item_sets(width: int):
@@ -87,43 +94,55 @@ class _Block:
 _PAIRS = "doc_id long, item_id long, shared_shingles long, item_shingles long"
 
 
+def _blocks(scratch: Scratch, sets: DataFrame) -> DataFrame:
+    """``sets`` with ``number``, the block that an item is searched in.
+
+    Items of one size partition are numbered part by part; a block has as many as fit with the largest size there is in it.
+    """
+    n = F.length("members") / 8
+    sized = scratch.keep(sets.withColumn("size", F.floor(F.log2(n)).cast("int")).withColumn("part", F.pmod(F.xxhash64("item_id", "members"), F.lit(_PARTS)).cast("int")), "sized")
+    parts = sized.groupBy("size", "part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("size").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(W.partitionBy("size", "part").orderBy("item_id", F.xxhash64("members"))) - 1
+    per_block = F.greatest(F.lit(1), F.floor(F.lit(BLOCK_SHINGLES) / F.pow(F.lit(2), F.col("size") + 1)))
+    placed = sized.withColumn("own", own).join(parts.select("size", "part", before.alias("before")), ["size", "part"])
+    return placed.withColumn("number", F.floor((F.col("before") + F.col("own")) / per_block)).select("item_id", "width", "members", "size", "number")
+
+
 def contained_items(spark: SparkSession, docs: DataFrame, items: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row (doc_id, item_id, shared_shingles, item_shingles, containment) for each document and item it contains.
 
     Words are runs of letters and digits, A-Z folded; ``docs`` has doc_id and text, ``items`` item_id and text, other
-    columns are ignored.  Null, empty or unpunctuated-to-nothing texts and items match nothing; equal items each match;
-    rows that repeat a doc_id give a row each.  A null doc_id or item_id is carried through.
+    columns are ignored.  An item with fewer words than ``width`` is one shingle of all of them.  Null, empty or
+    unpunctuated-to-nothing texts and items match nothing; equal items each match; rows that repeat a doc_id give a row
+    each.  A null doc_id or item_id is carried through.  An empty table on either side gives an empty result.
     """
     scratch = Scratch(spark, "decontaminate")
-    sets = scratch.keep(items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(_item_sets(width), "item_id long, width int, members binary"), "items")
-    total = sets.agg(F.sum(F.length("members") / 8)).first()[0] or 0
-    blocks = max(1, int(-(-total // BLOCK_SHINGLES)))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = None
-    for i in range(blocks):
-        rows = sets.where(F.pmod(F.xxhash64("members"), F.lit(blocks)) == i).collect()
-        if not rows:
-            continue
-        shared = spark.sparkContext.broadcast(_Block(rows, percent))
-
-        def probe(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                hits = list(shared.value.matches(batch.column(1)))
-                row, item, count, size = (list(x) for x in zip(*hits, strict=True)) if hits else ([], [], [], [])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(item, pa.int64()), pa.array(count, pa.int64()), pa.array(size, pa.int64())], ["doc_id", "item_id", "shared_shingles", "item_shingles"])
-
-        found = texts.mapInArrow(probe, _PAIRS)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = spark.createDataFrame([], _PAIRS)
-    return out.withColumn("containment", F.col("shared_shingles") / F.col("item_shingles"))
+    found = [spark.createDataFrame([], _PAIRS)]
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="2000"):
+        own = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+        sets = scratch.keep(_blocks(scratch, own.mapInArrow(_item_sets(width), "item_id long, width int, members binary")), "items")
+        for size, number in sorted(map(tuple, sets.select("size", "number").distinct().collect())):  # one row a block
+            shared = spark.sparkContext.broadcast(_Block(sets.where((F.col("size") == size) & (F.col("number") == number)).collect(), percent))
+
+            def probe(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    hits = list(shared.value.matches(batch.column(1)))
+                    row, item, count, n = (list(x) for x in zip(*hits, strict=True)) if hits else ([], [], [], [])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(item, pa.int64()), pa.array(count, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "item_id", "shared_shingles", "item_shingles"])
+
+            found.append(scratch.keep(texts.mapInArrow(probe, _PAIRS), f"found-{size}-{number}"))
+            shared.unpersist()
+    return reduce(DataFrame.unionByName, found).withColumn("containment", F.col("shared_shingles") / F.col("item_shingles"))
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, items: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without the documents that contain an item; rows without doc_id can't be named and stay."""
-    scratch = Scratch(spark, "leaks")
-    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="2000"):
-        hits = scratch.keep(contained_items(spark, docs, items, width, percent).select("doc_id").distinct(), "documents")
+    """``docs`` without the documents that contain an item, columns as they are.
+
+    Of rows that repeat a doc_id all go when one contains an item; rows without doc_id can't be named and stay.
+    """
+    hits = Scratch(spark, "leaks").keep(contained_items(spark, docs, items, width, percent).select("doc_id").distinct(), "documents")
     return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
 
 
@@ -134,10 +153,12 @@ WITH texts AS (
   UNION ALL SELECT 1, item_id, text FROM benchmark WHERE text IS NOT NULL),
 words AS (
   SELECT kind, id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM texts),
+widths AS (SELECT DISTINCT least(5, len(w)) AS n FROM words WHERE kind = 1 AND len(w) > 0),
 grams AS (
-  SELECT DISTINCT kind, id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS g FROM words WHERE len(w) >= 5),
+  SELECT DISTINCT kind, id, n, unnest(list_transform(range(1, (len(w) - n + 2)::BIGINT), lambda i: array_to_string(w[i:i+n-1], ' '))) AS g
+  FROM words JOIN widths ON CASE WHEN kind = 1 THEN n = least(5, len(w)) ELSE n <= len(w) END),
 sizes AS (SELECT id AS item_id, count(*) AS n FROM grams WHERE kind = 1 GROUP BY id),
-hits AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS shared FROM grams d JOIN grams i ON d.g = i.g AND d.kind = 0 AND i.kind = 1 GROUP BY 1, 2)
+hits AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS shared FROM grams d JOIN grams i ON d.g = i.g AND d.n = i.n AND d.kind = 0 AND i.kind = 1 GROUP BY 1, 2)
 SELECT doc_id, item_id, shared AS shared_shingles, n AS item_shingles, shared / n AS containment
 FROM hits JOIN sizes USING (item_id) WHERE 100 * shared >= 80 * n
 """

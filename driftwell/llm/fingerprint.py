@@ -1,8 +1,9 @@
 """Document fingerprints: a wide xxhash of the canonical text, with byte comparison inside equal buckets.
 
-Two 64-bit xxhash values make the bucket.  Buckets with several documents are compared byte by byte; should different
-texts ever meet in one, they get numbers in byte order, so equal canonical texts always have equal fingerprints and
-different ones never.  Only texts that share a bucket are shuffled for that.
+Two 64-bit xxhash values make the bucket.  Documents that share one are compared byte by byte, and by SHA-256 with the
+edited texts of a report; should different texts ever meet in a bucket, they get numbers in the order of their SHA-256, so
+equal canonical texts always have equal fingerprints and different ones never.  Only texts that share a bucket are shuffled
+for that.
 """
 
 from __future__ import annotations
@@ -47,35 +48,42 @@ def collisions(scratch: Scratch, hashed: DataFrame, texts: DataFrame, bits: int)
     return scratch.keep(hashed.join(clash, ["h", "l"], "left_semi").select("h", "l", "digest").distinct().withColumn("place", F.row_number().over(order) - 1), "places")
 
 
-def with_neighbours(spark: SparkSession, docs: DataFrame, rows_per_range: int = 200) -> DataFrame:
+#: Documents that a range of ids should have, about, and the most ranges there are: beyond that they grow, and are sorted
+#: with spills.  Range bounds are one row of 8 bytes a range.
+RANGE_ROWS, MOST_RANGES = 2_000, 65_536
+
+
+def with_neighbours(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, text, next_text): the next document in ascending doc_id, and the first one after the last.
 
-    Documents go to ranges of about ``rows_per_range``, cut at ids that occur; the first document of a range is also
-    dealt, as a guest, to the range before, so that only ranges are sorted and every neighbour is found.
-    Null ids come last; rows with equal ids are ordered by their text.
+    Ranges begin at ids that occur, chosen by their hash; the first document of a range is also dealt, as a guest, to the
+    range before, so that only ranges are sorted and every neighbour is found.  Null ids come last; rows with equal ids
+    are ordered by their text.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ids = texts.select("doc_id")
     count = ids.count()
-    wanted = max(1, min(65_536, max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), count // rows_per_range)))
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / wanted for i in range(wanted)], 20 * wanted), F.min("doc_id")).first()
-    bounds = sorted({*(cuts[0] or []), *([cuts[1]] if cuts[1] is not None else [])})
-    if not bounds:
-        bounds = [0]
-    table, n = F.array(*[F.lit(b).cast("long") for b in bounds]), len(bounds)
+    wide = min(RANGE_ROWS, count // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    every = max(1, wide, -(-count // MOST_RANGES))
+    picked = F.when(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0, F.col("doc_id"))
+    # The smallest id is a bound, or 0 where no row has an id.  One row, read beside every document.
+    bounds = ids.where("doc_id is not null").agg(F.collect_set(picked).alias("some"), F.coalesce(F.min("doc_id"), F.lit(0)).alias("least"))
+    bounds = Scratch(spark, "bounds").keep(bounds.select(F.array_sort(F.array_union("some", F.array("least"))).alias("bounds")), "bounds")
 
     def halve(acc: Column, _: Column) -> Column:
         """One step of a binary search for the last bound not above the id."""
         middle = ((acc["lo"] + acc["hi"] + 1) / 2).cast("int")
-        here = F.get(table, middle) <= F.col("doc_id")
+        here = F.get("bounds", middle) <= F.col("doc_id")
         return F.struct(F.when(here, middle).otherwise(acc["lo"]).alias("lo"), F.when(here, acc["hi"]).otherwise(F.greatest(acc["lo"], middle - 1)).alias("hi"))
 
-    steps = F.array(*[F.lit(i) for i in range(max(1, n.bit_length() + 1))])
-    found = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(n - 1).alias("hi")), halve, lambda acc: acc["lo"])
-    placed = texts.withColumn("at", F.when(F.col("doc_id").isNull(), F.lit(n - 1)).otherwise(found))
-    first = F.col("doc_id") == F.get(table, F.col("at")) if bounds != [0] or cuts[1] is not None else F.lit(True)
-    guest = F.array(F.struct(F.col("at").alias("range"), F.lit(0).alias("guest")), F.struct(F.pmod(F.col("at") - 1, F.lit(n)).alias("range"), F.lit(1).alias("guest")))
-    dealt = placed.withColumn("own", F.explode(F.when(first, guest).otherwise(F.slice(guest, 1, 1)))).select("doc_id", "text", "own.range", "own.guest")
+    last = F.size("bounds") - 1
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size("bounds") + 1)).cast("int"))
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), last.alias("hi")), halve, lambda acc: acc["lo"])
+    placed = texts.crossJoin(F.broadcast(bounds)).withColumn("at", F.when(F.col("doc_id").isNull(), last).otherwise(found))
+    guest = F.array(F.struct(F.col("at").alias("range"), F.lit(0).alias("guest")), F.struct(F.pmod(F.col("at") - 1, F.size("bounds")).alias("range"), F.lit(1).alias("guest")))
+    # Without any id, all rows are in one range and the first follows the last.
+    first = (F.col("doc_id") == F.get("bounds", F.col("at"))) | ((F.size("bounds") == 1) & F.col("doc_id").isNull())
+    dealt = placed.select("doc_id", "text", F.explode(F.when(F.coalesce(first, F.lit(False)), guest).otherwise(F.slice(guest, 1, 1))).alias("own")).select("doc_id", "text", "own.range", "own.guest")
     order = W.partitionBy("range").orderBy("guest", F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
     return dealt.withColumn("next_text", F.lead("text").over(order)).where("guest = 0").select("doc_id", "text", "next_text")
 
@@ -113,15 +121,21 @@ def _named(df: DataFrame, clashes: DataFrame | None, h: str, l: str, digest: str
 def edit_report(spark: SparkSession, docs: DataFrame, bits: int = 64) -> DataFrame:
     """Fingerprints of every document and of its edited text, and how alike they are to its own and its neighbour's.
 
-    A digest is exact, so likeness is 1 for equal canonical bytes and 0 otherwise.
+    A digest is exact, so likeness is 1 for equal canonical bytes and 0 otherwise.  One row for every row of ``docs``
+    (doc_id and text; others ignored); null texts are empty, and an empty text's edit is empty.  Rows with equal ids
+    follow each other, in the order of their texts' hashes; a row without doc_id comes last.  A single row is its own next.
+    An empty table gives an empty result.
     """
     scratch = Scratch(spark, "edit-report")
     rows = with_neighbours(spark, docs).withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    rows = rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *[canonical(F.col(c)).alias(k) for c, k in (("text", "c"), ("edited", "e"), ("next_text", "f"))])
-    (ch, cl), (eh, el) = _halves(F.col("c"), bits), _halves(F.col("e"), bits)
+    # The canonical form is written once, for all three texts: it is most of the plan.
+    forms = F.transform(F.array("text", "edited", "next_text"), canonical).alias("forms")
+    rows = rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), forms)
+    c, e, f = (F.get("forms", F.lit(i)) for i in range(3))
+    (ch, cl), (eh, el) = _halves(c, bits), _halves(e, bits)
     hashed = rows.select(
-        "doc_id", "n_chars", "edited_sha256", ch.alias("ch"), cl.alias("cl"), F.sha2("c", 256).alias("cd"), eh.alias("eh"), el.alias("el"), F.sha2("e", 256).alias("ed"),
-        (F.col("c") == F.col("e")).cast("double").alias("near_edited"), (F.col("c") == F.col("f")).cast("double").alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", ch.alias("ch"), cl.alias("cl"), F.sha2(c, 256).alias("cd"), eh.alias("eh"), el.alias("el"), F.sha2(e, 256).alias("ed"),
+        (c == e).cast("double").alias("near_edited"), (c == f).cast("double").alias("near_next"),
     )
     hashed = scratch.keep(hashed, "hashes")
     both = hashed.select(F.col("ch").alias("h"), F.col("cl").alias("l"), F.col("cd").alias("digest")).unionByName(hashed.select(F.col("eh").alias("h"), F.col("el").alias("l"), F.col("ed").alias("digest")))

@@ -218,6 +218,27 @@ def test_mixing(spark, request, table):
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
 
 
+def test_mixing_in_ranges(spark, docs, monkeypatch):
+    """The same whatever the ranges, also with weights far apart and of nothing, against a plain prefix sum."""
+    rnd = random.Random(17)
+    df = spark.createDataFrame([(i if i % 50 else None, sentence(rnd, rnd.randrange(9)) if i % 7 else None, ("x", "y", None)[i % 9 // 4]) for i in range(600)], "doc_id long, text string, source string")
+    weights = df.where("doc_id is not null").select("doc_id", F.element_at(F.array(*[F.lit(w) for w in (0.0, 1.0, 100.0, 1000.0)]), (F.col("doc_id") % 4 + 1).cast("int")).alias("quality_weight"))
+    whole = mixing.mix_sources(spark, df, weights).collect()
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 7)
+    assert Counter(map(tuple, mixing.mix_sources(spark, df, weights).collect())) == Counter(map(tuple, whole))
+    by = defaultdict(list)
+    for r in whole:
+        by[r.source].append(r)
+    for rows in by.values():
+        epochs, target = int(rows[0].target // rows[0].source_size), rows[0].target
+        part = sorted((r for r in rows if r.size), key=lambda r: r.taken - epochs * r.size - r.size)
+        # All whole, then at most one in part, then none; what is whole is heavier on the whole.
+        extra = [r.taken - epochs * r.size for r in part]
+        assert sum(0 < e < r.size for e, r in zip(extra, part, strict=True)) <= 1 and sum(r.taken for r in rows) == round(target)
+        share = lambda k, rows=rows: sum(r.taken for r in rows if r.doc_id and r.doc_id % 4 == k) / sum(r.size for r in rows if r.doc_id and r.doc_id % 4 == k)
+        assert share(0) <= share(3)
+
+
 def test_mixing_follows_weights(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), (F.col("id") % 3).cast("string").alias("source"))
     weights = df.select("doc_id", F.when(F.col("doc_id") % 4 < 2, 1.0).otherwise(0.1).alias("quality_weight"))
@@ -266,6 +287,32 @@ def test_items_in_blocks(spark, real, sf, monkeypatch):
     assert sorted(map(tuple, decontaminate.contained_items(spark, real, bench).collect())) == whole
 
 
+def test_blocks_are_bounded(spark, monkeypatch):
+    from driftwell.llm.scratch import Scratch
+
+    monkeypatch.setattr(decontaminate, "BLOCK_SHINGLES", 100)
+    rows = [(i, 5, b"12345678" * (1 + i * 7 % 90)) for i in range(200)] + [(900, 5, b"12345678" * 500)]
+    sets = decontaminate._blocks(Scratch(spark, "blocks"), spark.createDataFrame(rows, "item_id long, width int, members binary"))
+    blocks = defaultdict(list)
+    for r in sets.collect():
+        blocks[r.size, r.number].append(len(r.members) // 8)
+    assert sum(map(len, blocks.values())) == 201 and all(sum(b) <= 100 or len(b) == 1 for b in blocks.values()) and len(blocks) < 150
+
+
+def test_short_items_equal_sql(spark, tmp_path):
+    import duckdb
+
+    items = [(1, "green blue"), (2, "Green"), (3, "a b c d"), (4, "a b c d e f"), (5, None), (6, " . ")]
+    texts = [(1, "the green, blue sea"), (2, "blue green"), (3, "x a b c d e f y"), (4, None), (5, "a b c")]
+    for name, rows, key in (("benchmark", items, "item_id"), ("documents", texts, "doc_id")):
+        spark.createDataFrame(rows, f"{key} long, text string").coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    con = duckdb.connect()
+    for name in ("benchmark", "documents"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    got = decontaminate.contained_items(spark, *(spark.read.parquet(f"{tmp_path}/{n}.parquet") for n in ("documents", "benchmark"))).collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(decontaminate.ORACLE).fetchall()) and {(1, 1), (1, 2), (2, 2), (3, 3), (3, 4)} == {(r.doc_id, r.item_id) for r in got}
+
+
 # Fingerprints
 
 
@@ -340,6 +387,20 @@ def test_secrets(spark):
     assert secrets.secret_report(spark, df.limit(0)).count() == 0
 
 
+def test_secrets_in_long_texts_and_repeated_rows(spark, monkeypatch):
+    """Very many matches in one text, over several chunks; rows that repeat are one document; nulls anywhere."""
+    monkeypatch.setattr(secrets, "CHUNK", 7)
+    rnd = random.Random(5)
+    text = " ".join("".join(rnd.choice("0123456789abcdef") for _ in range(rnd.randrange(20, 30))) for _ in range(3000)) + " token=abcdefgh"
+    rows = [(1, text, "a"), (1, text, "a"), (2, "password: hunter22", None), (None, "password: hunter22", "b"), (3, None, None)]
+    got = secrets.secret_report(spark, spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    want = ",".join(f"hex:{m.start()}:{m.end()}" for m in re.finditer("[0-9a-f]{24,}", text))
+    twice = [r for r in got if r.doc_id == 1]
+    assert len(twice) == 2 and twice[0] == twice[1] and [x for x in twice[0].spans.split(",") if x.startswith("hex")] == want.split(",") and twice[0].n_assign == 1
+    by = {r.doc_id: (r.n_live, r.n_copied) for r in got}
+    assert by[2] == by[None] == (1, 0) and by[3] == (0, 0) and by[1] == (twice[0].n_hex + 1, 0)
+
+
 # Lines
 
 
@@ -487,7 +548,7 @@ def test_pipeline_drops_blocks(spark, sf):
 
 def test_rollup(spark, tmp_path):
     pytest.importorskip("tiktoken")
-    from driftwell.llm.token_rollup import FOLDER, VERSIONS, _encoder
+    from driftwell.llm.token_rollup import FOLDER, VERSIONS, _encoder, vocabulary
 
     roll = TokenRollup(spark, f"file://{tmp_path}/store")
     schema = "action string, doc_id long, source string, lang string, text string"
@@ -496,7 +557,7 @@ def test_rollup(spark, tmp_path):
     before = sorted(map(tuple, roll.totals().collect()), key=str)
     assert not roll.commit(2, spark.createDataFrame([("delete", 4, None, None, None)], schema))
     assert sorted(map(tuple, roll.totals().collect()), key=str) == before
-    count = {v: (lambda t, e=_encoder(f"{FOLDER}/{f}"): len(e.encode_ordinary(t))) for v, f in VERSIONS.items()}
+    count = {v: (lambda t, e=_encoder(vocabulary(FOLDER, f)): len(e.encode_ordinary(t))) for v, f in VERSIONS.items()}
     want = Counter()
     docs = Counter()
     for s, l, t in (("s1", "en", ""), ("s0", "en", ""), ("s9", "de", "short now"), ("s0", "en", "x" * 3000)):
@@ -505,6 +566,71 @@ def test_rollup(spark, tmp_path):
             docs[s, l, v] += 1
     assert before == sorted(((*k, docs[k], want[k]) for k in docs), key=str)
     assert roll.committed() == [1, 2]
+    with pytest.raises(ValueError, match="no vocabulary"):
+        TokenRollup(spark, f"file://{tmp_path}/other", folder="/nowhere").commit(1, spark.createDataFrame(first, schema))
+
+
+def test_rollup_over_many_batches(spark, tmp_path):
+    """Random batches against a plain ledger; few tables stay, and a small batch reads its documents' buckets only."""
+    pytest.importorskip("tiktoken")
+    from driftwell.llm import token_rollup as tr
+
+    rnd, one = random.Random(31), {"bpe-50k": tr.VERSIONS["bpe-50k"]}
+    encoder = tr._encoder(tr.vocabulary(tr.FOLDER, one["bpe-50k"]))
+    roll = TokenRollup(spark, f"file://{tmp_path}/store", one)
+    held: dict[int, list] = {}
+    for batch in range(7):
+        rows = []
+        for d in rnd.sample(range(300), 250 if batch == 0 else 9):
+            action = "insert" if batch == 0 else rnd.choice(["insert", "delete", "revise"])
+            rows.append((action, d, rnd.choice(["a", "b", None]), rnd.choice(["en", None]), rnd.choice([None, "", sentence(rnd, 6)])))
+        assert roll.commit(batch, spark.createDataFrame(rows, "action string, doc_id long, source string, lang string, text string"))
+        for action, d, s, l, t in rows:
+            if action != "insert":
+                held[d] = []
+            if action != "delete":
+                held.setdefault(d, []).append((s, l, len(encoder.encode_ordinary(t or ""))))
+    want = defaultdict(lambda: [0, 0])
+    for cells in held.values():
+        for s, l, n in cells:
+            want[s, l, "bpe-50k"][0] += 1
+            want[s, l, "bpe-50k"][1] += n
+    assert {tuple(r)[:3]: list(r)[3:] for r in roll.totals().collect()} == dict(want)
+    assert Counter((r.doc_id, r.source, r.lang, r.tokens) for r in roll.ledger().collect() for _ in range(r.copies)) == Counter((d, *c) for d, cells in held.items() for c in cells)
+    parts = roll._state()[0]
+    assert len(parts) <= 4 and all(a[1] > b[1] for a, b in zip(parts, parts[1:]))
+    read = roll.counted_before(spark.createDataFrame([(5,)], "doc_id long"))
+    assert len({f.split("bucket=")[1].split("/")[0] for f in read.inputFiles()}) <= tr.BUCKETS
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and plan.index("Aggregate") < plan.index("LeftSemi") and read.count() == len(set(held.get(5, [])))
+
+
+def test_corpus_rollup(spark, sf, awkward, docs):
+    """The registered query against a plain count."""
+    pytest.importorskip("tiktoken")
+    from driftwell.llm import token_rollup as tr
+
+    rows = [(r.doc_id, r.source, r.lang, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rows = rows[:150] + [(r[0], r[3], r[2], None if r[1] is None else r[1][:5000]) for r in awkward] + [(None, "s", None, "no id #")]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, source string, lang string, text string, tokens int, version string")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
+    labels = [(r.doc_id, r.quality, r.toxic) for r in labels] + [(None, 0, 1), (3, None, None), (100, 0, 0), (101, 0, 1)]
+    quality, toxic = defaultdict(list), defaultdict(list)
+    for d, q, t in labels:
+        quality[d] += [q] * (q is not None)
+        toxic[d] += [t] * (t is not None)
+    want = defaultdict(lambda: [0, 0])
+    for d, s, l, t in rows:
+        if d is not None and toxic[d] and max(toxic[d]) == 1:
+            continue
+        if d is not None and quality[d] and max(quality[d]) == 0:
+            t = re.sub(r"[#$%&*!|]+", "", t) if t is not None else None
+        for v, f in tr.VERSIONS.items():
+            want[s, l, v][0] += 1
+            want[s, l, v][1] += len(tr._encoder(tr.vocabulary(tr.FOLDER, f)).encode_ordinary(t or ""))
+    got = tr.corpus_rollup(spark, df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert {tuple(r)[:3]: list(r)[3:] for r in got.collect()} == dict(want)
+    assert tr.corpus_rollup(spark, df.limit(0), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
 
 
 # Conversations

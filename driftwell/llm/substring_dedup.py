@@ -13,8 +13,12 @@ positions for that, this one about 1 of 14.
    instance of each such run go to buckets by window hash, in the same way.
 3. The intervals meet their documents again, and what is left of each text is kept.
 
-Positions travel packed, one row for each bucket and Arrow batch.  A batch first keeps what is smallest within itself, so a
-passage that a third of all documents have arrives once a batch, not once a document.
+Positions travel packed, one row for each bucket and Arrow batch.  A batch first settles what it can by itself: of equal
+runs the smallest goes on, and of different runs with one seed only two, the others being known to be edges.  So a passage
+that a third of all documents have, or a seed inside their near copies, arrives twice a batch at most, not once a document.
+The number of buckets follows the bytes of the corpus, so that a bucket's size doesn't.
+
+Strings are compared by 112 bits of two independent polynomial hashes, not byte by byte.
 """
 
 from __future__ import annotations
@@ -42,16 +46,21 @@ class SubstringDedup:
 
 #: One cover position on its way: seed hash, run hash in two parts, row of the batch, first window and number of windows.
 _POINT = np.dtype([("h", "<u8"), ("c", "<u4"), ("c2", "<u2"), ("doc", "<u2"), ("start", "<u4"), ("n", "u1")])
-#: Rows of an Arrow batch (``doc`` has 16 bits), bytes of one, and buckets for each shuffle partition.
-_ROWS, _BYTES, _BUCKETS = 1500, 4 << 20, 2
+#: Rows of an Arrow batch (``doc`` has 16 bits), bytes of one, bytes of text for each bucket, and the fewest buckets for each
+#: shuffle partition.
+_ROWS, _BYTES, _BUCKET_BYTES, _BUCKETS = 1500, 4 << 20, 16 << 20, 2
 _SLICE = 1 << 18
 _LAST = np.iinfo(np.int64).max
 _rng = np.random.default_rng(99)
 _LETTER_2 = _rng.integers(1, (1 << 63) - 1, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-_SENT = "bucket int, ids binary, keys binary, points binary"
+_SENT = "bucket int, kind int, ids binary, keys binary, points binary"
 _HITS = "rid long, kind int, spans binary"
-COVER, OPEN = 0, 1
+#: Intervals that a smaller document has, runs to be settled window by window, and points on their way.
+COVER, OPEN, POINTS = 0, 1, 2
+#: Bits for the place in the slice below those of the seed's hash: the same for slices of any size, so that equal windows
+#: choose equally everywhere.  Of hashes that are equal in the bits above, the first wins, in equal windows the same one.
+_PLACE_BITS = np.uint64(32)
 
 
 def _prefix(values: np.ndarray, up: np.ndarray) -> np.ndarray:
@@ -68,8 +77,7 @@ def cover_points(data: np.ndarray, offsets: np.ndarray, cfg: SubstringDedup) ->
     up, down = tk._Powers.upto(n + 1)
     sums = _prefix(tk._LETTER[data], up)
     seeds = tk.mix((sums[cfg.seed :] - sums[: -cfg.seed]) * down[: n - cfg.seed + 1])
-    bits = np.uint64(int(n).bit_length())
-    low = (np.uint64(1) << bits) - np.uint64(1)
+    low = (np.uint64(1) << _PLACE_BITS) - np.uint64(1)
     least = (seeds & ~low) | np.arange(len(seeds), dtype=np.uint64)
     span = 1
     while span < width:  # the smallest of ``width`` neighbours; of equal hashes the first
@@ -86,6 +94,7 @@ def cover_points(data: np.ndarray, offsets: np.ndarray, cfg: SubstringDedup) ->
     count = np.diff(np.append(first, len(rows)))
     begin, spot, row = starts[first], chosen[first], rows[first]
     end = begin + count + cfg.length - 1
+    sums = _prefix(_LETTER_2[data], up)
     run = tk.mix((sums[end] - sums[begin]) * down[begin] + (spot - begin).astype(np.uint64) * tk._PLACE[0] + count.astype(np.uint64) * tk._PLACE[1])
     out = np.zeros(len(first), _POINT)
     out["h"], out["c"], out["c2"], out["doc"] = seeds[spot], run >> np.uint64(32), run & np.uint64(0xFFFF), row
@@ -109,11 +118,15 @@ def window_points(data: np.ndarray, row: int, spans: np.ndarray, cfg: SubstringD
     return out
 
 
-def _send(points: np.ndarray, ids: np.ndarray, keys: np.ndarray, buckets: int, length: int) -> pa.RecordBatch:
-    """Points by bucket, after what the batch can settle itself: of equal runs those of the smallest doc_id go on.
+def _send(points: np.ndarray, ids: np.ndarray, keys: np.ndarray, buckets: int, length: int, edges: bool) -> pa.RecordBatch:
+    """Points by bucket, after what the batch can settle itself.
+
+    Of equal runs those of the smallest doc_id go on.  With ``edges``, seeds that different documents have in different
+    runs are settled as far as that: the runs are OPEN, and of each seed a point of the smallest and one of the largest
+    doc_id go on, which tell other batches.
 
-    Bucket rows carry the points, and the ids and row keys of the documents they name; settled intervals go as rows of
-    kind COVER with no points but ``keys`` and packed spans in ``ids``, to the bucket of their row key.
+    POINTS rows carry the points, and the ids and row keys of the documents they name; settled intervals and open runs go as
+    rows of their kind without points but ``keys`` and packed spans in ``ids``, to the bucket of their row key.
     """
     order = np.lexsort((ids[points["doc"]], points["c2"], points["c"], points["h"]))
     p = points[order]
@@ -122,22 +135,41 @@ def _send(points: np.ndarray, ids: np.ndarray, keys: np.ndarray, buckets: int, l
     head = np.flatnonzero(~same)
     smallest = np.repeat(ids[p["doc"][head]], np.diff(np.append(head, len(p))))
     later = ids[p["doc"]] > smallest
-    rows: list[tuple[int, bytes, bytes, bytes]] = []
-    done = p[later]
-    if len(done):
+    rows: list[tuple[int, int, bytes, bytes, bytes]] = []
+
+    def settled(kind: int, done: np.ndarray) -> None:
         done = done[np.argsort(done["doc"], kind="stable")]
-        for part in np.split(done, np.flatnonzero(np.diff(done["doc"])) + 1):
-            key = keys[part["doc"][0]]
-            rows.append((int(np.uint64(key) % np.uint64(buckets)), _merged(part, length).tobytes(), key.tobytes(), b""))
+        for i, j in _runs(done["doc"]):
+            key = keys[done["doc"][i]]
+            spans = _merged(done[i:j], length) if kind == COVER else _packed(done[i:j])
+            rows.append((int(np.uint64(key) % np.uint64(buckets)), kind, spans.tobytes(), key.tobytes(), b""))
+
+    settled(COVER, p[later])
     p = p[~later]
+    if edges and len(p):
+        by_doc = p[np.lexsort((ids[p["doc"]], p["h"]))]
+        seed = np.ones(len(p), bool)
+        seed[1:] = by_doc["h"][1:] != by_doc["h"][:-1]
+        first = np.flatnonzero(seed)
+        last = np.append(first[1:], len(p)) - 1
+        shared = ids[by_doc["doc"][first]] < ids[by_doc["doc"][last]]
+        known = np.repeat(shared, last - first + 1)
+        settled(OPEN, by_doc[known])
+        known[np.concatenate([first[shared], last[shared]])] = False
+        p = by_doc[~known]
     to = ((p["h"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     for part, b in ((p[i:j], int(to[i])) for i, j in _runs(to)):
         docs, index = np.unique(part["doc"], return_inverse=True)
         part = part.copy()
         part["doc"] = index
-        rows.append((b, ids[docs].tobytes(), keys[docs].tobytes(), part.tobytes()))
-    bucket, *rest = zip(*rows, strict=True) if rows else ((), (), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), *[pa.array(x, pa.binary()) for x in rest]], ["bucket", "ids", "keys", "points"])
+        rows.append((b, POINTS, ids[docs].tobytes(), keys[docs].tobytes(), part.tobytes()))
+    bucket, kind, *rest = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(kind, pa.int32()), *[pa.array(x, pa.binary()) for x in rest]], ["bucket", "kind", "ids", "keys", "points"])
+
+
+def _packed(points: np.ndarray) -> np.ndarray:
+    """Runs of windows as start << 8 | number."""
+    return points["start"].astype(np.int64) << 8 | points["n"]
 
 
 def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -170,14 +202,14 @@ def _settle(length: int, open_runs: bool):
         spans: list[bytes] = []
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
-            ids, keys, points = (batch.column(batch.schema.get_field_index(c)) for c in ("ids", "keys", "points"))
-            for i, k, p in zip(ids, keys, points, strict=True):
+            columns = (batch.column(batch.schema.get_field_index(c)) for c in ("kind", "ids", "keys", "points"))
+            for what, i, k, p in zip(*columns, strict=True):
                 i, k, p = (np.frombuffer(x.as_py(), t) for x, t in ((i, np.int64), (k, np.int64), (p, _POINT)))
-                if len(p):
+                if what.as_py() == POINTS:
                     parts.append((i, k, p))
                 else:
                     rid.append(int(k[0]))
-                    kind.append(COVER)
+                    kind.append(what.as_py())
                     spans.append(i.tobytes())
         if parts:
             seeds = np.sort(np.concatenate([p["h"] for _, _, p in parts]))
@@ -212,7 +244,7 @@ def _settle(length: int, open_runs: bool):
                 for a, b in _runs(k):
                     rid.append(int(k[a]))
                     kind.append(what)
-                    spans.append((_merged(q[a:b], length) if what == COVER else q["start"][a:b].astype(np.int64) << 8 | q["n"][a:b]).tobytes())
+                    spans.append((_merged(q[a:b], length) if what == COVER else _packed(q[a:b])).tobytes())
         for a in range(0, len(rid), 20_000):
             b = a + 20_000
             yield pa.RecordBatch.from_arrays([pa.array(rid[a:b], pa.int64()), pa.array(kind[a:b], pa.int32()), pa.array(spans[a:b], pa.binary())], ["rid", "kind", "spans"])
@@ -236,7 +268,8 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, cfg: SubstringDedup =
     scratch = Scratch(spark, "substrings")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed = keyed.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), F.lit("/"), "text").alias("rid"), "text")
-    buckets = _BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(_BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // _BUCKET_BYTES))
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,7 +281,7 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, cfg: SubstringDedup =
                 p["doc"] += a
                 found.append(p)
             if found:
-                yield _send(np.concatenate(found), ids, keys, buckets, cfg.length)
+                yield _send(np.concatenate(found), ids, keys, buckets, cfg.length, True)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,7 +289,7 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, cfg: SubstringDedup =
             data, offsets = tk.buffers(batch.column(2))
             found = [window_points(data[offsets[i] : offsets[i + 1]], i, np.concatenate([np.frombuffer(s, np.int64) for s in spans]), cfg) for i, spans in enumerate(batch.column(3).to_pylist())]
             if found:
-                yield _send(np.concatenate(found), ids, keys, buckets, cfg.length)
+                yield _send(np.concatenate(found), ids, keys, buckets, cfg.length, False)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,10 +311,10 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, cfg: SubstringDedup =
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(_ROWS), spark__sql__execution__arrow__maxBytesPerBatch=str(_BYTES)):
-        runs = scratch.keep(keyed.mapInArrow(cover, _SENT).groupBy("bucket").applyInArrow(_settle(cfg.length, True), _HITS), "runs")
+        runs = scratch.keep(keyed.mapInArrow(cover, _SENT).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_settle(cfg.length, True), _HITS), "runs")
         open_rows = runs.where(F.col("kind") == OPEN).groupBy("rid").agg(F.collect_list("spans").alias("spans"))
         edges = keyed.join(open_rows, "rid").select("doc_id", "rid", "text", "spans").mapInArrow(windows, _SENT)
-        edges = scratch.keep(edges.groupBy("bucket").applyInArrow(_settle(cfg.length, False), _HITS), "edges")
+        edges = scratch.keep(edges.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_settle(cfg.length, False), _HITS), "edges")
         covered = runs.where(F.col("kind") == COVER).unionByName(edges).groupBy("rid").agg(F.collect_list("spans").alias("spans"))
         out = keyed.join(covered, "rid", "left").select("doc_id", "text", "spans")
         return out.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

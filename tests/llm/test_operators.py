@@ -159,6 +159,42 @@ def test_repeated_strings_edges(spark):
     assert {r.doc_id: r.n_removed for r in repeated_strings(spark, nameless).collect()} == {None: 200, 5: 0}
 
 
+def test_equal_windows_choose_equally(spark):
+    """A passage marks the same places in a slice of any size, also where hashes are nearly alike."""
+    import numpy as np
+
+    from driftwell.llm import substring_dedup as sd
+
+    rnd = random.Random(44)
+    passage = bytes(rnd.choices(b"ab", k=400))
+    cfg, marks = sd.SubstringDedup(), []
+    for before in (0, 60, 5_000, 300_000):
+        data = np.frombuffer(bytes(rnd.choices(b"abcdefgh", k=before)) + passage, np.uint8)
+        p = sd.cover_points(data, np.array([0, len(data)]), cfg)
+        inside = p[p["start"] >= before + cfg.length]
+        marks.append([(int(x["h"]), int(x["c"]), int(x["c2"]), int(x["start"]) - before, int(x["n"])) for x in inside])
+    assert all(m == marks[0] for m in marks) and len(marks[0]) > 10
+
+
+def test_repeated_strings_in_many_batches(spark, monkeypatch):
+    """Near copies and a passage that everyone has, in batches of a few rows and buckets of a few bytes."""
+    from driftwell.llm import substring_dedup as sd
+
+    rnd = random.Random(45)
+    monkeypatch.setattr(sd, "_ROWS", 5)
+    monkeypatch.setattr(sd, "_BUCKET_BYTES", 1000)
+    base, passage = sentence(rnd, 60), sentence(rnd, 14)
+    rows = []
+    for i in range(90):
+        words = base.split() if i % 3 == 0 else sentence(rnd, 30).split()
+        words[rnd.randrange(len(words))] = sentence(rnd, 1)
+        at = rnd.randrange(len(words))
+        rows.append((i * 7 % 90, " ".join([*words[:at], passage, *words[at:]])))
+    rows += [(i, t) for i, t in rows[:3]] + [(95, None), (96, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(tuple(r) for r in repeated_strings(spark, df).drop("kept").collect()) == strings_brute(rows)
+
+
 # Quality
 
 

@@ -1,10 +1,11 @@
 """Chat formatting by quotation linking.
 
 Lines that begin with ``>`` marks are quotations, as deep as there are marks.  Neighbouring lines of one depth are a
-passage.  Passages and their lines are normalised and hashed, and met with the unquoted passages and lines of earlier
-messages of the conversation; a message answers the one it quotes most of, at the least depth.  Following the answers up
-gives each message its thread, and (thread_turn, turn) orders a conversation so that replies follow what they answer.
-Messages leave without quotations.
+passage.  Passages, their paragraphs, lines and sentences are normalised and hashed, and met with those that earlier
+messages of the conversation say unquoted, so that a quotation is found that a mail program has wrapped anew, and one that
+is part of a paragraph.  What has one or two words is met with whole messages only.  A message answers the one it quotes
+most of, at the least depth.  Following the answers up gives each message its thread, and (thread_turn, turn) orders a
+conversation so that replies follow what they answer.  Messages leave without quotations.
 """
 
 from __future__ import annotations
@@ -18,37 +19,56 @@ from driftwell.llm.scratch import Scratch
 MARKS = r"^(?:[\x20\t]*>)+"
 #: The line that mail programs put before a quotation.
 ATTRIBUTION = r"(?i)\bwrote:[\x20\t]*$"
-#: Words that a passage or line must have to be linked.
+#: Words that a part of a message must have to be linked.
 LEAST_WORDS = 3
+#: What parts are put together with while they are sought; a text's own is read as a blank.
+_CUT = "\u0001"
 #: Turns that are looked through at once; a longer conversation is several ranges.
 RANGE = 4096
 
 
 def _normal(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), r"[\x20\t\x0B-\x0D]+", " "))
+    return F.trim(F.regexp_replace(F.lower(text), r"[\x20\t\n\x0B-\x0D]+", " "))
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, ``lines`` (array of depth and text without marks) and ``body``, the text without quotations."""
+    """conv_id, turn, role, ``lines`` (array of depth and text without marks) and ``body``, the text without quotations.
+
+    A message without quotations is left as it is; what is left of others loses blanks at both ends.
+    """
     depth = lambda x: F.length(F.regexp_replace(F.regexp_extract(x, MARKS, 0), r"[^>]", ""))
-    lines = F.transform(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n"), lambda x: F.struct(depth(x).alias("depth"), F.regexp_replace(x, MARKS, "").alias("text")))
-    out = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), lines.alias("lines"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    lines = F.transform(F.split(text, "\n"), lambda x: F.struct(depth(x).alias("depth"), F.regexp_replace(x, MARKS, "").alias("text")))
+    out = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), text.alias("text"), lines.alias("lines"))
     kept = F.filter("lines", lambda x, i: (x["depth"] == 0) & ~(x["text"].rlike(ATTRIBUTION) & (F.coalesce(F.get("lines", i + 1)["depth"], F.lit(0)) > 0)))
     body = F.regexp_replace(F.array_join(F.transform(kept, lambda x: x["text"]), "\n"), r"^\s+|\s+$", "")
-    return out.withColumn("body", body)
+    quotes = F.exists("lines", lambda x: x["depth"] > 0)
+    return out.select("conv_id", "turn", "role", "lines", quotes.alias("quotes"), F.when(quotes, body).otherwise(F.col("text")).alias("body"))
+
 
+def _words(text: Column) -> Column:
+    return F.when(text == "", 0).otherwise(F.size(F.split(text, " ")))
 
-def _passages(rows: DataFrame) -> DataFrame:
-    """(conv_id, turn, depth, key, words, whole): every passage and every line of it that is long enough, once a message."""
-    empty = F.array().cast("array<struct<depth:int,text:string>>")
-    # Lines are gathered into passages by comparing each with the depth of the last one.
-    step = lambda acc, x: F.when(F.element_at(acc, -1)["depth"] == x["depth"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(x["depth"].alias("depth"), F.concat_ws(" ", F.element_at(acc, -1)["text"], x["text"]).alias("text"))))).otherwise(F.concat(acc, F.array(x)))
-    joined = F.aggregate("lines", empty, lambda acc, x: F.when(F.size(acc) == 0, F.array(x)).otherwise(step(acc, x)))
-    tagged = F.concat(F.transform(joined, lambda x: F.struct(x["depth"].alias("depth"), x["text"].alias("text"), F.lit(True).alias("whole"))), F.transform("lines", lambda x: F.struct(x["depth"].alias("depth"), x["text"].alias("text"), F.lit(False).alias("whole"))))
-    each = rows.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(tagged).alias("p"))
-    each = each.select("conv_id", "turn", F.col("p.depth").alias("depth"), F.col("p.whole").alias("whole"), _normal(F.col("p.text")).alias("text"))
-    each = each.select("conv_id", "turn", "depth", "whole", F.xxhash64("text").alias("key"), F.size(F.split("text", " ")).alias("words")).where(F.col("words") >= LEAST_WORDS)
-    return each.groupBy("conv_id", "turn", "depth", "key").agg(F.max("words").alias("words"), F.max("whole").alias("whole"))
+
+def _parts(rows: DataFrame) -> DataFrame:
+    """(conv_id, turn, depth, key, words, whole): every part of a message that can be linked, once a message.
+
+    The lines are put together again with a cut wherever the depth changes, and split there.
+    """
+    fresh = lambda x, i: F.when(x["depth"] == F.get("lines", i - 1)["depth"], F.lit("")).otherwise(F.concat(F.lit(_CUT), x["depth"].cast("string"), F.lit("|")))
+    marked = F.array_join(F.transform("lines", lambda x, i: F.concat(fresh(x, i), F.translate(x["text"], _CUT, " "))), "\n")
+    passages = F.transform(F.slice(F.split(marked, _CUT), F.lit(2), F.size("lines")), lambda b: F.struct(F.substring_index(b, "|", 1).cast("int").alias("depth"), F.substring(b, F.instr(b, "|") + 1, F.length(b)).alias("text")))
+    each = rows.select("conv_id", "turn", F.explode(passages).alias("p")).select("conv_id", "turn", "p.depth", "p.text")
+    sentences = F.flatten(F.transform(F.split("text", r"\n\s*\n"), lambda t: F.split(_normal(t), r"(?<=[.!?]) ")))
+    named = lambda c, whole: F.transform(c, lambda t: F.struct(_normal(t).alias("text"), F.lit(whole).alias("whole")))
+    parts = F.concat(named(F.array("text"), True), named(F.split("text", r"\n\s*\n"), False), named(F.split("text", "\n"), False), named(sentences, False))
+    each = each.select("conv_id", "turn", "depth", F.explode(parts).alias("x")).select("conv_id", "turn", "depth", "x.*").withColumn("words", _words(F.col("text")))
+    # A few words link as a quotation of nothing else and as a message of nothing else, in hashes of their own.
+    short = each.where((F.col("depth") > 0) & F.col("whole") & F.col("words").between(1, LEAST_WORDS - 1))
+    said = rows.select("conv_id", "turn", F.lit(0).alias("depth"), _normal(F.col("body")).alias("text"), F.lit(False).alias("whole")).withColumn("words", _words(F.col("text")))
+    few = short.unionByName(said.where(F.col("words").between(1, LEAST_WORDS - 1))).withColumn("key", F.xxhash64(F.lit("few"), "text"))
+    both = each.where(F.col("words") >= LEAST_WORDS).withColumn("key", F.xxhash64("text")).unionByName(few)
+    return both.groupBy("conv_id", "turn", "depth", "key").agg(F.max("words").alias("words"), F.max("whole").alias("whole"))
 
 
 def quote_links(passages: DataFrame) -> DataFrame:
@@ -86,13 +106,17 @@ def linked_conversations(spark: SparkSession, messages: DataFrame) -> DataFrame:
     """One row for every row of ``messages`` (conv_id, turn, role, text; others ignored), without its quotations.
 
     conv_id, turn, role, text, parent_turn (null where nothing quoted was found), thread_turn, reply_depth, n_quotes
-    (quoted passages of three words or more, different ones) and n_linked (those of them and of their lines that were
-    found).  Null texts are empty; rows without conv_id or turn are threads of their own; rows that repeat a conv_id and
-    turn share what was found for it.  An empty table gives an empty result.
+    (different quoted passages that aren't blank) and n_linked (those and their parts that were found).  Null and empty
+    texts are empty messages; a text of any length is read whole; rows without conv_id or turn are threads of their own;
+    rows that repeat a conv_id and turn are one message in what was found for it, and a row each.  An empty table gives an
+    empty result.
     """
     scratch = Scratch(spark, "quotes")
     rows = scratch.keep(parsed(messages), "parsed")
-    passages = scratch.keep(_passages(rows), "passages")
+    named = rows.where("conv_id is not null and turn is not null")
+    # Only conversations with a quotation have anything to find.
+    quoting = scratch.keep(named.where("quotes").select("conv_id").distinct(), "quoting")
+    passages = scratch.keep(_parts(named.join(quoting, "conv_id", "left_semi")), "passages")
     links = scratch.keep(quote_links(passages), "links")
     by_source = links.groupBy("conv_id", "turn", "depth", "source").agg(F.sum("words").alias("words"))
     best = by_source.groupBy("conv_id", "turn").agg(F.max(F.struct((-F.col("depth")).alias("d"), "words", "source")).alias("best"))

@@ -687,6 +687,81 @@ def test_quotes(spark):
     assert linked_conversations(spark, df.limit(0)).count() == 0
 
 
+def quotes_brute(rows):
+    """The links of every message by looking through all earlier ones; parents followed up one by one."""
+    fold = lambda t: re.sub(r"[ \t\n\x0b-\x0d]+", " ", t.lower()).strip(" ")
+    mark, wrote = re.compile(r"^(?:[ \t]*>)+"), re.compile(r"(?i)\bwrote:[ \t]*$")
+    keys, body = {}, {}
+    for c, t, _, text in rows:
+        lines = [(m[0].count(">") if (m := mark.match(x)) else 0, mark.sub("", x)) for x in (text or "").split("\n")]
+        own = keys.setdefault((c, t), {})
+        kept = [x for i, (d, x) in enumerate(lines) if d == 0 and not (wrote.search(x) and i + 1 < len(lines) and lines[i + 1][0] > 0)]
+        body[c, t] = "\n".join(kept).strip() if any(d for d, _ in lines) else text or ""
+        i = 0
+        while i < len(lines):
+            j = i
+            while j < len(lines) and lines[j][0] == lines[i][0]:
+                j += 1
+            whole = "\n".join(x for _, x in lines[i:j])
+            paragraphs = re.split(r"\n\s*\n", whole)
+            parts = [whole, *paragraphs, *whole.split("\n"), *(s for p in paragraphs for s in re.split(r"(?<=[.!?]) ", fold(p)))]
+            for k, p in enumerate(map(fold, parts)):
+                n = len(p.split(" ")) if p else 0
+                if n >= 3:
+                    own[lines[i][0], p] = (n, own.get((lines[i][0], p), (0, False))[1] or k == 0)
+                elif n and k == 0 and lines[i][0]:
+                    own[lines[i][0], "few", p] = (n, True)
+            i = j
+        if 1 <= len(fold(body[c, t]).split(" ")) < 3 and fold(body[c, t]):
+            own[0, "few", fold(body[c, t])] = (1, False)
+    out, parent = {}, {}
+    for (c, t), own in sorted(keys.items()):
+        found, linked = Counter(), 0
+        for (depth, *text), (n, _) in own.items():
+            origins = [u for (d, u), other in keys.items() if d == c and u < t and (0, *text) in other] if depth else []
+            if origins:
+                found[depth, max(origins)] += n
+                linked += 1
+        if found:
+            parent[c, t] = max(found, key=lambda k: (-k[0], found[k], k[1]))[1]
+        top, deep = t, 0
+        while (c, top) in parent:
+            top, deep = parent[c, top], deep + 1
+        out[c, t] = (body[c, t], parent.get((c, t)), top, deep, sum(1 for (d, *_), (_, w) in own.items() if d and w), linked)
+    return out
+
+
+def test_quotes_equal_brute_force(spark):
+    """Generated threads: whole and partial quotations, wrapped anew, of paragraphs, sentences and a few words, nested."""
+    rnd = random.Random(61)
+    rows = []
+    for c in range(4):
+        texts = []
+        for t in range(rnd.choice([1, 40, 120])):
+            say = lambda n: sentence(rnd, n).capitalize() + "."
+            own = rnd.choice([say(8) + " " + say(5), f"{say(9)}\n{say(4)}\n\n{say(12)} {say(6)}", rnd.choice(["Yes please", "No"]), "", say(3)])
+            if texts and rnd.random() < 0.6:
+                old = rnd.choice(texts[-20:])
+                cut = rnd.choice([old, old.split("\n\n")[-1], rnd.choice(re.split(r"(?<=[.]) ", old)), old.replace(" ", "\n", 2), old.replace("\n", " ").upper()])
+                own = rnd.choice(["On day X, Y wrote:\n", ""]) + "\n".join(f"{rnd.choice(['> ', '>', ' > '])}{x}" for x in cut.split("\n")) + "\n" + own
+            texts.append(own)
+            rows.append((c, t, "user", own))
+    got = linked_conversations(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    want = quotes_brute(rows)
+    assert {(r.conv_id, r.turn): (r.text, r.parent_turn, r.thread_turn, r.reply_depth, r.n_quotes, r.n_linked) for r in got} == want and len(got) == len(rows)
+    assert sum(w[1] is not None for w in want.values()) > 50
+
+
+def test_quotes_in_long_and_repeated_rows(spark):
+    """One message of many lines, read in time that follows its lines; rows that repeat a turn; odd marks."""
+    lines = [f"line {i} of the long message" for i in range(6000)]
+    rows = [(1, 0, "u", "\n".join(lines)), (1, 1, "u", "\n".join("> " + x for x in lines) + "\nlong reply"), (1, 2, "u", "> line 17 of the long message\nshort"), (1, 2, "u", "> line 17 of the long message\nshort")]
+    rows += [(2, 0, None, "\u0001|x 1|2 a b"), (2, 1, "u", "> \u0001|x 1|2 a b"), (2, 2, "u", "  kept as it is \n")]
+    got = linked_conversations(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    by = {(r.conv_id, r.turn): r for r in got}
+    assert len(got) == 7 and by[1, 1].parent_turn == 0 and by[1, 2].parent_turn == 0 and by[1, 1].text == "long reply" and by[2, 2].text == "  kept as it is \n" and by[2, 1].parent_turn == 0
+
+
 def test_quotes_over_ranges_of_turns(spark, monkeypatch):
     from driftwell.llm import quote_linking
 

@@ -210,6 +210,46 @@ def test_quality(spark, sf, docs):
     assert quality.quality_scores(spark, docs.limit(0), labels).count() == 0
 
 
+def test_quality_equals_a_plain_fit(spark, sf):
+    """The same features, solved in one piece: ridge by the whole design matrix, calibration by its definition."""
+    import numpy as np
+    import pyarrow as pa
+    from zlib import crc32
+
+    d, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    cfg = quality.QualityModel(features=40, folds=3)
+    got = {r.doc_id: r for r in quality.quality_scores(spark, d, labels, cfg).collect()}
+    rows, known = pairs(d), {r.doc_id: float(r.quality) for r in labels.where("quality is not null").collect()}
+    x = quality.statistics(pa.array([t for _, t in rows]))
+    spread = x.astype(float).std(axis=0)
+    z = quality._Fourier(cfg, x.astype(float).mean(axis=0), np.where(spread > 1e-6, spread, 1.0))(x)
+    held = [crc32(str(i).encode()) % 5 == 0 for i, _ in rows]
+    assert [got[i].held_out for i, _ in rows] == held
+    learn = [k for k, (i, _) in enumerate(rows) if i in known and not held[k]]
+    fold = {r.doc_id: r.f for r in d.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(3)).alias("f")).collect()}
+    y, f = np.array([known[rows[k][0]] for k in learn]), np.array([fold[rows[k][0]] for k in learn])
+
+    def solve(own):
+        a, b = z[learn][own], y[own]
+        ridge = np.diag([cfg.ridge * len(b)] * cfg.features + [1e-9])
+        return np.linalg.solve(a.T @ a + ridge, a.T @ b)
+
+    raw = np.zeros(len(y))
+    for k in range(3):
+        raw[f == k] = z[learn][f == k] @ solve(f != k)
+    at = np.clip(((raw - quality.LOW) / (quality.HIGH - quality.LOW) * quality.BINS).astype(int), 0, quality.BINS - 1)
+    bins = sorted(set(at))
+    n = np.array([(at == b).sum() for b in bins], float)
+    rate = np.array([y[at == b].mean() for b in bins])
+    # The isotonic fit by its minimax formula.
+    mean = lambda i, j: (rate[i : j + 1] * n[i : j + 1]).sum() / n[i : j + 1].sum()
+    level = np.array([max(min(mean(i, j) for j in range(k, len(bins))) for i in range(k + 1)) for k in range(len(bins))])
+    middle = quality.LOW + (np.array(bins) + 0.5) * (quality.HIGH - quality.LOW) / quality.BINS
+    knots = [(middle[own] * n[own]).sum() / n[own].sum() for v in np.unique(level.round(12)) if (own := level.round(12) == v).any()]
+    want = np.clip(np.interp(z @ solve(np.ones(len(y), bool)), knots, np.unique(level.round(12))), 0, 1)
+    assert max(abs(got[i].score - w) for (i, _), w in zip(rows, want, strict=True)) < 1e-4
+
+
 def test_held_out_labels_are_never_read(spark, sf):
     d, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     turned = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))

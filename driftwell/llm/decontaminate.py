@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from driftwell.llm import textkernel as tk
+from driftwell.llm.rows import without
 from driftwell.llm.scratch import Scratch, settings
 
 WIDTH, PERCENT = 5, 80
@@ -143,7 +144,7 @@ def clean_documents(spark: SparkSession, docs: DataFrame, items: DataFrame, widt
     Of rows that repeat a doc_id all go when one contains an item; rows without doc_id can't be named and stay.
     """
     hits = Scratch(spark, "leaks").keep(contained_items(spark, docs, items, width, percent).select("doc_id").distinct(), "documents")
-    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, hits)
 
 
 #: DuckDB twin of ``contained_items`` at five words and 80 %.

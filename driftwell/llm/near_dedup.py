@@ -139,6 +139,8 @@ def _run(scratch: Scratch, docs: DataFrame, cfg: NearDedup) -> DataFrame:
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) that pass on whole sets."""
         x, y = (members.select(F.col("rep").alias(c), F.col("members").alias(f"set_{c}")) for c in "ab")
+        # A table first: a text that very many pairs have can then be split at run time.
+        pairs = scratch.keep(pairs, f"{name}-pairs")
         return scratch.keep(pairs.join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(cfg.percent), "a long, b long").distinct(), name)
 
     leaders = scratch.keep(posted.groupBy("token").agg(*[F.min(F.col("rep").bitwiseXOR(F.lit(s))).alias(f"l{i}") for i, s in enumerate(cfg.leaders)]), "leaders")

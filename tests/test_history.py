@@ -1,7 +1,11 @@
-"""Causal features on small streams with results worked out by hand."""
+"""Causal features of generated streams against a plain history that looks through all earlier rows."""
 
 from __future__ import annotations
 
+import math
+import random
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,122 +13,161 @@ from driftwell.operators import history
 from driftwell.sources.tables import TRANSACTION
 
 NAMES = TRANSACTION.fieldNames()
-
-
-def rows(times, amounts, **changes):
-    out = []
-    for i, (t, a) in enumerate(zip(times, amounts, strict=True)):
-        row = {"TransactionID": i + 1, "TransactionDT": float(t), "TransactionAmt": float(a), "card1": 1.0, "card2": 2.0, "card3": 3.0, "card5": 5.0, "addr1": 6.0, "card4": "visa", "ProductCD": "W", "P_emaildomain": "mail.example", "R_emaildomain": "recipient.example", "DeviceInfo": "device", "has_identity": True}
-        for name, values in changes.items():
-            row[name] = values[i]
-        out.append(tuple(row[n] for n in NAMES))
+START = "2031-05-07T21:30:00-04:00"
+
+
+def stream(seed: int, n: int, entities: int = 3, span: int = 12 * 86_400) -> list[dict]:
+    """Rows in order of time with many ties, gaps of minutes to days, and anything missing now and then."""
+    rnd = random.Random(seed)
+    maybe = lambda v, share=0.15: None if rnd.random() < share else v
+    times = sorted(rnd.choice([rnd.randrange(span), rnd.randrange(span // 3600) * 3600, 7 * 3600 + rnd.randrange(3) * 1800]) for _ in range(n))
+    rows = []
+    for i, t in enumerate(times):
+        e = rnd.randrange(entities)
+        rows.append(
+            {
+                "TransactionID": 7000 + i * 3, "TransactionDT": float(t), "TransactionAmt": rnd.choice([0.0, round(rnd.uniform(3, 80), 2), 31.5]), "card1": float(e), "card2": 8.5, "card3": 4.0, "card5": maybe(2.0, 0.08), "addr1": maybe(float(e % 2), 0.08),
+                "card4": maybe(rnd.choice(["amber", "birch"])), "ProductCD": maybe(rnd.choice("PQR")), "P_emaildomain": maybe(rnd.choice(["left.test", "right.test"])), "R_emaildomain": maybe(rnd.choice(["left.test", "up.test"])),
+                "DeviceInfo": maybe(rnd.choice(["tablet", "kiosk", "watch"]), 0.4), "has_identity": rnd.random() < 0.5,
+            }
+        )
+    return rows
+
+
+def as_tuples(rows: list[dict]) -> list[tuple]:
+    return [tuple(r[n] for n in NAMES) for r in rows]
+
+
+def expected(rows: list[dict], row: dict, reference: str | None) -> dict:
+    """All features of one row, from the definitions."""
+    t, x, day = row["TransactionDT"], row["TransactionAmt"], 86_400
+    key = lambda r: tuple(r[p] for p in history.ENTITY_PARTS)
+    known = None not in key(row)
+    earlier = [r for r in rows if r["TransactionDT"] < t]
+    own = [r for r in earlier if known and key(r) == key(row)]
+    n, amounts = len(own), [r["TransactionAmt"] for r in own]
+    mean = sum(amounts) / n if n else None
+    spread = math.sqrt(sum((a - mean) ** 2 for a in amounts) / n) if n >= 2 else None
+    relative = x / mean if n and mean > 0 else None
+    days = (t - min(r["TransactionDT"] for r in own)) / day if n else None
+    phase = int(t // 3600) % 24
+    out = {
+        "amount": x, "log_amount": math.log1p(x), "relative_day": t // day, "hour_phase": phase, "hour_sin": math.sin(2 * math.pi * (t % day) / day), "hour_cos": math.cos(2 * math.pi * (t % day) / day),
+        "has_identity": row["has_identity"], "entity_known": known, "prior_transaction_count": n if known else None, "prior_mean_amount": mean, "prior_std_amount": spread, "amount_to_prior_mean": relative,
+        "amount_zscore": (x - mean) / spread if n >= 5 and spread > 1e-12 else None, "prior_count_1h": sum(r["TransactionDT"] >= t - 3600 for r in own) if known else None,
+        "prior_count_24h": sum(r["TransactionDT"] >= t - day for r in own) if known else None, "seconds_since_previous": t - own[-1]["TransactionDT"] if n else None, "history_span_days": days,
+        "entity_hour_probability": (sum(int(r["TransactionDT"] // 3600) % 24 == phase for r in own) + 1) / (n + 24) if n else None, "prior_global_count": len(earlier),
+        "history_sufficient": n >= 5, "frequent_entity": n >= 20 and days >= 7, "usual_amount": None if n < 5 or relative is None else 2 / 3 <= relative <= 1.5,
+        "email_domains_match": None if None in (row["P_emaildomain"], row["R_emaildomain"]) else row["P_emaildomain"] == row["R_emaildomain"], "calendar_available": reference is not None,
+    }
+    for plural, name, column in (("products", "product", "ProductCD"), ("email_domains", "email", "P_emaildomain"), ("devices", "device", "DeviceInfo")):
+        seen = {r[column] for r in own} - {None}
+        out[f"prior_distinct_{plural}"] = len(seen) if known else None
+        out[f"entity_{name}_is_new"] = None if row[column] is None or not seen else row[column] not in seen
+    for name, parts in (("product", ["ProductCD"]), ("email", ["P_emaildomain"]), ("device", ["DeviceInfo"]), ("product_card", ["ProductCD", "card4"]), ("email_pair", ["P_emaildomain", "R_emaildomain"])):
+        value = lambda r, parts=parts: tuple(r[p] for p in parts)
+        there = None not in value(row)
+        same, all_of = sum(value(r) == value(row) for r in earlier), sum(None not in value(r) for r in earlier)
+        out[f"{name}_prior_frequency"] = same / all_of if there and all_of else None
+        if len(parts) == 2:
+            out[f"{name}_prior_support"] = same if there else None
+    local = datetime.fromisoformat(reference).replace(tzinfo=None) + timedelta(seconds=t) if reference else None
+    out |= {"hour": local.hour, "day_of_week": local.weekday(), "is_weekend": local.weekday() > 4, "is_business_hours": local.weekday() < 5 and 9 <= local.hour < 17} if local else dict.fromkeys(("hour", "day_of_week", "is_weekend", "is_business_hours"))
     return out
 
 
-def run(spark, data, reference=None):
-    out = history.features(spark.createDataFrame(data, TRANSACTION), reference).orderBy("TransactionID").collect()
-    return {c: [r[c] for r in out] for c in history.FEATURES}
-
-
-def test_base(spark):
-    f = run(spark, rows([0, 10, 20], [100, 120, 10000]))
-    assert f["prior_transaction_count"] == [0, 1, 2]
-    assert f["prior_mean_amount"] == [None, 100, 110]
-    assert f["prior_std_amount"] == [None, None, 10]
-    assert f["amount_to_prior_mean"][2] == pytest.approx(10000 / 110)
-    assert f["seconds_since_previous"] == [None, 10, 10]
-
-
-def test_ties_are_invisible(spark):
-    f = run(spark, rows([0, 0, 1], [100, 120, 10000]))
-    assert f["prior_transaction_count"] == [0, 0, 2]
-    assert f["prior_global_count"] == [0, 0, 2]
-    assert f["prior_mean_amount"] == [None, None, 110]
-    assert f["product_card_prior_support"] == [0, 0, 2]
-
-
-def test_velocity(spark):
-    f = run(spark, rows([0, 3600, 3601, 86400, 86401], [1] * 5))
-    assert f["prior_count_1h"] == [0, 1, 1, 0, 1]
-    assert f["prior_count_24h"] == [0, 1, 2, 3, 3]
-
-
-def test_unknown_entities(spark):
-    f = run(spark, rows([0, 10, 20], [1, 1, 1], addr1=[None, None, 6.0]))
-    assert f["entity_known"] == [0, 0, 1]
-    assert f["prior_transaction_count"] == [None, None, 0]
-    assert f["prior_global_count"] == [0, 1, 2]
-    assert f["history_sufficient"] == [0, 0, 0]
-
-
-def test_novelty(spark):
-    f = run(spark, rows([0, 10, 20], [1, 1, 1], DeviceInfo=["a", "a", "b"], ProductCD=["W", "W", "C"]))
-    assert f["entity_device_is_new"] == [None, 0, 1]
-    assert f["entity_product_is_new"] == [None, 0, 1]
-    assert f["product_prior_frequency"] == [None, 1, 0]
-    gone = run(spark, rows([0, 10, 20], [1, 1, 1], DeviceInfo=[None, None, "a"]))
-    assert gone["entity_device_is_new"] == [None, None, None]
+def agrees(got, want: dict, columns) -> None:
+    for c in columns:
+        g, w = got[c], want[c]
+        assert (g is None and w is None) or (g is not None and w is not None and math.isclose(g, w, rel_tol=1e-7, abs_tol=1e-9)), (got.TransactionID, c, g, w)
 
 
-def test_denominators_count_observed_rows(spark):
-    f = run(spark, rows([0, 10, 20], [1, 1, 1], P_emaildomain=[None, "m", "m"]))
-    assert f["email_prior_frequency"] == [None, None, 1]
-    assert f["email_pair_prior_support"][2] == 1
-
-
-def test_calendar(spark):
-    day = 86400
-    f = run(spark, rows([9 * 3600, 17 * 3600, day + 9 * 3600], [1, 1, 1]), "2026-09-25T00:00:00+03:00")
-    assert f["day_of_week"] == [4, 4, 5]
-    assert f["is_business_hours"] == [1, 0, 0]
-    assert f["is_weekend"] == [0, 0, 1]
+@pytest.mark.parametrize(("seed", "reference"), [(1, START), (2, None)])
+def test_features_equal_plain_history(spark, seed, reference):
+    rows = stream(seed, 170)
+    got = {r.TransactionID: r for r in history.features(spark.createDataFrame(as_tuples(rows), TRANSACTION), reference).collect()}
+    assert len(got) == len(rows)
+    for row in rows:
+        agrees(got[row["TransactionID"]], expected(rows, row, reference), history.FEATURES)
+    seen = [expected(rows, r, reference) for r in rows]
+    assert any(e["frequent_entity"] for e in seen) and any(e["prior_count_1h"] for e in seen) and any(e["entity_device_is_new"] for e in seen)
     with pytest.raises(ValueError):
-        run(spark, rows([0], [1]), "2026-09-25T00:00:00")
-
-
-def test_zero_amounts_give_no_ratio(spark):
-    f = run(spark, rows(range(7), [0, 0, 0, 0, 0, 0, 10000]))
-    assert f["amount_to_prior_mean"] == [None] * 7 and f["amount_zscore"] == [None] * 7
-
-
-def test_frequent_entities(spark):
-    f = run(spark, rows([*range(21), 8 * 86400], [100] * 22))
-    assert f["frequent_entity"] == [0] * 21 + [1]
-    assert f["history_sufficient"][4:6] == [0, 1]
+        history.features(spark.createDataFrame(as_tuples(rows[:1]), TRANSACTION), "2031-05-07T21:30:00")
 
 
 def test_future_rows_change_nothing(spark):
-    data = rows([0, 5, 5, 9, 12], [3, 4, 5, 6, 7])
-    short, whole = run(spark, data[:3]), run(spark, data)
-    assert all(whole[c][:3] == short[c] for c in history.FEATURES)
+    rows = stream(5, 60)
+    cut = next(i for i in range(30, 60) if rows[i]["TransactionDT"] > rows[i - 1]["TransactionDT"])
+    short, whole = ({r.TransactionID: r for r in history.features(spark.createDataFrame(as_tuples(part), TRANSACTION)).collect()} for part in (rows[:cut], rows))
+    for i, r in short.items():
+        agrees(whole[i], r.asDict(), history.FEATURES)
 
 
 def test_codes_of_any_type_are_one_entity(spark):
-    a = spark.createDataFrame(rows([0, 1, 2], [1, 1, 1]), TRANSACTION)
-    b = a.withColumn("card1", F.col("card1").cast("long"))
-    assert [r.prior_transaction_count for r in history.features(b).orderBy("TransactionID").collect()] == [0, 1, 2]
+    rows = [r for r in stream(6, 40) if r["card5"] and r["addr1"] is not None]
+    a = spark.createDataFrame(as_tuples(rows), TRANSACTION)
+    b = a.withColumns({"card1": F.col("card1").cast("long"), "addr1": F.col("addr1").cast("int").cast("string")})
+    counts = [{r.TransactionID: r.prior_transaction_count for r in history.features(x).collect()} for x in (a, b)]
+    assert counts[0] == counts[1] and max(counts[0].values()) > 3
 
 
 def test_empty(spark):
     assert history.features(spark.createDataFrame([], TRANSACTION)).count() == 0
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    from driftwell.operators.history import ENTITY_PARTS
+STREAMED = (
+    "prior_transaction_count", "prior_mean_amount", "prior_std_amount", "prior_count_1h", "prior_count_24h", "seconds_since_previous", "history_span_days", "entity_hour_probability", "prior_distinct_products",
+    "entity_product_is_new", "prior_distinct_email_domains", "entity_email_is_new", "prior_distinct_devices", "entity_device_is_new",
+)
+
+
+def run(stream_df, path: str) -> None:
+    stream_df.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+
+
+def test_stream_equals_plain_history(spark, tmp_path):
     from driftwell.streaming.history import history_stream, replay
 
-    data = rows([0, 0, 5, 3600, 4000, 9000, 9000, 90000], [3, 4, 5, 6, 7, 8, 9, 10], ProductCD=["W", "C", "W", None, "C", "R", "W", "R"])
-    df = spark.createDataFrame(data, TRANSACTION)
-    stream = history_stream(replay(df, f"{tmp_path}/in", 3), list(ENTITY_PARTS))
-    stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = stream(11, 90)
+    run(history_stream(replay(spark.createDataFrame(as_tuples(rows), TRANSACTION), f"{tmp_path}/in", 4), list(history.ENTITY_PARTS)), str(tmp_path))
     got = {r.TransactionID: r for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    for r in history.features(df).collect():
-        g = got[r.TransactionID]
-        assert not g.late
-        for c in ("prior_transaction_count", "prior_count_1h", "prior_count_24h", "prior_distinct_products", "entity_product_is_new", "seconds_since_previous"):
-            assert g[c] == r[c], c
-        for c in ("prior_mean_amount", "prior_std_amount", "entity_hour_probability"):
-            assert (g[c] is None) == (r[c] is None) and (g[c] is None or abs(g[c] - r[c]) < 1e-9), c
+    assert len(got) == len(rows) and not any(r.late for r in got.values())
+    for row in rows:
+        agrees(got[row["TransactionID"]], expected(rows, row, None), STREAMED)
+
+
+def test_late_rows_are_told_or_stop_the_stream(spark, tmp_path):
+    """A batch that is refused leaves the state as it was: the same stream goes on when the late rows are gone."""
+    from driftwell.streaming.history import history_stream
+
+    rows = [r for r in stream(12, 40, 1) if r["card5"] and r["addr1"] is not None]
+    middle, times = len(rows) // 2, [r["TransactionDT"] for r in rows]
+    while times[middle] == times[middle - 1]:
+        middle += 1
+    late = {**rows[0], "TransactionID": 1}
+
+    def put(name: str, part: list[dict]) -> None:
+        spark.createDataFrame(as_tuples(part), TRANSACTION).coalesce(1).write.parquet(f"{tmp_path}/{name}")
+
+    def source(*names: str):
+        return spark.readStream.schema(TRANSACTION).option("recursiveFileLookup", True).parquet(f"{tmp_path}/{{{','.join(names)}}}")
+
+    put("a", rows[:middle])
+    put("b", [late, *rows[middle:]])
+    for strict in (False, True):
+        path = f"{tmp_path}/{strict}"
+        run(history_stream(source("a"), list(history.ENTITY_PARTS), strict), path)
+        if strict:
+            with pytest.raises(Exception, match="late rows"):
+                run(history_stream(source("a", "b"), list(history.ENTITY_PARTS), strict), path)
+            done = spark.read.parquet(f"{path}/out").collect()
+            assert {r.TransactionID for r in done} == {r["TransactionID"] for r in rows[:middle]}
+        else:
+            run(history_stream(source("a", "b"), list(history.ENTITY_PARTS), strict), path)
+            got = {r.TransactionID: r for r in spark.read.parquet(f"{path}/out").collect()}
+            assert got[1].late and got[1].prior_transaction_count is None and len(got) == len(rows) + 1
+            for row in rows:
+                agrees(got[row["TransactionID"]], expected(rows, row, None), STREAMED)
 
 
 def test_full_stream_equals_batch(spark, sf):
@@ -141,17 +184,42 @@ def test_full_stream_equals_batch(spark, sf):
             assert got[r.TransactionID][c] == r[c], c
 
 
-def test_global_stream_equals_batch(spark, tmp_path):
-    from driftwell.streaming.global_counts import counting
+GLOBAL = ("prior_global_count", *(f"{n}_prior_frequency" for n in history.FREQUENCIES), "product_card_prior_support", "email_pair_prior_support")
+
+
+def test_global_counts_equal_plain_history(spark, tmp_path):
+    """Batch by batch, one sent twice; the totals are few tables and a refused batch changes none."""
+    from driftwell.streaming import global_counts
 
-    data = rows([0, 0, 5, 9, 9, 12, 20], [1] * 7, ProductCD=["W", "C", "W", "C", None, "W", "C"], P_emaildomain=["a", None, "a", "b", "b", "a", "a"])
-    df = spark.createDataFrame(data, TRANSACTION)
-    handle = counting(f"file://{tmp_path}/g")
-    parts = [df.where("TransactionDT < 5"), df.where("TransactionDT between 5 and 9"), df.where("TransactionDT > 9")]
-    for n in (0, 1, 1, 2):  # one batch is sent twice
-        handle(parts[n], n)
-    names = ["prior_global_count", *(f"{n}_prior_frequency" for n in history.FREQUENCIES), "product_card_prior_support", "email_pair_prior_support"]
-    got = {r.TransactionID: [r[c] for c in names] for r in spark.read.parquet(*[f"file://{tmp_path}/g/features/batch-{n}" for n in range(3)]).collect()}
-    assert got == {r.TransactionID: [r[c] for c in names] for r in history.features(df).collect()}
+    rows = stream(13, 80)
+    cuts = [0, *sorted(i for i in random.Random(3).sample(range(1, 80), 9) if rows[i]["TransactionDT"] > rows[i - 1]["TransactionDT"]), 80]
+    parts = [spark.createDataFrame(as_tuples(rows[a:b]), TRANSACTION) for a, b in zip(cuts, cuts[1:])]
+    root = f"file://{tmp_path}/g"
+    handle = global_counts.counting(root)
+    for n, part in enumerate(parts):
+        handle(part, n)
+        if n == 2:
+            handle(part, n)
+    got = {r.TransactionID: r for r in spark.read.parquet(*[f"{root}/features/batch-{n}" for n in range(len(parts))]).collect()}
+    for row in rows:
+        agrees(got[row["TransactionID"]], expected(rows, row, None), GLOBAL)
+    before = global_counts.state(spark, root, len(parts))
+    assert len(before[1]) <= 4
     with pytest.raises(ValueError):
-        handle(parts[0], 3)
+        handle(parts[0], len(parts))
+    assert global_counts.state(spark, root, len(parts) + 1) == before
+
+
+def test_tumbling_windows(spark, tmp_path):
+    from driftwell.streaming.history import tumbling
+
+    rows = stream(14, 70)
+    timed = spark.createDataFrame(as_tuples(rows), TRANSACTION).select(F.timestamp_seconds("TransactionDT").alias("at"), "TransactionAmt")
+    timed.coalesce(1).write.parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(timed.schema).parquet(f"{tmp_path}/in")
+    tumbling(source, "at").writeStream.format("memory").queryName("days").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    want: dict[int, list[float]] = {}
+    for r in rows:
+        want.setdefault(int(r["TransactionDT"] // 86_400), []).append(r["TransactionAmt"])
+    got = {int(r.window.start.timestamp() // 86_400): (r.rows, round(r.amount, 6)) for r in spark.table("days").collect()}
+    assert got == {d: (len(v), round(sum(v), 6)) for d, v in want.items()}

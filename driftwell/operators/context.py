@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from driftwell.functions.columns import held
 from driftwell.operators import validate
 from driftwell.operators.layers import LAYERS
+from driftwell.operators.prefix import quantiles
 
 
 @dataclass(frozen=True)
@@ -69,9 +70,8 @@ def product_reference(train: DataFrame, cfg: Context = Context(), check: bool =
     """(ProductCD, support, lower, upper): the usual amounts of products with enough training rows."""
     if check:
         validate.training_only(train)
-    p = F.percentile("amount", F.array(F.lit(cfg.product_lower_quantile), F.lit(cfg.product_upper_quantile)))
-    by = train.where("ProductCD is not null").groupBy("ProductCD").agg(F.count("*").alias("support"), p.alias("_p")).where(F.col("support") >= cfg.product_minimum_support)
-    return by.select("ProductCD", "support", F.col("_p")[0].alias("lower"), F.col("_p")[1].alias("upper"))
+    by = quantiles(train.where("ProductCD is not null"), "amount", [cfg.product_lower_quantile, cfg.product_upper_quantile], ("ProductCD",)).where(F.col("n") >= cfg.product_minimum_support)
+    return by.select("ProductCD", F.col("n").alias("support"), F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"))
 
 
 def with_external(scored: DataFrame, external: DataFrame | None, check: bool = True) -> DataFrame:
@@ -199,8 +199,10 @@ def check_profiles(profiles: DataFrame, policy: ProductRisk) -> None:
             raise ValueError(f"the profile of {r['ProductCD']} does not follow from its counts")
 
 
-def apply_product_risk(scored: DataFrame, profiles: DataFrame, policy: ProductRisk, cfg: Context = Context(), external: DataFrame | None = None) -> DataFrame:
+def apply_product_risk(scored: DataFrame, profiles: DataFrame, policy: ProductRisk, cfg: Context = Context(), external: DataFrame | None = None, check: bool = False) -> DataFrame:
     """Behaviour context without the product discount, and a signed product term after the end of training."""
+    if check:
+        check_profiles(profiles, policy)
     base = apply_context(scored, cfg, None, external, frozenset(RULES) - {"product_typical_amount"})
     known = base.join(profiles.select("ProductCD", F.col("support").alias("_support"), F.col("log_relative_risk").alias("_risk")), "ProductCD", "left")
     known = known.withColumn("product_context_available", held((F.col("_support") >= policy.support) & (F.col("TransactionDT") > policy.training_end)))

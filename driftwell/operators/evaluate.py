@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import islice
 from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from driftwell.functions.columns import ratio
-from driftwell.operators.prefix import cuts_of, order_statistics, sums_before
+from driftwell.operators import validate
+from driftwell.operators.prefix import MOST_RANGES, RANGE_ROWS, cuts_of, order_statistics, sums_before
+from driftwell.operators.profile import varying_columns
+from driftwell.sources.shared import keep
 
 
 def _n(condition: Column) -> Column:
@@ -56,17 +62,17 @@ def at_budget(df: DataFrame, score: str, k: int, label: str = "isFraud", key: st
     return confusion(df.join(picked, key, "left").withColumn("_picked", F.coalesce("_picked", F.lit(False))), F.col("_picked"), label)
 
 
-def ranking_metrics(df: DataFrame, score: str, label: str = "isFraud") -> DataFrame:
-    """One row: average_precision and roc_auc, equal scores taken together; null without both kinds of labels."""
-    by = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(_n(F.col(label) == 1).alias("p"), _n(F.col(label) != 1).alias("q"))
-    placed = sums_before(by, "s", ["p", "q"], cuts=cuts_of(df, score))
-    total = by.agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_q"))
+def ranking_metrics(df: DataFrame, score: str, label: str = "isFraud", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, average_precision, roc_auc): equal scores are taken together; null without both kinds of labels."""
+    scores = df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("s")).agg(_n(F.col(label) == 1).alias("p"), _n(F.col(label) != 1).alias("q"))
+    placed = sums_before(scores, "s", ["p", "q"], by, cuts_of(df, score))
+    total = scores.groupBy(*by).agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_q"))
     # Above a score lie all but those below it: seen counts from the top down to it.
-    j = placed.crossJoin(F.broadcast(total)).withColumn("tp", F.col("all_p") - F.col("p_before")).withColumn("fp", F.col("all_q") - F.col("q_before"))
+    j = (placed.join(total, list(by)) if by else placed.crossJoin(F.broadcast(total))).withColumn("tp", F.col("all_p") - F.col("p_before")).withColumn("fp", F.col("all_q") - F.col("q_before"))
     ap = F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.max("all_p")
     auc = F.sum(F.col("p") * (F.col("q_before") + F.col("q") / 2)) / (F.max("all_p") * F.max("all_q"))
     both = (F.max("all_p") > 0) & (F.max("all_q") > 0)
-    return j.agg(F.when(both, ap).alias("average_precision"), F.when(both, auc).alias("roc_auc"))
+    return j.groupBy(*by).agg(F.when(both, ap).alias("average_precision"), F.when(both, auc).alias("roc_auc"))
 
 
 def paired_effect(df: DataFrame, before: str, after: str, threshold: float, label: str = "isFraud") -> DataFrame:
@@ -129,118 +135,174 @@ def overlap(df: DataFrame, first: str, second: str, rate: float, label: str = "i
     return j.agg(F.lit(k).cast("long").alias("reviews_each"), _n(in_a & in_b).alias("shared_reviews"), _n(in_a & ~in_b & F.col("y")).alias("first_only_tp"), _n(in_b & ~in_a & F.col("y")).alias("second_only_tp"), F.count("*").alias("union_reviews"), _n(F.col("y")).alias("union_tp"))
 
 
-def hybrid_ranking(df: DataFrame, supervised: str, raw: str, share: float, group: str = "fold", key: str = "TransactionID") -> DataFrame:
-    """(group, key, place): within a group, slots go to two rankings by a quota; a row taken once is passed over later.
+def hits_at(df: DataFrame, by: tuple[str, ...], score: str, rate: float, label: str = "isFraud", key: str = "TransactionID") -> DataFrame:
+    """(by, reviews, hits): the ``rate`` of each group's rows with the highest scores, equal ones by key, and the positives in it.
 
-    A slot prefers the supervised ranking where ceil(slot * share) rises, else the raw one.  Sequential by nature, so a
-    group (one evaluation window's ids and two ranks) is one task; groups run side by side.
+    Groups may be of any size: scores are counted, and only the rows tied at a group's last score are placed by key.
+    """
+    rows = df.select(*by, F.col(key).alias("_k"), F.coalesce(F.col(score), F.lit(float("-inf"))).alias("_s"), (F.col(label) == 1).cast("long").alias("_y"))
+    each = rows.groupBy(*by, "_s").agg(F.count("*").alias("_n"), F.sum("_y").alias("_h"))
+    total = each.groupBy(*by).agg(F.sum("_n").alias("_all")).withColumn("_budget", F.ceil(F.col("_all") * F.lit(rate)).cast("long"))
+    placed = sums_before(each, "_s", ["_n"], by, cuts_of(rows, "_s")).join(total, list(by)).withColumn("_above", F.col("_all") - F.col("_n_before") - F.col("_n"))
+    whole = placed.where(F.col("_above") + F.col("_n") <= F.col("_budget")).groupBy(*by).agg(F.sum("_h").alias("_h"))
+    last = placed.where((F.col("_above") < F.col("_budget")) & (F.col("_above") + F.col("_n") > F.col("_budget"))).select(*by, "_s", (F.col("_budget") - F.col("_above")).alias("_room"))
+    tied = rows.join(last, [*by, "_s"]).withColumn("_n", F.lit(1).cast("long"))
+    taken = sums_before(tied, "_k", ["_n"], by, cuts_of(rows, "_k")).where(F.col("_n_before") < F.col("_room")).groupBy(*by).agg(F.sum("_y").alias("_h"))
+    hits = whole.unionByName(taken).groupBy(*by).agg(F.sum("_h").alias("hits"))
+    return total.join(hits, list(by), "left").select(*by, F.col("_budget").alias("reviews"), F.coalesce("hits", F.lit(0)).cast("long").alias("hits"))
+
+
+def compare(df: DataFrame, before: str, after: str, threshold: float, rate: float, label: str = "isFraud", key: str = "TransactionID") -> DataFrame:
+    """One row: alerts and hits of two scores at one threshold, their hits at one budget, and what changes between them."""
+    k = budget(df.count(), rate)
+    y, out = F.col(label) == 1, paired_effect(df, before, after, threshold, label)
+    for name, score in (("before", before), ("after", after)):
+        hit = F.coalesce(F.col(score) >= threshold, F.lit(False))
+        out = out.crossJoin(df.agg(_n(hit).alias(f"{name}_alerts"), _n(hit & y).alias(f"{name}_tp")))
+        out = out.crossJoin(top_k(df, score, k, key).agg(_n(y).alias(f"{name}_budget_tp")))
+    return out.withColumn("budget", F.lit(k).cast("long"))
+
+
+def _alternating(first: list, second: list, share: float, slots: int) -> list:
+    """The first ``slots`` of two lists read in turns, what has come before passed over; ``share`` of the turns are the first's."""
+    unread = {True: iter(first), False: iter(second)}
+    chosen: dict = {}  # keeps the order
+    for turn in np.diff(np.ceil(np.arange(slots + 1) * share)) > 0:
+        found = [x for x in islice((x for x in unread[bool(turn)] if x not in chosen), 1)]
+        if not found:
+            break
+        chosen[found[0]] = True
+    return list(chosen)
+
+
+def hybrid_ranking(df: DataFrame, supervised: str, raw: str, share: float, slots: int, group: str = "fold", key: str = "TransactionID") -> DataFrame:
+    """(group, key, place): the first ``slots`` places of a group, dealt to two rankings by a quota; a row counts once.
+
+    After any number of places, ``share`` of them, rounded up, were the supervised ranking's turn, and each turn takes the
+    best row of its ranking that is not in yet.  A row at a place has at most that rank in one of the two, so only the
+    ``slots`` best of either ranking are read: twice that many short rows a group, whatever its size.
     """
 
-    def interleave(part: pd.DataFrame) -> pd.DataFrame:
-        orders = [part.sort_values([c, key], ascending=[False, True]).index.to_numpy() for c in (supervised, raw)]
-        taken, places, at = set(), [], [0, 0]
-        for slot in range(1, len(part) + 1):
-            side = 0 if ceil(slot * share) > ceil((slot - 1) * share) else 1
-            while orders[side][at[side]] in taken:
-                at[side] += 1
-            taken.add(orders[side][at[side]])
-            places.append(orders[side][at[side]])
-        return pd.DataFrame({group: part.loc[places, group].to_numpy(), key: part.loc[places, key].to_numpy(), "place": np.arange(1, len(part) + 1)})
+    def places(part: pd.DataFrame) -> pd.DataFrame:
+        best = [part.loc[part[c] <= slots].sort_values(c)[key].tolist() for c in ("_first", "_second")]
+        merged = _alternating(*best, share, slots)
+        return pd.DataFrame({group: [part[group].iloc[0]] * len(merged), key: merged, "place": range(1, len(merged) + 1)})
 
     kinds = dict(df.dtypes)
-    return df.select(group, key, supervised, raw).groupBy(group).applyInPandas(interleave, f"{group} {kinds[group]}, {key} {kinds[key]}, place long")
+    ends = []
+    for name, score in (("_first", supervised), ("_second", raw)):
+        rank = F.row_number().over(W.partitionBy(group).orderBy(F.col(score).desc_nulls_last(), key))
+        ends.append(df.select(group, key, rank.alias(name)).where(F.col(name) <= slots))
+    both = ends[0].join(ends[1], [group, key], "full_outer")
+    return both.groupBy(group).applyInPandas(places, f"{group} {kinds[group]}, {key} {kinds[key]}, place long")
 
 
-def block_bootstrap(df: DataFrame, base: str, challenger: str, rate: float, resamples: int, least_blocks: int = 8, seed: int = 17, label: str = "isFraud", key: str = "TransactionID", block: str = "block") -> DataFrame:
-    """One row: observed gap in hits and its 95 % interval over draws of whole blocks with replacement.
+def _replicates(df: DataFrame, score: str, rate: float, weigh: Callable[[np.ndarray, np.ndarray], np.ndarray], count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hits within the budget, and weight, of each of ``count`` replicates of the rows of ``df`` (k, b, y, score).
 
-    A draw weighs each block by how often it is drawn.  Ranges of each ranking are summed by block first; a replicate
-    then reads these sums and the rows of the one range in which its budget ends.
+    ``weigh`` gives the rows' weights in all replicates, by key and block.  The order (score, then key) is cut into ranges
+    of about equal size, ties or not; a range's weights are added up where its rows are, and the rows of a range are read
+    again only for the replicates whose budget ends in it.
     """
+    rows = df.select(F.col("k").cast("long").alias("k"), F.col("b").cast("int").alias("b"), F.col("y").cast("int").alias("y"), F.col(score).cast("double").alias("s"))
+    ranges = max(1, min(MOST_RANGES, rows.count() // RANGE_ROWS))
+    placed = keep(rows.repartitionByRange(ranges, F.col("s").desc_nulls_last(), "k").withColumn("r", F.spark_partition_id()), "replicates")
+
+    def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, b, y, r = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in "kbyr")
+            w = weigh(k, b)
+            for one in np.unique(r):
+                own = r == one
+                yield pa.RecordBatch.from_arrays([pa.array([one], pa.int32()), pa.array([w[own].sum(axis=0).astype(float)]), pa.array([(w[own] * y[own, None]).sum(axis=0).astype(float)])], ["r", "w", "h"])
+
+    def add(key: tuple, part: pa.Table) -> pa.Table:
+        total = {c: np.stack(part[c].to_numpy()).sum(axis=0) for c in "wh"}
+        return pa.table({"r": pa.array([key[0].as_py()], pa.int32()), **{c: pa.array([total[c]]) for c in "wh"}})
+
+    shape = "r int, w array<double>, h array<double>"
+    sums = sorted(placed.mapInArrow(weights, shape).groupBy("r").applyInArrow(add, shape).collect(), key=lambda x: x["r"])  # a row a range
+    if not sums:
+        return np.zeros(count), np.zeros(count)
+    w, h, number = np.array([x["w"] for x in sums]), np.array([x["h"] for x in sums]), np.array([x["r"] for x in sums])
+    drawn, upto = w.sum(axis=0), w.cumsum(axis=0)
+    need = np.ceil(drawn * rate)
+    at = np.minimum((upto < need).sum(axis=0), len(number) - 1)
+    each = np.arange(count)
+    sure, room = np.where(at > 0, h.cumsum(axis=0)[at - 1, each], 0), need - np.where(at > 0, upto[at - 1, each], 0)
+
+    def finish(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["s", "k"], ascending=[False, True])
+        mine = np.flatnonzero(number[at] == key[0])
+        times = weigh(part["k"].to_numpy(), part["b"].to_numpy())[:, mine]
+        taken = np.clip(room[mine] - (times.cumsum(axis=0) - times), 0, times)
+        return pd.DataFrame({"replicate": mine, "hits": (taken * part["y"].to_numpy()[:, None]).sum(axis=0)})
+
+    ends = placed.where(F.col("r").isin([int(x) for x in set(number[at])])).groupBy("r").applyInPandas(finish, "replicate int, hits double").collect()  # a row a replicate
+    hits = sure.astype(float)
+    for e in ends:
+        hits[e["replicate"]] += e["hits"]
+    return hits, drawn
+
+
+_INTERVAL = "status string, {} long, observed long, ci_low double, ci_high double, excludes_zero boolean"
+
+
+def _interval(df: DataFrame, base: str, challenger: str, rate: float, weigh: Callable, count: int, units: tuple[str, int], label: str, key: str) -> DataFrame:
+    """The observed gap in hits within the budget and its 95 % interval over replicates, as for the rows there are."""
     n = df.count()
-    blocks = sorted(r[0] for r in df.select(block).distinct().collect())
+    hits = [_replicates(df, c, rate, weigh, count) for c in (base, challenger)]
+    scaled = (hits[1][0] - hits[0][0]) / np.maximum(hits[0][1], 1) * n
+    low, high = (float(x) for x in np.percentile(scaled, [2.5, 97.5]))
+    seen = [top_k(df, c, budget(n, rate), "k").agg(_n(F.col("y") == 1)).first()[0] for c in (base, challenger)]
+    return df.sparkSession.createDataFrame([("ok", units[1], int(seen[1] - seen[0]), low, high, low > 0 or high < 0)], _INTERVAL.format(units[0]))
+
+
+def block_bootstrap(df: DataFrame, base: str, challenger: str, rate: float, resamples: int, least_blocks: int = 8, seed: int = 17, label: str = "isFraud", key: str = "TransactionID", block: str = "block", check: bool = False) -> DataFrame:
+    """One row: observed gap in hits and its 95 % interval over draws of whole blocks with replacement.
+
+    A draw weighs each block by how often it is drawn; both rankings get the same draws.
+    """
+    if check:
+        for c in (base, challenger):
+            validate.metric_inputs(df, label, c, key)
+    blocks = sorted(r[0] for r in df.select(block).distinct().collect())  # spans of time
     if len(blocks) < least_blocks:
-        return df.sparkSession.createDataFrame([("insufficient_blocks", len(blocks), None, None, None)], "status string, blocks long, observed long, ci_low double, ci_high double")
-    number = F.array_position(F.array(*[F.lit(b) for b in blocks]), F.col(block)) - 1
-    small = df.select(number.cast("int").alias("b"), (F.col(label) == 1).alias("y"), F.col(base).alias("s0"), F.col(challenger).alias("s1"), F.col(key).alias("k"))
-    observed = []
-    for c in (base, challenger):
-        observed.append(top_k(df, c, budget(n, rate), key).agg(_n(F.col(label) == 1)).first()[0])
+        return df.sparkSession.createDataFrame([("insufficient_blocks", len(blocks), None, None, None, None)], _INTERVAL.format("blocks"))
     rng = np.random.default_rng(seed)
-    draws = [np.bincount(rng.integers(0, len(blocks), len(blocks)), minlength=len(blocks)).tolist() for _ in range(resamples)]
-    plan = df.sparkSession.createDataFrame([(i, d) for i, d in enumerate(draws)], "replicate int, times array<int>")
-    parts = []
-    for i, c in enumerate(("s0", "s1")):
-        cuts = cuts_of(small, c, 128)
-        table = F.array(*[F.lit(x) for x in cuts]) if cuts else F.array().cast("array<double>")
-        spread = small.withColumn("r", F.size(F.filter(table, _not_above(c))))
-        sums = spread.groupBy("r", "b").agg(F.count("*").alias("rows"), _n(F.col("y")).alias("hits")).collect()
-        parts.append((i, c, spread, sums))
-    gaps = {}
-    for i, c, spread, sums in parts:
-        size = max(s["r"] for s in sums) + 1
-        rows, hits = np.zeros((size, len(blocks))), np.zeros((size, len(blocks)))
-        for s in sums:
-            rows[s["r"], s["b"]], hits[s["r"], s["b"]] = s["rows"], s["hits"]
-        edges = []
-        for rep, d in enumerate(draws):
-            w = np.array(d)
-            per = (rows @ w)[::-1]
-            need = ceil(int(per.sum()) * rate)
-            at = int(np.searchsorted(np.cumsum(per), need))
-            inside = need - int(per[:at].sum())
-            edges.append((rep, size - 1 - at, inside, int((hits @ w)[::-1][:at].sum()), int(per.sum())))
-        cut = df.sparkSession.createDataFrame(edges, "replicate int, r int, inside long, sure long, drawn long").join(plan, "replicate")
-
-        found = spread.join(cut, "r").groupBy("r").applyInPandas(_finish(c), "replicate int, hits long, drawn long").collect()
-        for f in found:
-            gaps.setdefault(f["replicate"], {})[i] = f["hits"]
-            gaps[f["replicate"]]["n"] = f["drawn"]
-    scaled = [(g[1] - g[0]) / g["n"] * n for g in gaps.values()]
-    low, high = np.percentile(scaled, [2.5, 97.5])
-    return df.sparkSession.createDataFrame([("ok", len(blocks), int(observed[1] - observed[0]), float(low), float(high))], "status string, blocks long, observed long, ci_low double, ci_high double")
-
-
-def _finish(score: str):
-    """Hits of each replicate whose budget ends in a range: its rows in order, as often as their blocks are drawn."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([score, "k"], ascending=[False, True])
-        out = []
-        for replicate, rows in part.groupby("replicate"):
-            times = np.array(rows["times"].iloc[0])[rows["b"].to_numpy()]
-            taken = np.clip(int(rows["inside"].iloc[0]) - (np.cumsum(times) - times), 0, times)
-            out.append((replicate, int(rows["sure"].iloc[0] + (taken * rows["y"].to_numpy()).sum()), int(rows["drawn"].iloc[0])))
-        return pd.DataFrame(out, columns=["replicate", "hits", "drawn"])
-
-    return run
-
-
-def _not_above(column: str):
-    return lambda x: x <= F.col(column)
-
-
-def row_bootstrap(df: DataFrame, score: str, rate: float, resamples: int, label: str = "isFraud", key: str = "TransactionID") -> DataFrame:
-    """(replicate, drawn, hits): Poisson-weighted rows, hits among the top ``rate`` of each replicate's weight.
-
-    Every row draws its weights from a hash of its key and the replicate, so a replicate is a sum over scores; equal
-    scores share the budget at the cut in proportion.
+    draws = np.array([np.bincount(rng.integers(0, len(blocks), len(blocks)), minlength=len(blocks)) for _ in range(resamples)])
+    number = F.array_position(F.array(*[F.lit(b) for b in blocks]), F.col(block)) - 1
+    small = df.select(F.col(key).alias("k"), number.cast("int").alias("b"), (F.col(label) == 1).cast("int").alias("y"), base, *([challenger] if challenger != base else []))
+    return _interval(small, base, challenger, rate, lambda k, b: draws[:, b].T, resamples, ("blocks", len(blocks)), label, key)
+
+
+#: Cumulative Poisson(1) probabilities.
+_POISSON = np.array([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119])
+
+
+def poisson_weights(keys: np.ndarray, resamples: int, seed: int = 17) -> np.ndarray:
+    """Weights of rows in every replicate, from their keys alone, so that all rankings and reruns agree."""
+    with np.errstate(over="ignore"):
+        h = keys.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + (np.arange(resamples, dtype=np.uint64) + np.uint64(seed << 20)) * np.uint64(0xD6E8FEB86659FD93)
+        for shift, times in ((32, 0xD6E8FEB86659FD93), (29, 0xBF58476D1CE4E5B9), (32, 1)):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(times)
+    return np.searchsorted(_POISSON, (h >> np.uint64(11)).astype(float) / float(1 << 53), side="right")
+
+
+def row_bootstrap(df: DataFrame, base: str, challenger: str, rate: float, resamples: int, seed: int = 17, label: str = "isFraud", key: str = "TransactionID", check: bool = False) -> DataFrame:
+    """One row: observed gap in hits and its 95 % interval over replicates in which every row has a Poisson weight.
+
+    Both rankings get the same weights; a gap is scaled to the number of rows there are.
     """
-    # Cumulative Poisson(1) probabilities.
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
-    u = F.pmod(F.xxhash64(F.col(key), F.col("replicate")), F.lit(1 << 40)).cast("double") / float(1 << 40)
-    weight = sum(((u >= s).cast("long") for s in steps), F.lit(0).cast("long"))
-    each = df.select(key, score, label, F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("replicate")).withColumn("w", weight).where("w > 0")
-    by = each.groupBy("replicate", score).agg(F.sum("w").alias("w"), F.sum(F.col("w") * (F.col(label) == 1).cast("long")).alias("h"))
-    placed = sums_before(by, score, ["w", "h"], ("replicate",), cuts_of(df, score))
-    total = by.groupBy("replicate").agg(F.sum("w").alias("drawn"))
-    above = F.col("drawn") - F.col("w_before") - F.col("w")
-    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.ceil(F.col("drawn") * rate) - above) / F.col("w")))
-    return placed.join(total, "replicate").groupBy("replicate").agg(F.max("drawn").alias("drawn"), F.sum(F.col("h") * share).alias("hits"))
-
-
-def supervised_scores(train: DataFrame, df: DataFrame, columns: list[str], label: str = "isFraud", kind: str = "logistic") -> DataFrame:
-    """``df`` with ``supervised``: the probability by a ranker fitted on ``train``, classes balanced by weight.
+    if check:
+        for c in (base, challenger):
+            validate.metric_inputs(df, label, c, key)
+    small = df.select(F.col(key).alias("k"), F.lit(0).alias("b"), (F.col(label) == 1).cast("int").alias("y"), base, *([challenger] if challenger != base else []))
+    return _interval(small, base, challenger, rate, lambda k, b: poisson_weights(k, resamples, seed), resamples, ("resamples", resamples), label, key)
+
+
+def supervised_scores(train: DataFrame, df: DataFrame, columns: list[str], label: str = "isFraud", kind: str = "logistic", name: str = "supervised", rounds: int = 20) -> DataFrame:
+    """``df`` with ``name``: the probability by a ranker (logistic or boosted) fitted on ``train``, classes balanced by weight.
 
     Missing values take the training median and a flag; columns that are constant or empty in training are left out.
     """
@@ -249,17 +311,23 @@ def supervised_scores(train: DataFrame, df: DataFrame, columns: list[str], label
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    facts = train.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5).alias(f"m_{c}") for c in columns], *[(F.min(c) < F.max(c)).alias(f"v_{c}") for c in columns], *[_n(F.col(c).isNull()).alias(f"g_{c}") for c in columns], F.count("*").alias("n"), _n(F.col(label) == 1).alias("p")).first()
-    used = [c for c in columns if facts[f"v_{c}"]]
+    used = varying_columns(train, columns)
+    facts = train.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5).alias(f"m_{c}") for c in used], *[_n(F.col(c).isNull()).alias(f"g_{c}") for c in used], F.count("*").alias("n"), _n(F.col(label) == 1).alias("p")).first()
     flags = [c for c in used if facts[f"g_{c}"]]
     fill = lambda d: d.withColumns({f"_x_{c}": F.coalesce(F.col(c).cast("double"), F.lit(float(facts[f"m_{c}"]))) for c in used} | {f"_g_{c}": F.col(c).isNull().cast("double") for c in flags})
-    weight = F.when(F.col(label) == 1, facts["n"] / (2.0 * max(facts["p"], 1))).otherwise(facts["n"] / (2.0 * max(facts["n"] - facts["p"], 1)))
+    n, p = facts["n"], facts["p"]
+    weight = F.when(F.col(label) == 1, n / (2.0 * max(p, 1))).otherwise(n / (2.0 * max(n - p, 1)))
+    shared = {"featuresCol": "_v", "labelCol": label, "weightCol": "_w", "predictionCol": "_y", "rawPredictionCol": "_r"}
+    if kind == "logistic":
+        ranker = LogisticRegression(**shared, probabilityCol="_p", regParam=1.0 / max(n, 1), standardization=False)
+    elif kind == "boosted":
+        ranker = GBTClassifier(**shared, maxIter=rounds, maxDepth=4, seed=42).setProbabilityCol("_p")
+    else:
+        raise ValueError(f"unknown kind of ranker: {kind}")
     names = [f"_x_{c}" for c in used] + [f"_g_{c}" for c in flags]
-    ranker = LogisticRegression(featuresCol="_v", labelCol=label, weightCol="_w", probabilityCol="_p", predictionCol="_y", rawPredictionCol="_r", regParam=1.0 / max(facts["n"], 1), standardization=False) if kind == "logistic" else GBTClassifier(featuresCol="_v", labelCol=label, weightCol="_w", predictionCol="_y", rawPredictionCol="_r", maxIter=20, maxDepth=4, seed=42)
-    ranker = ranker if kind == "logistic" else ranker.setProbabilityCol("_p")
     model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="_a"), StandardScaler(inputCol="_a", outputCol="_v", withMean=True), ranker]).fit(fill(train).withColumn("_w", weight))
-    out = model.transform(fill(df)).withColumn("supervised", vector_to_array("_p")[1])
-    return out.select(*df.columns, "supervised")
+    out = model.transform(fill(df)).withColumn(name, vector_to_array("_p")[1])
+    return out.select(*df.columns, name)
 
 
 def _sign(x: float) -> int:

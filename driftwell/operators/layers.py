@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwell.operators import validate
-from driftwell.operators.prefix import strict_rank
+from driftwell.operators.prefix import cells_of, quantiles, strict_ranks
 
 LAYERS = ("column", "multivariate", "entity", "temporal")
 LEAST_HISTORY = 5
@@ -22,11 +22,12 @@ class Robust:
     scale: float
 
 
-def robust_expressions(x: Column, name: str) -> list[Column]:
-    """Median and scale: IQR / 1.349, else (p90 - p10) / 2.563 where that is nothing, else 1."""
-    p = F.percentile(x, F.array(*[F.lit(q) for q in (0.1, 0.25, 0.5, 0.75, 0.9)]))
-    iqr, wide = (p[3] - p[1]) / 1.349, (p[4] - p[0]) / 2.563
-    return [p[2].alias(f"{name}_centre"), F.when(iqr >= 1e-8, iqr).when(wide >= 1e-8, wide).otherwise(1.0).alias(f"{name}_scale")]
+def robust(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """(name, n, centre, scale) of each of ``values`` that is there: median and IQR / 1.349, else (p90 - p10) / 2.563 where that is nothing, else 1."""
+    cells = cells_of(df.select(*[v.cast("double").alias(k) for k, v in values.items()]), list(values))
+    by = quantiles(cells, "x", [0.1, 0.25, 0.5, 0.75, 0.9], ("name",))
+    iqr, wide = (F.col("q")[3] - F.col("q")[1]) / 1.349, (F.col("q")[4] - F.col("q")[0]) / 2.563
+    return by.select("name", "n", F.col("q")[2].alias("centre"), F.when(iqr >= 1e-8, iqr).when(wide >= 1e-8, wide).otherwise(1.0).alias("scale"))
 
 
 def _temporal() -> dict[str, Column]:
@@ -39,10 +40,10 @@ def fit_references(train: DataFrame, check: bool = True) -> dict[str, Robust]:
         validate.training_only(train)
     enough = F.col("prior_transaction_count") >= LEAST_HISTORY
     wanted = {"amount": F.col("log_amount")} | {k: F.when(enough, v) for k, v in _temporal().items()}
-    row = train.agg(F.sum(enough.cast("int")).alias("_enough"), *[e for k, v in wanted.items() for e in robust_expressions(v, k)]).first()
-    if not row["_enough"]:
+    rows = {r["name"]: r for r in robust(train, wanted).collect()}  # one row a signal
+    if set(rows) != set(wanted):
         raise ValueError("no training row has enough history")
-    return {k: Robust(row[f"{k}_centre"], row[f"{k}_scale"]) for k in wanted}
+    return {k: Robust(rows[k]["centre"], rows[k]["scale"]) for k in wanted}
 
 
 def deviation(x: Column, reference: Robust, upper_only: bool = False) -> Column:
@@ -50,8 +51,15 @@ def deviation(x: Column, reference: Robust, upper_only: bool = False) -> Column:
     return F.greatest(d, F.lit(0.0)) if upper_only else F.abs(d)
 
 
-def raw_layers(features: DataFrame, references: dict[str, Robust], multivariate: Column | None = None) -> DataFrame:
+#: Features that the layers read, and those of them that can't be negative.
+REQUIRED = ("amount", "log_amount", "prior_transaction_count", "prior_mean_amount", "prior_std_amount", "prior_count_1h", "prior_count_24h", "entity_hour_probability", "entity_product_is_new", "entity_email_is_new", "entity_device_is_new")
+_HISTORIES = ("prior_transaction_count", "prior_mean_amount", "prior_std_amount", "prior_count_1h", "prior_count_24h")
+
+
+def raw_layers(features: DataFrame, references: dict[str, Robust], multivariate: Column | None = None, check: bool = False) -> DataFrame:
     """Adds <layer>_raw and <layer>_available; a layer that can't be told is null."""
+    if check:
+        validate.scoring_features(features, list(REQUIRED), list(_HISTORIES))
     enough = F.col("prior_transaction_count") >= LEAST_HISTORY
     scale = F.greatest("prior_std_amount", F.col("prior_mean_amount") * 0.1, F.lit(1.0))
     novelty = F.greatest("entity_product_is_new", "entity_email_is_new", "entity_device_is_new")
@@ -76,10 +84,8 @@ EVEN = dict.fromkeys(LAYERS, 0.25)
 
 
 def normalised(train: DataFrame, scored: DataFrame) -> DataFrame:
-    """Adds <layer>_normalized: the share of training rows whose raw value is strictly less."""
-    for x in LAYERS:
-        scored = strict_rank(train, scored, f"{x}_raw", f"{x}_normalized")
-    return scored
+    """Adds <layer>_normalized: the share of training rows whose raw value is strictly less, all layers in one pass."""
+    return strict_ranks(train, scored, {f"{x}_raw": f"{x}_normalized" for x in LAYERS})
 
 
 def combined(scored: DataFrame, weights: dict[str, float] = EVEN) -> DataFrame:

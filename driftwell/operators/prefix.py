@@ -1,36 +1,54 @@
-"""Running sums, order statistics and ranks over a whole table without a one-task window.
+"""Running sums, order statistics, quantiles and ranks over a whole table without a one-task window.
 
-The ordering column is cut into ranges at approximate quantiles.  Ranges are summed, the sums added up range by range
-(one row a range), and only inside a range are rows sorted.
+The ordering column is cut into ranges at approximate quantiles, more of them the more rows there are.  Ranges are summed,
+the sums added up range by range (one row a range), and only inside a range are rows sorted.  Nulls are in no order and are
+left out.
 """
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-#: Ranges that an ordering is cut into.
-RANGES = 64
+#: Rows that a range should have, about, and the fewest and most ranges: a range of more rows is sorted with spills.
+RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 100_000, 8, 4096
+#: Cuts that are looked through at once.
+_STEP = 64
 
 
-def cuts_of(df: DataFrame, order: str, ranges: int = RANGES) -> list:
-    """Values at approximate quantiles, ascending and different: a list of bounded size."""
-    found = df.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 1000)).first()[0]
-    return sorted(set(found or []))
+def cuts_of(df: DataFrame, order: str, ranges: int | None = None) -> list:
+    """Values at approximate quantiles, ascending and different: ``ranges`` - 1 at most, as many as the rows ask for by default."""
+    grid = [i / MOST_RANGES for i in range(1, MOST_RANGES)]
+    n, found = df.agg(F.count(order), F.percentile_approx(order, grid, 2 * MOST_RANGES)).first()
+    ranges = ranges or min(MOST_RANGES, max(LEAST_RANGES, n // RANGE_ROWS))
+    return sorted({found[round(i * MOST_RANGES / ranges) - 1] for i in range(1, ranges)}) if found else []
 
 
 def range_of(order: str, cuts: list) -> Column:
-    """The number of the range that a row's ``order`` falls in; nulls are in range -1."""
-    if not cuts:
-        return F.when(F.col(order).isNotNull(), F.lit(0)).otherwise(F.lit(-1))
+    """The number of the range that a row's ``order`` falls in; null where it is null."""
+    x = F.col(order)
     table = F.array(*[F.lit(c) for c in cuts])
-    return F.when(F.col(order).isNotNull(), F.size(F.filter(table, lambda c: c <= F.col(order)))).otherwise(F.lit(-1))
+    below = lambda part: F.size(F.filter(part, lambda c: c <= x))
+    if not cuts:
+        found = F.lit(0)
+    elif len(cuts) <= _STEP:
+        found = below(table)
+    else:
+        # First among every 64th cut, then among the 64 from there.
+        coarse = F.array(below(F.array(*[F.lit(c) for c in cuts[::_STEP]])))
+        found = F.transform(coarse, lambda k: F.when(k == 0, F.lit(0)).otherwise((k - 1) * _STEP + below(F.slice(table, (k - 1) * _STEP + 1, _STEP))))[0]
+    return F.when(x.isNotNull(), found)
 
 
 def sums_before(df: DataFrame, order: str, sums: list[str], by: tuple[str, ...] = (), cuts: list | None = None) -> DataFrame:
-    """``df``, one row for each (by, order), with ``<sum>_before``: the sum over the rows of its group with less ``order``."""
-    spread = df.withColumn("_range", range_of(order, cuts_of(df, order) if cuts is None else cuts))
+    """``df``, one row for each (by, order), with ``<sum>_before``: the sum over the rows of its group with less ``order``.
+
+    Rows without ``order`` are left out.
+    """
+    spread = df.where(F.col(order).isNotNull()).withColumn("_range", range_of(order, cuts_of(df, order) if cuts is None else cuts))
     whole = spread.groupBy(*by, "_range").agg(*[F.sum(s).alias(f"_{s}") for s in sums])
     above = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     carried = whole.select(*by, "_range", *[F.coalesce(F.sum(f"_{s}").over(above), F.lit(0)).alias(f"_{s}_carried") for s in sums])
@@ -40,49 +58,80 @@ def sums_before(df: DataFrame, order: str, sums: list[str], by: tuple[str, ...]
     return joined.select(*df.columns, *[(F.col(f"_{s}_inside") + F.col(f"_{s}_carried")).alias(f"{s}_before") for s in sums])
 
 
-def order_statistics(df: DataFrame, order: str, positions: list[int], ranges: int = RANGES) -> list:
-    """Values at the given 0-based positions of the ascending order (nulls left out), exactly.
+def order_statistics(df: DataFrame, order: str, positions: list[int], ranges: int | None = None) -> list:
+    """Values at the given 0-based positions of the ascending order (nulls left out), exactly; None beyond its ends.
 
-    Only the ranges that hold a position are sorted.
+    Ranges are counted first, and only those that hold a position are sorted.
     """
-    rows = df.where(F.col(order).isNotNull()).groupBy(order).agg(F.count("*").alias("n"))
-    found = sums_before(rows, order, ["n"], cuts=cuts_of(df, order, ranges))
-    wanted = F.array(*[F.lit(p).cast("long") for p in positions])
-    hits = found.select(order, F.filter(wanted, lambda p: (p >= F.col("n_before")) & (p < F.col("n_before") + F.col("n"))).alias("at")).where(F.size("at") > 0).collect()
-    values = {p: row[order] for row in hits for p in row["at"]}
+    spread = df.where(F.col(order).isNotNull()).select(order).withColumn("_range", range_of(order, cuts_of(df, order, ranges)))
+    counts = sorted((r["_range"], r["count"]) for r in spread.groupBy("_range").count().collect())
+    wanted, seen = {}, 0
+    for number, n in counts:
+        own = [p for p in positions if seen <= p < seen + n]
+        if own:
+            wanted[number] = (seen, own)
+        seen += n
+    if not wanted:
+        return [None] * len(positions)
+    rows = spread.where(F.col("_range").isin(list(wanted))).groupBy("_range", order).agg(F.count("*").alias("n"))
+    rows = rows.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("_range").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    cells = F.array(*[F.struct(F.lit(number).alias("range"), F.lit(p - start).cast("long").alias("inside"), F.lit(p).cast("long").alias("position")) for number, (start, own) in wanted.items() for p in own])
+    hits = rows.select(order, F.filter(cells, lambda c: (c["range"] == F.col("_range")) & (c["inside"] >= F.col("before")) & (c["inside"] < F.col("before") + F.col("n"))).alias("at")).where(F.size("at") > 0).collect()
+    values = {c["position"]: row[order] for row in hits for c in row["at"]}
     return [values.get(p) for p in positions]
 
 
+def quantiles(df: DataFrame, value: str, shares: list[float], by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, n, q): the number of values of each group and their linearly interpolated quantiles, exactly.
+
+    Groups may be of any size: what a task holds is a range.  One row without ``by``, with null quantiles where there is no
+    value; groups without a value have no row.
+    """
+    rows = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    placed = sums_before(rows, value, ["_n"], by, cuts_of(df, value))
+    total = rows.groupBy(*by).agg(F.sum("_n").alias("n"))
+    placed = placed.join(total, list(by)) if by else placed.crossJoin(F.broadcast(total))
+
+    def at(position: Column) -> Column:
+        return F.max(F.when((F.col("_n_before") <= position) & (position < F.col("_n_before") + F.col("_n")), F.col(value).cast("double")))
+
+    ends = []
+    for i, share in enumerate(shares):
+        place = (F.col("n") - 1) * F.lit(share)
+        ends += [at(F.floor(place)).alias(f"_lo{i}"), at(F.ceil(place)).alias(f"_hi{i}"), F.max(place - F.floor(place)).alias(f"_part{i}")]
+    found = placed.groupBy(*by).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *ends)
+    return found.select(*by, "n", F.array(*[F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_part{i}") for i in range(len(shares))]).alias("q"))
+
+
 def higher_quantile(df: DataFrame, order: str, q: float):
     """The smallest value at or above the linear quantile's position."""
-    from math import ceil
-
     n = df.where(F.col(order).isNotNull()).count()
     return order_statistics(df, order, [ceil((n - 1) * q)])[0] if n else None
 
 
-def strict_rank(reference: DataFrame, df: DataFrame, column: str, name: str, ranges: int = RANGES) -> DataFrame:
-    """``df`` with ``name``: the share of the reference's values that are below the row's; null stays null.
+def cells_of(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
+    """(keep, name, x): the values there are in ``columns``, one row each."""
+    each = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in columns])
+    return df.select(*keep, F.explode(F.filter(each, lambda c: c["x"].isNotNull())).alias("_c")).select(*keep, "_c.name", "_c.x")
+
+
+def strict_ranks(reference: DataFrame, df: DataFrame, columns: dict[str, str], key: str = "TransactionID") -> DataFrame:
+    """``df`` with a rank for each of ``columns`` (column to rank): the share of the reference's values below the row's.
 
-    Reference and rows meet on equal values only: distinct reference values get their count of smaller ones, and a row
-    takes that of the next value at or above it inside its range.
+    ``key`` is unique in ``df``.  Missing values have no rank, nor has a column without reference values.  All columns are
+    ranked in one pass: only keys and values travel, different values are placed once, and the rows get theirs by one join.
     """
-    ref = reference.where(F.col(column).isNotNull()).select(F.col(column).alias("_x"))
-    total = ref.count()
-    if not total:
-        return df.withColumn(name, F.lit(None).cast("double"))
-    spread = range_of("_x", cuts_of(ref, "_x", ranges))
-    counts = ref.withColumn("_range", spread).groupBy("_range", "_x").agg(F.count("*").alias("_n"))
-    whole = counts.groupBy("_range").agg(F.sum("_n").alias("_w"))
-    rows = df.withColumn("_x", F.col(column)).withColumn("_range", spread).withColumn("_row", F.lit(True)).withColumn("_n", F.lit(0).cast("long"))
-    both = rows.unionByName(counts.withColumn("_row", F.lit(False)), allowMissingColumns=True)
-    smaller = F.sum("_n").over(W.partitionBy("_range").orderBy("_x").rangeBetween(W.unboundedPreceding, 0)) - F.sum("_n").over(W.partitionBy("_range", "_x"))
-    placed = both.withColumn("_inside", smaller).where("_row")
-    carried = {r["_range"]: r["_w"] for r in whole.collect()}
-    offsets, seen = [], 0
-    for i in range(ranges + 1):
-        offsets.append(seen)
-        seen += carried.get(i, 0)
-    table = F.array(*[F.lit(o).cast("long") for o in offsets])
-    share = F.when(F.col("_x").isNotNull(), (F.get(table, F.col("_range")) + F.col("_inside")) / F.lit(float(total)))
-    return placed.withColumn(name, share).drop("_x", "_range", "_row", "_n", "_inside")
+    known = cells_of(reference, list(columns)).groupBy("name", "x").agg(F.count("*").alias("n"))
+    cells = cells_of(df, list(columns), key)
+    both = known.unionByName(cells.select("name", "x", F.lit(0).cast("long").alias("n"))).groupBy("name", "x").agg(F.sum("n").alias("n"))
+    placed = sums_before(both, "x", ["n"], ("name",), cuts_of(cells_of(reference, list(columns)), "x")).select("name", "x", "n_before")
+    totals = {r["name"]: r["n"] for r in known.groupBy("name").agg(F.sum("n").alias("n")).collect()}  # one row a column
+    share = lambda c: F.max(F.when(F.col("name") == c, F.col("n_before") / F.lit(float(totals[c]))))
+    some = [(share(c) if c in totals else F.lit(None).cast("double")).alias(name) for c, name in columns.items()]
+    ranks = cells.join(placed, ["name", "x"]).groupBy(key).agg(*some)
+    return df.drop(*columns.values()).join(ranks, key, "left")
+
+
+def strict_rank(reference: DataFrame, df: DataFrame, column: str, name: str, key: str = "TransactionID") -> DataFrame:
+    """``strict_ranks`` of one column."""
+    return strict_ranks(reference, df, {column: name}, key)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from driftwell.functions.columns import ratio
-from driftwell.operators.prefix import cuts_of, sums_before
+from driftwell.operators.prefix import cuts_of, quantiles, sums_before
 
 #: Column names with a role of their own.
 ROLES = {"TransactionID": "identifier", "isFraud": "target", "TransactionDT": "elapsed_time"}
@@ -54,8 +56,9 @@ def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")).select("x.column", "x.value")
     infinite = F.isnan("value") | F.col("value").isin(float("inf"), float("-inf"))
     cells = cells.withColumn("infinite", F.coalesce(infinite, F.lit(False))).withColumn("finite", F.when(~F.col("infinite"), F.col("value")))
-    q = F.percentile("finite", F.array(*[F.lit(x) for x in (0.01, 0.25, 0.5, 0.75, 0.99)]))
-    by = cells.groupBy("column").agg(F.count("finite").alias("finite_count"), F.sum(F.col("infinite").cast("long")).alias("infinite_count"), F.min("finite").alias("min"), q.alias("q"), F.max("finite").alias("max"), F.avg("finite").alias("mean"), F.stddev_pop("finite").alias("std"))
+    q = quantiles(cells, "finite", [0.01, 0.25, 0.5, 0.75, 0.99], ("column",)).select("column", "q")
+    by = cells.groupBy("column").agg(F.count("finite").alias("finite_count"), F.sum(F.col("infinite").cast("long")).alias("infinite_count"), F.min("finite").alias("min"), F.max("finite").alias("max"), F.avg("finite").alias("mean"), F.stddev_pop("finite").alias("std"))
+    by = by.join(q, "column", "left")
     by = by.withColumns({"p01": F.col("q")[0], "p25": F.col("q")[1], "median": F.col("q")[2], "p75": F.col("q")[3], "p99": F.col("q")[4]}).drop("q").withColumn("iqr", F.col("p75") - F.col("p25")).withColumn("zero_iqr", F.col("iqr") == 0)
     edges = cells.join(by.select("column", "p25", "p75", "iqr"), "column")
     out = (F.col("finite") < F.col("p25") - 1.5 * F.col("iqr")) | (F.col("finite") > F.col("p75") + 1.5 * F.col("iqr"))
@@ -108,6 +111,17 @@ def spearman(df: DataFrame, pairs: list[tuple[str, str]], least: int = 100) -> D
     return out
 
 
+def spearman_top(df: DataFrame, columns: list[str], least: int = 100, most: int = 30, nulls: float = 0.95) -> DataFrame:
+    """The ``most`` pairs of ``columns`` of the largest |rho|, as ``spearman`` has them.
+
+    Columns without spread, and those of which ``nulls`` of the rows or more are missing, are in no pair.
+    """
+    facts = df.agg(F.count("*").alias("n"), *[F.count(c).alias(f"n_{c}") for c in columns], *[(F.min(c) < F.max(c)).alias(f"v_{c}") for c in columns]).first()
+    used = [c for c in columns if facts[f"v_{c}"] and facts["n"] - facts[f"n_{c}"] < nulls * facts["n"]]
+    found = spearman(df, list(combinations(used, 2)), least) if len(used) > 1 else spearman(df.limit(0), [(columns[0], columns[0])])
+    return found.where("rho is not null").orderBy(F.abs("rho").desc(), "first", "second").limit(most)
+
+
 def entity_profile(df: DataFrame, key: list[str]) -> DataFrame:
     """One row an entity whose key is complete: transactions, amounts, first and last time, distinct products and domains, active days."""
     have = F.lit(True)
@@ -131,8 +145,11 @@ def entity_gaps(df: DataFrame, key: list[str]) -> DataFrame:
 def entity_summary(df: DataFrame, key: list[str]) -> DataFrame:
     """One row: eligible and excluded rows, entities, singletons, quantiles of their sizes, median gap and zero gaps."""
     by = entity_profile(df, key)
-    sizes = by.agg(F.coalesce(F.sum("transactions"), F.lit(0)).alias("eligible_rows"), F.count("*").alias("entities"), F.coalesce(F.sum((F.col("transactions") == 1).cast("long")), F.lit(0)).alias("singletons"), F.percentile("transactions", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99))).alias("q"))
-    gaps = entity_gaps(df, key).agg(F.percentile("gap", F.lit(0.5)).alias("median_gap"), F.coalesce(F.sum((F.col("gap") == 0).cast("long")), F.lit(0)).alias("zero_gaps"))
+    sizes = by.agg(F.coalesce(F.sum("transactions"), F.lit(0)).alias("eligible_rows"), F.count("*").alias("entities"), F.coalesce(F.sum((F.col("transactions") == 1).cast("long")), F.lit(0)).alias("singletons"))
+    sizes = sizes.crossJoin(quantiles(by, "transactions", [0.5, 0.9, 0.99]).select("q"))
+    gaps = entity_gaps(df, key)
+    median = quantiles(gaps, "gap", [0.5]).select(F.col("q")[0].alias("median_gap"))
+    gaps = gaps.agg(F.coalesce(F.sum((F.col("gap") == 0).cast("long")), F.lit(0)).alias("zero_gaps")).crossJoin(median)
     total = df.agg(F.count("*").alias("rows"))
     return sizes.crossJoin(gaps).crossJoin(total).select("eligible_rows", (F.col("rows") - F.col("eligible_rows")).alias("excluded_rows"), "entities", "singletons", F.col("q")[0].alias("size_p50"), F.col("q")[1].alias("size_p90"), F.col("q")[2].alias("size_p99"), "median_gap", "zero_gaps")
 

@@ -128,6 +128,10 @@ class Index:
         return [r.asDict() for r in top_similar(self.table, query, k, floor, key="id").orderBy(F.col("similarity").desc(), "id").collect()]
 
 
+class BadReply(RuntimeError):
+    """The selector gave no reply that could be used (502)."""
+
+
 @dataclass
 class Grounded:
     """Picks sources among the hits by an injected selector; only hits may be named, each once, or none by abstaining."""
@@ -148,7 +152,7 @@ class Grounded:
             if isinstance(ids, list) and set(reply) == {"source_ids", "abstain"} and type(reply["abstain"]) is bool and len(set(map(str, ids))) == len(ids) and all(i in by_id for i in ids) and reply["abstain"] == (not ids):
                 return [by_id[i] for i in ids]
             self.trace.append("refused reply")
-        raise RuntimeError("the selector gave no valid sources")
+        raise BadReply("the selector gave no valid sources")
 
 
 #: Words of the answers.

@@ -73,8 +73,9 @@ _EFFECTIVE = "CASE WHEN {x}_n IS NOT NULL AND have > 0 THEN 0.25 / have ELSE 0.0
 _LIMITED = "(CASE WHEN total > 0 THEN least(total, least(0.05, 0.15 * score)) / total ELSE 0.0 END)"
 
 
-def _discounts(name: str, strength: float, enabled: str) -> str:
-    """Context on ``norm``: at most one reason a layer, the first of the largest."""
+def _discounts(name: str, strength: float, enabled: str, external: bool = False) -> str:
+    """Context on ``norm``: at most one reason a layer, the first of the largest; with the evidence of context_external or none."""
+    trusted, planned = ("id % 3 = 0 AND greatest(t + id % 7 - 3, 0) < t", "id % 2 = 0 AND greatest(t - 1, 0) < t") if external else ("false", "false")
     on = lambda rule, condition: f"coalesce({condition}, false)" if rule in enabled or enabled == "all" else "false"
     return f"""
   SELECT *, score - reduction AS adjusted0, greatest(0.0, least(1.0, score - reduction)) AS adjusted FROM (
@@ -82,12 +83,13 @@ def _discounts(name: str, strength: float, enabled: str) -> str:
       SELECT *, CASE WHEN total > 0 THEN least(total, least(0.05, score * 0.15)) / total ELSE 0.0 END AS scale FROM (
         SELECT *, column_best + temporal_best AS total FROM (
           SELECT *, greatest(CASE WHEN m_typical THEN column_c * 0.10 * {strength} ELSE 0.0 END, CASE WHEN m_familiar THEN column_c * 0.15 * {strength} ELSE 0.0 END) AS column_best,
-                 greatest(CASE WHEN m_frequent THEN temporal_c * 0.20 * {strength} ELSE 0.0 END, CASE WHEN m_hours THEN temporal_c * 0.10 * {strength} ELSE 0.0 END) AS temporal_best
+                 greatest(CASE WHEN m_frequent THEN temporal_c * 0.20 * {strength} ELSE 0.0 END, CASE WHEN m_hours OR m_weekend THEN temporal_c * 0.10 * {strength} ELSE 0.0 END) AS temporal_best
           FROM (
             SELECT *, {on("product_typical_amount", "amt >= lower AND amt <= upper AND NOT guard AND column_n >= 0.9")} AS m_typical,
                    {on("frequent_familiar_activity", "stable AND frequent = 1 AND hour_p >= 1.0::DOUBLE / 24")} AS m_frequent,
                    {on("familiar_high_amount", "stable AND frequent = 1 AND column_n >= 0.9")} AS m_familiar,
-                   {on("business_hours", "stable AND business = 1")} AS m_hours
+                   {on("business_hours", "stable AND business = 1")} AS m_hours,
+                   {on("expected_weekend", f"stable AND weekend = 1 AND {planned}")} AS m_weekend, {on("verified_trust", f"stable AND {trusted}")} AS m_trust, {trusted} AS trusted, {planned} AS planned
             FROM (
               SELECT *, coalesce(prior_n >= 5 AND usual = 1 AND relative BETWEEN 0.8 AND 1.25 AND entity_raw <= 1.0 AND new_product = 0 AND NOT guard, false) AS stable
               FROM (SELECT n.*, p.lower, p.upper, coalesce(entity_raw >= 3.0, false) OR coalesce(c1h_k >= 10, false) OR coalesce(new_product = 1, false) OR coalesce(new_email = 1, false) OR coalesce(new_device = 1, false) AS guard
@@ -130,7 +132,8 @@ _PARTS = {
   SELECT h.*, CASE WHEN known THEN c1h END AS c1h_k, CASE WHEN known THEN c24h END AS c24h_k, count(*) OVER ({_BEFORE}) AS global_n,
          (known AND n >= 20 AND coalesce(span, 0) >= 7)::INT::DOUBLE AS frequent, CASE WHEN known AND n >= 5 THEN (relative BETWEEN 2.0::DOUBLE / 3 AND 1.5)::INT::DOUBLE END AS usual,
          count(*) OVER (PARTITION BY product, card4 {_BEFORE}) / nullif(count(*) OVER ({_BEFORE}), 0)::DOUBLE AS pc_f,
-         CASE WHEN ((t // 86400) + 0) % 7 < 5 AND (t // 3600) % 24 >= 9 AND (t // 3600) % 24 < 17 THEN 1.0 ELSE 0.0 END AS business
+         CASE WHEN ((t // 86400) + 0) % 7 < 5 AND (t // 3600) % 24 >= 9 AND (t // 3600) % 24 < 17 THEN 1.0 ELSE 0.0 END AS business,
+         CASE WHEN (t // 86400) % 7 >= 5 THEN 1.0 ELSE 0.0 END AS weekend
   FROM hist h""",
     "feats": _split("feat"),
     "refs": f"SELECT {_robust('ln(1 + amt)', 'a')}, {_robust('CASE WHEN prior_n >= 5 THEN ln(1 + c1h_k) END', 'h')}, {_robust('CASE WHEN prior_n >= 5 THEN ln(1 + c24h_k) END', 'd')}, {_robust('CASE WHEN prior_n >= 5 THEN -ln(hour_p) END', 'p')} FROM feats WHERE split = 'train'",
@@ -153,6 +156,7 @@ _PARTS = {
     "ctx": _discounts("ctx", 1.0, "all"),
     "ctx0": _discounts("ctx0", 0.0, "all"),
     "ctxb": _discounts("ctxb", 1.0, "business_hours"),
+    "ctxe": _discounts("ctxe", 1.0, "all", True),
     "dec": _decisions("ctx"),
     "dec0": _decisions("ctx0"),
     "lab": "SELECT d.doc_id AS id, d.n_chars::DOUBLE AS score, (d.doc_id * 7919 % 1000 / 1000.0)::DOUBLE AS other, toxic::INT AS y FROM documents d JOIN labels l USING (doc_id)",
@@ -245,6 +249,9 @@ def _rho(a: str, b: str, na: str, nb: str) -> str:
 
 
 says("spearman_pairs", " UNION ALL ".join((_rho("amt", "card1", "TransactionAmt", "card1"), _rho("card1", "addr1", "card1", "addr1"), _rho("t", "amt", "TransactionDT", "TransactionAmt"))))
+_NAMED = {"TransactionAmt": "amt", "card1": "card1", "addr1": "addr1", "TransactionDT": "t"}
+_COUPLES = [(a, b) for i, a in enumerate(_NAMED) for b in list(_NAMED)[i + 1 :]]
+says("spearman_top", f"SELECT * FROM ({' UNION ALL '.join(_rho(_NAMED[a], _NAMED[b], a, b) for a, b in _COUPLES)}) ORDER BY abs(rho) DESC LIMIT 3")
 says("entity_profile", f"SELECT card1, count(*) AS transactions, {r('avg(amt)')} AS mean_amount, {r('stddev_samp(amt)')} AS std_amount, min(t)::DOUBLE AS first_time, max(t)::DOUBLE AS last_time, count(DISTINCT product) AS products, count(DISTINCT email) AS email_domains, count(DISTINCT t // 86400) AS active_days FROM txn WHERE known GROUP BY card1")
 _GAPS = "(SELECT id, (t - lag(t) OVER (PARTITION BY u ORDER BY t, id))::DOUBLE AS gap FROM {} WHERE known)"
 _SIZES = "(SELECT count(*) AS n FROM txnh WHERE known GROUP BY u)"
@@ -264,16 +271,18 @@ says("temporal_layer", f"SELECT {_ID}, {r('v1')} AS temporal_velocity_1h, {r('v2
 _LESS = "(SELECT count(*) FROM txns q WHERE q.split = 'train' AND q.amt < s.amt) / (SELECT count(*) FROM txns WHERE split = 'train')::DOUBLE"
 says("strict_rank_norm", f"SELECT {_ID}, split, {r(_LESS)} AS rank FROM txns s")
 says("aggregate_available", f"SELECT {_ID}, {r('have')} AS available_weight, {r('column_n')} AS column_normalized, {r('entity_n')} AS entity_normalized, {r('temporal_n')} AS temporal_normalized, {r(_EFFECTIVE.format(x='column'))} AS column_effective_weight, {r('entity_c')} AS entity_contribution, {r('score')} AS raw_anomaly_score FROM norm")
-says("score_quantiles", f"SELECT split, {', '.join(f'{r(_Q('score', q))} AS {a}' for a, q in (('q50', 0.5), ('q90', 0.9), ('q99', 0.99)))}, {r('avg((entity_raw IS NOT NULL)::INT)')} AS entity_coverage, {r('avg((temporal_raw IS NOT NULL)::INT)')} AS temporal_coverage FROM norm GROUP BY split")
+says("score_quantiles", f"SELECT split, {', '.join(f'{r(_Q('score', q))} AS {a}' for a, q in (('q50', 0.5), ('q90', 0.9), ('q99', 0.99)))}, {r('avg((entity_raw IS NOT NULL)::INT)')} AS entity_coverage, {r('avg((temporal_raw IS NOT NULL)::INT)')} AS temporal_coverage, {r('0.0')} AS multivariate_coverage FROM norm GROUP BY split")
 says("contribution_audit", "SELECT count(*) AS rows, sum((abs(column_c + entity_c + temporal_c - score) > 1e-9)::INT)::BIGINT AS unequal_sums, sum((NOT score BETWEEN 0 AND 1)::INT)::BIGINT AS out_of_range FROM norm")
 
 # Context
 says("product_reference", f'SELECT product AS "ProductCD", support, {r("lower")} AS lower, {r("upper")} AS upper FROM products')
-says("context_guard", f"SELECT {_ID}, guard AS context_guard_active, m_typical AS context_match_product_typical_amount, m_frequent AS context_match_frequent_familiar_activity, m_familiar AS context_match_familiar_high_amount, m_hours AS context_match_business_hours, false AS context_match_expected_weekend, false AS context_match_verified_trust FROM ctx")
+says("context_guard", f"SELECT {_ID}, guard AS context_guard_active, m_typical AS context_match_product_typical_amount, m_frequent AS context_match_frequent_familiar_activity, m_familiar AS context_match_familiar_high_amount, m_hours AS context_match_business_hours, m_weekend AS context_match_expected_weekend, m_trust AS context_match_verified_trust FROM ctx")
 _COLUMN_REASON = "CASE WHEN column_red > 0 THEN CASE WHEN m_typical AND column_c * 0.10 * 1.0 = column_best THEN 'product_typical_amount' ELSE 'familiar_high_amount' END ELSE 'none' END AS context_column_reason"
 _TEMPORAL_REASON = "CASE WHEN temporal_red > 0 THEN CASE WHEN m_frequent AND temporal_c * 0.20 * 1.0 = temporal_best THEN 'frequent_familiar_activity' ELSE 'business_hours' END ELSE 'none' END AS context_temporal_reason"
 says("context_discounts", f"SELECT {_ID}, {r('column_red')} AS context_column_reduction, {r('entity_red')} AS context_entity_reduction, {r('temporal_red')} AS context_temporal_reduction, {_COLUMN_REASON}, {_TEMPORAL_REASON} FROM ctx")
 says("context_capped", f"SELECT {_ID}, {r('score')} AS raw_anomaly_score, {r('reduction')} AS context_reduction, {r('adjusted')} AS adjusted_anomaly_score FROM ctx")
+_EXTERNAL_REASON = "CASE WHEN temporal_red > 0 THEN CASE WHEN m_frequent AND temporal_c * 0.20 * 1.0 = temporal_best THEN 'frequent_familiar_activity' WHEN m_hours THEN 'business_hours' ELSE 'expected_weekend' END ELSE 'none' END AS context_temporal_reason"
+says("context_external", f"SELECT {_ID}, m_trust AS context_match_verified_trust, m_weekend AS context_match_expected_weekend, trusted AS context_trust_available, planned AS context_weekend_schedule_available, {_EXTERNAL_REASON}, {r('reduction')} AS context_reduction, {r('adjusted')} AS adjusted_anomaly_score FROM ctxe")
 says("context_ablation", f"SELECT {_ID}, {r('reduction')} AS context_reduction, {_TEMPORAL_REASON} FROM ctxb")
 _RISK = """(SELECT product, n >= 100 AS supported, CASE WHEN n >= 100 THEN greatest(-1.0, least(1.0, ln(((f + 100 * g) / (n + 100)) / g))) ELSE 0.0 END AS risk
   FROM (SELECT product, count(*) AS n, sum(fraud)::DOUBLE AS f FROM feats WHERE split = 'train' GROUP BY product), (SELECT avg(fraud) AS g FROM feats WHERE split = 'train'))"""
@@ -288,7 +297,9 @@ says("product_risk", f"""SELECT {_ID}, available AS product_context_available, b
 _HITS = [*((n, n) for n, _, _ in [*_RULES, _MONITOR]), *((n, "false") for n in _NEVER)]
 says("rule_matches", f"SELECT {_ID}, matched AS matched_rule_count, {', '.join(f'{c} AS rule_match_{n}' for n, c in _HITS)} FROM dec")
 says("rule_decisions", f"SELECT {_ID}, split, action AS rule_action, winner AS winning_rule, priority AS winning_priority, matched AS matched_rule_count, conflict AS rule_action_conflict FROM dec")
-says("rule_activity", " UNION ALL ".join(f"SELECT '{n}' AS rule, coalesce(sum(({c})::INT), 0)::BIGINT AS matches, count(*) FILTER (winner = '{n}') AS wins FROM dec" for n, c in _HITS))
+_HALF = "(SELECT t FROM (SELECT t, row_number() OVER (ORDER BY t) AS i FROM {0} WHERE split = 'validation') WHERE i = floor((SELECT count(*) FROM {0} WHERE split = 'validation') * 0.5::DOUBLE) + 1)"
+_AUDIT = f"split = 'validation' AND t >= {_HALF}"
+says("rule_activity", " UNION ALL ".join(f"SELECT '{n}' AS rule, coalesce(sum(({c})::INT), 0)::BIGINT AS matches, count(*) FILTER (({c}) AND {_AUDIT.format('dec')}) AS audit_matches, count(*) FILTER (winner = '{n}') AS wins FROM dec" for n, c in _HITS))
 says("action_transitions", "SELECT a.split, a.action AS old_action, b.action AS new_action, count(*) AS rows FROM dec0 a JOIN dec b ON a.id = b.id GROUP BY ALL")
 says("decision_metrics", _confusion("action = 'review'", "fraud = 1", "dec WHERE split <> 'train'"))
 
@@ -310,10 +321,46 @@ _STRENGTH = """(SELECT strength, count(*) FILTER (s >= 0.7 AND fraud = 1) AS tp,
   (SELECT fraud, x.strength, round(score - x.strength * reduction, 9) AS s FROM ctx, (SELECT unnest([0.0, 0.25, 0.5, 1.0])::DOUBLE AS strength) x WHERE split = 'validation') GROUP BY strength)"""
 says("strength_selection", f"""SELECT strength, tp, fp, {r("loss")} AS recall_drop, gain AS false_positives_removed, eligible, eligible AND row_number() OVER (ORDER BY eligible DESC, gain DESC, loss, strength) = 1 AS chosen FROM (
   SELECT *, coalesce(loss <= 0.01 + 1e-12, false) AS eligible FROM (SELECT s.*, (b.tp - s.tp) / nullif(s.pos, 0)::DOUBLE AS loss, b.fp - s.fp AS gain FROM {_STRENGTH} s, {_STRENGTH} b WHERE b.strength = 0))""")
-_W = lambda layer, w: f"CASE WHEN {layer}_n IS NOT NULL THEN {w} ELSE 0.0 END"
-_MIXED = f"(coalesce(column_n, 0) * {_W('column', 'c')} + coalesce(entity_n, 0) * {_W('entity', 'e')} + coalesce(temporal_n, 0) * {_W('temporal', 'w')}) / nullif({_W('column', 'c')} + {_W('entity', 'e')} + {_W('temporal', 'w')}, 0)"
-says("weight_search", f"SELECT candidate, id % 2 AS half, {r(f'avg({_MIXED}) FILTER (fraud = 1) - avg({_MIXED}) FILTER (fraud = 0)')} AS gain FROM norm, (SELECT unnest(range(8)) AS candidate) SELECTED, LATERAL (SELECT 1.0 + candidate // 4 AS c, 1.0 + (candidate // 2) % 2 AS e, 1.0 + candidate % 2 AS w) WHERE split = 'validation' GROUP BY 1, 2".replace(" SELECTED", " g"))
-says("layer_contribution", " UNION ALL ".join(f"SELECT '{x}' AS layer, count(*) FILTER (fraud = 1) AS hits, {r('sum(v)')} AS total FROM (SELECT fraud, v, row_number() OVER (ORDER BY v DESC, id) AS i FROM (SELECT id, fraud, coalesce(round({x}_n, 9), -1.0) AS v FROM norm WHERE split = 'validation')) WHERE i <= 100" for x in ("column", "entity", "temporal")))
+_THERE = lambda x, w: f"CASE WHEN {x}_n IS NOT NULL THEN {w} ELSE 0.0 END"
+
+
+def _weighted(weights: dict[str, str]) -> str:
+    top = " + ".join(f"{_THERE(x, w)} * coalesce({x}_n, 0)" for x, w in weights.items())
+    return f"round(({top}) / nullif({' + '.join(_THERE(x, w) for x, w in weights.items())}, 0)::DOUBLE, 9)"
+
+
+#: The candidates' weights of the layers that SQL has.
+_CANDIDATES = {
+    "equal": (0.25, 0.25, 0.25), "column_emphasis": (0.55, 0.15, 0.15), "multivariate_emphasis": (0.15, 0.15, 0.15), "entity_emphasis": (0.15, 0.55, 0.15), "temporal_emphasis": (0.15, 0.15, 0.55),
+    "multivariate_entity": (0.10, 0.40, 0.10), "entity_temporal": (0.10, 0.40, 0.40), "multivariate_temporal": (0.10, 0.10, 0.40), "behavior_emphasis": (0.10, 0.30, 0.30),
+}
+_PLANS = ", ".join(f"({i}, '{n}', {c}::DOUBLE, {e}::DOUBLE, {w}::DOUBLE)" for i, (n, (c, e, w)) in enumerate(_CANDIDATES.items()))
+_PARTS["cal"] = f"SELECT * FROM norm WHERE split = 'validation' AND t < {_HALF.format('norm')}"
+_PARTS["scores"] = f"""SELECT id, fraud, t < (SELECT t FROM (SELECT t, row_number() OVER (ORDER BY t) AS i FROM cal) WHERE i = floor((SELECT count(*) FROM cal) * 0.5::DOUBLE) + 1) AS early, place, candidate,
+  {_weighted({"column": "c", "entity": "e", "temporal": "w"})} AS s FROM cal, (VALUES {_PLANS}) v(place, candidate, c, e, w)"""
+says("weight_search", f"""SELECT candidate, minimum_gain, hits, {r("ap")} AS average_precision, row_number() OVER (ORDER BY minimum_gain DESC, hits DESC, round(ap, 9) DESC, place) = 1 AS chosen FROM (
+  SELECT a.place, a.candidate, least(a.h1 - b.h1, a.h2 - b.h2) AS minimum_gain, a.h AS hits, ap FROM (
+    SELECT place, candidate, count(*) FILTER (early AND i <= k AND fraud = 1) AS h1, count(*) FILTER (NOT early AND i <= k AND fraud = 1) AS h2, count(*) FILTER (j <= l AND fraud = 1) AS h FROM g GROUP BY ALL) a,
+    (SELECT count(*) FILTER (early AND i <= k AND fraud = 1) AS h1, count(*) FILTER (NOT early AND i <= k AND fraud = 1) AS h2 FROM g WHERE place = 0) b,
+    (SELECT place, sum(p * tp / seen) / max(tp) AS ap FROM (SELECT place, sum(fraud)::DOUBLE AS p, sum(sum(fraud)) OVER (PARTITION BY place ORDER BY s DESC)::DOUBLE AS tp, sum(count(*)) OVER (PARTITION BY place ORDER BY s DESC)::DOUBLE AS seen FROM g GROUP BY place, s) GROUP BY place) c
+  WHERE c.place = a.place)""".replace("FROM g ", """FROM (
+    SELECT *, row_number() OVER (PARTITION BY place, early ORDER BY s DESC, id) AS i, ceil(count(*) OVER (PARTITION BY place, early) * 0.05::DOUBLE) AS k, row_number() OVER (PARTITION BY place ORDER BY s DESC, id) AS j, ceil(count(*) OVER (PARTITION BY place) * 0.05::DOUBLE) AS l FROM scores) """))
+_THREE = ("column", "entity", "temporal")
+_RANKINGS = {"raw": _THREE} | {f"only_{x}": (x,) for x in _THREE} | {f"without_{x}": tuple(y for y in _THREE if y != x) for x in _THREE}
+says("layer_contribution", " UNION ALL ".join(f"""SELECT '{n}' AS ranking, max(k) AS reviews, count(*) FILTER (i <= k AND fraud = 1) AS hits, count(*) FILTER (s < 0) AS unscored FROM (
+  SELECT *, row_number() OVER (ORDER BY s DESC, id) AS i, ceil(count(*) OVER () * 0.05::DOUBLE)::BIGINT AS k FROM (SELECT id, fraud, coalesce({_weighted(dict.fromkeys(own, "1.0"))}, -1.0) AS s FROM norm WHERE {_AUDIT.format("norm")}))""" for n, own in _RANKINGS.items()))
+_RAW, _ADJUSTED = "round(score, 9)", "round(adjusted, 9)"
+says("compare_scores", f"""SELECT count(*) FILTER (a >= 0.7 AND NOT b >= 0.7 AND fraud = 0) AS removed_false_positives, count(*) FILTER (NOT a >= 0.7 AND b >= 0.7 AND fraud = 0) AS added_false_positives,
+  count(*) FILTER (a >= 0.7 AND NOT b >= 0.7 AND fraud = 1) AS lost_true_positives, count(*) FILTER (NOT a >= 0.7 AND b >= 0.7 AND fraud = 1) AS added_true_positives,
+  count(*) FILTER (a >= 0.7) AS before_alerts, count(*) FILTER (a >= 0.7 AND fraud = 1) AS before_tp, count(*) FILTER (i <= k AND fraud = 1) AS before_budget_tp,
+  count(*) FILTER (b >= 0.7) AS after_alerts, count(*) FILTER (b >= 0.7 AND fraud = 1) AS after_tp, count(*) FILTER (j <= k AND fraud = 1) AS after_budget_tp, max(k) AS budget
+  FROM (SELECT *, row_number() OVER (ORDER BY a DESC, id) AS i, row_number() OVER (ORDER BY b DESC, id) AS j, ceil(count(*) OVER () * 0.05::DOUBLE)::BIGINT AS k
+        FROM (SELECT id, fraud, {_RAW} AS a, {_ADJUSTED} AS b FROM ctx WHERE {_AUDIT.format("ctx")}))""")
+_GROUPS = {"all": "true", "with_history": "entity_raw IS NOT NULL", "without_history": "entity_raw IS NULL"}
+says("coverage_sensitivity", " UNION ALL ".join(f"""SELECT '{n}' AS ranking, '{g}' AS coverage, max(k) AS reviews, count(*) FILTER (i <= k AND fraud = 1) AS hits, {q}::DOUBLE AS rate FROM (
+  SELECT *, row_number() OVER (ORDER BY {s} DESC, id) AS i, ceil(count(*) OVER () * {q}::DOUBLE)::BIGINT AS k FROM ctx WHERE {c} AND {_AUDIT.format("ctx")}) HAVING count(*) > 0""" for n, s in (("raw", _RAW), ("adjusted", _ADJUSTED)) for g, c in _GROUPS.items() for q in (0.01, 0.05, 0.1)))
+says("validated_splits", "SELECT split, count(*) AS rows, sum(has_identity::INT)::BIGINT AS identity_rows, sum(fraud)::BIGINT AS positives FROM txns GROUP BY split")
+says("score_lookup", "SELECT doc_id, lang, quality FROM documents LEFT JOIN labels USING (doc_id)")
 _BOTH = "(SELECT *, row_number() OVER (ORDER BY score DESC, id) AS i, row_number() OVER (ORDER BY other DESC, id) AS j, ceil(count(*) OVER () * 0.1::DOUBLE)::BIGINT AS k FROM lab)"
 says("overlap_sets", f"SELECT max(k) AS reviews_each, count(*) FILTER (i <= k AND j <= k) AS shared_reviews, count(*) FILTER (i <= k AND j > k AND y = 1) AS first_only_tp, count(*) FILTER (i > k AND j <= k AND y = 1) AS second_only_tp, count(*) FILTER (i <= k OR j <= k) AS union_reviews, count(*) FILTER ((i <= k OR j <= k) AND y = 1) AS union_tp FROM {_BOTH}")
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from contextvars import ContextVar
 from functools import wraps
-from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from driftwell.functions.columns import printed, ratio
+from driftwell.functions.columns import flag, printed, ratio
 from driftwell.operators import context, evaluate, forest, history, ingest, layers, profile, retrieval
-from driftwell.operators.prefix import cuts_of, higher_quantile, strict_rank
+from driftwell.operators.prefix import cuts_of, higher_quantile, quantiles, strict_rank
 from driftwell.operators.rules import DEFAULT, RuleSet
 from driftwell.plans import experiment
 from driftwell.sources import tables as src
@@ -84,21 +84,13 @@ def told() -> list[str]:
     return [x for x in layers.LAYERS if x != "multivariate" or _FOREST.get()]
 
 
-_SCORED: dict[tuple, DataFrame] = {}  # one session and folder
-
-
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Layers, ranked against training rows and combined: a table, kept for one session and folder, with the forest and without."""
-    key = (spark.sparkContext.applicationId, sf_dir, _FOREST.get())
-    if key not in _SCORED:
-        features = keep(feature_table(spark, sf_dir), "features")
-        train = features.where("split = 'train'")
-        raw = layers.raw_layers(features, layers.fit_references(train, check=False), forest.scores(forest.fit(train)) if _FOREST.get() else None)
-        raw = keep(raw.withColumns({f"{x}_raw": F.round(f"{x}_raw", 9) for x in layers.LAYERS}), "raw")
-        for other in [k for k in _SCORED if k[:2] != key[:2]]:
-            del _SCORED[other]
-        _SCORED[key] = keep(layers.combined(layers.normalised(raw.where("split = 'train'"), raw)), "scored")
-    return _SCORED[key]
+    """Layers, ranked against training rows and combined, as a table; with the forest, its scores are written once and then ranked."""
+    features = keep(feature_table(spark, sf_dir), "features")
+    train = features.where("split = 'train'")
+    raw = layers.raw_layers(features, layers.fit_references(train, check=False), forest.scores(forest.fit(train)) if _FOREST.get() else None)
+    raw = keep(raw.withColumns({f"{x}_raw": F.round(f"{x}_raw", 9) for x in layers.LAYERS}), "raw")
+    return keep(layers.combined(layers.normalised(raw.where("split = 'train'"), raw)), "scored")
 
 
 def small_context() -> context.Context:
@@ -106,14 +98,20 @@ def small_context() -> context.Context:
     return context.Context(product_minimum_support=100, minimum_prior_count=5)
 
 
-def discounted(spark: SparkSession, sf_dir: str, cfg: context.Context | None = None, enabled: frozenset[str] | None = None) -> DataFrame:
-    s = scored(spark, sf_dir)
+def discounted(s: DataFrame, cfg: context.Context | None = None, enabled: frozenset[str] | None = None, external: DataFrame | None = None, check: bool = False) -> DataFrame:
+    """Scored rows with the context discounts."""
     cfg = cfg or small_context()
-    return context.apply_context(s, cfg, context.product_reference(s.where("split = 'train'"), cfg, check=False), None, enabled)
+    return context.apply_context(s, cfg, context.product_reference(s.where("split = 'train'"), cfg, check=check), external, enabled, check)
+
+
+def decided(s: DataFrame, check: bool = False) -> DataFrame:
+    """Scored rows with the decisions of the default rules."""
+    return RuleSet(DEFAULT).evaluate(discounted(s), keep=("split", "isFraud", "TransactionDT"), check=check)
 
 
-def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return RuleSet(DEFAULT).evaluate(discounted(spark, sf_dir), keep=("split", "isFraud"))
+def audited(s: DataFrame) -> DataFrame:
+    """The later half of the validation rows; the earlier one is for choosing."""
+    return ingest.halves(s.where("split = 'validation'"), check=False).where("not calibration")
 
 
 def p(name: str, as_: str | None = None) -> Column:
@@ -256,8 +254,6 @@ def feature_null_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def customer_day_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of a customer strictly before the day: ties by day."""
-    from pyspark.sql.window import Window as W
-
     o = src.order_transactions(spark, sf_dir).withColumn("d", F.dense_rank().over(W.partitionBy("entity").orderBy("TransactionDT")))
     prior = W.partitionBy("entity").orderBy("d").rangeBetween(W.unboundedPreceding, -1)
     return o.select("TransactionID", F.count("*").over(prior).alias("prior_orders"), printed(F.avg("TransactionAmt").over(prior), 4).alias("prior_mean"))
@@ -299,6 +295,13 @@ def spearman_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.spearman(t, [("TransactionAmt", "card1"), ("card1", "addr1"), ("TransactionDT", "TransactionAmt")]).withColumn("rho", printed(F.col("rho")))
 
 
+@query
+def spearman_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three strongest pairs of four columns."""
+    t = src.transactions(spark, sf_dir).select("TransactionAmt", "card1", "addr1", "TransactionDT", F.lit(1.0).alias("constant"), F.when(F.col("TransactionID") % 50 == 0, F.col("card1")).alias("sparse"))
+    return profile.spearman_top(t, ["TransactionAmt", "card1", "addr1", "TransactionDT", "constant", "sparse"], most=3).withColumn("rho", printed(F.col("rho")))
+
+
 @query
 def entity_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = profile.entity_profile(src.transactions(spark, sf_dir), ENTITY)
@@ -337,7 +340,9 @@ def part_supply_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def robust_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = ingest.chronological_split(src.transactions(spark, sf_dir), check=False).where("split = 'train'")
-    return s.agg(*layers.robust_expressions(F.log1p("TransactionAmt"), "amount"), *layers.robust_expressions(F.col("addr1"), "addr")).select(*map(p, ("amount_centre", "amount_scale", "addr_centre", "addr_scale")))
+    named = layers.robust(s, {"amount": F.log1p("TransactionAmt"), "addr": F.col("addr1")})
+    one = lambda n, c: F.max(F.when(F.col("name") == n, F.col(c))).alias(f"{n}_{c}")
+    return named.agg(*[one(n, c) for n in ("amount", "addr") for c in ("centre", "scale")]).select(*map(p, ("amount_centre", "amount_scale", "addr_centre", "addr_scale")))
 
 
 @query
@@ -368,9 +373,10 @@ def aggregate_available(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def score_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.percentile("raw_anomaly_score", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    by = scored(spark, sf_dir).groupBy("split").agg(q.alias("q"), F.avg(F.col("entity_available").cast("double")).alias("entity_coverage"), F.avg(F.col("temporal_available").cast("double")).alias("temporal_coverage"))
-    return by.select("split", *[printed(F.col("q")[i]).alias(n) for i, n in enumerate(("q50", "q90", "q99"))], p("entity_coverage"), p("temporal_coverage"))
+    s = scored(spark, sf_dir)
+    q = quantiles(s, "raw_anomaly_score", [0.5, 0.9, 0.99], ("split",)).select("split", "q")
+    by = s.groupBy("split").agg(F.avg(F.col("entity_available").cast("double")).alias("entity_coverage"), F.avg(F.col("temporal_available").cast("double")).alias("temporal_coverage"), F.avg(F.col("multivariate_available").cast("double")).alias("multivariate_coverage")).join(q, "split")
+    return by.select("split", *[printed(F.col("q")[i]).alias(n) for i, n in enumerate(("q50", "q90", "q99"))], p("entity_coverage"), p("temporal_coverage"), p("multivariate_coverage"))
 
 
 @query
@@ -399,23 +405,23 @@ def product_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def context_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return discounted(spark, sf_dir).select("TransactionID", "context_guard_active", *[f"context_match_{r}" for r in context.RULES])
+    return discounted(scored(spark, sf_dir), check=True).select("TransactionID", "context_guard_active", *[f"context_match_{r}" for r in context.RULES])
 
 
 @query
 def context_discounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = discounted(spark, sf_dir)
+    d = discounted(scored(spark, sf_dir))
     return d.select("TransactionID", *[p(f"context_{x}_reduction") for x in told()], "context_column_reason", "context_temporal_reason")
 
 
 @query
 def context_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return discounted(spark, sf_dir).select("TransactionID", *map(p, ("raw_anomaly_score", "context_reduction", "adjusted_anomaly_score")))
+    return discounted(scored(spark, sf_dir)).select("TransactionID", *map(p, ("raw_anomaly_score", "context_reduction", "adjusted_anomaly_score")))
 
 
 @query
 def context_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = discounted(spark, sf_dir, enabled=frozenset({"business_hours"}))
+    d = discounted(scored(spark, sf_dir), enabled=frozenset({"business_hours"}))
     return d.select("TransactionID", p("context_reduction"), "context_temporal_reason")
 
 
@@ -434,32 +440,38 @@ def product_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rule_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decided(spark, sf_dir).select("TransactionID", "matched_rule_count", *[f"rule_match_{r.id}" for r in RuleSet(DEFAULT).rules])
+    return decided(scored(spark, sf_dir), check=True).select("TransactionID", "matched_rule_count", *[f"rule_match_{r.id}" for r in RuleSet(DEFAULT).rules])
 
 
 @query
 def rule_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decided(spark, sf_dir).select("TransactionID", "split", "rule_action", "winning_rule", "winning_priority", "matched_rule_count", "rule_action_conflict")
+    return decided(scored(spark, sf_dir)).select("TransactionID", "split", "rule_action", "winning_rule", "winning_priority", "matched_rule_count", "rule_action_conflict")
 
 
 @query
 def rule_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = decided(spark, sf_dir)
-    cells = d.select("winning_rule", F.explode(F.array(*[F.struct(F.lit(r.id).alias("rule"), F.col(f"rule_match_{r.id}").alias("hit")) for r in RuleSet(DEFAULT).rules])).alias("x"))
-    return cells.groupBy(F.col("x.rule").alias("rule")).agg(F.sum(F.col("x.hit").cast("long")).alias("matches"), profile.counted(F.coalesce(F.col("winning_rule") == F.col("x.rule"), F.lit(False))).alias("wins"))
+    """Matches of each rule, those in the audit half of validation, and rows that it decides."""
+    d = decided(scored(spark, sf_dir))
+    (cut,) = ingest.boundaries(d.where("split = 'validation'"), [0.5])
+    audit = F.coalesce((F.col("split") == "validation") & (F.col("TransactionDT") >= cut), F.lit(False)).alias("audit")
+    cells = d.select("winning_rule", audit, F.explode(F.array(*[F.struct(F.lit(r.id).alias("rule"), F.col(f"rule_match_{r.id}").alias("hit")) for r in RuleSet(DEFAULT).rules])).alias("x"))
+    return cells.groupBy(F.col("x.rule").alias("rule")).agg(
+        F.sum(F.col("x.hit").cast("long")).alias("matches"), profile.counted(F.col("x.hit") & F.col("audit")).alias("audit_matches"), profile.counted(F.coalesce(F.col("winning_rule") == F.col("x.rule"), F.lit(False))).alias("wins")
+    )
 
 
 @query
 def action_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How actions change between the undiscounted and the discounted scores, by split."""
-    old = RuleSet(DEFAULT).evaluate(discounted(spark, sf_dir, small_context().at(0.0)), keep=("split",)).select("TransactionID", "split", F.col("rule_action").alias("old_action"))
-    new = decided(spark, sf_dir).select("TransactionID", F.col("rule_action").alias("new_action"))
+    s = scored(spark, sf_dir)
+    old = RuleSet(DEFAULT).evaluate(discounted(s, small_context().at(0.0)), keep=("split",)).select("TransactionID", "split", F.col("rule_action").alias("old_action"))
+    new = decided(s).select("TransactionID", F.col("rule_action").alias("new_action"))
     return old.join(new, "TransactionID").groupBy("split", "old_action", "new_action").agg(F.count("*").alias("rows"))
 
 
 @query
 def decision_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = evaluate.confusion(decided(spark, sf_dir).where("split <> 'train'"), F.col("rule_action") == "review")
+    d = evaluate.confusion(decided(scored(spark, sf_dir)).where("split <> 'train'"), F.col("rule_action") == "review")
     return d.select("alerts", "tp", "fp", "fn", "tn", p("precision"), p("recall"), p("fpr"))
 
 
@@ -508,7 +520,7 @@ def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def paired_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = discounted(spark, sf_dir).where("split = 'validation'").withColumns({c: F.round(c, 9) for c in ("raw_anomaly_score", "adjusted_anomaly_score")})
+    d = discounted(scored(spark, sf_dir)).where("split = 'validation'").withColumns({c: F.round(c, 9) for c in ("raw_anomaly_score", "adjusted_anomaly_score")})
     return evaluate.paired_effect(d, "raw_anomaly_score", "adjusted_anomaly_score", 0.7)
 
 
@@ -528,34 +540,111 @@ def equal_volume_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def strength_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strengths compared in one pass: the reduction scales with the strength before its caps."""
-    d = discounted(spark, sf_dir).where("split = 'validation'")
+    d = discounted(scored(spark, sf_dir)).where("split = 'validation'")
     strengths = F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 1.0)])
     each = d.select("isFraud", "raw_anomaly_score", "context_reduction", F.explode(strengths).alias("strength")).withColumn("score", F.round(F.col("raw_anomaly_score") - F.col("strength") * F.col("context_reduction"), 9))
     return evaluate.select_strength(each, 0.7, 0.01).withColumn("recall_drop", printed(F.col("recall_drop")))
 
 
+#: Candidate weights of column, multivariate, entity and temporal layer; the first is what others are held against.
+WEIGHTS = {
+    "equal": (0.25, 0.25, 0.25, 0.25),
+    "column_emphasis": (0.55, 0.15, 0.15, 0.15),
+    "multivariate_emphasis": (0.15, 0.55, 0.15, 0.15),
+    "entity_emphasis": (0.15, 0.15, 0.55, 0.15),
+    "temporal_emphasis": (0.15, 0.15, 0.15, 0.55),
+    "multivariate_entity": (0.10, 0.40, 0.40, 0.10),
+    "entity_temporal": (0.10, 0.10, 0.40, 0.40),
+    "multivariate_temporal": (0.10, 0.40, 0.10, 0.40),
+    "behavior_emphasis": (0.10, 0.30, 0.30, 0.30),
+}
+#: Share of the rows that is reviewed.
+RATE = 0.05
+
+
+def weighted(weights: dict[str, Column]) -> Column:
+    """The score of a row under weights of the layers it has."""
+    there = lambda x: F.when(F.col(f"{x}_normalized").isNotNull(), weights[x]).otherwise(0.0)
+    top = [there(x) * F.coalesce(f"{x}_normalized", F.lit(0.0)) for x in weights]
+    return F.round(ratio(sum(top[1:], top[0]), sum((there(x) for x in list(weights)[1:]), there(next(iter(weights))))), 9)
+
+
 @query
 def weight_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean score of positives less that of negatives for candidate weights and halves, in one pass."""
+    """The candidate weights by their smallest gain in hits over the two halves of early validation, then all hits, then average precision."""
+    s = ingest.halves(scored(spark, sf_dir).where("split = 'validation'"), check=False).where("calibration").drop("calibration")
+    s = ingest.halves(s, check=False).withColumn("part", F.when(F.col("calibration"), "first").otherwise("second"))
     names = told()
-    cand = F.array(*[F.struct(F.lit(i).alias("candidate"), *[F.lit(w).alias(x) for x, w in zip(names, ws)]) for i, ws in enumerate(product((1.0, 2.0), repeat=len(names)))])
-    s = scored(spark, sf_dir).where("split = 'validation'").select("isFraud", (F.col("TransactionID") % 2).alias("half"), *[f"{x}_normalized" for x in names], F.explode(cand).alias("w"))
-    part = lambda x: F.when(F.col(f"{x}_normalized").isNotNull(), F.col(f"w.{x}")).otherwise(0.0)
-    top, share = (sum((f(x) for x in names[1:]), f(names[0])) for f in (lambda x: part(x) * F.coalesce(f"{x}_normalized", F.lit(0.0)), part))
-    score = ratio(top, share)
-    gain = F.avg(F.when(F.col("isFraud") == 1, score)) - F.avg(F.when(F.col("isFraud") == 0, score))
-    return s.groupBy(F.col("w.candidate").cast("long").alias("candidate"), "half").agg(printed(gain).alias("gain"))
+    cand = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(n).alias("candidate"), *[F.lit(dict(zip(layers.LAYERS, w, strict=True))[x]).alias(x) for x in names]) for i, (n, w) in enumerate(WEIGHTS.items())])
+    each = s.select("TransactionID", "isFraud", "part", *[f"{x}_normalized" for x in names], F.explode(cand).alias("w"))
+    each = each.select("TransactionID", "isFraud", "part", F.col("w.place").alias("place"), F.col("w.candidate").alias("candidate"), weighted({x: F.col(f"w.{x}") for x in names}).alias("score"))
+    each = keep(each, "candidates")
+    group = ("place", "candidate", "part")
+    hits = evaluate.hits_at(each, group, "score", RATE).unionByName(evaluate.hits_at(each.withColumn("part", F.lit("both")), group, "score", RATE))
+    of = lambda part: F.max(F.when(F.col("part") == part, F.col("hits"))).alias(part)
+    by = hits.groupBy("place", "candidate").agg(*map(of, ("first", "second", "both"))).join(evaluate.ranking_metrics(each, "score", by=("place", "candidate")), ["place", "candidate"])
+    base = F.broadcast(by.where("place = 0").select(F.col("first").alias("_a"), F.col("second").alias("_b")))
+    by = by.crossJoin(base).withColumns({"minimum_gain": F.least(F.col("first") - F.col("_a"), F.col("second") - F.col("_b")), "precise": F.round("average_precision", 9)})
+    # One row a candidate, a handful.
+    order = W.partitionBy().orderBy(F.col("minimum_gain").desc(), F.col("both").desc(), F.col("precise").desc(), "place")
+    return by.select("candidate", "minimum_gain", F.col("both").alias("hits"), p("average_precision"), (F.row_number().over(order) == 1).alias("chosen"))
 
 
 @query
 def layer_contribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positives among the 100 highest rows of each layer alone, unscored rows last."""
-    s = scored(spark, sf_dir).where("split = 'validation'").select("TransactionID", "isFraud", *[F.coalesce(F.round(f"{x}_normalized", 9), F.lit(-1.0)).alias(x) for x in told()])
-    out = None
-    for x in told():
-        one = evaluate.top_k(s, x, 100).agg(F.lit(x).alias("layer"), profile.counted(F.col("isFraud") == 1).alias("hits"), printed(F.sum(x)).alias("total"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Hits within the budget in the audit half, of all layers, each alone, and all but one; unscored rows come last."""
+    names = told()
+    s = audited(scored(spark, sf_dir)).select("TransactionID", "isFraud", *[f"{x}_normalized" for x in names])
+    rankings = {"raw": names} | {f"only_{x}": [x] for x in names} | {f"without_{x}": [y for y in names if y != x] for x in names}
+    cells = F.array(*[F.struct(F.lit(n).alias("ranking"), weighted({x: F.lit(1.0) for x in own}).alias("score")) for n, own in rankings.items()])
+    each = keep(s.select("TransactionID", "isFraud", F.explode(cells).alias("c")).select("TransactionID", "isFraud", "c.ranking", F.coalesce("c.score", F.lit(-1.0)).alias("score")), "rankings")
+    unscored = each.groupBy("ranking").agg(profile.counted(F.col("score") < 0).alias("unscored"))
+    return evaluate.hits_at(each, ("ranking",), "score", RATE).join(unscored, "ranking")
+
+
+@query
+def compare_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw and adjusted scores at one threshold and at one budget, and what changes between them."""
+    d = audited(discounted(scored(spark, sf_dir))).select("TransactionID", "isFraud", *[F.round(c, 9).alias(c) for c in ("raw_anomaly_score", "adjusted_anomaly_score")])
+    return evaluate.compare(keep(d, "compared"), "raw_anomaly_score", "adjusted_anomaly_score", 0.7, RATE)
+
+
+@query
+def coverage_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of both scores at several budgets, among all audit rows and those with and without the entity's history."""
+    d = audited(discounted(scored(spark, sf_dir)))
+    groups = F.array(F.lit("all"), F.when(F.col("entity_available"), "with_history").otherwise("without_history"))
+    cells = F.array(*[F.struct(F.lit(n).alias("ranking"), F.round(c, 9).alias("score")) for n, c in (("raw", "raw_anomaly_score"), ("adjusted", "adjusted_anomaly_score"))])
+    each = d.select("TransactionID", "isFraud", F.explode(groups).alias("coverage"), cells.alias("c")).withColumn("c", F.explode("c")).select("TransactionID", "isFraud", "coverage", "c.ranking", "c.score")
+    each = keep(each, "coverage")
+    out = [evaluate.hits_at(each, ("ranking", "coverage"), "score", rate).withColumn("rate", F.lit(rate)) for rate in (0.01, 0.05, 0.1)]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query
+def context_external(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context with external evidence: some entities are trusted and some weekends planned, observed before the row or not."""
+    s = scored(spark, sf_dir)
+    t, i = F.col("TransactionDT"), F.col("TransactionID")
+    external = s.select(
+        "TransactionID", (i % 3 == 0).alias("trusted_entity"), F.greatest(t + i % 7 - 3, F.lit(0.0)).alias("trust_observed_at"), F.lit("desk").alias("trust_source"),
+        (i % 2 == 0).alias("weekend_activity_expected"), F.greatest(t - 1, F.lit(0.0)).alias("schedule_observed_at"), F.lit("roster").alias("schedule_source"),
+    )
+    d = discounted(s, external=external, check=True)
+    return d.select("TransactionID", "context_match_verified_trust", "context_match_expected_weekend", "context_trust_available", "context_weekend_schedule_available", "context_temporal_reason", p("context_reduction"), p("adjusted_anomaly_score"))
+
+
+@query
+def validated_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checked and joined input as it is written by split: rows, rows with identity and positives of each."""
+    path, _ = experiment.prepare(spark, src.transactions(spark, sf_dir), src.identities(spark, sf_dir))
+    return spark.read.parquet(path).groupBy("split").agg(F.count("*").alias("rows"), profile.counted(F.col("has_identity")).alias("identity_rows"), F.sum("isFraud").cast("long").alias("positives"))
+
+
+@query
+def score_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with what a file of scores has for it, or null."""
+    return table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
 
 
 @query
@@ -574,33 +663,38 @@ def fold_disjointness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def hybrid_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = labelled(spark, sf_dir).withColumn("fold", F.col("source"))
-    return evaluate.hybrid_ranking(df, "score", "other", 0.5)
+    """The first 20 places of each source, in turns of two rankings."""
+    return evaluate.hybrid_ranking(labelled(spark, sf_dir).withColumn("fold", F.col("source")), "score", "other", 0.5, 20)
 
 
 @query
 def block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = ingest.blocks(scored(spark, sf_dir).where("split = 'validation'"), 12).select("TransactionID", "isFraud", "block", F.coalesce("column_normalized", F.lit(-1.0)).alias("column"), "raw_anomaly_score")
-    return evaluate.block_bootstrap(s, "column", "raw_anomaly_score", 0.05, 200)
+    return evaluate.block_bootstrap(s, "column", "raw_anomaly_score", 0.05, 200, check=True)
 
 
 @query
 def row_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.row_bootstrap(labelled(spark, sf_dir), "score", 0.1, 100)
+    """The gap in hits between two rankings of labelled documents, and its interval."""
+    return evaluate.row_bootstrap(labelled(spark, sf_dir), "score", "other", 0.1, 400, check=True)
 
 
 @query
 def supervised_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validation rows by a ranker of each kind on all features that vary in training."""
     f = keep(feature_table(spark, sf_dir), "features")
-    names = ["amount", "hour_sin", "hour_cos", "prior_transaction_count", "prior_mean_amount", "amount_to_prior_mean", "product_prior_frequency", "email_pair_prior_frequency"]
-    return evaluate.supervised_scores(f.where("split = 'train'"), f.where("split = 'validation'"), names).select("TransactionID", "isFraud", "supervised")
+    train, out = f.where("split = 'train'"), f.where("split = 'validation'")
+    names = experiment.input_sets(train)["full"]
+    for kind in ("logistic", "boosted"):
+        out = evaluate.supervised_scores(train, out, names, kind=kind, name=kind)
+    return out.select("TransactionID", "isFraud", "logistic", "boosted")
 
 
 @query
 def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three folds, labels a day late."""
-    f = keep(feature_table(spark, sf_dir), "features")
-    return experiment.walk_forward(f, ["amount", "hour_sin", "hour_cos", "prior_transaction_count", "amount_to_prior_mean", "product_prior_frequency"], 3, 1.0)
+    """Two folds, labels a day late, with all input sets; boosting on the matched one, which the hybrid takes."""
+    rankers = (("full", "logistic"), ("without_time", "logistic"), ("matched", "logistic"), ("matched", "boosted"))
+    return experiment.walk_forward(keep(feature_table(spark, sf_dir), "features"), experiment.Protocol(2, 1.0, rankers=rankers, resamples=100))
 
 
 # Retrieval, streaming, scenarios
@@ -655,23 +749,56 @@ def full_stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streamed(spark, sf_dir).select(*_streamed_columns(), p("history_span_days"), "prior_distinct_email_domains", "entity_email_is_new", "prior_distinct_devices", "entity_device_is_new")
 
 
+#: What the scenarios change: the amount's factor, more transactions within the hour, trust and calendar.
+AMOUNTS, PACES, TRUST, CALENDARS = (0.5, 1.0, 1.5, 3.0), (0, 5, 12), ("none", "before"), ("weekday", "weekend_planned")
+
+
+def scenarios(s: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Features of every row of ``s`` under all scenarios, as rows of their own, and the external evidence of those.
+
+    Numbered from the row's id, so that every one is a transaction.
+    """
+    grid = [(a, b, c, d) for a in AMOUNTS for b in PACES for c in TRUST for d in CALENDARS]
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("amount"), F.lit(b).alias("pace"), F.lit(c).alias("trust"), F.lit(d).alias("calendar")) for i, (a, b, c, d) in enumerate(grid)])
+    g, amount = (lambda c: F.col(f"_g.{c}")), F.col("amount") * F.col("_g.amount")
+    each = s.withColumn("_g", F.explode(cells)).withColumn("amount", amount)
+    relative = ratio(F.col("amount"), F.col("prior_mean_amount"))
+    weekday = g("calendar") == "weekday"
+    each = each.withColumns(
+        {
+            "TransactionID": F.col("TransactionID") * len(grid) + g("i"), "log_amount": F.log1p("amount"), "amount_to_prior_mean": F.when(F.col("prior_mean_amount") > 0, relative),
+            "prior_count_1h": F.col("prior_count_1h") + g("pace"), "prior_count_24h": F.col("prior_count_24h") + g("pace"), "calendar_available": F.lit(1.0),
+            "is_business_hours": F.when(weekday, 1.0).otherwise(0.0), "is_weekend": F.when(weekday, 0.0).otherwise(1.0), "g_amount": g("amount"), "g_pace": g("pace"), "g_trust": g("trust"), "g_calendar": g("calendar"),
+        }
+    )
+    each = each.withColumn("usual_amount", F.when(F.col("prior_transaction_count") >= 5, flag(F.col("amount_to_prior_mean").between(2 / 3, 1.5))))
+    before = F.greatest(F.col("TransactionDT") - 1, F.lit(0.0))
+    trusted, planned = F.col("g_trust") == "before", F.col("g_calendar") == "weekend_planned"
+    external = each.select("TransactionID", trusted.alias("trusted_entity"), before.alias("trust_observed_at"), F.lit("desk").alias("trust_source"), planned.alias("weekend_activity_expected"), before.alias("schedule_observed_at"), F.lit("roster").alias("schedule_source"))
+    return each.drop("_g"), external
+
+
 @query
 def scenario_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every validation row of the scored table under 48 what-if changes of amount, pace, trust and calendar: mean adjusted score."""
-    s = scored(spark, sf_dir).where("split = 'validation'")
-    grid = F.array(*[F.struct(F.lit(a).alias("amount"), F.lit(b).alias("pace"), F.lit(c).alias("trusted"), F.lit(d).alias("calendar")) for a in (0.5, 1.0, 1.5, 3.0) for b in (0, 5, 12) for c in (False, True) for d in (0, 1)])
+    """Every validation row under 48 what-if changes of amount, pace, trust and calendar: scored, ranked and discounted anew, by scenario."""
+    features = keep(feature_table(spark, sf_dir), "features")
+    train = features.where("split = 'train'")
+    references, isolate = layers.fit_references(train, check=False), forest.scores(forest.fit(train)) if _FOREST.get() else None
+    each, external = scenarios(features.where("split = 'validation'"))
+    each = keep(each, "scenarios")
+    known = layers.raw_layers(train, references, isolate).select(*[f"{x}_raw" for x in layers.LAYERS])
+    whole = layers.combined(layers.normalised(keep(known, "known"), keep(layers.raw_layers(each, references, isolate), "raw")))
     cfg = small_context()
-    each = s.withColumn("_g", F.explode(grid)).withColumns({"amount": F.col("amount") * F.col("_g.amount"), "amount_to_prior_mean": F.col("amount_to_prior_mean") * F.col("_g.amount"), "prior_count_1h": F.col("prior_count_1h") + F.col("_g.pace"), "is_business_hours": F.col("_g.calendar").cast("double")})
-    each = each.withColumns({"g_amount": F.col("_g.amount"), "g_pace": F.col("_g.pace"), "g_trusted": F.col("_g.trusted"), "g_calendar": F.col("_g.calendar")}).drop("_g")
-    out = context.apply_context(each, cfg, context.product_reference(scored(spark, sf_dir).where("split = 'train'"), cfg, check=False))
-    trusted = F.when(F.col("g_trusted") & ~F.col("context_guard_active"), F.col("adjusted_anomaly_score") * 0.99).otherwise(F.col("adjusted_anomaly_score"))
-    return out.groupBy("g_amount", "g_pace", "g_trusted", "g_calendar").agg(F.count("*").alias("rows"), printed(F.avg(trusted)).alias("mean_adjusted"), profile.counted(F.col("context_guard_active")).alias("guarded"))
+    out = context.apply_context(keep(whole, "scored"), cfg, context.product_reference(train, cfg, check=False), external)
+    group = ["g_amount", "g_pace", "g_trust", "g_calendar"]
+    return out.groupBy(*group).agg(F.count("*").alias("rows"), printed(F.avg("raw_anomaly_score")).alias("mean_raw"), printed(F.avg("adjusted_anomaly_score")).alias("mean_adjusted"), profile.counted(F.col("context_guard_active")).alias("guarded"), profile.counted(F.col("context_match_verified_trust")).alias("trusted"), profile.counted(F.col("context_match_expected_weekend")).alias("planned"))
 
 
 # The same on all four layers; SQL can't grow the forest
 
 for _f in (
     aggregate_available, score_quantiles, contribution_audit, context_guard, context_discounts, context_capped, context_ablation, product_risk, rule_matches, rule_decisions,
-    rule_activity, action_transitions, decision_metrics, paired_effect, strength_selection, weight_search, layer_contribution, block_bootstrap, scenario_grid,
+    rule_activity, action_transitions, decision_metrics, paired_effect, compare_scores, coverage_sensitivity, context_external, strength_selection, weight_search,
+    layer_contribution, block_bootstrap, scenario_grid,
 ):
     query(full(_f))

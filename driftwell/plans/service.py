@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 from enum import StrEnum
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwell.operators import context, forest, history, layers
-from driftwell.operators.retrieval import Grounded, Index, answer
+from driftwell.operators.retrieval import BadReply, Grounded, Index, answer, documents_of
 from driftwell.operators.rules import RuleSet
 from driftwell.sources.tables import TRANSACTION, plain, point
 
@@ -35,6 +36,10 @@ class Unavailable(RuntimeError):
     """A model or index that isn't there (503)."""
 
 
+#: The status that an HTTP front would give each kind of failure.
+STATUS = {NotFound: 404, BadRequest: 422, BadReply: 502, Unavailable: 503}
+
+
 @dataclass
 class Fitted:
     """What scoring needs of the training rows."""
@@ -76,12 +81,12 @@ def load(spark: SparkSession, path: str) -> Fitted:
 
 def score(features: DataFrame, fitted: Fitted, profile: Profile = Profile.BEHAVIOR_CONTEXT, external: DataFrame | None = None) -> DataFrame:
     """Features to layer scores, their ranks, the raw score and the adjusted score of a profile."""
-    raw = layers.raw_layers(features, fitted.references, forest.scores(fitted.forest) if fitted.forest else None)
+    raw = layers.raw_layers(features, fitted.references, forest.scores(fitted.forest) if fitted.forest else None, check=True)
     whole = layers.combined(layers.normalised(fitted.train, raw))
     if profile is Profile.PRODUCT_RISK:
         if fitted.risk is None:
             raise Unavailable("no product-risk policy is fitted")
-        return context.apply_product_risk(whole, *fitted.risk, fitted.context, external)
+        return context.apply_product_risk(whole, *fitted.risk, fitted.context, external, check=True)
     cfg = fitted.context.at(0.0) if profile is Profile.RAW else fitted.context
     return context.apply_context(whole, cfg, fitted.products, external)
 
@@ -132,8 +137,18 @@ class Service:
     def score(self, request: dict) -> dict:
         return plain(self.scored(request).first().asDict())
 
+    @contextmanager
+    def _held(self, request: dict) -> Iterator[DataFrame]:
+        """The scored row of a request, kept until it is answered."""
+        scored = self.scored(request).cache()
+        try:
+            yield scored
+        finally:
+            scored.unpersist()
+
     def evaluate_rules(self, request: dict) -> dict:
-        return self.rules.explain(self.scored(request).cache())
+        with self._held(request) as scored:
+            return self.rules.explain(scored)
 
     def query(self, question: str, matched: frozenset[str] | None = None, language: str = "en") -> dict:
         if self.index is None or self.embed is None or self.grounded is None:
@@ -156,12 +171,18 @@ class Service:
             finally:
                 event["duration_ms"] = round(1000 * (time.perf_counter() - began), 3)
 
-        scored = self.scored(request).cache()
-        result = {"score": step("scoring", lambda: plain(scored.first().asDict())), "rules": step("rules", lambda: self.rules.explain(scored))}
+        with self._held(request) as scored:
+            result = {"score": step("scoring", lambda: plain(scored.first().asDict())), "rules": step("rules", lambda: self.rules.explain(scored))}
         if question is not None:
             matched = frozenset(r["id"] for r in result["rules"]["rules"] if r["matched"])
             result["answer"] = step("retrieval", lambda: self.query(question, matched))
         return {**result, "trace": trace}
 
+    def indexed(self, policies: list[dict], embed: Callable[[list[str]], list[list[float]]]) -> Index:
+        """The retrieval index of the policies and of the rules in force; the service answers from it from now on."""
+        self.index = Index.build(self.spark, documents_of(policies, self.rules), embed)
+        self.embed = lambda question: embed([question])[0]
+        return self.index
+
     def health(self) -> dict:
         return {"status": "ok", "rules": len(self.rules.rules), "retrieval": self.index is not None}

@@ -17,7 +17,7 @@ def spark():
     scratch = tempfile.mkdtemp(prefix="tests-")
     session = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.local.dir", scratch).config("spark.sql.warehouse.dir", scratch).config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "4g").getOrCreate()
+        .config("spark.local.dir", scratch).config("spark.sql.warehouse.dir", scratch).config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "4g").config("spark.checkpoint.dir", f"file://{scratch}/shared").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -13,7 +13,7 @@ from driftwell.operators.prefix import cuts_of, higher_quantile, order_statistic
 def test_strict_rank(spark):
     ref = spark.createDataFrame([(0.0,), (0.0,), (0.0,), (2.0,)], "x double")
     df = spark.createDataFrame([(i, v) for i, v in enumerate((0.0, 1.0, 2.0, 3.0, None))], "i int, x double")
-    assert [r.n for r in strict_rank(ref, df, "x", "n").orderBy("i").collect()] == [0, 0.75, 0.75, 1, None]
+    assert [r.n for r in strict_rank(ref, df, "x", "n", "i").orderBy("i").collect()] == [0, 0.75, 0.75, 1, None]
 
 
 def test_order_statistics_and_prefix_sums(spark):
@@ -30,8 +30,8 @@ def test_order_statistics_and_prefix_sums(spark):
 
 def test_robust_reference_falls_back(spark):
     df = spark.createDataFrame([(0.0,)] * 10, "x double")
-    r = df.agg(*layers.robust_expressions(F.col("x"), "x")).first()
-    assert (r.x_centre, r.x_scale) == (0, 1)
+    r = layers.robust(df, {"x": F.col("x")}).first()
+    assert (r.centre, r.scale) == (0, 1)
     got = spark.createDataFrame([(0.0,), (3.0,)], "x double").select(layers.deviation(F.col("x"), layers.Robust(0, 1)).alias("d")).collect()
     assert [g.d for g in got] == [0, 3]
 
@@ -137,8 +137,9 @@ def test_registered_chain_has_the_forest(spark, sf):
 
     from driftwell.plans import registry
     from driftwell.plans import queries
+    from driftwell.sources.shared import keep
 
-    features = queries.feature_table(spark, sf).localCheckpoint()
+    features = keep(queries.feature_table(spark, sf), "features")
     grown = forest.fit(features.where("split = 'train'"))
 
     def isolated(r) -> float:

@@ -248,13 +248,13 @@ def _replicates(df: DataFrame, score: str, rate: float, weigh: Callable[[np.ndar
 _INTERVAL = "status string, {} long, observed long, ci_low double, ci_high double, excludes_zero boolean"
 
 
-def _interval(df: DataFrame, base: str, challenger: str, rate: float, weigh: Callable, count: int, units: tuple[str, int], label: str, key: str) -> DataFrame:
-    """The observed gap in hits within the budget and its 95 % interval over replicates, as for the rows there are."""
+def _interval(df: DataFrame, rate: float, weigh: Callable, count: int, units: tuple[str, int]) -> DataFrame:
+    """The observed gap in hits of s1 to s0 within the budget and its 95 % interval over replicates, as for the rows there are."""
     n = df.count()
-    hits = [_replicates(df, c, rate, weigh, count) for c in (base, challenger)]
+    hits = [_replicates(df, c, rate, weigh, count) for c in ("s0", "s1")]
     scaled = (hits[1][0] - hits[0][0]) / np.maximum(hits[0][1], 1) * n
     low, high = (float(x) for x in np.percentile(scaled, [2.5, 97.5]))
-    seen = [top_k(df, c, budget(n, rate), "k").agg(_n(F.col("y") == 1)).first()[0] for c in (base, challenger)]
+    seen = [top_k(df, c, budget(n, rate), "k").agg(_n(F.col("y") == 1)).first()[0] for c in ("s0", "s1")]
     return df.sparkSession.createDataFrame([("ok", units[1], int(seen[1] - seen[0]), low, high, low > 0 or high < 0)], _INTERVAL.format(units[0]))
 
 
@@ -272,8 +272,8 @@ def block_bootstrap(df: DataFrame, base: str, challenger: str, rate: float, resa
     rng = np.random.default_rng(seed)
     draws = np.array([np.bincount(rng.integers(0, len(blocks), len(blocks)), minlength=len(blocks)) for _ in range(resamples)])
     number = F.array_position(F.array(*[F.lit(b) for b in blocks]), F.col(block)) - 1
-    small = df.select(F.col(key).alias("k"), number.cast("int").alias("b"), (F.col(label) == 1).cast("int").alias("y"), base, *([challenger] if challenger != base else []))
-    return _interval(small, base, challenger, rate, lambda k, b: draws[:, b].T, resamples, ("blocks", len(blocks)), label, key)
+    small = df.select(F.col(key).alias("k"), number.cast("int").alias("b"), (F.col(label) == 1).cast("int").alias("y"), F.col(base).alias("s0"), F.col(challenger).alias("s1"))
+    return _interval(small, rate, lambda k, b: draws[:, b].T, resamples, ("blocks", len(blocks)))
 
 
 #: Cumulative Poisson(1) probabilities.
@@ -297,8 +297,8 @@ def row_bootstrap(df: DataFrame, base: str, challenger: str, rate: float, resamp
     if check:
         for c in (base, challenger):
             validate.metric_inputs(df, label, c, key)
-    small = df.select(F.col(key).alias("k"), F.lit(0).alias("b"), (F.col(label) == 1).cast("int").alias("y"), base, *([challenger] if challenger != base else []))
-    return _interval(small, base, challenger, rate, lambda k, b: poisson_weights(k, resamples, seed), resamples, ("resamples", resamples), label, key)
+    small = df.select(F.col(key).alias("k"), F.lit(0).alias("b"), (F.col(label) == 1).cast("int").alias("y"), F.col(base).alias("s0"), F.col(challenger).alias("s1"))
+    return _interval(small, rate, lambda k, b: poisson_weights(k, resamples, seed), resamples, ("resamples", resamples))
 
 
 def supervised_scores(train: DataFrame, df: DataFrame, columns: list[str], label: str = "isFraud", kind: str = "logistic", name: str = "supervised", rounds: int = 20) -> DataFrame:

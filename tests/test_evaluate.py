@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import math
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,20 +52,95 @@ def test_ranking_metrics(spark):
     assert m.average_precision == pytest.approx((1 + 2 / 3) / 2) and m.roc_auc == pytest.approx(0.75)
 
 
-def test_hybrid_interleaves(spark):
-    df = scored(spark, [0] * 6, a=[6.0, 5.0, 4.0, 3.0, 2.0, 1.0], b=[6.0, 1.0, 2.0, 3.0, 4.0, 5.0]).withColumn("fold", F.lit(1))
-    got = [r.TransactionID - 1 for r in evaluate.hybrid_ranking(df, "a", "b", 0.5).orderBy("place").collect()]
-    assert got == [0, 5, 1, 4, 2, 3]
-
-
-def test_block_bootstrap(spark):
-    rows = [(i, i % 2, float(i % 2), float(1 - i % 2), i // 10) for i in range(100)]
-    df = spark.createDataFrame(rows, "TransactionID long, isFraud int, good double, bad double, block long")
-    r = evaluate.block_bootstrap(df, "bad", "good", 0.1, 50).first()
-    assert (r.observed, r.ci_low, r.ci_high) == (10, 10, 10)
-    same = evaluate.block_bootstrap(df, "good", "good", 0.1, 20).first()
-    assert (same.observed, same.ci_low, same.ci_high) == (0, 0, 0)
-    assert evaluate.block_bootstrap(df.where("block < 2"), "bad", "good", 0.1, 5).first().status == "insufficient_blocks"
+def ranked(spark, seed: int, n: int, groups: int = 1):
+    """Rows with ties, missing scores and labels, and the same as a table."""
+    rnd = random.Random(seed)
+    rows = [(i * 3 + 1, rnd.randrange(groups), int(rnd.random() < 0.3), rnd.choice([None, round(rnd.random(), 1), rnd.random()]), round(rnd.random(), 2)) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "TransactionID long, fold int, isFraud int, a double, b double")
+
+
+@pytest.mark.parametrize("share", [0.5, 0.3, 0.8])
+def test_hybrid_takes_turns(spark, share):
+    rows, df = ranked(spark, 5, 90, 3)
+    got = Counter((r.fold, r.place, r.TransactionID) for r in evaluate.hybrid_ranking(df, "a", "b", share, 17).collect())
+    want = Counter()
+    for fold in range(3):
+        own = [r for r in rows if r[1] == fold]
+        order = {c: sorted(own, key=lambda r, c=c: (r[c] is None, -(r[c] or 0), r[0])) for c in (3, 4)}
+        done: set = set()
+        for place in range(1, min(17, len(own)) + 1):
+            side = 3 if math.ceil(place * share) - math.ceil((place - 1) * share) == 1 else 4
+            best = next(r for r in order[side] if r[0] not in done)
+            done.add(best[0])
+            want[fold, place, best[0]] += 1
+    assert got == want
+    assert evaluate.hybrid_ranking(df.limit(0), "a", "b", share, 5).count() == 0
+
+
+def test_hits_in_groups(spark):
+    rows, df = ranked(spark, 6, 200, 4)
+    for rate in (0.05, 0.33, 1.0):
+        got = {r.fold: (r.reviews, r.hits) for r in evaluate.hits_at(df, ("fold",), "a", rate).collect()}
+        for fold in range(4):
+            own = sorted((r for r in rows if r[1] == fold), key=lambda r: (r[3] is None, -(r[3] or 0), r[0]))
+            k = math.ceil(len(own) * rate)
+            assert got[fold] == (k, sum(r[2] for r in own[:k]))
+
+
+def test_compare(spark):
+    rows, df = ranked(spark, 7, 120)
+    r = evaluate.compare(df, "b", "a", 0.5, 0.1).first()
+    hit = lambda x: x is not None and x >= 0.5
+    assert r.before_alerts == sum(hit(x[4]) for x in rows) and r.after_tp == sum(hit(x[3]) and x[2] for x in rows)
+    best = sorted(rows, key=lambda x: (-x[4], x[0]))[:12]
+    assert (r.budget, r.before_budget_tp) == (12, sum(x[2] for x in best))
+
+
+def replicated(rows, column, times, rate):
+    """Hits within the budget of one replicate, row by row."""
+    order = sorted(rows, key=lambda r: (-r[column], r[0]))
+    drawn = sum(times[r[0]] for r in rows)
+    left, hits = math.ceil(drawn * rate), 0
+    for r in order:
+        take = min(left, times[r[0]])
+        hits, left = hits + take * r[2], left - take
+    return hits, drawn
+
+
+def test_bootstraps_equal_plain_replicates(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(evaluate, "RANGE_ROWS", 20)
+    rnd = random.Random(8)
+    rows = [(i * 3 + 1, i // 12, int(rnd.random() < 0.4), rnd.choice([0.1, 0.5, round(rnd.random(), 2)]), rnd.random()) for i in range(150)]
+    df = spark.createDataFrame(rows, "TransactionID long, block long, isFraud int, a double, b double")
+
+    def interval(times_of, count):
+        gaps = []
+        for i in range(count):
+            times = times_of(i)
+            (x, n), (y, _) = (replicated(rows, c, times, 0.1) for c in (3, 4))
+            gaps.append((y - x) / n * len(rows))
+        return np.percentile(gaps, [2.5, 97.5])
+
+    drawn = evaluate.poisson_weights(np.array([r[0] for r in rows]), 60)
+    assert 0.9 < drawn.mean() < 1.1 and 0.85 < drawn.var() < 1.15
+    r = evaluate.row_bootstrap(df, "a", "b", 0.1, 60, check=True).first()
+    low, high = interval(lambda i: {row[0]: int(w) for row, w in zip(rows, drawn[:, i], strict=True)}, 60)
+    assert (r.ci_low, r.ci_high, r.resamples) == (pytest.approx(low), pytest.approx(high), 60)
+    rng = np.random.default_rng(17)
+    draws = [np.bincount(rng.integers(0, 13, 13), minlength=13) for _ in range(40)]
+    r = evaluate.block_bootstrap(df, "a", "b", 0.1, 40).first()
+    low, high = interval(lambda i: {row[0]: int(draws[i][row[1]]) for row in rows}, 40)
+    assert (r.ci_low, r.ci_high, r.blocks) == (pytest.approx(low), pytest.approx(high), 13)
+    best = [sum(x[2] for x in sorted(rows, key=lambda x: (-x[c], x[0]))[:15]) for c in (3, 4)]
+    assert r.observed == best[1] - best[0]
+    same = evaluate.block_bootstrap(df, "b", "b", 0.1, 20).first()
+    assert (same.observed, same.ci_low, same.ci_high, same.excludes_zero) == (0, 0, 0, False)
+    assert evaluate.block_bootstrap(df.where("block < 7"), "a", "b", 0.1, 5).first().status == "insufficient_blocks"
+    for bad in ("cast(null as double)", "cast('Infinity' as double)"):
+        with pytest.raises(ValueError):
+            evaluate.row_bootstrap(df.withColumn("a", F.expr(bad)), "a", "b", 0.1, 5, check=True)
 
 
 def test_split(spark):
@@ -109,23 +189,101 @@ def test_retrieval(spark):
 
 
 def test_saved_and_raw_requests_agree(spark, tmp_path):
-    from tests.test_history import NAMES, rows
+    from tests.test_history import NAMES, as_tuples, stream
 
-    data = rows([180 * i for i in range(40)], [100 + 10 * (i % 4) for i in range(40)])
+    whole = [r | {"card5": 2.0, "addr1": 1.0} for r in stream(21, 46, 1)]
+    data = [d for d in as_tuples(whole) if d[1] < whole[-1]["TransactionDT"]][:39] + as_tuples(whole)[-1:]
+    last = data[-1][0]
     features = history.features(spark.createDataFrame(data, tables.TRANSACTION)).withColumn("split", F.lit("train")).persist()
     fitted = service.fit(features, trees=forest.ForestConfig(8, 32))
     api = service.Service(spark, fitted, RuleSet(DEFAULT), features)
     as_dict = [dict(zip(NAMES, r, strict=True)) for r in data]
-    saved, raw = api.score({"transaction_id": 40}), api.score({"transaction": as_dict[-1], "history": as_dict[:-1]})
+    saved, raw = api.score({"transaction_id": last}), api.score({"transaction": as_dict[-1], "history": as_dict[:-1]})
     assert saved["raw_anomaly_score"] == pytest.approx(raw["raw_anomaly_score"])
     service.save(fitted, f"{tmp_path}/model")
     again = service.Service(spark, service.load(spark, f"{tmp_path}/model"), RuleSet(DEFAULT), features)
-    assert again.score({"transaction_id": 40}) == saved
-    assert [t["status"] for t in api.explain({"transaction_id": 40})["trace"]] == ["completed", "completed"]
+    assert again.score({"transaction_id": last}) == saved
+    assert [t["status"] for t in api.explain({"transaction_id": last})["trace"]] == ["completed", "completed"]
     with pytest.raises(service.NotFound):
-        api.score({"transaction_id": 999})
+        api.score({"transaction_id": 1})
     with pytest.raises(service.BadRequest):
-        api.score({"transaction_id": 1, "history": as_dict[:1]})
+        api.score({"transaction_id": last, "history": as_dict[:1]})
+    # Rules and policies are indexed and asked for; a reply that can't be used has a kind of its own.
+    with pytest.raises(service.Unavailable):
+        api.query("why?")
+    policies = [{"id": "p1", "title": "Limits", "text": "Large amounts are looked at.", "source": "desk", "kind": "policy"}]
+    embed = lambda texts: [[1.0 + len(t) % 7, 1.0 + len(t) % 5] for t in texts]
+    assert api.indexed(policies, embed).table.count() == 11
+    with pytest.raises(ValueError):
+        api.indexed([policies[0], policies[0]], embed)
+    api.grounded = retrieval.Grounded(lambda q, hits: {"source_ids": [hits[0]["id"]], "abstain": False})
+    assert len(api.query("why?")["sources"]) == 1
+    api.grounded = retrieval.Grounded(lambda q, hits: "nonsense")
+    with pytest.raises(retrieval.BadReply):
+        api.query("why?")
+    assert service.STATUS[retrieval.BadReply] == 502
+
+
+def test_prepared_tables(spark, tmp_path):
+    """The checked join is written by split, and what is refused is not written."""
+    from driftwell.plans import experiment
+
+    tx = spark.createDataFrame([(i, float(i), 5.0 * (i % 4), i % 2) for i in range(40)], "TransactionID long, TransactionDT double, TransactionAmt double, isFraud int")
+    idn = spark.createDataFrame([(i, "desktop") for i in range(0, 40, 5)], "TransactionID long, DeviceType string")
+    path, audit = experiment.prepare(spark, tx, idn)
+    assert audit["splits"] == {"train": 24, "validation": 8, "test": 8} and (audit["joined_rows"], audit["identity_rows"], audit["zero_amount_rows"]) == (40, 8, 10)
+    assert "PartitionFilters: [isnotnull(split" in spark.read.parquet(path).where("split = 'test'")._jdf.queryExecution().executedPlan().toString()
+    tables.write_json(tmp_path / "audit.json", audit)
+    assert json.loads((tmp_path / "audit.json").read_text()) == audit
+    with pytest.raises(ValueError):
+        tables.write_json(tmp_path / "bad.json", {"x": float("nan")})
+    for bad in (tx.withColumn("TransactionAmt", -F.col("TransactionAmt") - 1), tx.withColumn("isFraud", F.lit(3)), tx.withColumn("TransactionDT", F.expr("cast('Infinity' as double)")), tx.unionByName(tx)):
+        with pytest.raises(ValueError):
+            experiment.prepare(spark, bad, idn)
+    scores = tx.select("TransactionID", (F.col("TransactionID") / 40).alias("score"), "isFraud")
+    assert experiment.bound(tx, scores).where("score >= 0.5").count() == 20
+    for odd in (scores.where("TransactionID > 3"), scores.withColumn("isFraud", F.lit(0))):
+        with pytest.raises(ValueError):
+            experiment.bound(tx, odd)
+
+
+def test_checks_of_scores_and_policies(spark):
+    from driftwell.operators import context, layers
+
+    from tests.test_history import as_tuples, stream
+
+    features = history.features(spark.createDataFrame(as_tuples(stream(22, 60, 2)), tables.TRANSACTION)).withColumn("split", F.lit("train")).persist()
+    references = layers.fit_references(features)
+    assert layers.raw_layers(features, references, check=True).count() == 60
+    for c, v in (("amount", None), ("prior_mean_amount", -1.0), ("entity_hour_probability", 0.0), ("prior_std_amount", float("inf"))):
+        with pytest.raises(ValueError):
+            layers.raw_layers(features.withColumn(c, F.lit(v).cast("double")), references, check=True)
+    with pytest.raises(ValueError):
+        layers.raw_layers(features.limit(0), references, check=True)
+    policy = context.ProductRisk(0.1, 5.0, prior=10, support=10)
+    rows = [("P", 50, 9, policy.relative(50, 9)), ("Q", 4, 1, 0.0)]
+    kinds = "ProductCD string, support long, positive long, log_relative_risk double"
+    context.check_profiles(spark.createDataFrame(rows, kinds), policy)
+    with pytest.raises(ValueError):
+        context.check_profiles(spark.createDataFrame([("P", 50, 9, 0.01)], kinds), policy)
+    assert profile.varying_columns(features.select("amount", F.lit(1.0).alias("one"), F.lit(None).cast("double").alias("gone")), ["amount", "one", "gone"]) == ["amount"]
+
+
+def test_quantiles_and_strongest_pairs(spark):
+    import numpy as np
+
+    rnd = random.Random(3)
+    rows = [(rnd.choice("ab"), rnd.choice([None, rnd.randrange(40) / 4]), float(i), 1.0) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, x double, y double, one double").withColumn("z", -F.col("y") + F.col("x"))
+    from driftwell.operators.prefix import quantiles
+
+    for r in quantiles(df, "x", [0.0, 0.1, 0.37, 1.0], ("g",)).collect():
+        own = [x for g, x, *_ in rows if g == r.g and x is not None]
+        assert r.n == len(own) and list(r.q) == pytest.approx(list(np.quantile(own, [0.0, 0.1, 0.37, 1.0])))
+    none = quantiles(df.where("x < 0"), "x", [0.5]).first()
+    assert none.n == 0 and none.q[0] is None
+    top = profile.spearman_top(df, ["x", "y", "z", "one"], most=2).collect()
+    assert [(r.first, r.second) for r in top][0] == ("y", "z") and len(top) == 2 and abs(top[0].rho) >= abs(top[1].rho)
 
 
 def test_csv(spark, tmp_path):
@@ -148,6 +306,10 @@ def test_capacity_and_final(spark, tmp_path):
     assert final_evaluation(spark, str(tmp_path), b.drop("isFraud"), labels, 0.5, {"strength": 0.5}, "score").first().tp == 1
     with pytest.raises(ValueError):
         final_evaluation(spark, str(tmp_path), b.drop("isFraud"), labels, 0.5, {"strength": 0.5}, "score")
+    # A row without a label, or with one that is none, is refused and not left out.
+    for n, short in enumerate((labels.where("TransactionID > 1"), labels.withColumn("isFraud", F.lit(2)))):
+        with pytest.raises(ValueError):
+            final_evaluation(spark, f"{tmp_path}/{n}", b.drop("isFraud"), short, 0.5, {}, "score")
 
 
 UP, DOWN, WIDE = (28.0, 169.0), (-169.0, -28.0), (-10.0, 45.0)

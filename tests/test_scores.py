@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftwell.operators import context, forest, layers
-from driftwell.operators.prefix import cuts_of, higher_quantile, order_statistics, strict_rank, sums_before
+from driftwell.operators.prefix import cuts_of, higher_quantile, order_statistics, range_of, strict_rank, strict_ranks, sums_before
 
 
 def test_strict_rank(spark):
@@ -16,6 +16,28 @@ def test_strict_rank(spark):
     assert [r.n for r in strict_rank(ref, df, "x", "n", "i").orderBy("i").collect()] == [0, 0.75, 0.75, 1, None]
 
 
+def test_ranks_of_several_columns_at_once(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, None if i % 5 == 0 else float(rng.integers(0, 30)), float(rng.normal()), None) for i in range(400)]
+    df = spark.createDataFrame(rows, "i long, x double, y double, gone double")
+    ref = df.where("i < 250")
+    got = {r.i: r for r in strict_ranks(ref, df, {"x": "rx", "y": "ry", "gone": "rg"}, "i").collect()}
+    assert len(got) == 400
+    for c, name in ((1, "rx"), (2, "ry")):
+        known = [r[c] for r in rows[:250] if r[c] is not None]
+        for r in rows:
+            assert got[r[0]][name] == (None if r[c] is None else pytest.approx(sum(k < r[c] for k in known) / len(known))) and got[r[0]].rg is None
+
+
+def test_many_ranges(spark):
+    """More cuts than are looked through at once give the same ranges as a plain search."""
+    from bisect import bisect_right
+
+    cuts = [float(c) for c in range(0, 1000, 3)]
+    df = spark.createDataFrame([(float(x),) for x in range(-5, 1010, 2)] + [(None,)], "x double")
+    assert all(r.n == (None if r.x is None else bisect_right(cuts, r.x)) for r in df.withColumn("n", range_of("x", cuts)).collect())
+
+
 def test_order_statistics_and_prefix_sums(spark):
     rng = np.random.default_rng(5)
     values = [float(x) for x in rng.integers(0, 300, 2000)]

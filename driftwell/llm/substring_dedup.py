@@ -14,8 +14,9 @@ positions for that, this one about 1 of 14.
 3. The intervals meet their documents again, and what is left of each text is kept.
 
 Positions travel packed, one row for each bucket and Arrow batch.  A batch first settles what it can by itself: of equal
-runs the smallest goes on, and of different runs with one seed only two, the others being known to be edges.  So a passage
-that a third of all documents have, or a seed inside their near copies, arrives twice a batch at most, not once a document.
+runs the smallest goes on, and of many different runs with one seed only two, the others being known to be edges.  So a
+passage that a third of all documents have, or a seed inside their near copies, arrives a few times a batch at most, not once
+a document.
 The number of buckets follows the bytes of the corpus, so that a bucket's size doesn't.
 
 Strings are compared by 112 bits of two independent polynomial hashes, not byte by byte.
@@ -38,10 +39,14 @@ from driftwell.llm.scratch import Scratch, settings
 
 @dataclass(frozen=True)
 class SubstringDedup:
-    """Strings of ``length`` bytes; cover positions by the smallest hash of ``seed`` bytes (length - seed < 200)."""
+    """Strings of ``length`` bytes; cover positions by the smallest hash of ``seed`` bytes (length - seed < 200).
+
+    From ``edge_runs`` different runs of one seed on, a batch settles them by itself; the results are the same.
+    """
 
     length: int = 50
     seed: int = 25
+    edge_runs: int = 8
 
 
 #: One cover position on its way: seed hash, run hash in two parts, row of the batch, first window and number of windows.
@@ -49,6 +54,8 @@ _POINT = np.dtype([("h", "<u8"), ("c", "<u4"), ("c2", "<u2"), ("doc", "<u2"), ("
 #: Rows of an Arrow batch (``doc`` has 16 bits), bytes of one, bytes of text for each bucket, and the fewest buckets for each
 #: shuffle partition.
 _ROWS, _BYTES, _BUCKET_BYTES, _BUCKETS = 1500, 4 << 20, 16 << 20, 2
+#: Single windows that are sorted at once.
+_WINDOWS = 200_000
 _SLICE = 1 << 18
 _LAST = np.iinfo(np.int64).max
 _rng = np.random.default_rng(99)
@@ -97,7 +104,8 @@ def cover_points(data: np.ndarray, offsets: np.ndarray, cfg: SubstringDedup) ->
     sums = _prefix(_LETTER_2[data], up)
     run = tk.mix((sums[end] - sums[begin]) * down[begin] + (spot - begin).astype(np.uint64) * tk._PLACE[0] + count.astype(np.uint64) * tk._PLACE[1])
     out = np.zeros(len(first), _POINT)
-    out["h"], out["c"], out["c2"], out["doc"] = seeds[spot], run >> np.uint64(32), run & np.uint64(0xFFFF), row
+    # Seeds are chosen as the smallest hashes there are; mixed again, they fall into all buckets alike.
+    out["h"], out["c"], out["c2"], out["doc"] = tk.mix(seeds[spot] ^ tk._PLACE[2]), run >> np.uint64(32), run & np.uint64(0xFFFF), row
     out["start"], out["n"] = begin - offsets[row], count
     return out
 
@@ -118,10 +126,10 @@ def window_points(data: np.ndarray, row: int, spans: np.ndarray, cfg: SubstringD
     return out
 
 
-def _send(points: np.ndarray, ids: np.ndarray, keys: np.ndarray, buckets: int, length: int, edges: bool) -> pa.RecordBatch:
+def _send(points: np.ndarray, ids: np.ndarray, keys: np.ndarray, buckets: int, length: int, edges: int) -> pa.RecordBatch:
     """Points by bucket, after what the batch can settle itself.
 
-    Of equal runs those of the smallest doc_id go on.  With ``edges``, seeds that different documents have in different
+    Of equal runs those of the smallest doc_id go on.  With ``edges``, seeds that different documents have in so many different
     runs are settled as far as that: the runs are OPEN, and of each seed a point of the smallest and one of the largest
     doc_id go on, which tell other batches.
 
@@ -152,7 +160,7 @@ def _send(points: np.ndarray, ids: np.ndarray, keys: np.ndarray, buckets: int, l
         seed[1:] = by_doc["h"][1:] != by_doc["h"][:-1]
         first = np.flatnonzero(seed)
         last = np.append(first[1:], len(p)) - 1
-        shared = ids[by_doc["doc"][first]] < ids[by_doc["doc"][last]]
+        shared = (last - first + 1 >= max(edges, 2)) & (ids[by_doc["doc"][first]] < ids[by_doc["doc"][last]])
         known = np.repeat(shared, last - first + 1)
         settled(OPEN, by_doc[known])
         known[np.concatenate([first[shared], last[shared]])] = False
@@ -281,15 +289,20 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, cfg: SubstringDedup =
                 p["doc"] += a
                 found.append(p)
             if found:
-                yield _send(np.concatenate(found), ids, keys, buckets, cfg.length, True)
+                yield _send(np.concatenate(found), ids, keys, buckets, cfg.length, cfg.edge_runs)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = _columns(batch)
             data, offsets = tk.buffers(batch.column(2))
-            found = [window_points(data[offsets[i] : offsets[i + 1]], i, np.concatenate([np.frombuffer(s, np.int64) for s in spans]), cfg) for i, spans in enumerate(batch.column(3).to_pylist())]
-            if found:
-                yield _send(np.concatenate(found), ids, keys, buckets, cfg.length, False)
+            found, held = [], 0
+            for i, spans in enumerate(batch.column(3)):
+                own = np.concatenate([np.frombuffer(s.as_py(), np.int64) for s in spans])
+                found.append(window_points(data[offsets[i] : offsets[i + 1]], i, own, cfg))
+                held += len(found[-1])
+                if held >= _WINDOWS or i == len(ids) - 1:
+                    yield _send(np.concatenate(found), ids, keys, buckets, cfg.length, 0)
+                    found, held = [], 0
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -176,12 +176,13 @@ def test_equal_windows_choose_equally(spark):
     assert all(m == marks[0] for m in marks) and len(marks[0]) > 10
 
 
-def test_repeated_strings_in_many_batches(spark, monkeypatch):
+@pytest.mark.parametrize("edge_runs", [2, 8])
+def test_repeated_strings_in_many_batches(spark, monkeypatch, edge_runs):
     """Near copies and a passage that everyone has, in batches of a few rows and buckets of a few bytes."""
     from driftwell.llm import substring_dedup as sd
 
     rnd = random.Random(45)
-    monkeypatch.setattr(sd, "_ROWS", 5)
+    monkeypatch.setattr(sd, "_ROWS", 12)
     monkeypatch.setattr(sd, "_BUCKET_BYTES", 1000)
     base, passage = sentence(rnd, 60), sentence(rnd, 14)
     rows = []
@@ -192,7 +193,7 @@ def test_repeated_strings_in_many_batches(spark, monkeypatch):
         rows.append((i * 7 % 90, " ".join([*words[:at], passage, *words[at:]])))
     rows += [(i, t) for i, t in rows[:3]] + [(95, None), (96, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert sorted(tuple(r) for r in repeated_strings(spark, df).drop("kept").collect()) == strings_brute(rows)
+    assert sorted(tuple(r) for r in repeated_strings(spark, df, sd.SubstringDedup(edge_runs=edge_runs)).drop("kept").collect()) == strings_brute(rows)
 
 
 # Quality

@@ -7,8 +7,8 @@ a sketch are the hashes of the whole document: a sketch of a document of 20,000
 that of 40 words inside it.  So no contained item can be overlooked, however long the document; a document that hits a
 sketch is verified on the item's whole set.
 
-A partition is searched in blocks of bounded size, each one pass over all documents without a shuffle: items of a
-partition are at most so large, so a fixed number of them makes a block.
+A partition is cut in blocks of bounded size: its items are at most so large, so a fixed number of them makes a block.  As
+many blocks as fit the bound together are searched in one pass over all documents, without a shuffle.
 """
 
 from __future__ import annotations
@@ -110,6 +110,19 @@ def _blocks(scratch: Scratch, sets: DataFrame) -> DataFrame:
     return placed.withColumn("number", F.floor((F.col("before") + F.col("own")) / per_block)).select("item_id", "width", "members", "size", "number")
 
 
+def _passes(blocks: list[tuple[int, int, int]]) -> list[list[tuple[int, int]]]:
+    """(size, number, shingles) of all blocks as (size, number) by pass, together within the bound, or alone."""
+    out: list[list[tuple[int, int]]] = []
+    left = 0
+    for size, number, n in sorted(blocks):
+        if n > left or not out:
+            out.append([])
+            left = BLOCK_SHINGLES
+        out[-1].append((size, number))
+        left -= n
+    return out
+
+
 def contained_items(spark: SparkSession, docs: DataFrame, items: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row (doc_id, item_id, shared_shingles, item_shingles, containment) for each document and item it contains.
 
@@ -124,8 +137,10 @@ def contained_items(spark: SparkSession, docs: DataFrame, items: DataFrame, widt
     with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="2000"):
         own = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
         sets = scratch.keep(_blocks(scratch, own.mapInArrow(_item_sets(width), "item_id long, width int, members binary")), "items")
-        for size, number in sorted(map(tuple, sets.select("size", "number").distinct().collect())):  # one row a block
-            shared = spark.sparkContext.broadcast(_Block(sets.where((F.col("size") == size) & (F.col("number") == number)).collect(), percent))
+        blocks = sets.groupBy("size", "number").agg(F.sum(F.length("members") / 8).cast("long")).collect()  # one row a block
+        for i, own in enumerate(_passes(list(map(tuple, blocks)))):
+            one = spark.createDataFrame(own, "size int, number long")
+            shared = spark.sparkContext.broadcast(_Block(sets.join(F.broadcast(one), ["size", "number"], "left_semi").select("item_id", "width", "members").collect(), percent))
 
             def probe(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
@@ -133,7 +148,7 @@ def contained_items(spark: SparkSession, docs: DataFrame, items: DataFrame, widt
                     row, item, count, n = (list(x) for x in zip(*hits, strict=True)) if hits else ([], [], [], [])
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(item, pa.int64()), pa.array(count, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "item_id", "shared_shingles", "item_shingles"])
 
-            found.append(scratch.keep(texts.mapInArrow(probe, _PAIRS), f"found-{size}-{number}"))
+            found.append(scratch.keep(texts.mapInArrow(probe, _PAIRS), f"found-{i}"))
             shared.unpersist()
     return reduce(DataFrame.unionByName, found).withColumn("containment", F.col("shared_shingles") / F.col("item_shingles"))
 

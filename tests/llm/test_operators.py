@@ -374,6 +374,9 @@ def test_blocks_are_bounded(spark, monkeypatch):
     for r in sets.collect():
         blocks[r.size, r.number].append(len(r.members) // 8)
     assert sum(map(len, blocks.values())) == 201 and all(sum(b) <= 100 or len(b) == 1 for b in blocks.values()) and len(blocks) < 150
+    passes = decontaminate._passes([(*k, sum(b)) for k, b in blocks.items()])
+    assert sorted(x for own in passes for x in own) == sorted(blocks) and len(passes) < len(blocks)
+    assert all(sum(sum(blocks[x]) for x in own) <= 100 or len(own) == 1 for own in passes) and decontaminate._passes([]) == []
 
 
 def test_short_items_equal_sql(spark, tmp_path):

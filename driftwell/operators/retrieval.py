@@ -44,15 +44,16 @@ def top_similar(df: DataFrame, query: list[float], k: int, floor: float | None =
     return best if floor is None else best.where(F.col("similarity") >= floor)
 
 
-#: Query vectors that are searched for in one pass over the rows.
-BLOCK = 512
+#: Query vectors that are searched for in one pass over the rows, and cells of a batch's table of similarities.
+BLOCK, CELLS = 4096, 1 << 22
 
 
 def top_similar_each(df: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
     """(query_id, key, similarity, place): the k nearest rows of every query vector, by cosine to nine places and then key.
 
     Queries go in blocks of bounded size, each one pass over all rows.  A batch of rows keeps its own k best of each query,
-    so a query's window sees k rows a batch, not the table.  Null and zero vectors match nothing.
+    and what equals the last of them, so a query's window sees about k rows a batch, not the table.  Null and zero vectors
+    match nothing.
     """
     named = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("query_id"), vector)
     blocks = max(1, -(-named.count() // BLOCK))
@@ -73,9 +74,12 @@ def top_similar_each(df: DataFrame, queries: DataFrame, k: int, vector: str = "e
                 x = there.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(own), -1)
                 size = np.linalg.norm(x, axis=1)
                 own, x = own[size > 0], x[size > 0] / size[size > 0, None]
-                similar = np.round(q @ x.T, 9)
-                order = np.lexsort((np.broadcast_to(own, similar.shape), -similar))[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])), pa.array(own[order].ravel()), pa.array(np.take_along_axis(similar, order, 1).ravel())], ["query_id", key, "similarity"])
+                step = max(1, CELLS // len(ids))
+                for a in range(0, len(own), step):
+                    similar = np.round(q @ x[a : a + step].T, 9)
+                    least = np.partition(similar, -k, axis=1)[:, [-k]] if similar.shape[1] > k else similar.min(axis=1, keepdims=True)
+                    row, at = np.nonzero(similar >= least)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(own[a : a + step][at]), pa.array(similar[row, at])], ["query_id", key, "similarity"])
 
         found = df.select(F.col(key).cast("long").alias(key), vector).mapInArrow(best, f"query_id long, {key} long, similarity double")
         out = found if out is None else out.unionByName(found)

@@ -113,16 +113,17 @@ def digest(value) -> str:
 def integrity(spark: SparkSession, path: str, key: str, label: str | None = None) -> dict:
     """What a CSV delivery holds: bytes digest, columns, rows, rows of a wrong width, repeated or missing keys, bad labels.
 
-    The file digest is that of the sorted digests of its parts, so that it is taken where the bytes are.
+    Quoted values may have line ends.  The file digest is that of the sorted digests of its parts, so that it is taken where
+    the bytes are; a part is 2 GB at most.
     """
-    raw = spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE").csv(path)
-    header = raw.columns
+    header = spark.read.option("header", True).option("inferSchema", False).option("multiLine", True).csv(path).columns
     width = len(header)
-    lines = spark.read.text(path).where("length(trim(value)) > 0")
-    counts = lines.select(F.size(F.split(F.regexp_replace("value", r'"[^"]*"', ""), ",")).alias("w")).agg(F.count("*").alias("n"), F.sum((F.col("w") != width).cast("int")).alias("wrong")).first()
-    keys = raw.agg(F.count("*").alias("rows"), F.sum(F.col(key).isNull().cast("int")).alias("missing"), F.count_distinct(key).alias("distinct")).first()
+    # The reader itself says which rows have another width.
+    named = T.StructType([*[T.StructField(c, T.StringType()) for c in header], T.StructField("_wrong", T.StringType())])
+    raw = spark.read.schema(named).option("header", True).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_wrong").csv(path)
+    keys = raw.agg(F.count("*").alias("rows"), F.sum(F.col("_wrong").isNotNull().cast("int")).alias("wrong"), F.sum(F.col(key).isNull().cast("int")).alias("missing"), F.count_distinct(key).alias("distinct")).first()
     parts = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("d")).orderBy("d").collect()
-    out = {"columns": width, "unique_header": len(set(header)) == width, "rows": keys["rows"], "wrong_width": counts["wrong"] or 0, "missing_keys": keys["missing"] or 0, "unique_keys": keys["distinct"] == keys["rows"] - (keys["missing"] or 0), "sha256": hashlib.sha256("".join(p["d"] for p in parts).encode()).hexdigest()}
+    out = {"columns": width, "unique_header": len(set(header)) == width, "rows": keys["rows"], "wrong_width": keys["wrong"] or 0, "missing_keys": keys["missing"] or 0, "unique_keys": keys["distinct"] == keys["rows"] - (keys["missing"] or 0), "sha256": hashlib.sha256("".join(p["d"] for p in parts).encode()).hexdigest()}
     if label:
         out["bad_labels"] = raw.where(~F.coalesce(F.col(label).isin("0", "1"), F.lit(False))).count()
     return out

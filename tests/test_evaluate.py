@@ -290,6 +290,9 @@ def test_csv(spark, tmp_path):
     (tmp_path / "a.csv").write_text("TransactionID,isFraud\n1,0\n2,7\n2,1\n")
     report = tables.integrity(spark, str(tmp_path / "a.csv"), "TransactionID", "isFraud")
     assert (report["rows"], report["unique_keys"], report["bad_labels"], report["wrong_width"]) == (3, False, 1, 0)
+    (tmp_path / "b.csv").write_text('TransactionID,note\n1,"two\nlines, quoted ""so"""\n2,short\n3,too,many\n4\n')
+    report = tables.integrity(spark, str(tmp_path / "b.csv"), "TransactionID")
+    assert (report["rows"], report["unique_keys"], report["missing_keys"], report["wrong_width"], report["columns"]) == (4, True, 0, 2, 2)
     assert tables.read_csv(spark, str(tmp_path / "a.csv"), "TransactionID long, isFraud int").count() == 3
     with pytest.raises(ValueError):
         tables.read_csv(spark, str(tmp_path / "a.csv"), "TransactionID long, other int")

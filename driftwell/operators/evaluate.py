@@ -317,13 +317,14 @@ def supervised_scores(train: DataFrame, df: DataFrame, columns: list[str], label
     fill = lambda d: d.withColumns({f"_x_{c}": F.coalesce(F.col(c).cast("double"), F.lit(float(facts[f"m_{c}"]))) for c in used} | {f"_g_{c}": F.col(c).isNull().cast("double") for c in flags})
     n, p = facts["n"], facts["p"]
     weight = F.when(F.col(label) == 1, n / (2.0 * max(p, 1))).otherwise(n / (2.0 * max(n - p, 1)))
-    shared = {"featuresCol": "_v", "labelCol": label, "weightCol": "_w", "predictionCol": "_y", "rawPredictionCol": "_r"}
+    shared = {"featuresCol": "_v", "labelCol": label, "weightCol": "_w", "predictionCol": "_y"}
     if kind == "logistic":
-        ranker = LogisticRegression(**shared, probabilityCol="_p", regParam=1.0 / max(n, 1), standardization=False)
+        ranker = LogisticRegression(**shared, regParam=1.0 / max(n, 1), standardization=False)
     elif kind == "boosted":
-        ranker = GBTClassifier(**shared, maxIter=rounds, maxDepth=4, seed=42).setProbabilityCol("_p")
+        ranker = GBTClassifier(**shared, maxIter=rounds, maxDepth=4, seed=42)
     else:
         raise ValueError(f"unknown kind of ranker: {kind}")
+    ranker = ranker.setProbabilityCol("_p").setRawPredictionCol("_r")
     names = [f"_x_{c}" for c in used] + [f"_g_{c}" for c in flags]
     model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="_a"), StandardScaler(inputCol="_a", outputCol="_v", withMean=True), ranker]).fit(fill(train).withColumn("_w", weight))
     out = model.transform(fill(df)).withColumn(name, vector_to_array("_p")[1])

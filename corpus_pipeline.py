@@ -24,7 +24,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     scored = quality.quality_scores(spark, docs, table(spark, sf_dir, "labels"))
     rejected = scored.where("doc_id is not null").groupBy("doc_id").agg(F.max("predicted").alias("best")).where("best = 0").select("doc_id")
-    return without(docs, rejected)
+    return without(docs, Scratch(spark, "pipeline-quality").keep(rejected, "rejected"))
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,7 +53,9 @@ class SubstringDedup:
 _POINT = np.dtype([("h", "<u8"), ("c", "<u4"), ("c2", "<u2"), ("doc", "<u2"), ("start", "<u4"), ("n", "u1")])
 #: Rows of an Arrow batch (``doc`` has 16 bits), bytes of one, bytes of text for each bucket, and the fewest buckets for each
 #: shuffle partition.
-_ROWS, _BYTES, _BUCKET_BYTES, _BUCKETS = 1500, 4 << 20, 16 << 20, 2
+_ROWS, _BYTES, _BUCKET_BYTES, _BUCKETS = 1500, 4 << 20, 16 << 20, 1
+#: Partitions for each bucket: with room, few of them get several.
+_ROOM = 2
 #: Single windows that are sorted at once.
 _WINDOWS = 200_000
 _SLICE = 1 << 18
@@ -324,10 +326,10 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, cfg: SubstringDedup =
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(_ROWS), spark__sql__execution__arrow__maxBytesPerBatch=str(_BYTES)):
-        runs = scratch.keep(keyed.mapInArrow(cover, _SENT).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_settle(cfg.length, True), _HITS), "runs")
+        runs = scratch.keep(keyed.mapInArrow(cover, _SENT).repartition(_ROOM * buckets, "bucket").groupBy("bucket").applyInArrow(_settle(cfg.length, True), _HITS), "runs")
         open_rows = runs.where(F.col("kind") == OPEN).groupBy("rid").agg(F.collect_list("spans").alias("spans"))
         edges = keyed.join(open_rows, "rid").select("doc_id", "rid", "text", "spans").mapInArrow(windows, _SENT)
-        edges = scratch.keep(edges.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_settle(cfg.length, False), _HITS), "edges")
+        edges = scratch.keep(edges.repartition(_ROOM * buckets, "bucket").groupBy("bucket").applyInArrow(_settle(cfg.length, False), _HITS), "edges")
         covered = runs.where(F.col("kind") == COVER).unionByName(edges).groupBy("rid").agg(F.collect_list("spans").alias("spans"))
         out = keyed.join(covered, "rid", "left").select("doc_id", "text", "spans")
         return out.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -21,10 +21,16 @@ _STEP = 64
 
 def cuts_of(df: DataFrame, order: str, ranges: int | None = None) -> list:
     """Values at approximate quantiles, ascending and different: ``ranges`` - 1 at most, as many as the rows ask for by default."""
-    grid = [i / MOST_RANGES for i in range(1, MOST_RANGES)]
-    n, found = df.agg(F.count(order), F.percentile_approx(order, grid, 2 * MOST_RANGES)).first()
-    ranges = ranges or min(MOST_RANGES, max(LEAST_RANGES, n // RANGE_ROWS))
-    return sorted({found[round(i * MOST_RANGES / ranges) - 1] for i in range(1, ranges)}) if found else []
+
+    def at(parts: int) -> Column:
+        return F.expr(f"percentile_approx(`{order}`, array({', '.join(f'{i / parts}D' for i in range(1, parts))}), {max(1000, 4 * parts)})")
+
+    first = ranges or LEAST_RANGES
+    n, found = df.agg(F.count(order), at(first)).first()
+    wanted = min(MOST_RANGES, n // RANGE_ROWS)
+    if not ranges and wanted > first:
+        found = df.agg(at(wanted)).first()[0]
+    return sorted(set(found or []))
 
 
 def range_of(order: str, cuts: list) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.llm import decontaminate, line_dedup, mixing, secrets
+from driftwell.llm import collocation, decontaminate, line_dedup, mixing, secrets
 from driftwell.llm.fingerprint import edit_report
 from driftwell.llm.near_dedup import NearDedup, near_duplicates
 from driftwell.llm.quality import quality_scores
@@ -74,7 +74,15 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op3_quality_classifier, op4_source_mixing, op5_quote_linking, op6_benchmark_decontamination, op7_token_rollup, op8_suffix_dedup, op9_document_fingerprints, op10_secret_scan)}
+def op13_phrase_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first phrases of two and three words of every language."""
+    return collocation.collocations(spark, table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (op1_line_dedup, op2_minhash_near_dedup, op3_quality_classifier, op4_source_mixing, op5_quote_linking, op6_benchmark_decontamination, op7_token_rollup, op8_suffix_dedup, op9_document_fingerprints, op10_secret_scan, op13_phrase_collocation)
+}
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
 ORACLES: dict[str, str] = {
@@ -82,4 +90,5 @@ ORACLES: dict[str, str] = {
     "op4_source_mixing": mixing.ORACLE,
     "op6_benchmark_decontamination": decontaminate.ORACLE,
     "op10_secret_scan": secrets.ORACLE,
+    "op13_phrase_collocation": collocation.ORACLE,
 }

@@ -1,12 +1,12 @@
 """Phrase collocations by marginalising the longest windows.
 
-Every word occurrence opens one window of ``longest`` words, padded with nulls where its piece ends.  These windows are the
-only n-grams that are taken from the texts: Spark's ROLLUP adds them up to ever shorter prefixes, which gives the count of
-every shorter phrase, of every word and of all words of a language.  (A phrase of k words is the prefix of as many windows
-as it occurs, for each occurrence opens a window.)
+Every word occurrence opens one window of ``longest`` words, padded where its piece ends.  These windows are the only n-grams
+that are taken from the texts: sums over ever shorter prefixes give the count of every shorter phrase, of every word and of
+all words of a language.  (A phrase of k words is the prefix of as many windows as it occurs, for each occurrence opens one.)
 
-A window that is too rare to be a phrase itself gives its last word up before the rollup: its prefixes lose nothing by that,
-and what the rollup shuffles are the shorter prefixes and the few windows that matter.
+The windows travel as one string, their words with a blank between them; a padded window has fewer words.  Windows, and then
+prefixes, that are too rare to be phrases themselves are folded into their next shorter prefix before it is summed, so that
+the last step, a ROLLUP by language, first and second word, meets few rows.
 """
 
 from __future__ import annotations
@@ -47,29 +47,44 @@ def _words(cfg: Collocations) -> list[str]:
 
 
 def windows(docs: DataFrame, cfg: Collocations) -> DataFrame:
-    """(lang, w1, w2, ...): the padded window of every word occurrence."""
+    """(lang, window): of every word occurrence the word and those that follow it, with a blank between them."""
     text = F.translate(F.col("text").cast("string"), _FROM, _TO)
     pieces = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.explode(F.split(text, "\n")).alias("piece"))
     pieces = pieces.select("lang", F.trim("piece", F.lit(" \t")).alias("piece")).where("piece <> ''")
     tokens = pieces.select("lang", F.split("piece", r"[\x20\x09]+").alias("t"))
-    # Position by position the words that follow; lists that are shorter end in nulls.
+    # Position by position the words that follow; lists that are shorter end in nulls, which concat_ws leaves out.
     lead = F.arrays_zip(*[(F.col("t") if k == 0 else F.slice("t", k + 1, F.size("t"))).alias(w) for k, w in enumerate(_words(cfg))])
-    return tokens.select("lang", F.inline(lead).alias(*_words(cfg)))
+    return tokens.select("lang", F.inline(lead).alias(*_words(cfg))).select("lang", F.concat_ws(" ", *_words(cfg)).alias("window"))
 
 
 def phrase_counts(scratch: Scratch, docs: DataFrame, cfg: Collocations) -> DataFrame:
     """(lang, size, w1, w2, ..., f): words of every phrase of ``size`` words with ``least`` occurrences or more, and of each language
     (size 0) the number of all words."""
     names = _words(cfg)
-    counted = windows(docs, cfg).groupBy("lang", *names).agg(F.count("*").alias("n"))
-    counted = scratch.keep(counted.withColumn(names[-1], F.when(F.col("n") >= cfg.least, F.col(names[-1]))), "windows")
-    level = F.grouping_id()
-    rolled = counted.rollup("lang", *names).agg(F.sum("n").alias("f"), level.alias("level"))
-    # The level has a bit for every column that is summed over, the last column's lowest.
-    size = F.create_map(*[x for k in range(cfg.longest + 1) for x in (F.lit((1 << (cfg.longest - k)) - 1), F.lit(k))])
-    rolled = rolled.where(F.col("level") < (1 << cfg.longest)).withColumn("size", size[F.col("level").cast("int")])
-    whole = F.expr(f"element_at(array(lang, {', '.join(names)}), size + 1)").isNotNull()
-    return scratch.keep(rolled.where(whole & ((F.col("size") == 0) | (F.col("f") >= cfg.least))).select("lang", "size", *names, "f"), "counts")
+    n_words = lambda c: F.size(F.split(c, " "))
+    word = lambda c, i: F.get(F.split(c, " "), F.lit(i))
+
+    def phrases(df: DataFrame, column: str, size: int) -> DataFrame:
+        return df.select("lang", F.lit(size).alias("size"), *[(word(column, i) if i < size else F.lit(None).cast("string")).alias(w) for i, w in enumerate(names)], F.col("n").alias("f"))
+
+    found = []
+    rows = windows(docs, cfg).groupBy("lang", F.col("window").alias("prefix")).agg(F.count("*").alias("n"))
+    for size in range(cfg.longest, 2, -1):
+        often = (F.col("n") >= cfg.least) & (n_words("prefix") == size)
+        rows = rows.select("lang", F.substring_index("prefix", " ", size - 1).alias("prefix"), F.when(often, F.col("prefix")).alias("phrase"), "n")
+        rows = scratch.keep(rows, f"windows-{size}")
+        found.append(phrases(rows.where("phrase is not null"), "phrase", size))
+        rows = rows.groupBy("lang", "prefix").agg(F.sum("n").alias("n"))
+    first, second = word("prefix", 0), F.when(F.col("n") >= cfg.least, word("prefix", 1))
+    rolled = rows.select("lang", first.alias("w1"), second.alias("w2"), "n").rollup("lang", "w1", "w2").agg(F.sum("n").alias("n"), F.grouping_id().alias("level"))
+    rolled = scratch.keep(rolled.where("level < 7 and (level > 0 or w2 is not null)").where((F.col("level") == 3) | (F.col("n") >= cfg.least)), "rolled")
+    rest = [F.lit(None).cast("string").alias(w) for w in names[2:]]
+    # The level has a bit for each column that is summed over: 0 for two words, 1 for one, 3 for the language.
+    found.append(rolled.select("lang", F.when(F.col("level") == 0, 2).when(F.col("level") == 1, 1).otherwise(0).alias("size"), "w1", "w2", *rest, F.col("n").alias("f")))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return scratch.keep(out, "counts")
 
 
 def _score(cfg: Collocations, a: Column, left: Column, right: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.llm import collocation, decontaminate, line_dedup, mixing, secrets, warc
+from driftwell.llm import collocation, decontaminate, line_dedup, mixing, secrets, spelling, warc
 from driftwell.llm.fingerprint import edit_report
 from driftwell.llm.near_dedup import NearDedup, near_duplicates
 from driftwell.llm.quality import quality_scores
@@ -74,6 +74,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word with the words one edit from it, its form and the root of its forms."""
+    return spelling.spelling_variants(spark, table(spark, sf_dir, "documents"))
+
+
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as it is read back from its WARC record."""
     return warc.page_report(spark, table(spark, sf_dir, "pages"))
@@ -86,7 +91,7 @@ def op13_phrase_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_minhash_near_dedup, op3_quality_classifier, op4_source_mixing, op5_quote_linking, op6_benchmark_decontamination, op7_token_rollup, op8_suffix_dedup, op9_document_fingerprints, op10_secret_scan, op12_warc, op13_phrase_collocation)
+    for f in (op1_line_dedup, op2_minhash_near_dedup, op3_quality_classifier, op4_source_mixing, op5_quote_linking, op6_benchmark_decontamination, op7_token_rollup, op8_suffix_dedup, op9_document_fingerprints, op10_secret_scan, op11_spelling_variants, op12_warc, op13_phrase_collocation)
 }
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
@@ -95,6 +100,7 @@ ORACLES: dict[str, str] = {
     "op4_source_mixing": mixing.ORACLE,
     "op6_benchmark_decontamination": decontaminate.ORACLE,
     "op10_secret_scan": secrets.ORACLE,
+    "op11_spelling_variants": spelling.ORACLE,
     "op12_warc": warc.ORACLE,
     "op13_phrase_collocation": collocation.ORACLE,
 }

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from driftwell.llm.scratch import Scratch
+from driftwell.llm.scratch import Scratch, settings
 
 
 @dataclass(frozen=True)
@@ -72,7 +72,9 @@ def phrase_counts(scratch: Scratch, docs: DataFrame, cfg: Collocations) -> DataF
     for size in range(cfg.longest, 2, -1):
         often = (F.col("n") >= cfg.least) & (n_words("prefix") == size)
         rows = rows.select("lang", F.substring_index("prefix", " ", size - 1).alias("prefix"), F.when(often, F.col("prefix")).alias("phrase"), "n")
-        rows = scratch.keep(rows, f"windows-{size}")
+        # The largest table of all, and the shuffle files it comes from are still there.
+        with settings(scratch.spark, spark__sql__parquet__compression__codec="zstd"):
+            rows = scratch.keep(rows, f"windows-{size}")
         found.append(phrases(rows.where("phrase is not null"), "phrase", size))
         rows = rows.groupBy("lang", "prefix").agg(F.sum("n").alias("n"))
     first, second = word("prefix", 0), F.when(F.col("n") >= cfg.least, word("prefix", 1))

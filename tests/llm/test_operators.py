@@ -485,38 +485,38 @@ def test_secrets_in_long_texts_and_repeated_rows(spark, monkeypatch):
 
 
 def lines_brute(rows, cfg=line_dedup.TemplateTree()):
-    """Templates as plain tuples: what stays at its place in five texts of a leaf, else a field."""
+    """Lines that recur as they are, and templates as plain tuples: what stays at its place in a leaf's texts, else a field."""
     def masked(line):
         if re.search("[0-9]", line) and len(WORD.findall(line)) > 2:
             line = re.sub(r"[^\x20\x09-\x0D0-9]*[0-9][^\x20\x09-\x0D]*", "<*>", line)
-        return re.sub(r"[\x20\x09\x0B-\x0D]+", " ", line).strip(" ").split(" ")
+        return tuple(re.sub(r"[\x20\x09\x0B-\x0D]+", " ", line).strip(" ").split(" "))
 
-    leaf, place = defaultdict(set), defaultdict(set)
-    each = [(t, i, w) for _, t in rows if t is not None for i, w in enumerate(map(masked, t.split("\n"))) if w != [""]]
+    leaf, place, same = defaultdict(set), defaultdict(set), defaultdict(set)
+    each = [(t, i, w) for _, t in rows if t is not None for i, w in enumerate(map(masked, t.split("\n"))) if w != ("",)]
     node = lambda w: (len(w), *w[: cfg.depth])
     for t, _, w in each:
         leaf[node(w)].add(t)
+        same[w].add(t)
         for j, x in enumerate(w):
             place[node(w), j, x].add(t)
+    enough = lambda texts, w: len(texts) >= max(cfg.documents, cfg.leaf_share * len(leaf[node(w)]))
 
     def template(w):
-        stays = tuple((j, x) for j, x in enumerate(w) if len(place[node(w), j, x]) >= cfg.documents)
-        return (node(w), stays) if len(leaf[node(w)]) >= cfg.documents and stays and len(stays) >= cfg.kept_share * len(w) else None
+        words = [(j, x) for j, x in enumerate(w) if j >= cfg.depth and x != "<*>"]
+        stays = tuple((j, x) for j, x in words if enough(place[node(w), j, x], w))
+        return (node(w), stays) if stays and len(stays) >= cfg.kept_share * len(words) else None
 
     texts, hits = defaultdict(set), defaultdict(set)
     for t, _, w in each:
         if template(w):
             texts[template(w)].add(t)
     for t, i, w in each:
-        if template(w) and len(texts[template(w)]) >= cfg.documents:
+        if len(same[w]) >= cfg.documents or template(w) and enough(texts[template(w)], w):
             hits[t].add(i)
     out = []
     for d, t in rows:
         lines = t.split("\n") if t is not None else []
         rest = [x for i, x in enumerate(lines) if i not in hits[t]]
-        size = lambda xs: sum(len(x.strip(" ")) for x in xs)
-        if not size(rest) or size(rest) < cfg.least_left * size(lines):
-            rest = lines
         out.append((d, "\n".join(rest) if t is not None else None, len(lines), len(lines) - len(rest)))
     return Counter(out)
 
@@ -537,14 +537,15 @@ def test_license_block_and_one_document(spark):
     names = ["dropped", "_lines", "_left", "row", "lines", "rest", "left", "id", "class", "line", "node", "at", "n_dropped"]
     df = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
     out = line_dedup.drop_recurring_lines(spark, df)
-    assert set(out.columns) == {*df.columns, "n_lines"}
+    assert set(out.columns) == {*df.columns, "n_lines", "emptied"}
     got = {r.doc_id: r for r in out.collect()}
     texts = dict(rows)
     for i in range(40):
         lines = texts[i].split("\n")
         assert (got[i].text, got[i].n_dropped, got[i].lines) == (f"{lines[0]}\n{lines[6]}", 5, 4)
-    # Nearly nothing but recurring lines: a copy, left for the near-duplicate operator.
-    assert [got[i].n_dropped for i in (50, 51, 52)] == [0, 0, 0] and all(got[i].text == texts[i] for i in (50, 51, 52))
+    assert got[50].text == texts[50] and not got[50].emptied
+    # Nothing but recurring lines, or nearly: they go there too.
+    assert (got[51].text, got[51].n_dropped, got[51].emptied) == ("", 1, True) and (got[52].text, got[52].n_dropped, got[52].emptied) == ("x", 5, False)
 
 
 def test_lines(spark, docs):
@@ -561,17 +562,48 @@ def test_lines(spark, docs):
     assert all(got[i].n_dropped == 1 and "Updated" not in got[i].text for i in range(40))
     assert all(got[100 + i].text == copies and got[100 + i].n_lines == 4 for i in range(30))
     out = line_dedup.drop_recurring_lines(spark, docs)
-    assert set(out.columns) == {*docs.columns, "n_lines", "n_dropped"}
+    assert set(out.columns) == {*docs.columns, "n_lines", "n_dropped", "emptied"}
     assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(pairs(docs))
     assert line_dedup.drop_recurring_lines(spark, docs.limit(0)).count() == 0
 
 
-def test_lines_that_would_all_go_stay(spark):
+def test_documents_of_recurring_lines_only_are_marked(spark):
     line = "This line recurs in every kind of place"
     rnd = random.Random(9)
-    rows = [(i, f"{sentence(rnd, 8)}\n{line}\n{sentence(rnd, 8)}") for i in range(12)] + [(50, line), (51, f"{line}\n ")]
+    rows = [(i, f"{sentence(rnd, 8)}\n{line}\n{sentence(rnd, 8)}") for i in range(12)] + [(50, line), (51, f"{line}\n "), (52, " ")]
     got = {r.doc_id: r for r in line_dedup.drop_recurring_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[0].n_dropped == 1 and got[50].text == line and got[51].n_dropped == 0
+    assert got[0].n_dropped == 1 and not got[0].emptied and (got[52].text, got[52].emptied) == (" ", False)
+    assert (got[50].text, got[50].n_dropped, got[50].emptied) == ("", 1, True) and (got[51].text, got[51].n_dropped, got[51].emptied) == (" ", 1, True)
+
+
+def test_lines_of_few_tokens_that_stand_in_one_text_stay(spark):
+    """A leaf's leading tokens are no evidence: lines of 4 to 6 tokens with a common opening and an end of their own stay."""
+    rnd = random.Random(15)
+    words = iter(sorted({"".join(rnd.choice("abcdefgh") for _ in range(9)) for _ in range(4000)}))
+    ends = {n: [" ".join(next(words) for _ in range(n - 3)) for _ in range(60)] for n in (4, 5, 6)}
+    rows = [(i, "\n".join([*(f"I would like {ends[n][i]}" for n in ends), f"Page {i} of 60", f"The total price is {i} EUR today"])) for i in range(60)]
+    got = {r.doc_id: r for r in line_dedup.drop_recurring_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        assert got[i].text.split("\n") == text.split("\n")[:3], got[i]
+
+
+def test_templates_grow_with_their_leaf(spark):
+    """Of a leaf with very many texts a template needs a share; a line that recurs as it is needs none."""
+    rnd = random.Random(16)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(9))
+    rows = [(i, f"We are happy {word()} {word()} {word()}") for i in range(200)]
+    rows += [(300 + i, f"{word()}\nWe are happy to {word()} you") for i in range(7)] + [(400 + i, f"{word()}\nWe are happy at the lake") for i in range(7)]
+    few = rows[:50] + rows[200:]
+    for part, gone in ((rows, {400}), (few, {300, 400})):
+        got = {r.doc_id: r.n_dropped for r in line_dedup.drop_recurring_lines(spark, spark.createDataFrame(part, "doc_id long, text string")).collect()}
+        assert {d // 100 * 100 for d, n in got.items() if n} == gone and all(n for d, n in got.items() if d >= 400)
+
+
+def test_lines_of_one_very_long_text(spark):
+    line = "This line recurs in every kind of place"
+    rows = [(i, line) for i in range(2)] + [(i, f"{i}\n" + f"{line}\n" * (200_000 if i == 9 else 1) + f"end{i}") for i in range(5, 10)]
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.drop_recurring_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[9] == ("9\nend9", 200_000) and got[0] == ("", 1)
 
 
 def test_block_of_lines_over_documents(spark):

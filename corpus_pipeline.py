@@ -30,8 +30,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that recur in different documents; n_chars follows the text where there is one.
 
-    Null texts stay null, and a document always keeps some text if it had any.  Rows that repeat a document are decided
-    alike and both stay; copies of a text count as one document.
+    Null texts stay null; a document of recurring lines only stays with an empty text, and is no one's copy from then on.  Rows
+    that repeat a document are decided alike and both stay; copies of a text count as one document.
     """
     out = line_dedup.drop_recurring_lines(spark, docs)
     if "n_chars" in docs.columns:

@@ -371,4 +371,4 @@ says("cosine_topk", f"SELECT vec_id, label, {r('s')} AS similarity FROM (SELECT
 _ALL = f"(SELECT b.vec_id AS query_id, a.vec_id, round({_DOT} / ({_NORM.format('a')} * {_NORM.format('b')}), 9) AS s FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0)"
 says("cosine_topk_each", f"SELECT query_id, vec_id, place, {r('s')} AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS place FROM {_ALL}) WHERE place <= 5")
 says("vector_norms", f"SELECT label, count(*) AS rows, {r('avg(' + _NORM.format('embeddings') + ')', 4)} AS mean_norm FROM embeddings GROUP BY label")
-says("stream_history", f"SELECT {_ID}, false AS late, n AS prior_transaction_count, {r('prior_mean')} AS prior_mean_amount, {r('prior_std')} AS prior_std_amount, c1h AS prior_count_1h, c24h AS prior_count_24h, since AS seconds_since_previous, d_product AS prior_distinct_products, new_product AS entity_product_is_new, {r('hour_p')} AS entity_hour_probability FROM histh WHERE known")
+says("stream_history", f"SELECT {_ID}, false AS late, CASE WHEN known THEN n END AS prior_transaction_count, CASE WHEN known THEN {r('prior_mean')} END AS prior_mean_amount, CASE WHEN known THEN {r('prior_std')} END AS prior_std_amount, CASE WHEN known THEN c1h END AS prior_count_1h, CASE WHEN known THEN c24h END AS prior_count_24h, CASE WHEN known THEN since END AS seconds_since_previous, CASE WHEN known THEN d_product END AS prior_distinct_products, CASE WHEN known THEN new_product END AS entity_product_is_new, CASE WHEN known THEN {r('hour_p')} END AS entity_hour_probability FROM histh")

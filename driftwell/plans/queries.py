@@ -739,13 +739,13 @@ def _streamed_columns() -> list[Column | str]:
 
 @query
 def stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Streamed features of known entities, as the SQL has them; full_stream_history has all rows and relations."""
-    return streamed(spark, sf_dir).where(F.col("prior_transaction_count").isNotNull() | F.col("late")).select(*_streamed_columns())
+    """Streamed features of every event, with null ones where the entity is unknown; full_stream_history has all relations."""
+    return streamed(spark, sf_dir).select(*_streamed_columns())
 
 
 @query
 def full_stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Streamed features of every event, with null ones where the entity is unknown."""
+    """Streamed features of every event, of all relations, with null ones where the entity is unknown."""
     return streamed(spark, sf_dir).select(*_streamed_columns(), p("history_span_days"), "prior_distinct_email_domains", "entity_email_is_new", "prior_distinct_devices", "entity_device_is_new")
 
 

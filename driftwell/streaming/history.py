@@ -1,119 +1,196 @@
 """The history features of an entity as a stateful stream.
 
-Each entity's state is sums, the last times and what it has been seen with.  Rows of one time are answered from the
-state before any of them is added, so they don't see each other; a time is closed when a later one arrives in the same
-batch or the caller marks the batch as whole times.  Rows at or before an entity's last closed time are late: they are
-given out with late = true and change nothing, or stop the query in strict mode.  Rows of unknown entities are given out
-without state, their features null.
+A row waits in its entity's state until the watermark has passed its time, for more rows of that time may come, in this batch or
+another.  Then the time is closed: its rows are answered from the state before any of them is added, so they don't see each
+other, however the stream was cut into batches.  Rows at or before an entity's last closed time are late: they are given out
+with late = true and change nothing, or stop the query in strict mode.  Rows of unknown entities, and rows without a time, are
+given out at once, their features null.  A row without TransactionID is an end marker: it moves the watermark and is no
+transaction.
+
+The state of an entity is one row of sums, a row for each value it has been seen with, and the number of rows of each time of
+the last day, numbered.  Two cursors, an hour and a day behind, move along the numbers and take what the day's has passed away,
+so a batch costs its own rows, however much history there is.  (Spark's time to live is by the clock of the machine, which a
+replay doesn't follow.)
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUTPUT = (
     "TransactionID long, TransactionDT double, late boolean, prior_transaction_count long, prior_mean_amount double, prior_std_amount double, prior_count_1h long, prior_count_24h long, "
     "seconds_since_previous double, history_span_days double, prior_distinct_products long, entity_product_is_new double, entity_hour_probability double, "
     "prior_distinct_email_domains long, entity_email_is_new double, prior_distinct_devices long, entity_device_is_new double"
 )
-_STATE = "state string"
-#: What an entity has been seen with: the set in the state, and the column.
-RELATIONS = {"products": "ProductCD", "emails": "P_emaildomain", "devices": "DeviceInfo"}
-
-
-def _empty() -> dict:
-    return {"n": 0, "mean": 0.0, "m2": 0.0, "first": None, "last": None, "recent": [], **{k: [] for k in RELATIONS}, "hours": [0] * 24}
-
-
-def _answer(s: dict, row, late: bool) -> tuple:
-    if late:
-        return (row.TransactionID, row.TransactionDT, True, *([None] * 14))
-    t, n = row.TransactionDT, s["n"]
-    recent = [x for x in s["recent"] if x >= t - 86_400]
-    new = {}
-    for k, c in RELATIONS.items():
-        value = getattr(row, c)
-        new[k] = None if value is None or not s[k] else float(value not in s[k])
-    return (
-        row.TransactionID, t, False, n, s["mean"] if n else None, (max(s["m2"], 0.0) / n) ** 0.5 if n >= 2 else None, sum(x >= t - 3600 for x in recent), len(recent),
-        t - s["last"] if n else None, (t - s["first"]) / 86_400 if n else None, len(s["products"]), new["products"], (s["hours"][int(t // 3600) % 24] + 1) / (n + 24) if n else None,
-        len(s["emails"]), new["emails"], len(s["devices"]), new["devices"],
-    )
-
-
-def _add(s: dict, row) -> None:
-    t, x = row.TransactionDT, row.TransactionAmt
-    s["n"] += 1
-    d = x - s["mean"]
-    s["mean"] += d / s["n"]
-    s["m2"] += d * (x - s["mean"])
-    s["first"] = t if s["first"] is None else s["first"]
-    s["last"] = t
-    s["recent"] = [y for y in s["recent"] if y >= t - 86_400] + [t]
-    for k, c in RELATIONS.items():
-        value = getattr(row, c)
-        if value is not None and value not in s[k]:
-            s[k].append(value)
-    s["hours"][int(t // 3600) % 24] += 1
-
-
-def _step(strict: bool) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        # A state of before a relation was kept has no set of it.
-        s = _empty() | json.loads(state.get[0]) if state.exists else _empty()
-        rows = pd.concat(list(batches)).sort_values(["TransactionDT", "TransactionID"])
-        for c in RELATIONS.values():
-            rows[c] = rows[c].astype(object).where(rows[c].notna(), None)
-        closed = s["last"]
-        out = []
-        for t, group in rows.groupby("TransactionDT", sort=True):
-            group = list(group.itertuples(index=False))
-            late = closed is not None and t <= closed
-            if late and strict:
-                raise ValueError(f"late rows of {key}: {t} is not after {closed}")
-            out += [_answer(s, r, late) for r in group]
-            if not late:
-                for r in group:
-                    _add(s, r)
-        state.update((json.dumps(s),))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
-
-    return run
-
-
-def history_stream(stream: DataFrame, key: list[str], strict: bool = False) -> DataFrame:
+_NAMES = [c.split()[0] for c in OUTPUT.split(", ")]
+#: What an entity has been seen with: the column, and the names of its count and of what is new.
+RELATIONS = {"ProductCD": ("prior_distinct_products", "entity_product_is_new"), "P_emaildomain": ("prior_distinct_email_domains", "entity_email_is_new"), "DeviceInfo": ("prior_distinct_devices", "entity_device_is_new")}
+_ROW = {"TransactionID": "long", "TransactionDT": "double", "TransactionAmt": "double"} | dict.fromkeys(RELATIONS, "string")
+#: Rows, mean and squared deviations of amounts, first and last time, number of the next time, and for each cursor its number and the
+#: rows behind it; then counts of hours of the day and of different values.
+_SUMS = "n long, mean double, m2 double, first double, last double, next long, hour_at long, hour_rows long, day_at long, day_rows long, hours array<long>, different array<long>"
+_EMPTY = (0, 0.0, 0.0, None, None, 0, 0, 0, 0, 0, [0] * 24, [0] * len(RELATIONS))
+HOUR, DAY = 3600.0, 86_400.0
+_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _timer(time: float) -> int:
+    """The millisecond from which on ``time`` is over."""
+    return int(np.floor(time * 1000)) + 1
+
+
+class _History(StatefulProcessor):
+    def __init__(self, strict: bool):
+        self.strict = strict
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sums = handle.getValueState("sums", _SUMS)
+        self.waiting = handle.getListState("waiting", ", ".join(f"{c} {k}" for c, k in _ROW.items()))
+        self.seen = handle.getMapState("seen", "relation int, value string", "time double")
+        self.times = handle.getMapState("times", "number long", "time double, rows long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        part = pd.concat(list(rows), ignore_index=True)
+        last = self.sums.get()[4] if self.sums.exists() else None
+        late = part["TransactionDT"] <= last if last is not None else pd.Series(False, index=part.index)
+        if late.any():
+            if self.strict:
+                raise ValueError(f"late rows of {key}: {part.loc[late, 'TransactionDT'].min()} is not after {last}")
+            told = part.loc[late, ["TransactionID", "TransactionDT"]].assign(late=True)
+            yield told.reindex(columns=_NAMES).astype(object).where(lambda x: x.notna(), None)
+        part = part[~late]
+        if len(part):
+            columns = [part[c].astype(object).where(part[c].notna(), None).tolist() for c in _ROW]
+            self.waiting.appendList(list(zip(*columns, strict=True)))
+            self.handle.registerTimer(_timer(float(part["TransactionDT"].min())))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.waiting.exists():
+            return
+        rows = pd.DataFrame(list(self.waiting.get()), columns=list(_ROW))
+        over = rows["TransactionDT"].map(_timer) <= timerValues.getCurrentWatermarkInMs()
+        if not over.any():
+            return
+        rest = rows[~over]
+        self.waiting.clear()
+        if len(rest):
+            self.waiting.put(list(zip(*[rest[c].tolist() for c in _ROW], strict=True)))
+            self.handle.registerTimer(_timer(float(rest["TransactionDT"].min())))
+        yield self._closed(rows[over].sort_values(["TransactionDT", "TransactionID"], ignore_index=True))
+
+    def _behind(self, cursor: tuple[int, int], width: float, times: np.ndarray, first: int, new: np.ndarray, drop: bool) -> tuple[np.ndarray, tuple[int, int]]:
+        """Rows more than ``width`` before each of ``times``, whose numbers start at ``first`` and rows are ``new``; the cursor after."""
+        at, rows = cursor
+        out = np.zeros(len(times), np.int64)
+        for i, time in enumerate(times):
+            while at < first + i:
+                there = self.times.getValue((at,)) if at < first else (times[at - first], int(new[at - first]))
+                if there[0] >= time - width:
+                    break
+                rows += there[1]
+                if drop and at < first:
+                    self.times.removeKey((at,))
+                at += 1
+            out[i] = rows
+        return out, (at, rows)
+
+    def _closed(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """The answers to rows of whole times in their order; the state is that after them."""
+        n0, mean, m2, start, last, first, hour_at, hour_rows, day_at, day_rows, hours, different = self.sums.get() if self.sums.exists() else _EMPTY
+        t, x = rows["TransactionDT"].to_numpy(float), rows["TransactionAmt"].to_numpy(float)
+        times, begin, group, count = np.unique(t, return_index=True, return_inverse=True, return_counts=True)
+        n = n0 + begin
+        center = mean if n0 else x[0]
+        s1, s2 = (np.concatenate(([0.0], np.cumsum(v))) for v in (x - center, (x - center) ** 2))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            means = np.where(n > 0, center + s1[begin] / n, np.nan)
+            std = np.where(n >= 2, np.sqrt(np.maximum(m2 + s2[begin] - s1[begin] ** 2 / n, 0) / n), np.nan)
+        phase = (times // HOUR).astype(np.int64) % 24
+        spent = np.zeros((len(times) + 1, 24), np.int64)
+        spent[np.arange(1, len(times) + 1), phase] = count
+        spent = np.asarray(hours) + spent.cumsum(axis=0)
+        in_hour, hour = self._behind((hour_at, hour_rows), HOUR, times, first, count, False)
+        in_day, day = self._behind((day_at, day_rows), DAY, times, first, count, True)
+        for i in range(max(day[0] - first, 0), len(times)):
+            self.times.updateValue((first + i,), (float(times[i]), int(count[i])))
+        before = np.concatenate(([np.nan if last is None else last], times[:-1]))
+        of_time = {
+            "prior_transaction_count": n, "prior_mean_amount": means, "prior_std_amount": std, "prior_count_1h": n - in_hour, "prior_count_24h": n - in_day, "seconds_since_previous": times - before,
+            "history_span_days": np.where(n > 0, (times - (times[0] if start is None else start)) / DAY, np.nan), "entity_hour_probability": np.where(n > 0, (spent[np.arange(len(times)), phase] + 1) / (n + 24), np.nan),
+        }
+        out = rows[["TransactionID", "TransactionDT"]].assign(late=False, **{c: v[group] for c, v in of_time.items()})
+        different = list(different)
+        for r, (column, (distinct, is_new)) in enumerate(RELATIONS.items()):
+            values = rows[column]
+            found = pd.Series(group, index=rows.index)[values.notna()].groupby(values[values.notna()]).min()
+            fresh = found[[not self.seen.containsKey((r, v)) for v in found.index]]
+            for value, g in fresh.items():
+                self.seen.updateValue((r, value), (float(times[g]),))
+            known = different[r] + np.searchsorted(np.sort(fresh.to_numpy()), np.arange(len(times)))
+            out[distinct] = known[group]
+            since = values.map(fresh).to_numpy(float)
+            out[is_new] = np.where(values.notna() & (known[group] > 0), (since == group).astype(float), np.nan)
+            different[r] += len(fresh)
+        total = n0 + len(x)
+        self.sums.update((total, float(center + s1[-1] / total), float(max(m2 + s2[-1] - s1[-1] ** 2 / total, 0.0)), float(times[0] if start is None else start), float(times[-1]), first + len(times), *map(int, hour), *map(int, day), spent[-1].tolist(), different))
+        return out[_NAMES]
+
+
+def history_stream(stream: DataFrame, key: list[str], strict: bool = False, delay: str = "0 seconds") -> DataFrame:
     """Features of a stream of transactions (TransactionID, TransactionDT, TransactionAmt, ProductCD, P_emaildomain,
     DeviceInfo and the key columns).
 
-    Rows without a complete key have no history and are no one's: they come out with null features, never late.  A
-    micro-batch must hold whole times of an entity; the same restriction holds between batches of a replay.
+    A row comes out when a row has been seen, in an earlier batch, whose time is later by more than ``delay``; rows of one time may
+    come in any batches until then.  What is later than the last time of a finite stream is only an end marker, a row with a
+    TransactionDT and no TransactionID (``replay`` writes one).  Rows without a complete key have no history and are no one's:
+    they come out at once with null features, never late.  Null amounts count as 0.  List and map state need the RocksDB store;
+    the session is set to it.
     """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
     have = F.lit(True)
     for k in key:
         have = have & F.col(k).isNotNull()
-    kinds = {"TransactionID": "long", "TransactionDT": "double", "TransactionAmt": "double"} | dict.fromkeys(RELATIONS.values(), "string")
-    rows = stream.select(*key, *[F.col(c).cast(k).alias(c) for c, k in kinds.items()])
-    known = rows.where(have).groupBy(*key).applyInPandasWithState(_step(strict), OUTPUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    cast = {c: F.col(c).cast(k) for c, k in _ROW.items()} | {"TransactionAmt": F.coalesce(F.col("TransactionAmt").cast("double"), F.lit(0.0))}
+    rows = stream.select(*key, *[c.alias(n) for n, c in cast.items()]).withColumn("_at", F.timestamp_seconds("TransactionDT")).withWatermark("_at", delay)
+    # One expression that needs the event time: else its parts would be applied before the watermark, which then missed rows.
+    kind = F.when(F.col("_at").isNull(), "unknown").when(F.col("TransactionID").isNull(), "marker").when(have, "known").otherwise("unknown")
+    # Without the event time Spark has nothing to drop late rows by: they are told instead.
+    rows = rows.withColumn("_kind", kind).drop("_at")
+    known = rows.where("_kind = 'known'").drop("_kind").groupBy(*key).transformWithStateInPandas(_History(strict), OUTPUT, "append", "EventTime")
     given = {"TransactionID": F.col("TransactionID"), "TransactionDT": F.col("TransactionDT"), "late": F.lit(False)}
     columns = [c.split() for c in OUTPUT.split(", ")]
-    return known.unionByName(rows.where(~have).select(*[given.get(c, F.lit(None)).cast(k).alias(c) for c, k in columns]))
+    return known.unionByName(rows.where("_kind = 'unknown'").select(*[given.get(c, F.lit(None)).cast(k).alias(c) for c, k in columns]))
+
+
+def end_marker(df: DataFrame, time: str = "TransactionDT", after: float = 1.0) -> DataFrame:
+    """One row of nulls, but for a time ``after`` seconds beyond the last of ``df``; none if ``df`` has no times."""
+    last = df.agg(F.max(time).alias("_last")).where("_last is not null")
+    return last.select(*[((F.col("_last") + after) if f.name == time else F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema])
 
 
 def replay(df: DataFrame, folder: str, parts: int, time: str = "TransactionDT") -> DataFrame:
-    """Writes ``df`` as files of whole times in ascending order, and reads them as a stream, one file a batch."""
-    from driftwell.operators.prefix import cuts_of, range_of
+    """Writes ``df`` in ranges of time in ascending order, an end marker last, and reads them as a stream, one range a batch.
+
+    Every range is as many files as each of them has rows for, so that large ones are written and read by many tasks.  Rows without a
+    time go with the first range.
+    """
+    from driftwell.operators.prefix import RANGE_ROWS, cuts_of, range_of
 
     cuts = cuts_of(df, time, parts)
-    placed = df.withColumn("_part", range_of(time, cuts))
-    for i in range(len(cuts) + 1):
-        placed.where(F.col("_part") == i).drop("_part").coalesce(1).write.mode("overwrite").parquet(f"{folder}/part={i:05d}")
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(folder)
+    placed = df.withColumn("_part", F.coalesce(range_of(time, cuts), F.lit(0)))
+    sizes = {r["_part"]: r["count"] for r in placed.groupBy("_part").count().collect()}  # one row a range
+    files = max(1, min(sizes.values(), default=0) // RANGE_ROWS)
+    for i in sorted(sizes):
+        placed.where(F.col("_part") == i).drop("_part").repartition(files).write.mode("overwrite").parquet(f"{folder}/part={i:05d}")
+    end_marker(df, time).write.mode("overwrite").parquet(f"{folder}/part={parts:05d}")
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", True).parquet(folder)
 
 
 def tumbling(stream: DataFrame, time: str, width: str = "1 day", late: str = "0 seconds") -> DataFrame:

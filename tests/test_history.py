@@ -136,6 +136,20 @@ def test_stream_equals_plain_history(spark, tmp_path):
         agrees(got[row["TransactionID"]], expected(rows, row, None), STREAMED)
 
 
+def put(spark, folder: str, rows: list[dict]) -> None:
+    """One file, which is one batch."""
+    spark.createDataFrame(as_tuples(rows), TRANSACTION).coalesce(1).write.parquet(folder)
+
+
+def source(spark, root: str, *names: str):
+    return spark.readStream.schema(TRANSACTION).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{root}/{{{','.join(names)}}}")
+
+
+def marker(time: float) -> dict:
+    """The end of a stream: a time without a transaction."""
+    return dict.fromkeys(NAMES) | {"TransactionDT": time}
+
+
 def test_late_rows_are_told_or_stop_the_stream(spark, tmp_path):
     """A batch that is refused leaves the state as it was: the same stream goes on when the late rows are gone."""
     from driftwell.streaming.history import history_stream
@@ -145,31 +159,68 @@ def test_late_rows_are_told_or_stop_the_stream(spark, tmp_path):
     while times[middle] == times[middle - 1]:
         middle += 1
     late = {**rows[0], "TransactionID": 1}
-
-    def put(name: str, part: list[dict]) -> None:
-        spark.createDataFrame(as_tuples(part), TRANSACTION).coalesce(1).write.parquet(f"{tmp_path}/{name}")
-
-    def source(*names: str):
-        return spark.readStream.schema(TRANSACTION).option("recursiveFileLookup", True).parquet(f"{tmp_path}/{{{','.join(names)}}}")
-
-    put("a", rows[:middle])
-    put("b", [late, *rows[middle:]])
+    put(spark, f"{tmp_path}/a", [*rows[:middle], marker(times[middle - 1] + 0.01)])
+    put(spark, f"{tmp_path}/b", [late, *rows[middle:], marker(times[-1] + 0.01)])
     for strict in (False, True):
         path = f"{tmp_path}/{strict}"
-        run(history_stream(source("a"), list(history.ENTITY_PARTS), strict), path)
+        run(history_stream(source(spark, tmp_path, "a"), list(history.ENTITY_PARTS), strict), path)
         if strict:
             with pytest.raises(Exception, match="late rows"):
-                run(history_stream(source("a", "b"), list(history.ENTITY_PARTS), strict), path)
+                run(history_stream(source(spark, tmp_path, "a", "b"), list(history.ENTITY_PARTS), strict), path)
             done = spark.read.parquet(f"{path}/out").collect()
             assert {r.TransactionID for r in done} == {r["TransactionID"] for r in rows[:middle]}
         else:
-            run(history_stream(source("a", "b"), list(history.ENTITY_PARTS), strict), path)
+            run(history_stream(source(spark, tmp_path, "a", "b"), list(history.ENTITY_PARTS), strict), path)
             got = {r.TransactionID: r for r in spark.read.parquet(f"{path}/out").collect()}
             assert got[1].late and got[1].prior_transaction_count is None and len(got) == len(rows) + 1
             for row in rows:
                 agrees(got[row["TransactionID"]], expected(rows, row, None), STREAMED)
 
 
+def test_times_may_be_split_over_batches(spark, tmp_path):
+    """Files cut anywhere, a time in three of them, rows of a file in any order: the same features as over all rows at once."""
+    from driftwell.streaming.history import history_stream
+
+    rows = sorted(stream(15, 80, 2, 86_400), key=lambda r: r["TransactionDT"])
+    for r in rows[30:42]:
+        r["TransactionDT"] = rows[30]["TransactionDT"]
+    rnd = random.Random(1)
+    cuts = [0, 17, 33, 36, 39, 41, 60, 80]
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        part = rows[a:b]
+        rnd.shuffle(part)
+        put(spark, f"{tmp_path}/{i}", part)
+    put(spark, f"{tmp_path}/end", [marker(rows[-1]["TransactionDT"] + 1)])
+    run(history_stream(source(spark, tmp_path, *map(str, range(len(cuts) - 1)), "end"), list(history.ENTITY_PARTS)), str(tmp_path))
+    got = {r.TransactionID: r for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert len(got) == len(rows) and not any(r.late for r in got.values())
+    for row in rows:
+        agrees(got[row["TransactionID"]], expected(rows, row, None), STREAMED)
+
+
+def test_rows_wait_for_the_watermark(spark, tmp_path):
+    """Nothing of a time comes out before a later one by the delay; rows out of order within it are in their place; no time, no key."""
+    from driftwell.streaming.history import history_stream
+
+    whole = [{**r, "TransactionDT": i // 3 * 250.5} for i, r in enumerate(stream(16, 60, 1)) if r["card5"] and r["addr1"] is not None]
+    start, end = whole[0]["TransactionDT"], whole[-1]["TransactionDT"]
+    first = [r for r in whole if r["TransactionDT"] < (start + end) / 2]
+    held = first[3::4]
+    put(spark, f"{tmp_path}/a", [r for r in first if r not in held])
+    put(spark, f"{tmp_path}/b", [*held, *[r for r in whole if r not in first], {**whole[0], "TransactionID": 2, "TransactionDT": None}, {**whole[0], "TransactionID": 3, "card1": None}])
+    stream_of = lambda *names: history_stream(source(spark, tmp_path, *names), list(history.ENTITY_PARTS), delay="2 hours")
+    run(stream_of("a"), str(tmp_path / "s"))
+    assert spark.read.schema("TransactionID long").parquet(f"{tmp_path}/s/out").count() == 0
+    run(stream_of("a", "b"), str(tmp_path / "s"))
+    assert {r.TransactionID for r in spark.read.parquet(f"{tmp_path}/s/out").collect()} == {2, 3}
+    put(spark, f"{tmp_path}/end", [marker(end + 7_201)])
+    run(stream_of("a", "b", "end"), str(tmp_path / "s"))
+    got = {r.TransactionID: r for r in spark.read.parquet(f"{tmp_path}/s/out").collect()}
+    assert len(got) == len(whole) + 2 and got[2].prior_transaction_count is None and not got[2].late
+    for row in whole:
+        agrees(got[row["TransactionID"]], expected(whole, row, None), STREAMED)
+
+
 def test_full_stream_equals_batch(spark, sf):
     """Every event comes out once, unknown entities with null features, e-mail domains and devices too."""
     from driftwell.plans import queries

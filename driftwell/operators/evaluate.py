@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import islice
 from math import ceil
 
 import numpy as np
@@ -38,7 +37,8 @@ def at_threshold(df: DataFrame, score: str, threshold: float, label: str = "isFr
 def top_k(df: DataFrame, score: str, k: int, key: str = "TransactionID") -> DataFrame:
     """The k rows of the highest scores, equal ones by key; missing scores come last.
 
-    The k-th score is found first, so that only the rows tied with it are sorted.
+    The k-th score is found first, then, of the rows tied with it, the key that is the last to go in; none are sorted in one
+    place.  ``key`` is unique, a number or a time.
     """
     if k <= 0:
         return df.limit(0)
@@ -48,8 +48,9 @@ def top_k(df: DataFrame, score: str, k: int, key: str = "TransactionID") -> Data
         return df
     (kth,) = order_statistics(scored, "_s", [n - k])
     above = scored.where(F.col("_s") > kth)
-    tied = scored.where(F.col("_s") == kth).orderBy(key).limit(k - above.count())
-    return above.unionByName(tied).drop("_s")
+    tied = scored.where(F.col("_s") == kth)
+    (last,) = order_statistics(tied, key, [k - above.count() - 1])
+    return above.unionByName(tied.where(F.col(key) <= last)).drop("_s")
 
 
 def budget(rows: int, rate: float) -> int:
@@ -163,40 +164,6 @@ def compare(df: DataFrame, before: str, after: str, threshold: float, rate: floa
     return out.withColumn("budget", F.lit(k).cast("long"))
 
 
-def _alternating(first: list, second: list, share: float, slots: int) -> list:
-    """The first ``slots`` of two lists read in turns, what has come before passed over; ``share`` of the turns are the first's."""
-    unread = {True: iter(first), False: iter(second)}
-    chosen: dict = {}  # keeps the order
-    for turn in np.diff(np.ceil(np.arange(slots + 1) * share)) > 0:
-        found = [x for x in islice((x for x in unread[bool(turn)] if x not in chosen), 1)]
-        if not found:
-            break
-        chosen[found[0]] = True
-    return list(chosen)
-
-
-def hybrid_ranking(df: DataFrame, supervised: str, raw: str, share: float, slots: int, group: str = "fold", key: str = "TransactionID") -> DataFrame:
-    """(group, key, place): the first ``slots`` places of a group, dealt to two rankings by a quota; a row counts once.
-
-    After any number of places, ``share`` of them, rounded up, were the supervised ranking's turn, and each turn takes the
-    best row of its ranking that is not in yet.  A row at a place has at most that rank in one of the two, so only the
-    ``slots`` best of either ranking are read: twice that many short rows a group, whatever its size.
-    """
-
-    def places(part: pd.DataFrame) -> pd.DataFrame:
-        best = [part.loc[part[c] <= slots].sort_values(c)[key].tolist() for c in ("_first", "_second")]
-        merged = _alternating(*best, share, slots)
-        return pd.DataFrame({group: [part[group].iloc[0]] * len(merged), key: merged, "place": range(1, len(merged) + 1)})
-
-    kinds = dict(df.dtypes)
-    ends = []
-    for name, score in (("_first", supervised), ("_second", raw)):
-        rank = F.row_number().over(W.partitionBy(group).orderBy(F.col(score).desc_nulls_last(), key))
-        ends.append(df.select(group, key, rank.alias(name)).where(F.col(name) <= slots))
-    both = ends[0].join(ends[1], [group, key], "full_outer")
-    return both.groupBy(group).applyInPandas(places, f"{group} {kinds[group]}, {key} {kinds[key]}, place long")
-
-
 def _replicates(df: DataFrame, score: str, rate: float, weigh: Callable[[np.ndarray, np.ndarray], np.ndarray], count: int) -> tuple[np.ndarray, np.ndarray]:
     """Hits within the budget, and weight, of each of ``count`` replicates of the rows of ``df`` (k, b, y, score).
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from driftwell.functions.columns import flag, printed, ratio
-from driftwell.operators import context, evaluate, forest, history, ingest, layers, profile, retrieval
+from driftwell.operators import context, evaluate, forest, history, ingest, layers, profile, ranking, retrieval
 from driftwell.operators.prefix import cuts_of, higher_quantile, quantiles, strict_rank
 from driftwell.operators.rules import DEFAULT, RuleSet
 from driftwell.plans import experiment
@@ -664,7 +664,7 @@ def fold_disjointness(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def hybrid_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 20 places of each source, in turns of two rankings."""
-    return evaluate.hybrid_ranking(labelled(spark, sf_dir).withColumn("fold", F.col("source")), "score", "other", 0.5, 20)
+    return ranking.hybrid_ranking(labelled(spark, sf_dir).withColumn("fold", F.col("source")), "score", "other", 0.5, 20)
 
 
 @query

@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from driftwell.operators import evaluate, forest, history, ingest, profile, retrieval, validate
+from driftwell.operators import evaluate, forest, history, ingest, profile, ranking, retrieval, validate
 from driftwell.operators.rules import DEFAULT, RuleSet
 from driftwell.plans import service
 from driftwell.sources import tables
@@ -59,22 +59,55 @@ def ranked(spark, seed: int, n: int, groups: int = 1):
     return rows, spark.createDataFrame(rows, "TransactionID long, fold int, isFraud int, a double, b double")
 
 
-@pytest.mark.parametrize("share", [0.5, 0.3, 0.8])
-def test_hybrid_takes_turns(spark, share):
+def turns(rows, share, slots):
+    """(place, id): turn by turn over all rows, from the definition; ``rows`` are (id, first score, second score)."""
+    orders = [sorted(rows, key=lambda r, c=c: (r[c] is None, -(r[c] or 0), r[0])) for c in (1, 2)]
+    done: dict = {}
+    for place in range(1, min(slots, len(rows)) + 1):
+        mine = math.ceil(place * share) - math.ceil((place - 1) * share) == 1
+        done[next(r[0] for r in orders[not mine] if r[0] not in done)] = place
+    return {(p, k) for k, p in done.items()}
+
+
+@pytest.mark.parametrize(("share", "slots", "step"), [(0.5, 17, 500_000), (0.3, 17, 4), (0.8, 30, 7), (0.25, 1, 1), (0.5, 500, 13)])
+def test_hybrid_takes_turns(spark, share, slots, step):
     rows, df = ranked(spark, 5, 90, 3)
-    got = Counter((r.fold, r.place, r.TransactionID) for r in evaluate.hybrid_ranking(df, "a", "b", share, 17).collect())
-    want = Counter()
-    for fold in range(3):
-        own = [r for r in rows if r[1] == fold]
-        order = {c: sorted(own, key=lambda r, c=c: (r[c] is None, -(r[c] or 0), r[0])) for c in (3, 4)}
-        done: set = set()
-        for place in range(1, min(17, len(own)) + 1):
-            side = 3 if math.ceil(place * share) - math.ceil((place - 1) * share) == 1 else 4
-            best = next(r for r in order[side] if r[0] not in done)
-            done.add(best[0])
-            want[fold, place, best[0]] += 1
-    assert got == want
-    assert evaluate.hybrid_ranking(df.limit(0), "a", "b", share, 5).count() == 0
+    got = [(r.fold, r.place, r.TransactionID) for r in ranking.hybrid_ranking(df, "a", "b", share, slots, step=step).collect()]
+    want = {(fold, *x) for fold in range(3) for x in turns([(r[0], r[3], r[4]) for r in rows if r[1] == fold], share, slots)}
+    assert len(got) == len(want) and set(got) == want
+    assert ranking.hybrid_ranking(df.limit(0), "a", "b", share, 5).count() == 0
+
+
+@pytest.mark.parametrize("noise", [0.0, 0.05, 1.0])
+def test_hybrid_of_a_share_of_a_large_fold(spark, noise, monkeypatch):
+    """5 % of a fold, rankings alike, nearly alike and not; ranks in many ranges, places in many steps."""
+    monkeypatch.setattr(ranking, "RANGE_ROWS", 500)
+    rnd = random.Random(31)
+    rows = [(i, x, x + noise * rnd.random()) for i, x in ((i, rnd.random()) for i in range(6_000))]
+    df = spark.createDataFrame(rows, "TransactionID long, a double, b double").withColumn("fold", F.lit("f"))
+    got = [(r.place, r.TransactionID) for r in ranking.hybrid_ranking(df, "a", "b", 0.4, 300, step=60).collect()]
+    assert len(got) == 300 and set(got) == turns(rows, 0.4, 300)
+    with pytest.raises(ValueError):
+        ranking.hybrid_ranking(df, "a", "b", 1.0, 5)
+
+
+def test_ranks_of_ties_and_missing_scores(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "RANGE_ROWS", 20)
+    rows, df = ranked(spark, 8, 300, 2)
+    got = {r.TransactionID: r.place for r in ranking.ranks(df, "a", "place", "fold", "TransactionID").collect()}
+    for fold in range(2):
+        own = sorted((r for r in rows if r[1] == fold), key=lambda r: (r[3] is None, -(r[3] or 0), r[0]))
+        assert [got[r[0]] for r in own] == list(range(1, len(own) + 1))
+
+
+def test_top_k_of_tied_rows(spark):
+    """Very many rows at the last score, or without one: by key, without a sort of them in one place."""
+    rows = [(7919 * i % 5003, None if i % 2 else round(i % 3 / 2, 1)) for i in range(5003)]
+    df = spark.createDataFrame(rows, "TransactionID long, s double")
+    for k in (1, 900, 2_000, 4_000, 5_003, 6_000):
+        got = evaluate.top_k(df, "s", k)
+        assert {r.TransactionID for r in got.collect()} == {r[0] for r in sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))[:k]}
+        assert "TakeOrdered" not in got._jdf.queryExecution().executedPlan().toString()
 
 
 def test_hits_in_groups(spark):

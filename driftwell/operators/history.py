@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from driftwell.functions.columns import code, flag, ratio
-from driftwell.operators.prefix import cuts_of, sums_before
+from driftwell.operators.prefix import cuts_of, range_of, sums_before
+from driftwell.sources.shared import keep
 
 #: The parts of the entity key, and the names and order of the features.
 ENTITY_PARTS = ("card1", "card2", "card3", "card5", "addr1")
@@ -27,6 +28,8 @@ FEATURES = (
 )
 
 DAY = 86_400
+#: Rows up to which an entity is sorted in one task.
+HOT_ROWS = 500_000
 _RELATIONS = {"product": "_product", "email": "_email", "device": "_device"}
 _PLURAL = {"product": "products", "email": "email_domains", "device": "devices"}
 
@@ -62,18 +65,12 @@ def row_features(df: DataFrame, reference: str | None = None) -> DataFrame:
     return out.withColumns(calendar).withColumns({"calendar_available": F.lit(0.0 if reference is None else 1.0), "has_identity": F.col("has_identity").cast("double"), "entity_known": F.col("_known").cast("double"), "email_domains_match": flag(F.col("_email") == F.col("_recipient"))})
 
 
-def entity_features(df: DataFrame) -> DataFrame:
-    """History of the entity.  Rows of unknown entities have none and are no one's history.
-
-    All windows are keyed by the entity, alone or with more, so one exchange serves them.
-    """
-    known = F.col("_known")
+def _by_windows(df: DataFrame) -> DataFrame:
+    """What was before each row of its entity, by windows: an entity is in one task."""
     t = F.col("TransactionDT").cast("double")
-    same = [F.col("_known"), F.col("_entity")]
     # Rows of unknown entities share no key: each gets its own, so that they don't pile up in one group.
-    own = F.when(known, F.lit(None).cast("long")).otherwise(F.col("TransactionID"))
-    df = df.withColumn("_own", own)
-    key = [*same, F.col("_own")]
+    df = df.withColumn("_own", F.when(F.col("_known"), F.lit(None).cast("long")).otherwise(F.col("TransactionID")))
+    key = ["_known", "_entity", "_own"]
     df = df.withColumn("_d", F.dense_rank().over(W.partitionBy(*key).orderBy(t)))
     prior = W.partitionBy(*key).orderBy("_d").rangeBetween(W.unboundedPreceding, -1)
     in_hour = W.partitionBy(*key, "hour_phase").orderBy("_d").rangeBetween(W.unboundedPreceding, -1)
@@ -84,7 +81,73 @@ def entity_features(df: DataFrame) -> DataFrame:
     df = df.withColumns({"_n": F.count("*").over(prior), "_mean": F.avg("amount").over(prior), "_std": F.stddev_pop("amount").over(prior), "_first": F.min(t).over(prior), "_last": F.max(t).over(prior), "_1h": back(3600), "_24h": back(DAY), "_in_hour": F.count("*").over(in_hour)})
     df = df.withColumns({f"_new_{n}": F.when(F.col(c).isNotNull() & (first[n] == 1), 1).otherwise(0) for n, c in _RELATIONS.items()} | {f"_seen_{n}": seen[n] for n in _RELATIONS})
     df = df.withColumns({f"_distinct_{n}": F.coalesce(F.sum(f"_new_{n}").over(prior), F.lit(0)) for n in _RELATIONS})
+    return df.drop("_own", "_d", *[f"_new_{n}" for n in _RELATIONS])
+
+
+def _by_segments(df: DataFrame, hot: DataFrame, cuts: list) -> DataFrame:
+    """The same for the rows of entities in ``hot`` (_entity, _center, _start), whose times are cut in segments.
+
+    A segment's rows are summed up, the sums of an entity's segments added up in their order, and only inside a segment are its
+    times sorted: many tasks share an entity, and what they hand on is one row a segment.  What was more than an hour or
+    a day ago is asked for as a time of its own.
+    """
+    rows = keep(df.join(hot, "_entity").withColumn("_t", F.col("TransactionDT").cast("double")), "hot-rows")
+    sums = ["n", "s1", "s2", *[f"d_{r}" for r in _RELATIONS]]
+    at = lambda frame, **given: frame.select("_entity", "_t", *[given.get(c, F.lit(0)).cast("double" if c in ("s1", "s2") else "long").alias(c) for c in sums])
+    off = F.col("amount") - F.col("_center")
+    times = keep(rows.groupBy("_entity", "_t").agg(F.count("*").alias("n"), F.sum(off).alias("s1"), F.sum(off * off).alias("s2")), "hot-times")
+    parts = [at(times, n=F.col("n"), s1=F.col("s1"), s2=F.col("s2")), *[at(times.select("_entity", (F.col("_t") - w).alias("_t"))) for w in (3600, DAY)]]
+    seen = {}
+    for name, c in _RELATIONS.items():
+        seen[name] = keep(rows.where(F.col(c).isNotNull()).groupBy("_entity", c).agg(F.min("_t").alias(f"_seen_{name}")), f"hot-{name}")
+        parts.append(at(seen[name].select("_entity", F.col(f"_seen_{name}").alias("_t")), **{f"d_{name}": F.lit(1)}))
+    table = parts[0]
+    for part in parts[1:]:
+        table = table.unionByName(part)
+    placed = keep(sums_before(table.groupBy("_entity", "_t").agg(*[F.sum(c).alias(c) for c in sums]), "_t", sums, ("_entity",), cuts), "hot-sums")
+    hours = rows.groupBy("_entity", "hour_phase", "_t").agg(F.count("*").alias("n"))
+    hours = sums_before(hours, "_t", ["n"], ("_entity", "hour_phase"), cuts).select("_entity", "_t", "hour_phase", F.col("n_before").alias("_in_hour"))
+
+    # The time before: of its segment, or the last of an earlier segment.
+    segment = times.select("_entity", "_t", range_of("_t", cuts).alias("_segment"))
+    ends = segment.groupBy("_entity", "_segment").agg(F.max("_t").alias("_end"))
+    ends = ends.select("_entity", "_segment", F.max("_end").over(W.partitionBy("_entity").orderBy("_segment").rowsBetween(W.unboundedPreceding, -1)).alias("_end"))
+    last = segment.withColumn("_back", F.lag("_t").over(W.partitionBy("_entity", "_segment").orderBy("_t"))).join(ends, ["_entity", "_segment"]).select("_entity", "_t", F.coalesce("_back", "_end").alias("_last"))
+
+    n, s1, s2 = F.col("n_before"), F.col("s1_before"), F.col("s2_before")
+    spread = F.greatest(s2 / n - (s1 / n) * (s1 / n), F.lit(0.0))
+    before = placed.select("_entity", "_t", n.alias("_n"), s1.alias("_s1"), F.when(n > 0, F.when(spread > 1e-13 * (s2 / n), F.sqrt(spread)).otherwise(0.0)).alias("_std"), *[F.col(f"d_{r}_before").alias(f"_distinct_{r}") for r in _RELATIONS])
+    # Times that were asked for are matched as they were made: added up again they might miss by the last bit.
+    asked = lambda w, name: placed.select("_entity", F.col("_t").alias(f"_at{w}"), F.col("n_before").alias(name))
+    whole = times.select("_entity", "_t", (F.col("_t") - 3600).alias("_at3600"), (F.col("_t") - DAY).alias(f"_at{DAY}"))
+    whole = whole.join(before, ["_entity", "_t"]).join(last, ["_entity", "_t"]).join(asked(3600, "_gone1"), ["_entity", "_at3600"]).join(asked(DAY, "_gone24"), ["_entity", f"_at{DAY}"])
+    whole = keep(whole.select("_entity", "_t", "_n", "_s1", "_std", "_last", (F.col("_n") - F.col("_gone1")).alias("_1h"), (F.col("_n") - F.col("_gone24")).alias("_24h"), *[f"_distinct_{r}" for r in _RELATIONS]), "hot-history")
+    out = rows.join(whole, ["_entity", "_t"]).join(keep(hours, "hot-hours"), ["_entity", "_t", "hour_phase"])
+    for name, c in _RELATIONS.items():
+        # A value that very many rows have meets one row; both sides are tables, so that Spark may split it.
+        out = keep(out, f"hot-with-{name}").join(seen[name], ["_entity", c], "left")
+    out = out.withColumns({"_mean": F.when(F.col("_n") > 0, F.col("_center") + F.col("_s1") / F.col("_n")), "_first": F.when(F.col("_n") > 0, F.col("_start"))})
+    return out.select(*df.columns, *_BEFORE)
+
+
+_BEFORE = ("_n", "_mean", "_std", "_first", "_last", "_1h", "_24h", "_in_hour", *[f"_seen_{n}" for n in _RELATIONS], *[f"_distinct_{n}" for n in _RELATIONS])
+
 
+def entity_features(df: DataFrame, cuts: list | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """History of the entity.  Rows of unknown entities have none and are no one's history.
+
+    The rows of an entity are windows of one exchange, but for entities of more than ``hot_rows`` rows: those are cut by time into
+    segments that many tasks share.  The results are the same.  (Where all of a hot entity's earlier amounts are alike but for
+    the last few bits, their deviation counts as none.)
+    """
+    known, t = F.col("_known"), F.col("TransactionDT").cast("double")
+    counts = df.where(known).groupBy("_entity").agg(F.count("*").alias("_rows"), F.avg("amount").alias("_center"), F.min(t).alias("_start"))
+    hot = keep(counts.where(F.col("_rows") > hot_rows).drop("_rows"), "hot-entities")
+    if hot.limit(1).count():
+        cold = _by_windows(df.join(hot.select("_entity"), "_entity", "left_anti"))
+        df = cold.select(*df.columns, *_BEFORE).unionByName(_by_segments(df, hot, cuts_of(df, "TransactionDT") if cuts is None else cuts))
+    else:
+        df = _by_windows(df)
     n, mean, std = F.col("_n"), F.col("_mean"), F.col("_std")
     if_known = lambda c: F.when(known, c)
     has = known & (n > 0)
@@ -159,5 +222,5 @@ def features(df: DataFrame, reference: str | None = None, keep: tuple[str, ...]
     """All features, and the columns of ``keep``, one row for each row of ``df``."""
     rows = with_keys(df)
     cuts = cuts_of(df, "TransactionDT")
-    out = entity_features(row_features(rows, reference)).join(global_counts(rows, cuts), "TransactionDT")
+    out = entity_features(row_features(rows, reference), cuts).join(global_counts(rows, cuts), "TransactionDT")
     return out.join(frequencies(rows, cuts), "TransactionID", "left").select(*keep, *FEATURES)

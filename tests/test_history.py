@@ -111,6 +111,27 @@ def test_codes_of_any_type_are_one_entity(spark):
     assert counts[0] == counts[1] and max(counts[0].values()) > 3
 
 
+@pytest.mark.parametrize("seed", [21, 22])
+def test_hot_entities_are_shared_by_many_tasks(spark, seed):
+    """One entity with half of all rows, cut by time: the same features as by windows, and no window over the entity."""
+    rows = stream(seed, 260, 2)
+    for r in rows[::2]:
+        r.update(card1=50.0, card5=2.0, addr1=1.0)
+    for r in rows[20:26]:
+        r["TransactionDT"] = rows[20]["TransactionDT"]
+    keyed = history.row_features(history.with_keys(spark.createDataFrame(as_tuples(rows), TRANSACTION)))
+    times = sorted(r["TransactionDT"] for r in rows)
+    got = history.entity_features(keyed, sorted({times[i] for i in range(15, 260, 15)}), 60)
+    names = [c for c in history.FEATURES if c in got.columns]
+    found = {r.TransactionID: r for r in got.collect()}
+    assert len(found) == len(rows)
+    for row in rows:
+        agrees(found[row["TransactionID"]], expected(rows, row, None), names)
+    cold = {r.TransactionID: r for r in history.entity_features(keyed).select("TransactionID", *names).collect()}
+    for i, r in cold.items():
+        agrees(found[i], r.asDict(), names)
+
+
 def test_empty(spark):
     assert history.features(spark.createDataFrame([], TRANSACTION)).count() == 0
 

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from driftwell.functions.columns import ratio
-from driftwell.operators import validate
-from driftwell.operators.prefix import MOST_RANGES, RANGE_ROWS, cuts_of, order_statistics, sums_before
+from driftwell.operators import boosting, validate
+from driftwell.operators.prefix import MOST_RANGES, RANGE_ROWS, cells_of, cuts_of, order_statistics, quantiles, sums_before
 from driftwell.operators.profile import varying_columns
 from driftwell.sources.shared import keep
 
@@ -271,27 +271,27 @@ def row_bootstrap(df: DataFrame, base: str, challenger: str, rate: float, resamp
 def supervised_scores(train: DataFrame, df: DataFrame, columns: list[str], label: str = "isFraud", kind: str = "logistic", name: str = "supervised", rounds: int = 20) -> DataFrame:
     """``df`` with ``name``: the probability by a ranker (logistic or boosted) fitted on ``train``, classes balanced by weight.
 
-    Missing values take the training median and a flag; columns that are constant or empty in training are left out.
+    Boosting takes missing values as they are; logistic regression has the training median and a flag for them; NaN is missing.  Columns that
+    are constant or empty in training are left out.
     """
+    used = varying_columns(train, columns)
+    if kind == "boosted":
+        return df.withColumn(name, boosting.fit(train, used, label, boosting.Boosting(rounds=rounds)).probability())
+    if kind != "logistic":
+        raise ValueError(f"unknown kind of ranker: {kind}")
     from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier, LogisticRegression
+    from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    used = varying_columns(train, columns)
-    facts = train.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5).alias(f"m_{c}") for c in used], *[_n(F.col(c).isNull()).alias(f"g_{c}") for c in used], F.count("*").alias("n"), _n(F.col(label) == 1).alias("p")).first()
+    there = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    facts = train.agg(*[_n(there(c).isNull()).alias(f"g_{c}") for c in used], F.count("*").alias("n"), _n(F.col(label) == 1).alias("p")).first()
+    medians = {r["name"]: r["q"][0] for r in quantiles(cells_of(train.select(*[there(c).alias(c) for c in used]), used), "x", [0.5], ("name",)).collect()}  # one row a column
     flags = [c for c in used if facts[f"g_{c}"]]
-    fill = lambda d: d.withColumns({f"_x_{c}": F.coalesce(F.col(c).cast("double"), F.lit(float(facts[f"m_{c}"]))) for c in used} | {f"_g_{c}": F.col(c).isNull().cast("double") for c in flags})
+    fill = lambda d: d.withColumns({f"_x_{c}": F.coalesce(there(c), F.lit(float(medians[c]))) for c in used} | {f"_g_{c}": there(c).isNull().cast("double") for c in flags})
     n, p = facts["n"], facts["p"]
     weight = F.when(F.col(label) == 1, n / (2.0 * max(p, 1))).otherwise(n / (2.0 * max(n - p, 1)))
-    shared = {"featuresCol": "_v", "labelCol": label, "weightCol": "_w", "predictionCol": "_y"}
-    if kind == "logistic":
-        ranker = LogisticRegression(**shared, regParam=1.0 / max(n, 1), standardization=False)
-    elif kind == "boosted":
-        ranker = GBTClassifier(**shared, maxIter=rounds, maxDepth=4, seed=42)
-    else:
-        raise ValueError(f"unknown kind of ranker: {kind}")
-    ranker = ranker.setProbabilityCol("_p").setRawPredictionCol("_r")
+    ranker = LogisticRegression(featuresCol="_v", labelCol=label, weightCol="_w", predictionCol="_y", probabilityCol="_p", rawPredictionCol="_r", regParam=1.0 / max(n, 1), standardization=False)
     names = [f"_x_{c}" for c in used] + [f"_g_{c}" for c in flags]
     model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="_a"), StandardScaler(inputCol="_a", outputCol="_v", withMean=True), ranker]).fit(fill(train).withColumn("_w", weight))
     out = model.transform(fill(df)).withColumn(name, vector_to_array("_p")[1])

@@ -143,13 +143,15 @@ def _run(scratch: Scratch, docs: DataFrame, cfg: NearDedup) -> DataFrame:
         pairs = scratch.keep(pairs, f"{name}-pairs")
         return scratch.keep(pairs.join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(cfg.percent), "a long, b long").distinct(), name)
 
-    leaders = scratch.keep(posted.groupBy("token").agg(*[F.min(F.col("rep").bitwiseXOR(F.lit(s))).alias(f"l{i}") for i, s in enumerate(cfg.leaders)]), "leaders")
-    led = posted.select("token", "rep").join(leaders, "token").select("rep", F.explode(F.array_distinct(F.array(*[F.col(f"l{i}").bitwiseXOR(F.lit(s)) for i, s in enumerate(cfg.leaders)]))).alias("leader"))
-    pairs = led.where("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b"))
+    # A leader goes with its size: what is too large or too small for it makes no pair.
+    leaders = scratch.keep(posted.groupBy("token").agg(*[F.min(F.struct(F.col("rep").bitwiseXOR(F.lit(s)).alias("k"), "n")).alias(f"l{i}") for i, s in enumerate(cfg.leaders)]), "leaders")
+    each = F.array_distinct(F.array(*[F.struct(F.col(f"l{i}.k").bitwiseXOR(F.lit(s)).alias("leader"), F.col(f"l{i}.n").alias("m")) for i, s in enumerate(cfg.leaders)]))
+    led = posted.select("token", "rep", "n").join(leaders, "token").select("rep", "n", F.explode(F.filter(each, lambda x: (x["leader"] != F.col("rep")) & (100 * F.least("n", x["m"]) >= cfg.percent * F.greatest("n", x["m"])))).alias("x"))
+    pairs = led.select(F.least("rep", "x.leader").alias("a"), F.greatest("rep", "x.leader").alias("b"))
     pairs = scratch.keep(pairs.distinct(), "led")
-    x, y = (reps.select(F.col("rep").alias(c), F.col("signature").alias(f"sig_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
+    x, y = (reps.select(F.col("rep").alias(c), F.col("signature").alias(f"sig_{c}")) for c in "ab")
     agree = F.aggregate(F.zip_with("sig_a", "sig_b", lambda p, q: F.when(p == q, 1).otherwise(0)), F.lit(0), lambda s, v: s + v)
-    alike = pairs.join(x, "a").join(y, "b").where(100 * F.least("n_a", "n_b") >= cfg.percent * F.greatest("n_a", "n_b")).where(agree >= cfg.matches)
+    alike = pairs.join(x, "a").join(y, "b").where(agree >= cfg.matches)
     first = confirmed(alike.select("a", "b").distinct(), "links-1")
     stars = scratch.keep(components(first, scratch, "stars"), "star-components")
 

@@ -142,8 +142,9 @@ def entity_features(df: DataFrame, cuts: list | None = None, hot_rows: int = HOT
     """
     known, t = F.col("_known"), F.col("TransactionDT").cast("double")
     counts = df.where(known).groupBy("_entity").agg(F.count("*").alias("_rows"), F.avg("amount").alias("_center"), F.min(t).alias("_start"))
-    hot = keep(counts.where(F.col("_rows") > hot_rows).drop("_rows"), "hot-entities")
-    if hot.limit(1).count():
+    hot = counts.where(F.col("_rows") > hot_rows).drop("_rows")
+    if hot.select("_entity").limit(1).count():
+        hot = keep(hot, "hot-entities")
         cold = _by_windows(df.join(hot.select("_entity"), "_entity", "left_anti"))
         df = cold.select(*df.columns, *_BEFORE).unionByName(_by_segments(df, hot, cuts_of(df, "TransactionDT") if cuts is None else cuts))
     else:
@@ -194,12 +195,18 @@ def category_cells(rows: DataFrame, names: tuple[str, ...] = tuple(FREQUENCIES))
 def prior_counts(cells: DataFrame, cuts: list) -> DataFrame:
     """``cells`` with own and everyone: earlier cells of the name with the value, and with any value.
 
-    Counted by distinct (name, value, time), so that a value of many rows is few rows.
+    Times are cut in ranges: a cell's rank inside its range is what was before it there, and ranges are added up, a row for each
+    value and range, so that a value of very many rows is in many tasks.
     """
-    counts = cells.groupBy("name", "value", "TransactionDT").agg(F.count("*").alias("rows"))
-    own = sums_before(counts, "TransactionDT", ["rows"], ("name", "value"), cuts).select("name", "value", "TransactionDT", F.col("rows_before").cast("long").alias("own"))
-    every = sums_before(counts.groupBy("name", "TransactionDT").agg(F.sum("rows").alias("rows")), "TransactionDT", ["rows"], ("name",), cuts)
-    return cells.join(own, ["name", "value", "TransactionDT"]).join(every.select("name", "TransactionDT", F.col("rows_before").cast("long").alias("everyone")), ["name", "TransactionDT"])
+    placed = cells.withColumn("_range", range_of("TransactionDT", cuts)).where("_range is not null")
+    sizes = placed.groupBy("name", "value", "_range").agg(F.count("*").alias("n"))
+    before = lambda *by: F.coalesce(F.sum("n").over(W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    own = sizes.select("name", "value", "_range", before("name", "value").alias("_own"))
+    everyone = sizes.groupBy("name", "_range").agg(F.sum("n").alias("n")).select("name", "_range", before("name").alias("_everyone"))
+    inside = lambda *by: F.rank().over(W.partitionBy(*by, "_range").orderBy("TransactionDT")) - 1
+    out = placed.withColumn("own", inside("name", "value")).join(own, ["name", "value", "_range"])
+    out = out.withColumn("everyone", inside("name")).join(everyone, ["name", "_range"])
+    return out.select(*cells.columns, (F.col("own") + F.col("_own")).cast("long").alias("own"), (F.col("everyone") + F.col("_everyone")).cast("long").alias("everyone"))
 
 
 def by_row(counted: DataFrame, names: tuple[str, ...]) -> DataFrame:
@@ -218,9 +225,14 @@ def frequencies(rows: DataFrame, cuts: list, names: tuple[str, ...] = tuple(FREQ
     return by_row(prior_counts(category_cells(rows, names), cuts), names)
 
 
-def features(df: DataFrame, reference: str | None = None, keep: tuple[str, ...] = ("TransactionID", "TransactionDT", "ProductCD")) -> DataFrame:
-    """All features, and the columns of ``keep``, one row for each row of ``df``."""
+def features(df: DataFrame, reference: str | None = None, keep: tuple[str, ...] = ("TransactionID", "TransactionDT", "ProductCD"), wanted: tuple[str, ...] = FEATURES, cuts: list | None = None) -> DataFrame:
+    """The ``wanted`` features, and the columns of ``keep``, one row for each row of ``df``; counts that no one wants aren't made."""
     rows = with_keys(df)
-    cuts = cuts_of(df, "TransactionDT")
-    out = entity_features(row_features(rows, reference), cuts).join(global_counts(rows, cuts), "TransactionDT")
-    return out.join(frequencies(rows, cuts), "TransactionID", "left").select(*keep, *FEATURES)
+    cuts = cuts_of(df, "TransactionDT") if cuts is None else cuts
+    out = entity_features(row_features(rows, reference), cuts)
+    if "prior_global_count" in wanted:
+        out = out.join(global_counts(rows, cuts), "TransactionDT")
+    names = tuple(n for n in FREQUENCIES if {f"{n}_prior_frequency", f"{n}_prior_support"} & set(wanted))
+    if names:
+        out = out.join(frequencies(rows, cuts, names), "TransactionID", "left")
+    return out.select(*keep, *[f for f in FEATURES if f in wanted])

@@ -32,10 +32,9 @@ def audit(joined: DataFrame) -> DataFrame:
     )
 
 
-def boundaries(df: DataFrame, shares: list[float], time: str = "TransactionDT") -> list:
-    """Times at the given shares of the rows in order of time."""
-    n = df.count()
-    return order_statistics(df, time, [floor(n * s) for s in shares])
+def boundaries(df: DataFrame, shares: list[float], time: str = "TransactionDT", cuts: list | None = None) -> list:
+    """Times at the given shares of the rows in order of time; ``cuts`` of the times, where they are known."""
+    return order_statistics(df, time, lambda n: [floor(n * s) for s in shares], cuts=cuts)
 
 
 def chronological_split(df: DataFrame, train: float = 0.6, validation: float = 0.2, time: str = "TransactionDT", check: bool = True) -> DataFrame:

@@ -7,6 +7,7 @@ left out.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import ceil
 
 from pyspark.sql import Column, DataFrame
@@ -64,13 +65,14 @@ def sums_before(df: DataFrame, order: str, sums: list[str], by: tuple[str, ...]
     return joined.select(*df.columns, *[(F.col(f"_{s}_inside") + F.col(f"_{s}_carried")).alias(f"{s}_before") for s in sums])
 
 
-def order_statistics(df: DataFrame, order: str, positions: list[int], ranges: int | None = None) -> list:
+def order_statistics(df: DataFrame, order: str, positions: list[int] | Callable[[int], list[int]], ranges: int | None = None, cuts: list | None = None) -> list:
     """Values at the given 0-based positions of the ascending order (nulls left out), exactly; None beyond its ends.
 
-    Ranges are counted first, and only those that hold a position are sorted.
+    Ranges are counted first, and only those that hold a position are sorted.  ``positions`` may depend on the number of values.
     """
-    spread = df.where(F.col(order).isNotNull()).select(order).withColumn("_range", range_of(order, cuts_of(df, order, ranges)))
+    spread = df.where(F.col(order).isNotNull()).select(order).withColumn("_range", range_of(order, cuts_of(df, order, ranges) if cuts is None else cuts))
     counts = sorted((r["_range"], r["count"]) for r in spread.groupBy("_range").count().collect())
+    positions = positions(sum(n for _, n in counts)) if callable(positions) else positions
     wanted, seen = {}, 0
     for number, n in counts:
         own = [p for p in positions if seen <= p < seen + n]

@@ -45,12 +45,12 @@ def entity(spark: SparkSession, sf_dir: str, tick: int = 3600) -> DataFrame:
     return history.entity_features(keyed(spark, sf_dir, tick))
 
 
-def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All features with label and split."""
-    rows = joined(spark, sf_dir)
-    first, second = ingest.boundaries(src.transactions(spark, sf_dir), [0.6, 0.8])
-    t = F.col("TransactionDT")
-    out = history.features(rows, REFERENCE, ("TransactionID", "TransactionDT", "ProductCD", "isFraud"))
+def feature_table(spark: SparkSession, sf_dir: str, wanted: tuple[str, ...] = history.FEATURES) -> DataFrame:
+    """The features, with label and split."""
+    t, times = F.col("TransactionDT"), src.transactions(spark, sf_dir)
+    cuts = cuts_of(times, "TransactionDT")
+    first, second = ingest.boundaries(times, [0.6, 0.8], cuts=cuts)
+    out = history.features(joined(spark, sf_dir), REFERENCE, ("TransactionID", "TransactionDT", "ProductCD", "isFraud"), wanted, cuts)
     return out.withColumn("split", F.when(t < first, "train").when(t < second, "validation").otherwise("test"))
 
 
@@ -84,12 +84,20 @@ def told() -> list[str]:
     return [x for x in layers.LAYERS if x != "multivariate" or _FOREST.get()]
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Layers, ranked against training rows and combined, as a table; with the forest, its scores are written once and then ranked."""
-    features = keep(feature_table(spark, sf_dir), "features")
+#: What layers and context read; the rules read three counts more.
+_COUNTS = ("prior_global_count", *(f"{n}_prior_{x}" for n in history.FREQUENCIES for x in ("frequency", "support")))
+PLAIN = tuple(f for f in history.FEATURES if f not in _COUNTS)
+RULED = (*PLAIN, "prior_global_count", "product_card_prior_frequency", "email_pair_prior_frequency")
+
+
+def scored(spark: SparkSession, sf_dir: str, wanted: tuple[str, ...] = PLAIN) -> DataFrame:
+    """Layers, ranked against training rows and combined, as a table, with the ``wanted`` features; all of them with the forest, whose
+    scores are written once and then ranked."""
+    features = keep(feature_table(spark, sf_dir, history.FEATURES if _FOREST.get() else wanted), "features")
     train = features.where("split = 'train'")
     raw = layers.raw_layers(features, layers.fit_references(train, check=False), forest.scores(forest.fit(train)) if _FOREST.get() else None)
-    raw = keep(raw.withColumns({f"{x}_raw": F.round(f"{x}_raw", 9) for x in layers.LAYERS}), "raw")
+    raw = raw.withColumns({f"{x}_raw": F.round(f"{x}_raw", 9) for x in layers.LAYERS})
+    raw = keep(raw, "raw") if _FOREST.get() else raw
     return keep(layers.combined(layers.normalised(raw.where("split = 'train'"), raw)), "scored")
 
 
@@ -440,18 +448,18 @@ def product_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rule_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decided(scored(spark, sf_dir), check=True).select("TransactionID", "matched_rule_count", *[f"rule_match_{r.id}" for r in RuleSet(DEFAULT).rules])
+    return decided(scored(spark, sf_dir, RULED), check=True).select("TransactionID", "matched_rule_count", *[f"rule_match_{r.id}" for r in RuleSet(DEFAULT).rules])
 
 
 @query
 def rule_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decided(scored(spark, sf_dir)).select("TransactionID", "split", "rule_action", "winning_rule", "winning_priority", "matched_rule_count", "rule_action_conflict")
+    return decided(scored(spark, sf_dir, RULED)).select("TransactionID", "split", "rule_action", "winning_rule", "winning_priority", "matched_rule_count", "rule_action_conflict")
 
 
 @query
 def rule_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches of each rule, those in the audit half of validation, and rows that it decides."""
-    d = decided(scored(spark, sf_dir))
+    d = decided(scored(spark, sf_dir, RULED))
     (cut,) = ingest.boundaries(d.where("split = 'validation'"), [0.5])
     audit = F.coalesce((F.col("split") == "validation") & (F.col("TransactionDT") >= cut), F.lit(False)).alias("audit")
     cells = d.select("winning_rule", audit, F.explode(F.array(*[F.struct(F.lit(r.id).alias("rule"), F.col(f"rule_match_{r.id}").alias("hit")) for r in RuleSet(DEFAULT).rules])).alias("x"))
@@ -463,7 +471,7 @@ def rule_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def action_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How actions change between the undiscounted and the discounted scores, by split."""
-    s = scored(spark, sf_dir)
+    s = scored(spark, sf_dir, RULED)
     old = RuleSet(DEFAULT).evaluate(discounted(s, small_context().at(0.0)), keep=("split",)).select("TransactionID", "split", F.col("rule_action").alias("old_action"))
     new = decided(s).select("TransactionID", F.col("rule_action").alias("new_action"))
     return old.join(new, "TransactionID").groupBy("split", "old_action", "new_action").agg(F.count("*").alias("rows"))
@@ -471,7 +479,7 @@ def action_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def decision_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = evaluate.confusion(decided(scored(spark, sf_dir)).where("split <> 'train'"), F.col("rule_action") == "review")
+    d = evaluate.confusion(decided(scored(spark, sf_dir, RULED)).where("split <> 'train'"), F.col("rule_action") == "review")
     return d.select("alerts", "tp", "fp", "fn", "tn", p("precision"), p("recall"), p("fpr"))
 
 

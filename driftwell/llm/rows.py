@@ -17,12 +17,13 @@ def _packed(docs: DataFrame) -> DataFrame:
 def without(docs: DataFrame, gone: DataFrame, once: bool = False) -> DataFrame:
     """``docs`` without the rows whose doc_id is in ``gone`` (doc_id), columns as they are.
 
-    Rows without doc_id can't be named and stay.  With ``once``, of rows equal in doc_id and text one stays.  ``gone`` is a
+    Rows without doc_id can't be named and stay.  With ``once``, of rows equal in doc_id and text one stays, the same
+    one in every run.  ``gone`` is a
     table, so that Spark knows its size: a small one is sent to the rows, a large one meets them by id, and what ``once``
     then asks for is together already.
     """
     kept = _packed(docs).join(gone.select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("salt")), ["id", "salt"], "left_anti")
     if once:
-        again = W.partitionBy("id", "salt", F.col("row.text")).orderBy(F.lit(0))
+        again = W.partitionBy("id", "salt", F.col("row.text")).orderBy(F.xxhash64("row"), F.to_json("row"))
         kept = kept.withColumn("place", F.row_number().over(again)).where("place = 1")
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -28,13 +28,15 @@ from driftwell.llm.scratch import Scratch, settings
 #: Tokenizer versions counted by default: name of the version and vocabulary file in the folder.
 VERSIONS = {"bpe-50k": "byte_bpe_50k.tiktoken", "bpe-multi-50k": "byte_bpe_multi_50k.tiktoken"}
 FOLDER = "/opt/tokenizers"
-#: Buckets of a ledger table.
-BUCKETS = 64
+#: Fewest and most buckets of a ledger table, and the rows from which on there are twice as many: what is written and folded in
+#: one task doesn't grow with the ledger.
+BUCKETS, MOST_BUCKETS, BUCKET_ROWS = 64, 65_536, 250_000
 
 _KEYS = ["source", "lang", "version"]
 _LEDGER = "doc_id long, source string, lang string, version string, tokens long, copies long, bucket int"
+_ROW = ["doc_id", "source", "lang", "version", "tokens", "copies"]
 _TOTALS = "source string, lang string, version string, documents long, tokens long"
-_MANIFEST = "batch long, parts array<struct<path:string,rows:long>>, totals string"
+_MANIFEST = "batch long, parts array<struct<path:string,rows:long,buckets:int>>, totals string"
 
 
 @functools.lru_cache(4)
@@ -73,15 +75,23 @@ def count_tokens(docs: DataFrame, versions: dict[str, str] = VERSIONS, folder: s
     return docs.select(*columns).mapInArrow(run, "doc_id long, source string, lang string, version string, tokens long")
 
 
-def _bucket() -> F.Column:
+def buckets_for(rows: int) -> int:
+    """How many buckets a table of so many rows has: as few as there may be, doubled as often as needed."""
+    n = BUCKETS
+    while n < MOST_BUCKETS and rows > n * BUCKET_ROWS:
+        n *= 2
+    return n
+
+
+def _bucket(buckets: int) -> F.Column:
     """By document; rows without an id, which nothing can take back, by what they count."""
     key = F.when(F.col("doc_id").isNull(), F.xxhash64(*_KEYS, "tokens")).otherwise(F.xxhash64("doc_id"))
-    return F.pmod(key, F.lit(BUCKETS)).cast("int").alias("bucket")
+    return F.pmod(key, F.lit(buckets)).cast("int").alias("bucket")
 
 
 def _summed(signed: DataFrame) -> DataFrame:
     """What is left of signed ledger rows."""
-    return signed.groupBy("doc_id", *_KEYS, "tokens", "bucket").agg(F.sum("copies").alias("copies")).where("copies <> 0")
+    return signed.groupBy("doc_id", *_KEYS, "tokens").agg(F.sum("copies").alias("copies")).where("copies <> 0")
 
 
 class TokenRollup:
@@ -105,26 +115,27 @@ class TokenRollup:
         """Committed batches, ascending."""
         return sorted({batch for _, batch, path in self._manifests() if self._done(path)})
 
-    def _state(self) -> tuple[list[tuple[str, int]], str | None]:
-        """The ledger's tables with their rows, largest first, and the table of totals, after the last commit."""
+    def _state(self) -> tuple[list[tuple[str, int, int]], str | None]:
+        """The ledger's tables with their rows and buckets, largest first, and the table of totals, after the last commit."""
         for _, _, path in reversed(self._manifests()):
             if self._done(path):
                 row = self.spark.read.schema(_MANIFEST).parquet(path).first()
-                return [(p["path"], p["rows"]) for p in row["parts"]], row["totals"]
+                return [(p["path"], p["rows"], p["buckets"]) for p in row["parts"]], row["totals"]
         return [], None
 
     def _ledger(self, paths: list[str]) -> DataFrame:
         each = [self.spark.read.schema(_LEDGER).parquet(p) for p in paths]
         return functools.reduce(DataFrame.unionByName, each) if each else self.spark.createDataFrame([], _LEDGER)
 
-    def _write(self, signed: DataFrame) -> tuple[str, int]:
-        path = f"{self.root}/ledger/{uuid.uuid4().hex}"
-        signed.repartition(BUCKETS, "bucket").write.partitionBy("bucket").parquet(path)
-        return path, self.spark.read.schema(_LEDGER).parquet(path).count()
+    def _write(self, signed: DataFrame, most: int) -> tuple[str, int, int]:
+        """A table of signed rows, about ``most``, in as many buckets as they need."""
+        path, buckets = f"{self.root}/ledger/{uuid.uuid4().hex}", buckets_for(most)
+        signed.select(*_ROW, _bucket(buckets)).repartition(buckets, "bucket").write.partitionBy("bucket").parquet(path)
+        return path, self.spark.read.schema(_LEDGER).parquet(path).count(), buckets
 
     def ledger(self) -> DataFrame:
         """What each document counts now: (doc_id, source, lang, version, tokens, copies)."""
-        return _summed(self._ledger([p for p, _ in self._state()[0]])).drop("bucket")
+        return _summed(self._ledger([p for p, *_ in self._state()[0]]))
 
     def totals(self) -> DataFrame:
         """(source, lang, version, documents, tokens) over all committed batches; what has gone to nothing is left out."""
@@ -133,9 +144,14 @@ class TokenRollup:
 
     def counted_before(self, ids: DataFrame) -> DataFrame:
         """Ledger rows of the documents in ``ids`` (doc_id, different ones), from their buckets only."""
-        buckets = [r["bucket"] for r in ids.where("doc_id is not null").select(_bucket_of_id()).distinct().collect()]  # BUCKETS at most
-        own = self._ledger([p for p, _ in self._state()[0]]).where(F.col("bucket").isin(buckets))
-        return _summed(own.join(ids, "doc_id", "left_semi"))
+        parts = self._state()[0]
+        if not parts:
+            return _summed(self._ledger([]))
+        # Numbers of buckets are multiples of each other: the most buckets tell the others.
+        finest = max(n for *_, n in parts)
+        own = {r["bucket"] for r in ids.where("doc_id is not null").select(F.pmod(F.xxhash64("doc_id"), F.lit(finest)).cast("int").alias("bucket")).distinct().collect()}
+        each = [self._ledger([path]).where(F.col("bucket").isin(sorted({b % n for b in own}))) for path, _, n in parts]
+        return _summed(functools.reduce(DataFrame.unionByName, each).join(ids, "doc_id", "left_semi"))
 
     def commit(self, batch: int, changes: DataFrame) -> bool:
         """Applies (action, doc_id, source, lang, text) under the number ``batch``; False where it was committed before.
@@ -149,30 +165,28 @@ class TokenRollup:
         if any(b == batch and self._done(path) for _, b, path in manifests):
             return False
         parts, totals = self._state()
-        new = count_tokens(changes.where("action in ('insert', 'revise')"), self.versions, self.folder).select("*", F.lit(1).cast("long").alias("copies"), _bucket())
+        new = count_tokens(changes.where("action in ('insert', 'revise')"), self.versions, self.folder).withColumn("copies", F.lit(1).cast("long"))
         gone = changes.where("action in ('delete', 'revise')").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
         old = self.counted_before(gone).withColumn("copies", -F.col("copies"))
         with settings(self.spark, spark__sql__execution__arrow__maxRecordsPerBatch="2000"):
-            parts = [*parts, self._write(new.unionByName(old))]
+            # A change takes a document's rows back and adds as many, about.
+            most = 2 * changes.count() * len(self.versions)
+            parts = [*parts, self._write(new.unionByName(old), most)]
         sums = self._ledger([parts[-1][0]]).groupBy(*_KEYS).agg(F.sum("copies").alias("documents"), F.sum(F.col("copies") * F.col("tokens")).alias("tokens"))
         before = self.spark.read.schema(_TOTALS).parquet(totals) if totals else self.spark.createDataFrame([], _TOTALS)
         path = f"{self.root}/totals/{uuid.uuid4().hex}"
         both = before.unionByName(sums).groupBy(*_KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
         both.where("documents <> 0 or tokens <> 0").write.parquet(path)
 
-        caught_up = [i for i in range(len(parts) - 1) if sum(rows for _, rows in parts[i + 1 :]) >= parts[i][1]]
+        caught_up = [i for i in range(len(parts) - 1) if sum(rows for _, rows, _ in parts[i + 1 :]) >= parts[i][1]]
         if caught_up:
-            parts = [*parts[: caught_up[0]], self._write(_summed(self._ledger([p for p, _ in parts[caught_up[0] :]])))]
+            parts = [*parts[: caught_up[0]], self._write(_summed(self._ledger([p for p, *_ in parts[caught_up[0] :]])), sum(rows for _, rows, _ in parts[caught_up[0] :]))]
         sequence = manifests[-1][0] + 1 if manifests else 0
         row = (batch, parts, path)
         self.spark.createDataFrame([row], _MANIFEST).coalesce(1).write.parquet(f"{self.root}/commits/{sequence:09d}-{batch}")
         return True
 
 
-def _bucket_of_id() -> F.Column:
-    return F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
-
-
 def corpus_rollup(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Totals after three batches: all documents in, the toxic ones out, the bad ones cleaned; the last sent twice.
 

@@ -196,6 +196,36 @@ def test_repeated_strings_in_many_batches(spark, monkeypatch, edge_runs):
     assert sorted(tuple(r) for r in repeated_strings(spark, df, sd.SubstringDedup(edge_runs=edge_runs)).drop("kept").collect()) == strings_brute(rows)
 
 
+def test_long_texts_are_sliced(monkeypatch):
+    """Slices tell every window once, and the single windows of runs that reach over their ends."""
+    import numpy as np
+
+    from driftwell.llm import substring_dedup as sd
+
+    cfg, rnd = sd.SubstringDedup(), np.random.default_rng(3)
+    data = rnd.integers(97, 101, 5_000).astype(np.uint8)
+    whole = sd.cover_points(data, np.array([0, len(data)]), cfg)
+    monkeypatch.setattr(sd, "_LONG", 700)
+    parts = sd.sliced_points(data, np.array([0, len(data)]), cfg)
+    windows = np.sort(np.concatenate([np.arange(p["start"], p["start"] + p["n"]) for p in parts]))
+    assert len(parts) > len(whole) and (windows == np.arange(len(data) - cfg.length + 1)).all()
+    spans = sd._packed(whole)
+    one, other = (np.sort(f(data, 4, spans, cfg), order=["start"]) for f in (sd.window_points, sd.sliced_windows))
+    assert (one == other).all() and len(one) == len(data) - cfg.length + 1
+
+
+def test_strings_over_the_slices_of_a_long_text(spark):
+    rnd = random.Random(33)
+    word = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    early, later = word(200), word(300)
+    at = 1 << 20
+    long = word(at - 90) + early + word(at - 200 - 110 - 20) + later + word(400_000)
+    rows = [(0, f"{word(70)}\u00e9{early}\u00e9{word(70)}"), (1, long), (2, f"{word(80)}\u00e9{later}\u00e9{word(90)}"), (3, later + early)]
+    got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in repeated_strings(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kept = {0: rows[0][1], 1: long.replace(early, "", 1), 2: rows[2][1].replace(later, "", 1), 3: ""}
+    assert got == {i: (len(t.encode()) - len(kept[i].encode()), int(t != kept[i]), hashlib.sha256(kept[i].encode()).hexdigest()) for i, t in rows}
+
+
 # Quality
 
 
@@ -717,6 +747,23 @@ def test_rollup_over_many_batches(spark, tmp_path):
     assert "LeftSemi" in plan and plan.index("Aggregate") < plan.index("LeftSemi") and read.count() == len(set(held.get(5, [])))
 
 
+def test_buckets_double_with_the_ledger(spark, tmp_path, monkeypatch):
+    """Tables of different numbers of buckets are read together, each by its own."""
+    from driftwell.llm import token_rollup as tr
+
+    monkeypatch.setattr(tr, "BUCKETS", 2)
+    monkeypatch.setattr(tr, "BUCKET_ROWS", 30)
+    assert [tr.buckets_for(n) for n in (0, 60, 61, 500)] == [2, 2, 4, 32]
+    roll = TokenRollup(spark, f"file://{tmp_path}/r")
+    shape = "action string, doc_id long, source string, lang string, text string"
+    roll.commit(1, spark.createDataFrame([("insert", i, "s", "en", "a b c") for i in range(300)], shape))
+    roll.commit(2, spark.createDataFrame([("delete", i, None, None, None) for i in range(0, 300, 2)], shape))
+    roll.commit(3, spark.createDataFrame([("revise", i, "t", "en", "a") for i in range(1, 40, 2)], shape))
+    assert len({n for *_, n in roll._state()[0]}) > 1
+    assert {(r.source, r.version): r.documents for r in roll.totals().collect()} == {(s, v): n for v in tr.VERSIONS for s, n in (("s", 130), ("t", 20))}
+    assert roll.ledger().count() == 300
+
+
 def test_corpus_rollup(spark, sf, awkward, docs):
     """The registered query against a plain count."""
     pytest.importorskip("tiktoken")

@@ -36,7 +36,10 @@ def collisions(scratch: Scratch, hashed: DataFrame, texts: DataFrame, bits: int)
 
     ``hashed`` has h, l and digest of every text; ``texts`` has the raw text column they came from.
     """
-    busy = hashed.groupBy("h", "l").agg(F.count("*").alias("n")).where("n > 1").select("h", "l")
+    # By digest first, so that copies are summed up before they meet; a table, so that Spark knows its size: a small one is sent to
+    # the texts, and of a large one's join the hot buckets can be split.
+    busy = hashed.groupBy("h", "l", "digest").agg(F.count("*").alias("n")).groupBy("h", "l").agg(F.sum("n").alias("n")).where("n > 1")
+    busy = scratch.keep(busy.select("h", "l"), "busy")
     c = texts.select(canonical(F.col("text")).alias("c")).select("c", *(x.alias(n) for x, n in zip(_halves(F.col("c"), bits), "hl", strict=True)))
     members = c.join(busy, ["h", "l"], "left_semi")
     clash = scratch.keep(members.groupBy("h", "l").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h", "l"), "clashes")

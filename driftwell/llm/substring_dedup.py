@@ -59,6 +59,8 @@ _ROOM = 2
 #: Single windows that are sorted at once.
 _WINDOWS = 200_000
 _SLICE = 1 << 18
+#: Bytes of a long document that are looked at together.
+_LONG = 1 << 20
 _LAST = np.iinfo(np.int64).max
 _rng = np.random.default_rng(99)
 _LETTER_2 = _rng.integers(1, (1 << 63) - 1, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -112,6 +114,35 @@ def cover_points(data: np.ndarray, offsets: np.ndarray, cfg: SubstringDedup) ->
     return out
 
 
+def sliced_points(data: np.ndarray, offsets: np.ndarray, cfg: SubstringDedup) -> np.ndarray:
+    """``cover_points``, a long document in slices: windows are divided among them, and a run that is cut is two runs, whose
+    seed they share, as at the edges of a passage."""
+    if len(offsets) > 2 or len(data) <= 2 * _LONG:
+        return cover_points(data, offsets, cfg)
+    found = []
+    for a in range(0, len(data) - cfg.length + 1, _LONG):
+        part = data[a : a + _LONG + cfg.length - 1]
+        p = cover_points(part, np.array([0, len(part)]), cfg)
+        p["start"] += np.uint32(a)
+        found.append(p)
+    return np.concatenate(found)
+
+
+def sliced_windows(data: np.ndarray, row: int, spans: np.ndarray, cfg: SubstringDedup) -> np.ndarray:
+    """``window_points``, a long document in slices."""
+    if len(data) <= 2 * _LONG:
+        return window_points(data, row, spans, cfg)
+    found = []
+    for a in range(0, len(data), _LONG):
+        own = spans[(spans >> 8 >= a) & (spans >> 8 < a + _LONG)]
+        if len(own):
+            # A run has at most 255 windows.
+            p = window_points(data[a : a + _LONG + 256 + cfg.length], row, own - (a << 8), cfg)
+            p["start"] += np.uint32(a)
+            found.append(p)
+    return np.concatenate(found)
+
+
 def window_points(data: np.ndarray, row: int, spans: np.ndarray, cfg: SubstringDedup) -> np.ndarray:
     """The single windows of the runs in ``spans`` (start << 8 | number) of one document, as points."""
     up, down = tk._Powers.upto(len(data) + 1)
@@ -200,6 +231,14 @@ def _merged(points: np.ndarray, length: int) -> np.ndarray:
     return np.column_stack([begin[head], stop[np.append(head[1:], len(begin)) - 1]])
 
 
+def _joined(pairs: np.ndarray) -> np.ndarray:
+    """Byte intervals (start, stop) in their order, those that overlap or touch joined."""
+    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    stop = np.maximum.accumulate(pairs[:, 1]) if len(pairs) else pairs[:, 1]
+    head = np.flatnonzero(np.append(True, pairs[1:, 0] > stop[:-1])[: len(pairs)])
+    return np.column_stack([pairs[head, 0], stop[np.append(head[1:], len(pairs)) - 1]]) if len(pairs) else pairs
+
+
 def _settle(length: int, open_runs: bool):
     """One bucket: intervals that smaller documents have, and with ``open_runs`` the runs whose seed other runs share.
 
@@ -287,7 +326,7 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, cfg: SubstringDedup =
             data, offsets = tk.buffers(batch.column(2))
             found = []
             for a, b in tk.slices(offsets, _SLICE):
-                p = cover_points(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], cfg)
+                p = sliced_points(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], cfg)
                 p["doc"] += a
                 found.append(p)
             if found:
@@ -300,7 +339,7 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, cfg: SubstringDedup =
             found, held = [], 0
             for i, spans in enumerate(batch.column(3)):
                 own = np.concatenate([np.frombuffer(s.as_py(), np.int64) for s in spans])
-                found.append(window_points(data[offsets[i] : offsets[i + 1]], i, own, cfg))
+                found.append(sliced_windows(data[offsets[i] : offsets[i + 1]], i, own, cfg))
                 held += len(found[-1])
                 if held >= _WINDOWS or i == len(ids) - 1:
                     yield _send(np.concatenate(found), ids, keys, buckets, cfg.length, 0)
@@ -312,14 +351,11 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, cfg: SubstringDedup =
             size, removed, count, digest, kept = np.diff(offsets), [], [], [], []
             for i, spans in enumerate(batch.column(2).to_pylist()):
                 own = data[offsets[i] : offsets[i + 1]]
-                pairs = np.concatenate([np.frombuffer(s, np.int64).reshape(-1, 2) for s in spans or []] or [np.zeros((0, 2), np.int64)])
-                gone = np.zeros(len(own) + 1, np.int32)
-                np.add.at(gone, pairs[:, 0], 1)
-                np.add.at(gone, pairs[:, 1], -1)
-                inside = np.cumsum(gone)[:-1] > 0
-                left = own[~inside].tobytes()
-                removed.append(int(inside.sum()))
-                count.append(int(np.count_nonzero(inside[1:] & ~inside[:-1])) + int(len(own) > 0 and inside[0]))
+                gone = _joined(np.concatenate([np.frombuffer(s, np.int64).reshape(-1, 2) for s in spans or []] or [np.zeros((0, 2), np.int64)]))
+                ends = [0, *gone[:, 1].tolist()]
+                left = b"".join(own[x:y].tobytes() for x, y in zip(ends, [*gone[:, 0].tolist(), len(own)], strict=True))
+                removed.append(len(own) - len(left))
+                count.append(len(gone))
                 digest.append(hashlib.sha256(left).hexdigest())
                 kept.append(left)
             arrays = [batch.column(0), pa.array(size), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary())]

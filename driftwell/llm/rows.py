@@ -24,6 +24,6 @@ def without(docs: DataFrame, gone: DataFrame, once: bool = False) -> DataFrame:
     """
     kept = _packed(docs).join(gone.select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("salt")), ["id", "salt"], "left_anti")
     if once:
-        again = W.partitionBy("id", "salt", F.col("row.text")).orderBy(F.xxhash64("row"), F.to_json("row"))
+        again = W.partitionBy("id", "salt", F.col("row.text")).orderBy(F.xxhash64("row"))
         kept = kept.withColumn("place", F.row_number().over(again)).where("place = 1")
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -13,9 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwell.operators import context, forest, history, layers
+from driftwell.operators.prefix import ranks_among
+from driftwell.operators.ranking import RankReference
 from driftwell.operators.retrieval import BadReply, Grounded, Index, answer, documents_of
 from driftwell.operators.rules import RuleSet
-from driftwell.sources.tables import TRANSACTION, plain, point
+from driftwell.sources.shared import folder
+from driftwell.sources.snapshot import Snapshot
+from driftwell.sources.tables import TRANSACTION, plain
 
 
 class Profile(StrEnum):
@@ -46,7 +50,7 @@ class Fitted:
 
     references: dict[str, layers.Robust]
     forest: forest.Forest | None
-    train: DataFrame
+    ranks: RankReference
     products: DataFrame | None = None
     risk: tuple[DataFrame, context.ProductRisk] | None = None
     context: context.Context = field(default_factory=context.Context)
@@ -58,15 +62,16 @@ def fit(train: DataFrame, cfg: context.Context | None = None, trees: forest.Fore
     references = layers.fit_references(train)
     grown = forest.fit(train, trees or forest.ForestConfig()) if multivariate else None
     scored = layers.raw_layers(train, references, forest.scores(grown) if grown else None)
-    return Fitted(references, grown, scored.select(*(f"{x}_raw" for x in layers.LAYERS)), context.product_reference(train, cfg), None, cfg)
+    ranks = RankReference.write(scored, [f"{x}_raw" for x in layers.LAYERS], folder(train.sparkSession, "ranks"))
+    return Fitted(references, grown, ranks, context.product_reference(train, cfg), None, cfg)
 
 
 def save(fitted: Fitted, path: str) -> None:
-    """A folder with the references and the forest as one JSON row, and the training scores and usual amounts as tables."""
-    spark = fitted.train.sparkSession
+    """A folder with the references and the forest as one JSON row, and the ranked training scores and usual amounts as tables."""
+    spark = fitted.ranks.spark
     facts = {"references": {k: [v.centre, v.scale] for k, v in fitted.references.items()}, "forest": fitted.forest.state() if fitted.forest else None, "context": asdict(fitted.context), "products": fitted.products is not None}
     spark.createDataFrame([(json.dumps(facts),)], "facts string").write.mode("overwrite").parquet(f"{path}/facts")
-    fitted.train.write.mode("overwrite").parquet(f"{path}/train")
+    fitted.ranks.copied(f"{path}/ranks")
     if fitted.products is not None:
         fitted.products.write.mode("overwrite").parquet(f"{path}/products")
 
@@ -76,13 +81,22 @@ def load(spark: SparkSession, path: str) -> Fitted:
     references = {k: layers.Robust(*v) for k, v in facts["references"].items()}
     grown = forest.Forest.restored(facts["forest"]) if facts["forest"] else None
     products = spark.read.parquet(f"{path}/products") if facts["products"] else None
-    return Fitted(references, grown, spark.read.parquet(f"{path}/train"), products, None, context.Context(**facts["context"]))
+    return Fitted(references, grown, RankReference(spark, f"{path}/ranks"), products, None, context.Context(**facts["context"]))
 
 
-def score(features: DataFrame, fitted: Fitted, profile: Profile = Profile.BEHAVIOR_CONTEXT, external: DataFrame | None = None) -> DataFrame:
-    """Features to layer scores, their ranks, the raw score and the adjusted score of a profile."""
+def score(features: DataFrame, fitted: Fitted, profile: Profile = Profile.BEHAVIOR_CONTEXT, external: DataFrame | None = None, one: bool = False) -> DataFrame:
+    """Features to layer scores, their ranks, the raw score and the adjusted score of a profile.
+
+    With ``one``, the features are those of one row: its layers are looked up in one block of the ranked training scores each.
+    """
     raw = layers.raw_layers(features, fitted.references, forest.scores(fitted.forest) if fitted.forest else None, check=True)
-    whole = layers.combined(layers.normalised(fitted.train, raw))
+    names = {f"{x}_raw": f"{x}_normalized" for x in layers.LAYERS}
+    if one:
+        shares = fitted.ranks.shares(raw.select(*names).first().asDict())
+        ranked = raw.withColumns({name: F.lit(shares[c]).cast("double") for c, name in names.items()})
+    else:
+        ranked = ranks_among(fitted.ranks.values(), raw, names)
+    whole = layers.combined(ranked)
     if profile is Profile.PRODUCT_RISK:
         if fitted.risk is None:
             raise Unavailable("no product-risk policy is fitted")
@@ -93,12 +107,13 @@ def score(features: DataFrame, fitted: Fitted, profile: Profile = Profile.BEHAVI
 
 @dataclass
 class Service:
-    """One answer for one request; ``features`` are the saved features of known transactions."""
+    """One answer for one request; ``features`` are the saved features of known transactions, a table or a snapshot by id, of which a
+    request reads one block."""
 
     spark: SparkSession
     fitted: Fitted
     rules: RuleSet
-    features: DataFrame
+    features: DataFrame | Snapshot
     index: Index | None = None
     embed: Callable[[str], list[float]] | None = None
     grounded: Grounded | None = None
@@ -111,11 +126,14 @@ class Service:
         if "transaction_id" in request:
             if request.get("history") or request.get("reference"):
                 raise BadRequest("a saved transaction takes no history or reference")
-            try:
-                point(self.features.select("TransactionID"), "TransactionID", request["transaction_id"])
-            except KeyError as gone:
-                raise NotFound(request["transaction_id"]) from gone
-            return self.features.where(F.col("TransactionID") == request["transaction_id"])
+            key = request["transaction_id"]
+            found = self.features.find(key) if isinstance(self.features, Snapshot) else self.features.where(F.col("TransactionID") == key)
+            rows = found.limit(2).collect()
+            if not rows:
+                raise NotFound(key)
+            if len(rows) > 1:
+                raise ValueError(f"TransactionID {key} is not unique")
+            return self.spark.createDataFrame(rows, found.schema)
         past, row = list(request.get("history") or []), request["transaction"]
         names = set(TRANSACTION.fieldNames())
         if len(past) > self.most_history or any(set(r) != names for r in [*past, row]) or len({r["TransactionID"] for r in [*past, row]}) != len(past) + 1:
@@ -123,7 +141,8 @@ class Service:
         if any(r["TransactionDT"] >= row["TransactionDT"] for r in past):
             raise BadRequest("history must be strictly earlier")
         df = self.spark.createDataFrame([tuple(r[n] for n in TRANSACTION.fieldNames()) for r in [*past, row]], TRANSACTION)
-        return history.features(df, request.get("reference")).where(F.col("TransactionID") == row["TransactionID"])
+        made = history.features(df, request.get("reference")).where(F.col("TransactionID") == row["TransactionID"])
+        return self.spark.createDataFrame(made.collect(), made.schema)
 
     def scored(self, request: dict) -> DataFrame:
         external = None
@@ -132,7 +151,7 @@ class Service:
                 raise BadRequest("external context carries no id of its own")
             key = request.get("transaction_id", (request.get("transaction") or {}).get("TransactionID"))
             external = self.spark.createDataFrame([{**request["external"], "TransactionID": key}])
-        return score(self._rows(request), self.fitted, Profile(request.get("profile", Profile.BEHAVIOR_CONTEXT)), external)
+        return score(self._rows(request), self.fitted, Profile(request.get("profile", Profile.BEHAVIOR_CONTEXT)), external, one=True)
 
     def score(self, request: dict) -> dict:
         return plain(self.scored(request).first().asDict())

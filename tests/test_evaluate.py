@@ -10,10 +10,11 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from driftwell.operators import evaluate, forest, history, ingest, profile, ranking, retrieval, validate
+from driftwell.operators import evaluate, forest, history, ingest, prefix, profile, ranking, retrieval, validate
 from driftwell.operators.rules import DEFAULT, RuleSet
 from driftwell.plans import service
 from driftwell.sources import tables
+from driftwell.sources.snapshot import Snapshot
 
 
 def scored(spark, labels, **scores):
@@ -236,6 +237,11 @@ def test_saved_and_raw_requests_agree(spark, tmp_path):
     service.save(fitted, f"{tmp_path}/model")
     again = service.Service(spark, service.load(spark, f"{tmp_path}/model"), RuleSet(DEFAULT), features)
     assert again.score({"transaction_id": last}) == saved
+    # A snapshot by id, and all rows at once: the same scores.
+    by_id = service.Service(spark, fitted, RuleSet(DEFAULT), Snapshot.write(features, "TransactionID", f"{tmp_path}/snapshot", 6))
+    assert by_id.score({"transaction_id": last}) == saved
+    many = {r.TransactionID: r.raw_anomaly_score for r in service.score(features, fitted).collect()}
+    assert many[last] == pytest.approx(saved["raw_anomaly_score"]) and len(many) == features.count()
     assert [t["status"] for t in api.explain({"transaction_id": last})["trace"]] == ["completed", "completed"]
     with pytest.raises(service.NotFound):
         api.score({"transaction_id": 1})
@@ -257,6 +263,39 @@ def test_saved_and_raw_requests_agree(spark, tmp_path):
     assert service.STATUS[retrieval.BadReply] == 502
 
 
+def test_rank_reference(spark, tmp_path):
+    """Shares equal a plain count for values between, at and beyond the reference's; a lookup reads one block a column."""
+    rnd = random.Random(41)
+    rows = [(i, rnd.choice([None, round(rnd.random(), 2), 0.5, rnd.gauss(0, 3)]), float(rnd.randrange(4)), None) for i in range(900)]
+    df = spark.createDataFrame(rows, "TransactionID long, a double, b double, gone double")
+    made = ranking.RankReference.write(df, ["a", "b", "gone"], f"{tmp_path}/ranks", 50)
+    moved = made.copied(f"{tmp_path}/moved")
+    assert len(made._first["a"]) > 8 and moved.totals == made.totals
+    for v in (-99.0, 99.0, 0.5, 0.0, 3.0, *[r[1] for r in rows[:25] if r[1] is not None], *[rnd.gauss(0, 2) for _ in range(10)]):
+        want = {"gone": None} | {c: sum(r[i] is not None and r[i] < v for r in rows) / sum(r[i] is not None for r in rows) for i, c in ((1, "a"), (2, "b"))}
+        assert moved.shares({"a": v, "b": v, "gone": v}) == pytest.approx(want)
+    assert made.shares({"a": None, "b": None}) == {"a": None, "b": None} and made.block("a", -99.0) is None
+    assert made.block("a", 99.0).endswith(f"name=a/block={len(made._first['a']) - 1}")
+    some = df.where("TransactionID % 9 = 0").withColumn("a", F.col("a") + 0.001)
+    got = {r.TransactionID: (r.ra, r.rb) for r in prefix.ranks_among(made.values(), some, {"a": "ra", "b": "rb"}).collect()}
+    assert all(got[r.TransactionID] == (made.shares({"a": r.a})["a"], made.shares({"b": r.b})["b"]) for r in some.limit(12).collect())
+
+
+def test_snapshot_reads_one_block(spark, tmp_path):
+    rows = [(i * 7 % 1000, f"v{i}", i % 3) for i in range(1000)] + [(None, "no key", 0), (14, "again", 5)]
+    df = spark.createDataFrame(rows, "TransactionID long, v string, _other int")
+    shot = Snapshot.write(df, "TransactionID", f"{tmp_path}/s", 10)
+    assert len(shot.blocks) > 5 and shot.table().count() == 1001
+    for key in (0, 14, 500, 999):
+        found = shot.find(key)
+        assert sorted(tuple(r) for r in found.collect()) == sorted(r for r in rows if r[0] == key)
+        files = found.inputFiles()
+        assert len(files) == 1 and shot.block(key).split("/rows/")[1] in files[0]
+    assert shot.find(5000).count() == 0 and shot.find(-1).count() == 0 and found.schema == df.schema
+    none = Snapshot.write(df.limit(0), "TransactionID", f"{tmp_path}/none")
+    assert none.find(1).count() == 0 and none.table().count() == 0 and Snapshot(spark, f"{tmp_path}/s").cuts == shot.cuts
+
+
 def test_prepared_tables(spark, tmp_path):
     """The checked join is written by split, and what is refused is not written."""
     from driftwell.plans import experiment

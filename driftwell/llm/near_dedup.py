@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -45,7 +45,9 @@ class NearDedup:
     leaders: tuple[int, ...] = (0, 0x2545F4914F6CDD1D, 0x1B873593CC9E2D51)
 
 
-_SETS = "doc_id long, n_shingles long, class_key binary, signature array<long>"
+_SETS = "doc_id long, n_shingles long, class_key binary, signature array<long>, sketch long"
+#: Coordinates of which a sketch has two bits each.
+_SKETCHED = 32
 
 
 def _signatures(cfg: NearDedup):
@@ -68,7 +70,10 @@ def _signatures(cfg: NearDedup):
                     size[row + i], keys[row + i] = len(distinct), xxhash.xxh3_128_digest(distinct.tobytes())
             flat = pa.array(sig.view(np.int64).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * cfg.coordinates), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(keys, pa.binary()), lists], ["doc_id", "n_shingles", "class_key", "signature"])
+            sketch = np.zeros(n, np.uint64)
+            for k in range(min(cfg.coordinates, _SKETCHED)):
+                sketch |= (sig[:, k] & np.uint64(3)) << np.uint64(2 * k)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(keys, pa.binary()), lists, pa.array(sketch.view(np.int64))], ["doc_id", "n_shingles", "class_key", "signature", "sketch"])
 
     return run
 
@@ -122,16 +127,16 @@ def _run(scratch: Scratch, docs: DataFrame, cfg: NearDedup) -> DataFrame:
     found = scratch.keep(docs.mapInArrow(_signatures(cfg), _SETS), "signatures")
     named = found.where("n_shingles > 0 and doc_id is not null")
     # Members of a class have one size and signature; copies are summed up before the shuffle, however many they are.
-    reps = scratch.keep(named.groupBy("class_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("signature").alias("signature")), "classes")
+    reps = scratch.keep(named.groupBy("class_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch")), "classes")
 
     # Postings: tokens of one class only can't make a pair, and being the rarest they fill the prefix first.
-    tokens = reps.select("rep", "class_key", "n", F.posexplode("signature").alias("coordinate", "value")).select("rep", "class_key", "n", F.xxhash64("value", "coordinate").alias("token"))
+    tokens = reps.select("rep", "class_key", "n", "sketch", F.posexplode("signature").alias("coordinate", "value")).select("rep", "class_key", "n", "sketch", F.xxhash64("value", "coordinate").alias("token"))
     # A table of its own, as below, so that a join that meets a hot token can be split at run time.
     often = scratch.keep(tokens.groupBy("token").agg(F.count("*").alias("freq")).where("freq > 1"), "often")
     rarest = W.partitionBy("rep", "class_key").orderBy("freq", "token")
     prefix = cfg.coordinates - cfg.matches + 1
     shared = tokens.join(often, "token").withColumn("place", F.row_number().over(rarest)).withColumn("alone", cfg.coordinates - F.count("*").over(W.partitionBy("rep", "class_key")))
-    posted = scratch.keep(shared.where(F.col("place") + F.col("alone") <= prefix).select("token", "rep", "n"), "postings")
+    posted = scratch.keep(shared.where(F.col("place") + F.col("alone") <= prefix).select("token", "rep", "n", "sketch"), "postings")
 
     open_docs = posted.select(F.col("rep").alias("doc_id")).distinct()
     members = scratch.keep(docs.join(open_docs, "doc_id", "left_semi").mapInArrow(_sets(cfg.width), "rep long, members array<long>").where("size(members) > 0"), "members")
@@ -143,10 +148,18 @@ def _run(scratch: Scratch, docs: DataFrame, cfg: NearDedup) -> DataFrame:
         pairs = scratch.keep(pairs, f"{name}-pairs")
         return scratch.keep(pairs.join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(cfg.percent), "a long, b long").distinct(), name)
 
-    # A leader goes with its size: what is too large or too small for it makes no pair.
-    leaders = scratch.keep(posted.groupBy("token").agg(*[F.min(F.struct(F.col("rep").bitwiseXOR(F.lit(s)).alias("k"), "n")).alias(f"l{i}") for i, s in enumerate(cfg.leaders)]), "leaders")
-    each = F.array_distinct(F.array(*[F.struct(F.col(f"l{i}.k").bitwiseXOR(F.lit(s)).alias("leader"), F.col(f"l{i}.n").alias("m")) for i, s in enumerate(cfg.leaders)]))
-    led = posted.select("token", "rep", "n").join(leaders, "token").select("rep", "n", F.explode(F.filter(each, lambda x: (x["leader"] != F.col("rep")) & (100 * F.least("n", x["m"]) >= cfg.percent * F.greatest("n", x["m"])))).alias("x"))
+    # A leader goes with its size and sketch: what is too large or too small for it, or can't agree with it on enough coordinates,
+    # makes no pair.  Coordinates that agree have equal bits, and of others three in four have not.
+    leaders = scratch.keep(posted.groupBy("token").agg(*[F.min(F.struct(F.col("rep").bitwiseXOR(F.lit(s)).alias("k"), "n", "sketch")).alias(f"l{i}") for i, s in enumerate(cfg.leaders)]), "leaders")
+    each = F.array_distinct(F.array(*[F.struct(F.col(f"l{i}.k").bitwiseXOR(F.lit(s)).alias("leader"), F.col(f"l{i}.n").alias("m"), F.col(f"l{i}.sketch").alias("other")) for i, s in enumerate(cfg.leaders)]))
+
+    def fits(x: Column) -> Column:
+        differs = F.col("sketch").bitwiseXOR(x["other"])
+        differs = F.bit_count(differs.bitwiseOR(F.shiftrightunsigned(differs, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+        sizes = 100 * F.least("n", x["m"]) >= cfg.percent * F.greatest("n", x["m"])
+        return (x["leader"] != F.col("rep")) & sizes & (differs <= cfg.coordinates - cfg.matches)
+
+    led = posted.select("token", "rep", "n", "sketch").join(leaders, "token").select("rep", F.explode(F.filter(each, fits)).alias("x"))
     pairs = led.select(F.least("rep", "x.leader").alias("a"), F.greatest("rep", "x.leader").alias("b"))
     pairs = scratch.keep(pairs.distinct(), "led")
     x, y = (reps.select(F.col("rep").alias(c), F.col("signature").alias(f"sig_{c}")) for c in "ab")

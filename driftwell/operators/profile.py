@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from driftwell.functions.columns import ratio
 from driftwell.operators.prefix import cuts_of, quantiles, sums_before
+from driftwell.sources.shared import keep
 
 #: Column names with a role of their own.
 ROLES = {"TransactionID": "identifier", "isFraud": "target", "TransactionDT": "elapsed_time"}
@@ -91,24 +95,67 @@ def rare_examples(df: DataFrame, a: str, b: str, at_most: int = 5, examples: int
     return by.orderBy("n", a, b).limit(examples)
 
 
-def average_ranks(df: DataFrame, column: str) -> DataFrame:
-    """(value, rank): the mean rank of each value, by counts of smaller ones."""
-    by = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    return sums_before(by, "value", ["n"], cuts=cuts_of(df, column)).select("value", (F.col("n_before") + (F.col("n") + 1) / 2).alias("rank"))
+def _presence(df: DataFrame, columns: list[str]) -> dict[str, int]:
+    """For each column a number that columns which are missing in the same rows (by _id) share; -1 for one that is never missing."""
+    mark = F.xxhash64("_id").cast("decimal(38,0)")
+    row = df.agg(F.count("*").alias("_n"), *[F.struct(F.count(c).alias("n"), F.sum(F.when(F.col(c).isNotNull(), mark)).alias("marks")).alias(c) for c in columns]).first()
+    seen: dict[tuple, int] = {}
+    return {c: -1 if row[c]["n"] == row["_n"] else seen.setdefault((row[c]["n"], row[c]["marks"]), len(seen)) for c in columns}
+
+
+def _moments(pairs: list[tuple[int, int]], width: int):
+    """Each task's sums of squares and products of centred ranks, a row for each pair of rank columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(pairs), 4))
+        for batch in batches:
+            lists = batch.column(0)
+            cells = lists.flatten()
+            ranks = np.full((len(lists), width), np.nan)
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            ranks[row, cells.field("k").to_numpy(zero_copy_only=False)] = cells.field("r").to_numpy(zero_copy_only=False)
+            there = ~np.isnan(ranks)
+            ranks = np.where(there, ranks, 0.0)
+            for p, (i, j) in enumerate(pairs):
+                both = there[:, i] & there[:, j]
+                x, y = ranks[both, i], ranks[both, j]
+                total[p] += both.sum(), x @ y, x @ x, y @ y
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pairs)), pa.int32()), *[pa.array(total[:, k]) for k in range(4)]], ["pair", "n", "xy", "xx", "yy"])
+
+    return run
 
 
 def spearman(df: DataFrame, pairs: list[tuple[str, str]], least: int = 100) -> DataFrame:
-    """(first, second, n, rho) of each pair over the rows that have both; null below ``least`` rows or without spread."""
-    out = None
-    for a, b in pairs:
-        rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
-        ranked = rows
-        for c in "ab":
-            ranked = ranked.join(average_ranks(rows, c).select(F.col("value").alias(c), F.col("rank").alias(f"r{c}")), c)
-        one = ranked.agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("rho"), F.stddev_pop("ra").alias("sa"), F.stddev_pop("rb").alias("sb"))
-        one = one.select(F.lit(a).alias("first"), F.lit(b).alias("second"), "n", F.when((F.col("n") >= least) & (F.col("sa") > 0) & (F.col("sb") > 0), F.col("rho")).alias("rho"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(first, second, n, rho) of each pair over the rows that have both; null below ``least`` rows or without spread.
+
+    All columns go in one pass, however many pairs there are.  A column is ranked among the rows that have it, and again for each
+    set of rows that some of its partners are missing in; columns that are missing together share one.  Ranks are those of
+    different values, joined back, so that a value of very many rows is one row until then; centred on their exact mean they
+    are put together by row, and each task sums up its own squares and products.
+    """
+    columns = list(dict.fromkeys(c for pair in pairs for c in pair))
+    table = keep(df.select(*[F.col(c).cast("double").alias(c) for c in columns]).withColumn("_id", F.monotonically_increasing_id()), "spearman")
+    group = _presence(table, columns)
+    holder = {g: c for c, g in group.items()}
+    cells: dict[tuple[str, int], int] = {}
+
+    def cell(column: str, partner: str) -> int:
+        """The number of a column's ranks among the rows that have the partner."""
+        g = group[partner] if group[partner] not in (-1, group[column]) else -1
+        return cells.setdefault((column, g), len(cells))
+
+    wanted = [(cell(a, b), cell(b, a)) for a, b in pairs]
+    each = [F.struct(F.lit(k).alias("k"), (F.col(c) if g < 0 else F.when(F.col(holder[g]).isNotNull(), F.col(c))).alias("x")) for (c, g), k in cells.items()]
+    long = table.select("_id", F.explode(F.filter(F.array(*each), lambda v: v["x"].isNotNull())).alias("v")).select("_id", "v.k", "v.x")
+    long = keep(long, "spearman-cells")
+    values = long.groupBy("k", "x").agg(F.count("*").alias("n"))
+    placed = sums_before(values, "x", ["n"], ("k",), cuts_of(long, "x")).join(values.groupBy("k").agg(F.sum("n").alias("all")), "k")
+    ranks = keep(placed.select("k", "x", (F.col("n_before") + (F.col("n") - F.col("all")) / 2).alias("r")), "spearman-ranks")
+    rows = long.join(ranks, ["k", "x"]).groupBy("_id").agg(F.collect_list(F.struct("k", "r")).alias("cells")).select("cells")
+    sums = rows.mapInArrow(_moments(wanted, len(cells)), "pair int, n double, xy double, xx double, yy double").groupBy("pair").agg(*[F.sum(c).alias(c) for c in ("n", "xy", "xx", "yy")])
+    named = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, first string, second string")
+    known = (F.col("n") >= least) & (F.col("xx") > 0) & (F.col("yy") > 0)
+    return named.join(sums, "pair", "left").select("first", "second", F.coalesce("n", F.lit(0.0)).cast("long").alias("n"), F.when(known, F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).alias("rho"))
 
 
 def spearman_top(df: DataFrame, columns: list[str], least: int = 100, most: int = 30, nulls: float = 0.95) -> DataFrame:

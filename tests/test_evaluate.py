@@ -263,6 +263,35 @@ def test_saved_and_raw_requests_agree(spark, tmp_path):
     assert service.STATUS[retrieval.BadReply] == 502
 
 
+def test_spearman_of_many_columns(spark):
+    """Thirty columns that are missing in ways of their own: every pair as over its complete rows, in a plan that pairs don't widen."""
+    rnd = random.Random(51)
+    names = [f"c{i}" for i in range(30)]
+    gone = [lambda i, k=k: i % (3 + k) == 0 for k in range(3)]
+    rows = [tuple(None if k % 4 and gone[k % 4 - 1](i) else [rnd.random(), float(rnd.randrange(3)), 7.0 if i else 8.0, i * (-1.0) ** k][k % 5 % 4] for k in range(30)) for i in range(140)]
+    rows = [(*r[:29], r[0] if i % 30 == 0 else None) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).repartition(3)
+    pairs = [(a, b) for k, a in enumerate(names) for b in names[k + 1 :]]
+
+    def plain(a, b):
+        both = [(r[names.index(a)], r[names.index(b)]) for r in rows if r[names.index(a)] is not None and r[names.index(b)] is not None]
+        place = lambda v, x: sum(y < x for y in v) + (sum(y == x for y in v) + 1) / 2
+        ranks = [[place([p[s] for p in both], p[s]) for p in both] for s in (0, 1)]
+        mean = [sum(r) / max(len(r), 1) for r in ranks]
+        xy, xx, yy = (sum((p - mean[s]) * (q - mean[t]) for p, q in zip(ranks[s], ranks[t], strict=True)) for s, t in ((0, 1), (0, 0), (1, 1)))
+        return len(both), None if len(both) < 20 or not xx * yy else xy / math.sqrt(xx * yy)
+
+    shuffles = lambda d: d._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    found = profile.spearman(df, pairs, 20)
+    assert shuffles(found) <= 6
+    got = {(r["first"], r["second"]): (r.n, r.rho) for r in found.collect()}
+    assert len(got) == 435
+    for pair in rnd.sample(pairs, 120) + [("c0", "c29"), ("c2", "c7")]:
+        n, rho = plain(*pair)
+        assert got[pair][0] == n and (got[pair][1] is None) == (rho is None) and (rho is None or math.isclose(got[pair][1], rho, abs_tol=1e-12)), pair
+    assert profile.spearman(df.limit(0), pairs[:1]).collect() == [(*pairs[0], 0, None)]
+
+
 def test_rank_reference(spark, tmp_path):
     """Shares equal a plain count for values between, at and beyond the reference's; a lookup reads one block a column."""
     rnd = random.Random(41)

@@ -92,6 +92,16 @@ def break_even(effect: dict, alerts_before: int, alerts_after: int, prevention:
     return {"status": "ok", **out, "false_positive_cost_only": fp / tp, "every_review_costs": out["removed_reviews"] / tp, "partial_prevention": fp / tp / prevention}
 
 
+def break_even_ratios(df: DataFrame, before: str, after: str, threshold: float, label: str = "isFraud", prevention: float = 0.5) -> DataFrame:
+    """``break_even`` of an adjustment at one threshold as a row; the ratios are null where no true positive is lost."""
+    b, a = (F.coalesce(F.col(c) >= threshold, F.lit(False)) for c in (before, after))
+    y = F.col(label) == 1
+    out = df.agg((_n(b & ~y) - _n(a & ~y)).alias("net_false_positives_removed"), (_n(b & y) - _n(a & y)).alias("net_true_positives_lost"), (_n(b) - _n(a)).alias("removed_reviews"))
+    lost = F.when(F.col("net_true_positives_lost") > 0, F.col("net_true_positives_lost"))
+    fp = F.col("net_false_positives_removed") / lost
+    return out.withColumns({"false_positive_cost_only": fp, "every_review_costs": F.col("removed_reviews") / lost, "partial_prevention": fp / F.lit(prevention)})
+
+
 def equal_volume_threshold(df: DataFrame, score: str, k: int) -> tuple[float | None, int | None]:
     """The k-th highest score and how many rows reach it; nothing where there are no k rows or k is 0."""
     n = df.where(F.col(score).isNotNull()).count()

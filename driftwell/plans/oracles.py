@@ -313,6 +313,8 @@ says("average_precision", f"SELECT {r('sum(p * tp / seen) / max(tp)')} AS averag
 says("roc_auc", f"SELECT {r('(sum(k) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0::DOUBLE) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0))::DOUBLE')} AS roc_auc FROM (SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS k FROM lab)")
 _B, _A = "round(score, 9) >= 0.7", "round(adjusted, 9) >= 0.7"
 says("paired_effect", f"SELECT count(*) FILTER ({_B} AND NOT {_A} AND fraud = 0) AS removed_false_positives, count(*) FILTER (NOT {_B} AND {_A} AND fraud = 0) AS added_false_positives, count(*) FILTER ({_B} AND NOT {_A} AND fraud = 1) AS lost_true_positives, count(*) FILTER (NOT {_B} AND {_A} AND fraud = 1) AS added_true_positives FROM ctx WHERE split = 'validation'")
+_NET = "SELECT split, threshold, count(*) FILTER (raw >= threshold AND fraud = 0) - count(*) FILTER (adj >= threshold AND fraud = 0) AS fp, count(*) FILTER (raw >= threshold AND fraud = 1) - count(*) FILTER (adj >= threshold AND fraud = 1) AS tp, count(*) FILTER (raw >= threshold) - count(*) FILTER (adj >= threshold) AS reviews FROM (SELECT split, fraud, round(score, 9) AS raw, round(adjusted, 9) AS adj FROM ctx), (SELECT unnest([0.5, 0.7, 0.9])::DOUBLE AS threshold) GROUP BY split, threshold"
+says("break_even_ratios", f"SELECT split, threshold, fp AS net_false_positives_removed, tp AS net_true_positives_lost, reviews AS removed_reviews, {r('a')} AS false_positive_cost_only, {r('b')} AS every_review_costs, {r('c')} AS partial_prevention FROM (SELECT *, CASE WHEN tp > 0 THEN fp / tp::DOUBLE END AS a, CASE WHEN tp > 0 THEN reviews / tp::DOUBLE END AS b, CASE WHEN tp > 0 THEN fp / tp::DOUBLE / 0.5::DOUBLE END AS c FROM ({_NET}))")
 _HIGHER = "(SELECT score FROM (SELECT score, row_number() OVER (ORDER BY score) AS i, count(*) OVER () AS n FROM lab) WHERE i = ceil((n - 1) * 0.95::DOUBLE) + 1)"
 says("higher_quantile_threshold", f"SELECT {_HIGHER} AS threshold, count(*) FILTER (score >= {_HIGHER}) AS alerts FROM lab")
 _KTH = "(SELECT other FROM (SELECT other, row_number() OVER (ORDER BY other DESC) AS i FROM lab) WHERE i = 25)"

@@ -532,6 +532,19 @@ def paired_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.paired_effect(d, "raw_anomaly_score", "adjusted_anomaly_score", 0.7)
 
 
+@query
+def break_even_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a missed case may cost before the discounts stop paying, by split and at three thresholds."""
+    d = discounted(scored(spark, sf_dir)).withColumns({c: F.round(c, 9) for c in ("raw_anomaly_score", "adjusted_anomaly_score")}).select("split", "isFraud", "raw_anomaly_score", "adjusted_anomaly_score")
+    d = keep(d, "discounted")
+    out = None
+    for split in ("train", "validation", "test"):
+        for threshold in (0.5, 0.7, 0.9):
+            one = evaluate.break_even_ratios(d.where(F.col("split") == split), "raw_anomaly_score", "adjusted_anomaly_score", threshold).withColumns({"split": F.lit(split), "threshold": F.lit(threshold)})
+            out = one if out is None else out.unionByName(one)
+    return out.withColumns({c: p(c) for c in ("false_positive_cost_only", "every_review_costs", "partial_prevention")})
+
+
 @query
 def higher_quantile_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = labelled(spark, sf_dir)

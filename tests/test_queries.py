@@ -27,10 +27,10 @@ def scored_once():
     """Some forty queries begin with the same scored rows; here, and here only, they are computed once."""
     held, plain_scored = {}, queries.scored
 
-    def scored(spark, sf_dir):
-        key = sf_dir, queries._FOREST.get()
+    def scored(spark, sf_dir, wanted=queries.PLAIN):
+        key = sf_dir, queries._FOREST.get(), wanted
         if key not in held:
-            held[key] = plain_scored(spark, sf_dir)
+            held[key] = plain_scored(spark, sf_dir, wanted)
         return held[key]
 
     queries.scored = scored

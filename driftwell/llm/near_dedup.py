@@ -5,8 +5,8 @@ tokens, rarest first, and only under its first ``coordinates - matches + 1`` of
 ``matches`` coordinates must meet there (prefix), and the long lists left over are only probed (skip).  Documents that
 meet are compared on whole signatures, the survivors on whole shingle sets, and what is linked is joined to components.
 
-Documents with equal sets are one class from the start.  Inside a posting list every class is first compared with a few
-leaders of the list.  Classes that are then in different components though they share a list meet again under the rarest
+Documents with equal sets are one class from the start.  Every class is first compared with a few leaders of its
+posting lists.  Classes that are then in different components though they share a list meet again under the rarest
 of their own shingles, by the same prefix rule on whole sets: the smaller of two linked sets has more than 8/9 of its
 shingles in common with the other, the larger at least 4/5, so the smaller is posted under few of them and the larger looks
 under a few more.  No link is lost.  A family of texts that differ more than that, each in its own words, posts nothing and
@@ -35,13 +35,14 @@ class NearDedup:
     """``width`` words a shingle; linked when intersection / union >= ``percent`` / 100.
 
     ``coordinates`` and ``matches`` set the search: a pair at a similarity of 0.8 agrees on fewer than 12 of 32
-    coordinates once in about forty million.
+    coordinates once in about forty million.  A class is compared first with ``nearest`` leaders; results don't depend on it.
     """
 
     width: int = 5
     percent: int = 80
     coordinates: int = 32
     matches: int = 12
+    nearest: int = 4
     leaders: tuple[int, ...] = (0, 0x2545F4914F6CDD1D, 0x1B873593CC9E2D51)
 
 
@@ -160,8 +161,11 @@ def _run(scratch: Scratch, docs: DataFrame, cfg: NearDedup) -> DataFrame:
         return (x["leader"] != F.col("rep")) & sizes & (differs <= cfg.coordinates - cfg.matches)
 
     led = posted.select("token", "rep", "n", "sketch").join(leaders, "token").select("rep", F.explode(F.filter(each, fits)).alias("x"))
-    pairs = led.select(F.least("rep", "x.leader").alias("a"), F.greatest("rep", "x.leader").alias("b"))
-    pairs = scratch.keep(pairs.distinct(), "led")
+    # Near copies share most of their lists: the leaders of the most lists speak for the others, and who is apart from those then is
+    # looked for below.  A class has a few dozen leaders at most.
+    often = led.select("rep", "x.leader").repartition("rep").groupBy("rep", "leader").agg(F.count("*").alias("lists"))
+    best = often.withColumn("place", F.row_number().over(W.partitionBy("rep").orderBy(F.desc("lists"), "leader"))).where(F.col("place") <= cfg.nearest)
+    pairs = scratch.keep(best.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct(), "led")
     x, y = (reps.select(F.col("rep").alias(c), F.col("signature").alias(f"sig_{c}")) for c in "ab")
     agree = F.aggregate(F.zip_with("sig_a", "sig_b", lambda p, q: F.when(p == q, 1).otherwise(0)), F.lit(0), lambda s, v: s + v)
     alike = pairs.join(x, "a").join(y, "b").where(agree >= cfg.matches)

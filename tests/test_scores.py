@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from driftwell.operators import context, forest, layers
 from driftwell.operators.prefix import cuts_of, higher_quantile, order_statistics, range_of, strict_rank, strict_ranks, sums_before
+from driftwell.sources.shared import keep
 
 
 def test_strict_rank(spark):
@@ -193,3 +194,17 @@ def test_registered_chain_has_the_forest(spark, sf):
         assert matches[i].rule_match_R05_new_device_anomaly == (m >= 0.95 and r.entity_device_is_new == 1 and old)
     assert any(r.multivariate_normalized >= 0.98 for r in rows.values())
     assert {r.multivariate_raw for r in queries.scored(spark, sf).collect()} == {None}
+
+
+def test_rows_times_scenarios_are_not_broadcast(spark):
+    """What an explode makes is as large as its rows times their cells, whatever Spark takes its size for."""
+    rows = keep(spark.range(20).select(F.col("id").alias("TransactionID"), F.lit(5.0).alias("TransactionDT"), (F.col("id") % 7).cast("double").alias("x_raw"), F.lit(1.0).alias("y_raw")), "rows")
+    each = rows.withColumn("k", F.explode(F.array(*map(F.lit, range(4))))).withColumn("TransactionID", F.col("TransactionID") * 4 + F.col("k"))
+    evidence = each.select("TransactionID", (F.col("k") == 0).alias("trusted_entity"), F.lit(1.0).alias("trust_observed_at"), F.lit("desk").alias("trust_source"))
+    held = context.with_external(each, evidence)
+    ranked = strict_ranks(rows, each, {"x_raw": "x", "y_raw": "y"})
+    for df, joined in ((held, "[TransactionID#"), (ranked, "knownfloatingpointnormalized")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and joined in line], plan
+    assert held.where("_trusted").count() == 20
+    assert {r.x for r in ranked.collect()} == {0.0, 3 / 20, 6 / 20, 9 / 20, 12 / 20, 15 / 20, 18 / 20}

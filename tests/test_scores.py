@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftwell.operators import context, forest, layers
+from driftwell.operators import context, forest, history, layers
 from driftwell.operators.prefix import cuts_of, higher_quantile, order_statistics, range_of, strict_rank, strict_ranks, sums_before
+from driftwell.plans import queries
 from driftwell.sources.shared import keep
 
 
@@ -208,3 +209,15 @@ def test_rows_times_scenarios_are_not_broadcast(spark):
         assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and joined in line], plan
     assert held.where("_trusted").count() == 20
     assert {r.x for r in ranked.collect()} == {0.0, 3 / 20, 6 / 20, 9 / 20, 12 / 20, 15 / 20, 18 / 20}
+
+
+def test_tasks_have_a_bounded_number_of_rows(spark, sf, monkeypatch):
+    """More rows make more tasks of the same size, whatever AQE would put together."""
+    tasks = lambda df: df.groupBy(F.spark_partition_id()).count().count()
+    monkeypatch.setattr(history, "TASK_ROWS", 50, raising=False)
+    rows = queries.keyed(spark, sf)
+    assert tasks(history.entity_features(rows)) > rows.count() / 50 / 2
+    some = spark.range(4000).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("x"), F.lit(1).alias("n"))
+    out = sums_before(some, "x", ["n"], ("g",), cuts=[100.0 * i for i in range(1, 40)])
+    assert tasks(out) > 15
+    assert out.where(F.col("n_before") != F.floor(F.col("x") / 2)).count() == 0

@@ -16,6 +16,7 @@ replay doesn't follow.)
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -75,7 +76,7 @@ class _History(StatefulProcessor):
         if not self.waiting.exists():
             return
         rows = pd.DataFrame(list(self.waiting.get()), columns=list(_ROW))
-        over = rows["TransactionDT"].map(_timer) <= timerValues.getCurrentWatermarkInMs()
+        over = np.floor(rows["TransactionDT"] * 1000) + 1 <= timerValues.getCurrentWatermarkInMs()
         if not over.any():
             return
         rest = rows[~over]
@@ -125,22 +126,25 @@ class _History(StatefulProcessor):
             "prior_transaction_count": n, "prior_mean_amount": means, "prior_std_amount": std, "prior_count_1h": n - in_hour, "prior_count_24h": n - in_day, "seconds_since_previous": times - before,
             "history_span_days": np.where(n > 0, (times - (times[0] if start is None else start)) / DAY, np.nan), "entity_hour_probability": np.where(n > 0, (spent[np.arange(len(times)), phase] + 1) / (n + 24), np.nan),
         }
-        out = rows[["TransactionID", "TransactionDT"]].assign(late=False, **{c: v[group] for c, v in of_time.items()})
+        out = {"TransactionID": rows["TransactionID"], "TransactionDT": rows["TransactionDT"], "late": np.zeros(len(t), bool)} | {c: v[group] for c, v in of_time.items()}
         different = list(different)
         for r, (column, (distinct, is_new)) in enumerate(RELATIONS.items()):
-            values = rows[column]
-            found = pd.Series(group, index=rows.index)[values.notna()].groupby(values[values.notna()]).min()
-            fresh = found[[not self.seen.containsKey((r, v)) for v in found.index]]
+            values, there = rows[column].tolist(), rows[column].notna().to_numpy()
+            # Plain dictionaries: an entity has few rows a batch, and grouping them costs more than the rest.  Rows are in order of time.
+            found: dict[str, int] = {}
+            for value, g in zip(compress(values, there), group[there].tolist(), strict=True):
+                found.setdefault(value, g)
+            fresh = {v: g for v, g in found.items() if not self.seen.containsKey((r, v))}
             for value, g in fresh.items():
                 self.seen.updateValue((r, value), (float(times[g]),))
-            known = different[r] + np.searchsorted(np.sort(fresh.to_numpy()), np.arange(len(times)))
+            known = different[r] + np.searchsorted(np.sort(np.fromiter(fresh.values(), np.int64, len(fresh))), np.arange(len(times)))
             out[distinct] = known[group]
-            since = values.map(fresh).to_numpy(float)
-            out[is_new] = np.where(values.notna() & (known[group] > 0), (since == group).astype(float), np.nan)
+            since = np.fromiter((fresh.get(v, -1) for v in values), np.int64, len(values))
+            out[is_new] = np.where(there & (known[group] > 0), (since == group).astype(float), np.nan)
             different[r] += len(fresh)
         total = n0 + len(x)
         self.sums.update((total, float(center + s1[-1] / total), float(max(m2 + s2[-1] - s1[-1] ** 2 / total, 0.0)), float(times[0] if start is None else start), float(times[-1]), first + len(times), *map(int, hour), *map(int, day), spent[-1].tolist(), different))
-        return out[_NAMES]
+        return pd.DataFrame({c: out[c] for c in _NAMES})
 
 
 def history_stream(stream: DataFrame, key: list[str], strict: bool = False, delay: str = "0 seconds") -> DataFrame:

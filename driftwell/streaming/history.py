@@ -7,20 +7,19 @@ with late = true and change nothing, or stop the query in strict mode.  Rows of
 given out at once, their features null.  A row without TransactionID is an end marker: it moves the watermark and is no
 transaction.
 
-The state of an entity is one row of sums, a row for each value it has been seen with, and the number of rows of each time of
-the last day, numbered.  Two cursors, an hour and a day behind, move along the numbers and take what the day's has passed away,
-so a batch costs its own rows, however much history there is.  (Spark's time to live is by the clock of the machine, which a
-replay doesn't follow.)
+The state of an entity is one row: sums, the first values it has been seen with, and the newest times of the last day.  Further
+values have a row each, and further times of the last day too, by number.  Two cursors, an hour and a day behind, move along the
+numbers and take what the day's has passed away, so a batch costs its own rows, however much history there is, and an entity of
+few rows one read and one write: every call to the state waits for the JVM, and rows are few, so they are plain Python values.
+(Spark's time to live is by the clock of the machine, which a replay doesn't follow.)
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import compress
+from math import floor, sqrt
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -34,16 +33,22 @@ _NAMES = [c.split()[0] for c in OUTPUT.split(", ")]
 RELATIONS = {"ProductCD": ("prior_distinct_products", "entity_product_is_new"), "P_emaildomain": ("prior_distinct_email_domains", "entity_email_is_new"), "DeviceInfo": ("prior_distinct_devices", "entity_device_is_new")}
 _ROW = {"TransactionID": "long", "TransactionDT": "double", "TransactionAmt": "double"} | dict.fromkeys(RELATIONS, "string")
 #: Rows, mean and squared deviations of amounts, first and last time, number of the next time, and for each cursor its number and the
-#: rows behind it; then counts of hours of the day and of different values.
-_SUMS = "n long, mean double, m2 double, first double, last double, next long, hour_at long, hour_rows long, day_at long, day_rows long, hours array<long>, different array<long>"
-_EMPTY = (0, 0.0, 0.0, None, None, 0, 0, 0, 0, 0, [0] * 24, [0] * len(RELATIONS))
+#: rows behind it; then counts of hours of the day and of different values, values by relation, and the newest times with their rows.
+_SUMS = (
+    "n long, mean double, m2 double, first double, last double, next long, hour_at long, hour_rows long, day_at long, day_rows long, hours array<long>, different array<long>, "
+    "values array<array<string>>, times array<double>, rows array<long>"
+)
+_EMPTY = (0, 0.0, 0.0, None, None, 0, 0, 0, 0, 0, [0] * 24, [0] * len(RELATIONS), [[] for _ in RELATIONS], [], [])
+#: Values of a relation, and times, in an entity's own row.
+INLINE = 64
 HOUR, DAY = 3600.0, 86_400.0
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_Out = Row(*_NAMES)
 
 
 def _timer(time: float) -> int:
     """The millisecond from which on ``time`` is over."""
-    return int(np.floor(time * 1000)) + 1
+    return floor(time * 1000) + 1
 
 
 class _History(StatefulProcessor):
@@ -57,94 +62,95 @@ class _History(StatefulProcessor):
         self.seen = handle.getMapState("seen", "relation int, value string", "time double")
         self.times = handle.getMapState("times", "number long", "time double, rows long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        part = pd.concat(list(rows), ignore_index=True)
-        last = self.sums.get()[4] if self.sums.exists() else None
-        late = part["TransactionDT"] <= last if last is not None else pd.Series(False, index=part.index)
-        if late.any():
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        sums, new = self.sums.get(), []
+        last = sums[4] if sums else None
+        for row in rows:
+            if last is None or row["TransactionDT"] > last:
+                new.append(tuple(row[c] for c in _ROW))
+                continue
             if self.strict:
-                raise ValueError(f"late rows of {key}: {part.loc[late, 'TransactionDT'].min()} is not after {last}")
-            told = part.loc[late, ["TransactionID", "TransactionDT"]].assign(late=True)
-            yield told.reindex(columns=_NAMES).astype(object).where(lambda x: x.notna(), None)
-        part = part[~late]
-        if len(part):
-            columns = [part[c].astype(object).where(part[c].notna(), None).tolist() for c in _ROW]
-            self.waiting.appendList(list(zip(*columns, strict=True)))
-            self.handle.registerTimer(_timer(float(part["TransactionDT"].min())))
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.waiting.exists():
-            return
-        rows = pd.DataFrame(list(self.waiting.get()), columns=list(_ROW))
-        over = np.floor(rows["TransactionDT"] * 1000) + 1 <= timerValues.getCurrentWatermarkInMs()
-        if not over.any():
+                raise ValueError(f"late rows of {key}: {row['TransactionDT']} is not after {last}")
+            yield _Out(row["TransactionID"], row["TransactionDT"], True, *[None] * (len(_NAMES) - 3))
+        if new:
+            self.waiting.appendList(new)
+            self.handle.registerTimer(_timer(min(r[1] for r in new)))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        rows, now = list(self.waiting.get()), timerValues.getCurrentWatermarkInMs()
+        over = [r for r in rows if _timer(r[1]) <= now]
+        if not over:
             return
-        rest = rows[~over]
-        self.waiting.clear()
-        if len(rest):
-            self.waiting.put(list(zip(*[rest[c].tolist() for c in _ROW], strict=True)))
-            self.handle.registerTimer(_timer(float(rest["TransactionDT"].min())))
-        yield self._closed(rows[over].sort_values(["TransactionDT", "TransactionID"], ignore_index=True))
-
-    def _behind(self, cursor: tuple[int, int], width: float, times: np.ndarray, first: int, new: np.ndarray, drop: bool) -> tuple[np.ndarray, tuple[int, int]]:
-        """Rows more than ``width`` before each of ``times``, whose numbers start at ``first`` and rows are ``new``; the cursor after."""
-        at, rows = cursor
-        out = np.zeros(len(times), np.int64)
-        for i, time in enumerate(times):
-            while at < first + i:
-                there = self.times.getValue((at,)) if at < first else (times[at - first], int(new[at - first]))
-                if there[0] >= time - width:
-                    break
-                rows += there[1]
-                if drop and at < first:
-                    self.times.removeKey((at,))
-                at += 1
-            out[i] = rows
-        return out, (at, rows)
-
-    def _closed(self, rows: pd.DataFrame) -> pd.DataFrame:
+        if rest := [r for r in rows if _timer(r[1]) > now]:
+            self.waiting.put([tuple(r) for r in rest])
+            self.handle.registerTimer(_timer(min(r[1] for r in rest)))
+        else:
+            self.waiting.clear()
+        yield from self._closed(sorted(over, key=lambda r: (r[1], r[0])))
+
+    def _closed(self, rows: list[tuple]) -> Iterator[Row]:
         """The answers to rows of whole times in their order; the state is that after them."""
-        n0, mean, m2, start, last, first, hour_at, hour_rows, day_at, day_rows, hours, different = self.sums.get() if self.sums.exists() else _EMPTY
-        t, x = rows["TransactionDT"].to_numpy(float), rows["TransactionAmt"].to_numpy(float)
-        times, begin, group, count = np.unique(t, return_index=True, return_inverse=True, return_counts=True)
-        n = n0 + begin
-        center = mean if n0 else x[0]
-        s1, s2 = (np.concatenate(([0.0], np.cumsum(v))) for v in (x - center, (x - center) ** 2))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            means = np.where(n > 0, center + s1[begin] / n, np.nan)
-            std = np.where(n >= 2, np.sqrt(np.maximum(m2 + s2[begin] - s1[begin] ** 2 / n, 0) / n), np.nan)
-        phase = (times // HOUR).astype(np.int64) % 24
-        spent = np.zeros((len(times) + 1, 24), np.int64)
-        spent[np.arange(1, len(times) + 1), phase] = count
-        spent = np.asarray(hours) + spent.cumsum(axis=0)
-        in_hour, hour = self._behind((hour_at, hour_rows), HOUR, times, first, count, False)
-        in_day, day = self._behind((day_at, day_rows), DAY, times, first, count, True)
-        for i in range(max(day[0] - first, 0), len(times)):
-            self.times.updateValue((first + i,), (float(times[i]), int(count[i])))
-        before = np.concatenate(([np.nan if last is None else last], times[:-1]))
-        of_time = {
-            "prior_transaction_count": n, "prior_mean_amount": means, "prior_std_amount": std, "prior_count_1h": n - in_hour, "prior_count_24h": n - in_day, "seconds_since_previous": times - before,
-            "history_span_days": np.where(n > 0, (times - (times[0] if start is None else start)) / DAY, np.nan), "entity_hour_probability": np.where(n > 0, (spent[np.arange(len(times)), phase] + 1) / (n + 24), np.nan),
-        }
-        out = {"TransactionID": rows["TransactionID"], "TransactionDT": rows["TransactionDT"], "late": np.zeros(len(t), bool)} | {c: v[group] for c, v in of_time.items()}
-        different = list(different)
-        for r, (column, (distinct, is_new)) in enumerate(RELATIONS.items()):
-            values, there = rows[column].tolist(), rows[column].notna().to_numpy()
-            # Plain dictionaries: an entity has few rows a batch, and grouping them costs more than the rest.  Rows are in order of time.
-            found: dict[str, int] = {}
-            for value, g in zip(compress(values, there), group[there].tolist(), strict=True):
-                found.setdefault(value, g)
-            fresh = {v: g for v, g in found.items() if not self.seen.containsKey((r, v))}
-            for value, g in fresh.items():
-                self.seen.updateValue((r, value), (float(times[g]),))
-            known = different[r] + np.searchsorted(np.sort(np.fromiter(fresh.values(), np.int64, len(fresh))), np.arange(len(times)))
-            out[distinct] = known[group]
-            since = np.fromiter((fresh.get(v, -1) for v in values), np.int64, len(values))
-            out[is_new] = np.where(there & (known[group] > 0), (since == group).astype(float), np.nan)
-            different[r] += len(fresh)
-        total = n0 + len(x)
-        self.sums.update((total, float(center + s1[-1] / total), float(max(m2 + s2[-1] - s1[-1] ** 2 / total, 0.0)), float(times[0] if start is None else start), float(times[-1]), first + len(times), *map(int, hour), *map(int, day), spent[-1].tolist(), different))
-        return pd.DataFrame({c: out[c] for c in _NAMES})
+        n, mean, m2, start, last, number, hour_at, hour_rows, day_at, day_rows, hours, different, values, times, counts = self.sums.get() or _EMPTY
+        hours, different, values, times, counts = list(hours), list(different), [list(v) for v in values], list(times), list(counts)
+        inline = stored = number - len(times)  # numbers from here on are in the lists; those from ``day_at`` to here have rows of their own
+        known = [dict.fromkeys(v, True) for v in values]
+
+        def at(i: int) -> tuple[float, int]:
+            return (times[i - inline], counts[i - inline]) if i >= inline else self.times.getValue((i,))
+
+        def is_known(r: int, value: str) -> bool:
+            if value not in known[r]:
+                known[r][value] = different[r] > INLINE and self.seen.containsKey((r, value))
+            return known[r][value]
+
+        i = 0
+        while i < len(rows):
+            time, begin = rows[i][1], i
+            while i < len(rows) and rows[i][1] == time:
+                i += 1
+            while hour_at < number and (there := at(hour_at))[0] < time - HOUR:
+                hour_at, hour_rows = hour_at + 1, hour_rows + there[1]
+            while day_at < number and (there := at(day_at))[0] < time - DAY:
+                if day_at < stored:
+                    self.times.removeKey((day_at,))
+                day_at, day_rows = day_at + 1, day_rows + there[1]
+            phase = int(time // HOUR) % 24
+            shared = (
+                n, mean if n else None, sqrt(max(m2 / n, 0.0)) if n >= 2 else None, n - hour_rows, n - day_rows, None if last is None else time - last, (time - start) / DAY if n else None,
+            )
+            probability, before, fresh = (hours[phase] + 1) / (n + 24) if n else None, tuple(different), []
+            for row in rows[begin:i]:
+                new = []
+                for r, value in enumerate(row[3:]):
+                    is_new = None
+                    if value is not None:
+                        is_new = 0.0 if is_known(r, value) else 1.0
+                        if is_new:
+                            fresh.append((r, value))
+                    new.append(is_new if before[r] else None)
+                yield _Out(row[0], time, False, *shared, before[0], new[0], probability, before[1], new[1], before[2], new[2])
+            for r, value in fresh:
+                if not known[r][value]:
+                    known[r][value] = True
+                    different[r] += 1
+                    if len(values[r]) < INLINE:
+                        values[r].append(value)
+                    else:
+                        self.seen.updateValue((r, value), (time,))
+            for row in rows[begin:i]:
+                n += 1
+                off = row[2] - mean
+                mean += off / n
+                m2 += off * (row[2] - mean)
+            hours[phase] += i - begin
+            times.append(time)
+            counts.append(i - begin)
+            start, last, number = time if start is None else start, time, number + 1
+        # The newest times stay in the row; older ones of the last day get rows of their own, those that have passed go.
+        keep = max(day_at, number - INLINE)
+        for old in range(max(day_at, inline), keep):
+            self.times.updateValue((old,), at(old))
+        self.sums.update((n, mean, m2, start, last, number, hour_at, hour_rows, day_at, day_rows, hours, different, values, times[keep - inline :], counts[keep - inline :]))
 
 
 def history_stream(stream: DataFrame, key: list[str], strict: bool = False, delay: str = "0 seconds") -> DataFrame:
@@ -167,7 +173,7 @@ def history_stream(stream: DataFrame, key: list[str], strict: bool = False, dela
     kind = F.when(F.col("_at").isNull(), "unknown").when(F.col("TransactionID").isNull(), "marker").when(have, "known").otherwise("unknown")
     # Without the event time Spark has nothing to drop late rows by: they are told instead.
     rows = rows.withColumn("_kind", kind).drop("_at")
-    known = rows.where("_kind = 'known'").drop("_kind").groupBy(*key).transformWithStateInPandas(_History(strict), OUTPUT, "append", "EventTime")
+    known = rows.where("_kind = 'known'").drop("_kind").groupBy(*key).transformWithState(_History(strict), OUTPUT, "append", "EventTime")
     given = {"TransactionID": F.col("TransactionID"), "TransactionDT": F.col("TransactionDT"), "late": F.lit(False)}
     columns = [c.split() for c in OUTPUT.split(", ")]
     return known.unionByName(rows.where("_kind = 'unknown'").select(*[given.get(c, F.lit(None)).cast(k).alias(c) for c, k in columns]))

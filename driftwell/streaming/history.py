@@ -16,9 +16,12 @@ few rows one read and one write: every call to the state waits for the JVM, and
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from itertools import batched, chain
 from math import floor, sqrt
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -43,7 +46,28 @@ _EMPTY = (0, 0.0, 0.0, None, None, 0, 0, 0, 0, 0, [0] * 24, [0] * len(RELATIONS)
 INLINE = 64
 HOUR, DAY = 3600.0, 86_400.0
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_Out = Row(*_NAMES)
+#: A row of the stream as one array of texts, and answers as one value: Spark hands over each cell of a group by itself.
+_PACKED, _ANSWERS, _AT_ONCE = "row", "answers binary", 10_000
+_Answers = Row("answers")
+
+
+def _read(cells: list) -> tuple:
+    """A row of _ROW."""
+    return int(cells[0]), float(cells[1]), float(cells[2]), *cells[3:]
+
+
+def _packed(rows: Iterator[tuple]) -> Iterator[Row]:
+    for some in batched(rows, _AT_ONCE):
+        yield _Answers(pickle.dumps(some, pickle.HIGHEST_PROTOCOL))
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed answers as rows of OUTPUT."""
+    kinds = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+    shape = pa.schema([(n, kinds[k]) for n, k in (c.split() for c in OUTPUT.split(", "))])
+    rows = chain.from_iterable(pickle.loads(x.as_py()) for batch in batches for x in batch.column(0))
+    for some in batched(rows, _AT_ONCE):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), shape)], schema=shape)
 
 
 def _timer(time: float) -> int:
@@ -63,15 +87,16 @@ class _History(StatefulProcessor):
         self.times = handle.getMapState("times", "number long", "time double, rows long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        sums, new = self.sums.get(), []
+        sums, new, late = self.sums.get(), [], []
         last = sums[4] if sums else None
-        for row in rows:
-            if last is None or row["TransactionDT"] > last:
-                new.append(tuple(row[c] for c in _ROW))
+        for row in (_read(x[_PACKED]) for x in rows):
+            if last is None or row[1] > last:
+                new.append(row)
                 continue
             if self.strict:
-                raise ValueError(f"late rows of {key}: {row['TransactionDT']} is not after {last}")
-            yield _Out(row["TransactionID"], row["TransactionDT"], True, *[None] * (len(_NAMES) - 3))
+                raise ValueError(f"late rows of {key}: {row[1]} is not after {last}")
+            late.append((row[0], row[1], True, *[None] * (len(_NAMES) - 3)))
+        yield from _packed(late)
         if new:
             self.waiting.appendList(new)
             self.handle.registerTimer(_timer(min(r[1] for r in new)))
@@ -86,9 +111,9 @@ class _History(StatefulProcessor):
             self.handle.registerTimer(_timer(min(r[1] for r in rest)))
         else:
             self.waiting.clear()
-        yield from self._closed(sorted(over, key=lambda r: (r[1], r[0])))
+        yield from _packed(self._closed(sorted(over, key=lambda r: (r[1], r[0]))))
 
-    def _closed(self, rows: list[tuple]) -> Iterator[Row]:
+    def _closed(self, rows: list[tuple]) -> Iterator[tuple]:
         """The answers to rows of whole times in their order; the state is that after them."""
         n, mean, m2, start, last, number, hour_at, hour_rows, day_at, day_rows, hours, different, values, times, counts = self.sums.get() or _EMPTY
         hours, different, values, times, counts = list(hours), list(different), [list(v) for v in values], list(times), list(counts)
@@ -128,7 +153,7 @@ class _History(StatefulProcessor):
                         if is_new:
                             fresh.append((r, value))
                     new.append(is_new if before[r] else None)
-                yield _Out(row[0], time, False, *shared, before[0], new[0], probability, before[1], new[1], before[2], new[2])
+                yield (row[0], time, False, *shared, before[0], new[0], probability, before[1], new[1], before[2], new[2])
             for r, value in fresh:
                 if not known[r][value]:
                     known[r][value] = True
@@ -173,7 +198,11 @@ def history_stream(stream: DataFrame, key: list[str], strict: bool = False, dela
     kind = F.when(F.col("_at").isNull(), "unknown").when(F.col("TransactionID").isNull(), "marker").when(have, "known").otherwise("unknown")
     # Without the event time Spark has nothing to drop late rows by: they are told instead.
     rows = rows.withColumn("_kind", kind).drop("_at")
-    known = rows.where("_kind = 'known'").drop("_kind").groupBy(*key).transformWithState(_History(strict), OUTPUT, "append", "EventTime")
+    kinds = dict(stream.dtypes)
+    # The key as one text; adding 0 makes -0 and 0 the same.
+    one = F.to_json(F.struct(*[(F.col(k) + F.lit(0.0) if kinds[k] in ("double", "float") else F.col(k)).alias(k) for k in key])).alias("_key")
+    known = rows.where("_kind = 'known'").select(one, F.array(*[F.col(c).cast("string") for c in _ROW]).alias(_PACKED))
+    known = known.groupBy("_key").transformWithState(_History(strict), _ANSWERS, "append", "EventTime").mapInArrow(_unpacked, OUTPUT)
     given = {"TransactionID": F.col("TransactionID"), "TransactionDT": F.col("TransactionDT"), "late": F.lit(False)}
     columns = [c.split() for c in OUTPUT.split(", ")]
     return known.unionByName(rows.where("_kind = 'unknown'").select(*[given.get(c, F.lit(None)).cast(k).alias(c) for c, k in columns]))

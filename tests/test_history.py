@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import pickle
 import random
 from datetime import datetime, timedelta
 
@@ -369,11 +370,12 @@ def test_an_entity_of_few_rows_is_one_read_and_one_write(monkeypatch, inline):
     one.init(SimpleNamespace(getValueState=lambda *_: sums, getListState=lambda *_: waiting, getMapState=lambda name, *_: {"seen": seen, "times": times}[name], registerTimer=waiting.registerTimer))
     got, batches = {}, 0
     for i in range(0, len(rows), 12):
-        part = [Row(**{c: 0.0 if c == "TransactionAmt" and r[c] is None else r[c] for c in streaming._ROW}) for r in rows[i : i + 12]]
+        part = [Row(row=["0.0" if c == "TransactionAmt" and r[c] is None else None if r[c] is None else str(r[c]) for c in streaming._ROW]) for r in rows[i : i + 12]]
         assert not list(one.handleInputRows(("key",), iter(part), None))
         following = rows[i + 12]["TransactionDT"] if i + 12 < len(rows) else math.inf
         now = SimpleNamespace(getCurrentWatermarkInMs=lambda end=following: 10**15 if end == math.inf else math.floor(end * 1000))
-        got |= {r.TransactionID: r for r in one.handleExpiredTimer(("key",), now, None)}
+        answers = [Row(*streaming._NAMES)(*r) for x in one.handleExpiredTimer(("key",), now, None) for r in pickle.loads(x.answers)]
+        got |= {r.TransactionID: r for r in answers}
         batches += 1
     assert len(got) == len(rows)
     for row in rows:
